@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "skyledger.plans.merge_queries",
+    "skyledger.plans.view_queries",
 ]
 
 
