@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "skyledger.plans.merge_queries",
     "skyledger.plans.view_queries",
+    "skyledger.plans.unify_queries",
 ]
 
 
