@@ -8,6 +8,7 @@ _MODULES = [
     "skyledger.plans.merge_queries",
     "skyledger.plans.view_queries",
     "skyledger.plans.unify_queries",
+    "skyledger.plans.run_queries",
 ]
 
 
