@@ -231,7 +231,7 @@ def parse_rfc3339_date(c) -> Column:
     """RFC 3339 timestamp text -> the calendar date as written; bad -> null."""
     c = _c(c)
     ok = c.rlike(_RFC3339) & F.try_to_timestamp(c).isNotNull()
-    return F.when(ok, F.try_to_date(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.when(ok, F.to_date(F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd"))))
 
 
 # X13 -----------------------------------------------------------------------

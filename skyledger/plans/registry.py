@@ -9,6 +9,7 @@ _MODULES = [
     "skyledger.plans.view_queries",
     "skyledger.plans.unify_queries",
     "skyledger.plans.run_queries",
+    "skyledger.plans.normalize_queries",
 ]
 
 
