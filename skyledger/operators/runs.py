@@ -200,9 +200,10 @@ def parse_metadata(docs: DataFrame, col: str = "value") -> DataFrame:
         F.col("s.last_updated").alias("last_updated"), F.col("s.count").alias("count"))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Read metadata files (one document per file) into the flat table."""
-    return parse_metadata(spark.read.text(path, wholetext=True))
+def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Read metadata into the flat table: one document per file, or with
+    ``lines`` one document per line (as ``sinks.export_metadata`` writes)."""
+    return parse_metadata(spark.read.text(path) if lines else spark.read.text(path, wholetext=True))
 
 
 # J3 -------------------------------------------------------------------------

@@ -10,6 +10,7 @@ _MODULES = [
     "skyledger.plans.unify_queries",
     "skyledger.plans.run_queries",
     "skyledger.plans.normalize_queries",
+    "skyledger.plans.io_queries",
 ]
 
 
