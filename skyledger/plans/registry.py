@@ -11,6 +11,7 @@ _MODULES = [
     "skyledger.plans.run_queries",
     "skyledger.plans.normalize_queries",
     "skyledger.plans.io_queries",
+    "skyledger.plans.stream_queries",
 ]
 
 

@@ -111,10 +111,13 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
-                  schema: str | None = None) -> DataFrame:
+                  schema: str | None = None, before: int | None = None) -> DataFrame:
     """Current snapshot = the newest committed ``v=<n>`` directory (or a
-    pinned one); an empty frame of ``schema`` when nothing is committed."""
+    pinned one, or the newest below ``before``); an empty frame of
+    ``schema`` when nothing is committed."""
     vs = dict(_versions(spark, base))
+    if before is not None:
+        vs = {k: v for k, v in vs.items() if k < before}
     if version is None and vs:
         version = max(vs)
     if version is None or version not in vs:
