@@ -12,6 +12,7 @@ _MODULES = [
     "skyledger.plans.normalize_queries",
     "skyledger.plans.io_queries",
     "skyledger.plans.stream_queries",
+    "skyledger.plans.quality_queries",
 ]
 
 
