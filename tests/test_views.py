@@ -95,3 +95,16 @@ def test_csv_export_quoting(spark):
     lines = [ln for ln in text.split("\n") if ln and ln != "A,B,C,N,F,G"]
     assert '"say ""hi""","a,b",,0,false,"x,y"' in lines
     assert 'plain, pad ,"line' in text and 'break",3,true,' in text
+
+
+def test_view_catalog_projects_absent_fields(spark):
+    from skyledger.catalog import VIEWS, with_renders
+    from skyledger.functions import render as R
+    assert len(VIEWS) == 123
+    ec2 = with_renders(VIEWS["aws/ec2"], {"public_ip": lambda d, f: R.or_default(d, f, "-")})
+    df = spark.createDataFrame([(1, "i-1", "web", "t3", "running", "10.0.0.1", None, "us-east-1", "active", None)],
+                               "_ordinal long, instance_id string, name string, instance_type string, state string, "
+                               "private_ip string, public_ip string, region string, status string, "
+                               "discovery_date string")
+    row = V.table_view(df, ec2).first().asDict()
+    assert row["account"] is None and row["public_ip"] == "-" and row["name"] == "web"
