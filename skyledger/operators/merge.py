@@ -100,6 +100,12 @@ class MergeResult:
     def snapshot(self) -> DataFrame:
         return self.joined.select(*self.columns).unionByName(self.others.select(*self.columns))
 
+    @property
+    def source_rows(self) -> DataFrame:
+        """The new rows of the merged source only (what a per-source store
+        commits; other sources stay where they are)."""
+        return self.joined.select(*self.columns)
+
     @property
     def changes(self) -> DataFrame:
         """M4: key and change kind of every row of the merged source."""

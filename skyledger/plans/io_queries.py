@@ -153,6 +153,18 @@ def k6_commit_snapshot(spark, sf):
         F.lit(v1 - v0).alias("versions_apart"), "source", "status", "n")
 
 
+def k6_commit_source_partition(spark, sf):
+    """Per-source store: merging registrar 1-URGENT rewrites only its partition."""
+    from skyledger.schemas import DOMAINS_DDL
+    store = S.SnapshotStore(spark, _scratch(spark, "k6s"), "registrar", DOMAINS_DDL)
+    snap = X.domain_snapshot(spark, sf)
+    for r in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]:
+        store.commit(snap.filter(F.col("registrar") == r), r)
+    m = M.merge_domains(store.read(), X.domain_batch(spark, sf), X.DOM_SOURCE, X.DOM_AS_OF, X.DOM_NOW)
+    store.commit(m.source_rows, X.DOM_SOURCE)
+    return X.finalize(store.read())
+
+
 def k7_export_all(spark, sf):
     out = _scratch(spark, "k7")
     meta = R.parse_metadata(metadata_docs(spark, sf))
@@ -178,6 +190,7 @@ QUERIES = {
     "k4_update_metadata": k4_update_metadata,
     "k5_export_csv": k5_export_csv,
     "k6_commit_snapshot": k6_commit_snapshot,
+    "k6_commit_source_partition": k6_commit_source_partition,
     "k7_export_all": k7_export_all,
 }
 
@@ -239,6 +252,7 @@ UNION ALL SELECT 'Account,Name,Note,Balance,Public,Groups,Status'""",
     "k6_commit_snapshot": "WITH " + MQ._DNS_CTE + """, snap AS (SELECT source, status FROM m
   UNION ALL SELECT source, status FROM s WHERE source <> 'F')
 SELECT 1 AS versions_apart, source, status, CAST(count(*) AS BIGINT) AS n FROM snap GROUP BY 2, 3""",
+    "k6_commit_source_partition": MQ.SQL["m1_merge_domains"],
     "k7_export_all": f"""WITH {_DOM_S}, {_DNS_S}
 SELECT 'domains' AS file, CAST(count(*) AS BIGINT) AS rows FROM s
 UNION ALL SELECT 'subdomains', CAST(count(*) AS BIGINT) FROM r

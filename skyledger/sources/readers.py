@@ -139,3 +139,37 @@ def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None) -
         w = w.partitionBy(partition_by)
     w.parquet(f"{base.rstrip('/')}/v={nxt}")
     return nxt
+
+
+# Per-source snapshot store ----------------------------------------------------
+class SnapshotStore:
+    """Snapshot kept as ``<base>/<col>=<value>/v=<n>``: a merge of one source
+    commits a new version of that source's partition only, so other sources'
+    data is never rewritten. Readers take the newest committed version of
+    every partition."""
+
+    def __init__(self, spark: SparkSession, base: str, col: str, schema: str):
+        self.spark, self.base, self.col, self.schema = spark, base.rstrip("/"), col, schema
+
+    def _partition(self, value: str) -> str:
+        return f"{self.base}/{self.col}={value}"
+
+    def read(self) -> DataFrame:
+        paths = []
+        for d in list_dirs(self.spark, self.base):
+            vs = _versions(self.spark, d)
+            if vs:
+                paths.append(vs[-1][1])
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        df = self.spark.read.option("basePath", self.base).parquet(*paths)
+        cols = [f.name for f in T.StructType.fromDDL(self.schema).fields]
+        return df.select(*cols)
+
+    def commit(self, rows: DataFrame, value: str) -> int:
+        """Commit the complete new rows of one source as its next version."""
+        part = self._partition(value)
+        cur = latest_version(self.spark, part)
+        nxt = 0 if cur is None else cur + 1
+        rows.drop(self.col).write.mode("errorifexists").parquet(f"{part}/v={nxt}")
+        return nxt
