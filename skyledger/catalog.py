@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from skyledger.operators.views import ViewColumn, ViewSpec
+from skyledger.sources.readers import CatalogEntry
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for equal results).
@@ -159,3 +160,73 @@ def with_renders(view: ViewSpec, renders: dict) -> ViewSpec:
     (``(df, field) -> Column``)."""
     cols = tuple(ViewColumn(c.title, c.data, renders.get(c.data, c.render)) for c in view.columns)
     return replace(view, columns=cols)
+
+
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference for equal results).
+# Global search sources: provider, service, name field, service label.
+# Provider labels: DNS, AWS, Azure, GCP, Cloudflare, DigitalOcean, Oracle, Alibaba.
+_SEARCH_TABLE = """
+dns domains domain Domains
+dns subdomains subdomain Subdomains
+aws ec2 name EC2 Instances
+aws eks cluster_name EKS Clusters
+aws ecs cluster_name ECS Clusters
+aws lambda function_name Lambda Functions
+aws rds db_identifier RDS Databases
+aws dynamodb table_name DynamoDB Tables
+aws s3 bucket_name S3 Buckets
+aws iam user_name IAM Users
+aws vpc vpc_name VPCs
+aws elb name Load Balancers
+aws cloudfront domain_name CloudFront
+aws sqs queue_name SQS Queues
+aws sns topic_name SNS Topics
+azure vms vm_name Virtual Machines
+azure aks cluster_name AKS Clusters
+azure appservice app_name App Service
+azure functions function_name Functions
+azure sql database_name SQL Databases
+azure storage storage_name Storage Accounts
+azure keyvault vault_name Key Vault
+gcp compute instance_name Compute Instances
+gcp gke cluster_name GKE Clusters
+gcp cloudrun service_name Cloud Run
+gcp functions function_name Cloud Functions
+gcp cloudsql instance_name Cloud SQL
+gcp gcs bucket_name Cloud Storage
+gcp pubsub topic_name Pub/Sub
+cloudflare workers worker_name Workers
+cloudflare pages project_name Pages
+cloudflare r2 bucket_name R2 Storage
+cloudflare kv namespace_name KV Namespaces
+cloudflare d1 database_name D1 Databases
+cloudflare tunnels tunnel_name Tunnels
+digitalocean droplets droplet_name Droplets
+digitalocean kubernetes cluster_name Kubernetes
+digitalocean apps app_name App Platform
+digitalocean databases db_name Databases
+digitalocean spaces space_name Spaces
+oracle compute instance_name Compute Instances
+oracle oke cluster_name OKE Clusters
+oracle database db_name Databases
+oracle objectstorage bucket_name Object Storage
+alibaba ecs instance_name ECS Instances
+alibaba ack cluster_name ACK Clusters
+alibaba rds db_name RDS Databases
+alibaba oss bucket_name OSS Buckets
+"""
+# ---------------------------------------------------------------------------
+
+
+def search_manifest(base_dir: str) -> list[CatalogEntry]:
+    """The global-search catalog over asset files under ``base_dir``: DNS
+    files sit at the top (``domains.json``), others under their provider
+    (``aws/ec2.json``); the result page is the service's view."""
+    out = []
+    for line in _SEARCH_TABLE.strip().splitlines():
+        provider, service, name_field, *label = line.split()
+        stem = service if provider == "dns" else f"{provider}/{service}"
+        out.append(CatalogEntry(provider, service, f"{base_dir.rstrip('/')}/{stem}.json", " ".join(label),
+                                f"{provider}/{service}.html", name_field))
+    return out

@@ -77,8 +77,12 @@ class Service:
 
 # U2 -------------------------------------------------------------------------
 def removed_unified(services: list[Service], provider: str, date_from: str | None = None,
-                    date_to: str | None = None) -> DataFrame:
-    """Removed rows of all services of a provider projected to one shape."""
+                    date_to: str | None = None, last_seen_fallback: bool = True) -> DataFrame:
+    """Removed rows of all services of a provider projected to one shape.
+    The removed date is ``removed_date``, else (by default) ``last_seen`` -
+    the date a merge leaves on a removed row - else 'N/A';
+    ``last_seen_fallback=False`` keeps the literal 'N/A' for rows without
+    ``removed_date``."""
     rule, label_col, name_chain, extras = REMOVED_PROJECTIONS[provider]
     parts = []
     for s in services:
@@ -87,7 +91,8 @@ def removed_unified(services: list[Service], provider: str, date_from: str | Non
         cols: list[Column] = [service_label(F.lit(s.key), rule).alias(label_col),
                               first_truthy(df, chain, "N/A").alias("name")]
         cols += [first_truthy(df, chain_e, "N/A").alias(out) for out, chain_e in extras]
-        cols.append(first_truthy(df, ["removed_date"], "N/A").alias("removed_date"))
+        dates = ["removed_date", "last_seen"] if last_seen_fallback else ["removed_date"]
+        cols.append(first_truthy(df, dates, "N/A").alias("removed_date"))
         cols.append(js_string(df, "status").alias("status"))
         parts.append(df.select(*cols))
     out = parts[0]
@@ -96,6 +101,19 @@ def removed_unified(services: list[Service], provider: str, date_from: str | Non
     return filter_removed_between(out, date_from, date_to)
 
 
+# A1 (dashboard) -------------------------------------------------------------
+def status_dashboard(services: list[Service]) -> DataFrame:
+    """Total, active and removed rows of every service (one pass each)."""
+    out = None
+    for s in services:
+        st = F.col("status") if "status" in s.df.columns else F.lit(None).cast("string")
+        part = s.df.agg(F.count(F.lit(1)).alias("total"), F.count_if(st == "active").alias("active"),
+                        F.count_if(st == "removed").alias("removed")).select(
+            F.lit(s.provider).alias("provider"), F.lit(s.key).alias("service"), "total", "active", "removed")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # U3 -------------------------------------------------------------------------
 def removed_service(df: DataFrame, view: ViewSpec, date_from: str | None = None,
                     date_to: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -74,7 +74,10 @@ QUERIES = {
     "u2_removed_azure": lambda s, sf: U.removed_unified(removed_catalog(s, sf), "azure",
                                                         "1995-06-01", "1998-12-31"),
     "u2_removed_alibaba": lambda s, sf: U.removed_unified(removed_catalog(s, sf, "alibaba"), "alibaba"),
-    "u2_removed_dns": lambda s, sf: U.removed_unified(dns_catalog(s, sf), "dns"),
+    "u2_removed_dns": lambda s, sf: U.removed_unified(dns_catalog(s, sf), "dns", "1996-06-01", "1997-06-30"),
+    "u2_removed_dns_literal": lambda s, sf: U.removed_unified(dns_catalog(s, sf), "dns",
+                                                              last_seen_fallback=False),
+    "a1_status_dashboard": lambda s, sf: U.status_dashboard(removed_catalog(s, sf)),
     "u3_removed_service": lambda s, sf: U.removed_service(removed_catalog(s, sf)[0].df, _removed_orders_view(),
                                                           "1996-01-01", "1997-12-31", keep=["_ordinal"]),
     "f7_filter_removed_between": lambda s, sf: V.filter_removed_between(
@@ -197,6 +200,23 @@ UNION ALL
 SELECT 'AD_USERS', {_chain(['instance_name'], 'N/A')}, 'N/A', {_chain(['region_id'], 'N/A')}, 'N/A', status
 FROM pa WHERE status = 'removed'""",
     "u2_removed_dns": """WITH s AS (
+  SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS registrar,
+         CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status,
+         strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen
+  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
+r AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
+         l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source,
+         CASE WHEN max(l_shipdate) < TIMESTAMP '1997-01-01' THEN 'removed' ELSE 'active' END AS status,
+         strftime(max(l_shipdate), '%Y-%m-%d') AS last_seen
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5),
+u AS (
+SELECT 'Domains' AS asset_type, domain AS name, registrar AS type, registrar AS source, last_seen AS removed_date, status
+FROM s WHERE status = 'removed'
+UNION ALL
+SELECT 'Subdomains', domain, type, source, last_seen, status FROM r WHERE status = 'removed')
+SELECT * FROM u WHERE """ + _range("removed_date", "1996-06-01", "1997-06-30"),
+    "u2_removed_dns_literal": """WITH s AS (
   SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS registrar,
          CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status
   FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
@@ -212,6 +232,14 @@ SELECT 'Subdomains', domain, type, source, 'N/A', status FROM r WHERE status = '
     "u3_removed_service": f"""WITH {_REM}
 SELECT _ordinal, name, display_name, resource_group, location, removed_date, status FROM o
 WHERE status = 'removed' AND {_range('removed_date', '1996-01-01', '1997-12-31')}""",
+    "a1_status_dashboard": f"""WITH {_REM}
+SELECT 'azure' AS provider, 'sql_servers' AS service, CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) AS active,
+  CAST(count(*) FILTER (WHERE status = 'removed') AS BIGINT) AS removed FROM o
+UNION ALL SELECT 'azure', 'storage', count(*), count(*) FILTER (WHERE status = 'active'),
+  count(*) FILTER (WHERE status = 'removed') FROM su
+UNION ALL SELECT 'azure', 'ad_users', count(*), count(*) FILTER (WHERE status = 'active'),
+  count(*) FILTER (WHERE status = 'removed') FROM pa""",
     "f7_filter_removed_between": f"""WITH {_REM}
 SELECT * FROM su WHERE {_range('removed_date', '1998-06-01', '1998-06-15')}""",
     "a6_removed_total": _AZURE + f""" SELECT CAST(count(*) AS BIGINT) AS total FROM u
