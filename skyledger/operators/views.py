@@ -247,7 +247,7 @@ def page(df: DataFrame, page_no: int, rows: int, order: list[Column] | None = No
     out = ordered.offset(start).limit(rows) if start else ordered.limit(rows)
     if position and order:
         # the page holds at most ``rows`` rows; numbering them is a tiny window
-        out = out.withColumn(position, F.row_number().over(Window.orderBy(*order)) + F.lit(start))
+        out = out.withColumn(position, (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))
     return out
 
 

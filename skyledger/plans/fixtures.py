@@ -41,12 +41,12 @@ DOM_SOURCE = "1-URGENT"
 def domain_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History before 1999: one row per (customer, priority)."""
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
-    g = o.groupBy(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("domain"),
-                  F.col("o_orderpriority").alias("registrar")).agg(
+    # group on the numeric key, build the text key after the aggregation
+    g = o.groupBy("o_custkey", F.col("o_orderpriority").alias("registrar")).agg(
         F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"),
         F.count(F.lit(1)).alias("n"))
     return g.select(
-        "domain", "registrar",
+        F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("domain"), "registrar",
         F.when(F.col("last") < F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("removed"))
         .otherwise(F.lit("active")).alias("status"),
         F.date_add(F.to_date("last"), 365).alias("expiry_date"),
@@ -86,13 +86,14 @@ def _dns_key_cols():
 def dns_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").filter(
         F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
-    g = li.groupBy(*_dns_key_cols()).agg(
+    # group on the native key columns (text keys are built after the aggregation)
+    g = li.groupBy("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_linestatus").agg(
         F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"),
         F.max("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
     return g.select(
-        "domain", "subdomain", "record_type", "data",
+        *_dns_key_cols()[:4],
         F.col("q").cast("int").alias("ttl"), F.col("n").cast("int").alias("priority"),
-        "source",
+        F.col("l_linestatus").alias("source"),
         F.when(F.col("last") < F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("removed"))
         .otherwise(F.lit("active")).alias("status"),
         F.to_date("first").alias("discovery_date"),

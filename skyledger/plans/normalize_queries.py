@@ -218,7 +218,7 @@ SQL = {
 f AS (SELECT * FROM hr WHERE domain IS NOT NULL AND domain <> ''),
 fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM f) WHERE rn = 1)
 SELECT domain, 'GoDaddy' AS registrar, 'active' AS status, {_PARSE} AS expiry_date,
-  to_json(struct_pack(domain := domain, expires := expires)) AS raw_data, {_DATES}
+  CAST(to_json(struct_pack(domain := domain, expires := expires)) AS VARCHAR) AS raw_data, {_DATES}
 FROM fs WHERE NOT {_is_test('domain')}""",
     "n2_godaddy_records": "WITH " + HOSTS + f"""
 SELECT d3 AS domain, {_sub('rname')} AS subdomain, {_rtype('rtype')} AS record_type, url AS data,

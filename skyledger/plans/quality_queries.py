@@ -51,6 +51,6 @@ UNION ALL SELECT 'gcp', 'nations', 'n_name', true, CAST(count(*) AS BIGINT),
   upper(substr(lower(regexp_replace(o_orderpriority, '^[0-9]-', '')), 1, 1))
     || substr(lower(regexp_replace(o_orderpriority, '^[0-9]-', '')), 2) AS cap,
   regexp_replace(upper(lower(o_orderstatus) || '_x_y'), '^([^_]*)_', '\1 ') AS up FROM orders""",
-    "x15_raw_json": """SELECT c_custkey, to_json(struct_pack(c_custkey := c_custkey, c_name := c_name,
-  c_mktsegment := c_mktsegment)) AS raw FROM customer""",
+    "x15_raw_json": """SELECT c_custkey, CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name,
+  c_mktsegment := c_mktsegment)) AS VARCHAR) AS raw FROM customer""",
 }

@@ -128,12 +128,18 @@ def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
     return reader.parquet(vs[version])
 
 
-def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None) -> int:
+def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None,
+                    sort_within: list[str] | None = ("domain",)) -> int:
     """Write a new version directory; readers switch when Spark's commit
-    marker appears, and the directory being read is never overwritten."""
+    marker appears, and the directory being read is never overwritten.
+    Rows are sorted by ``sort_within`` inside each file (no shuffle), so
+    Parquet min/max statistics let lookups by domain skip row groups."""
     spark = df.sparkSession
     cur = latest_version(spark, base)
     nxt = 0 if cur is None else cur + 1
+    keys = [c for c in (sort_within or []) if c in df.columns]
+    if keys:
+        df = df.sortWithinPartitions(*keys)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -171,5 +177,8 @@ class SnapshotStore:
         part = self._partition(value)
         cur = latest_version(self.spark, part)
         nxt = 0 if cur is None else cur + 1
-        rows.drop(self.col).write.mode("errorifexists").parquet(f"{part}/v={nxt}")
+        rows = rows.drop(self.col)
+        if "domain" in rows.columns:
+            rows = rows.sortWithinPartitions("domain")
+        rows.write.mode("errorifexists").parquet(f"{part}/v={nxt}")
         return nxt
