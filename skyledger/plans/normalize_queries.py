@@ -41,23 +41,24 @@ def host_rows(spark: SparkSession, sf: str) -> DataFrame:
                     (k * F.lit(1.5)).alias("ttl"), F.when(k % 2 == 0, k % 10).alias("priority"))
 
 
-def _doc(group_cols, order_col, fields):
-    """One JSON array document per group, elements in ``order_col`` order."""
+def _doc(order_col, fields):
+    """Aggregate building one JSON array document per group (a bounded page),
+    elements in ``order_col`` order."""
     item = F.struct(F.col(order_col).alias("o"), F.struct(*fields).alias("e"))
-    return group_cols, F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]))
+    return F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]))
 
 
 def godaddy_domain_docs(spark, sf) -> DataFrame:
     h = host_rows(spark, sf)
-    g, js = _doc(None, "page_id", ["domain", "expires"])
+    js = _doc("page_id", ["domain", "expires"])
     return (h.groupBy((F.col("page_id") / 50).cast("long").alias("_doc"))
             .agg(js.alias("value")))
 
 
 def godaddy_record_docs(spark, sf) -> DataFrame:
     h = host_rows(spark, sf).filter(F.col("d3") != "")
-    g, js = _doc(None, "page_id", [F.col("rname").alias("name"), F.col("rtype").alias("type"),
-                                   F.col("url").alias("data"), "ttl", "priority"])
+    js = _doc("page_id", [F.col("rname").alias("name"), F.col("rtype").alias("type"),
+                          F.col("url").alias("data"), "ttl", "priority"])
     return (h.groupBy(F.col("d3").alias("domain"), (F.col("page_id") / 100).cast("long").alias("_doc"))
             .agg(js.alias("value")))
 

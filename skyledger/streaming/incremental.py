@@ -69,7 +69,7 @@ class IncrementalSync:
             result.joined.unpersist()
 
     def start(self, spark: SparkSession, available_now: bool = True, processing_time: str | None = None):
-        stream = (spark.readStream.format("text").load(self.landed_dir)
+        stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(self.landed_dir)
                   .select(F.col("_metadata.file_path").alias("file"),
                           F.col("_metadata.file_block_start").alias("block"), "value"))
         w = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", self.checkpoint)
