@@ -212,6 +212,18 @@ def merge_dns_records(snapshot: DataFrame, batch: DataFrame, source: str, as_of,
                   ["ttl", "priority", "raw_data"], mode, scope, DNS_COLUMNS)
 
 
+# M3 / M4 --------------------------------------------------------------------
+def merge_stats(result: MergeResult) -> DataFrame:
+    """M3: one row of added / updated / removed / reactivated."""
+    return result.stats
+
+
+def change_log(result: MergeResult) -> DataFrame:
+    """M4: key and change kind (added, updated, reactivated, removed,
+    unchanged) of every row of the merged source."""
+    return result.changes
+
+
 # J1 -------------------------------------------------------------------------
 def match_batch(snapshot: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Batch-to-snapshot match by natural key: every key with side flags."""

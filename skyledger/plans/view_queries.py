@@ -111,6 +111,10 @@ QUERIES = {
     "p8_badge_type": _render(lambda df: R.badge_type(df, "segment")),
     "p9_with_unit": _render(lambda df: R.with_unit(df, "node_count", "ms", "Never")),
     "p10_tags_text": _render(lambda df: R.tags_text(df, "tags")),
+    "p10_explode_tags": lambda s, sf: R.explode_tags(customers(s, sf)).select("_ordinal", "tag_key", "tag_value"),
+    "e2_table_view": lambda s, sf: V.table_view(customers(s, sf), CUSTOMER_VIEW, account="NATION_3", search="a",
+                                                column_filters={"segment": "o"}, sort_col=3, direction="desc",
+                                                page_no=0, rows=50),
     "p11_provider_code": _render(lambda df: R.provider_code("provider")),
     "p12_row_class": _render(lambda df: R.row_class(df)),
 }
@@ -234,6 +238,13 @@ SELECT CAST(CASE WHEN total > 0 THEN 151 ELSE 0 END AS BIGINT) AS from_row,
     "p9_with_unit": _render_sql(
         "CASE WHEN node_count <> 0 THEN CAST(node_count AS VARCHAR) || 'ms' ELSE 'Never' END"),
     "p10_tags_text": _render_sql("'segment: ' || segment || ' nation: ' || account"),
+    "p10_explode_tags": f"""WITH {CUST_CTE} SELECT _ordinal, 'segment' AS tag_key, segment AS tag_value FROM cust
+UNION ALL SELECT _ordinal, 'nation', account FROM cust""",
+    "e2_table_view": f"""WITH {CUST_CTE}, k AS (SELECT *, {_keys_sql(BAL)} FROM cust
+  WHERE status IS DISTINCT FROM 'removed' AND account = 'NATION_3' AND contains({_ROW_TEXT}, 'a')
+    AND contains(lower({CELL['segment']}), 'o')),
+p AS (SELECT *, row_number() OVER (ORDER BY {_order_sql('desc')}) AS pos FROM k)
+SELECT {PROJ} FROM p WHERE pos <= 50""",
     "p11_provider_code": _render_sql(
         "CASE lower(provider) WHEN 'aws' THEN 'AWS' WHEN 'azure' THEN 'AZ' WHEN 'gcp' THEN 'GCP' "
         "WHEN 'godaddy' THEN 'GD' WHEN 'cloudflare' THEN 'CF' ELSE provider END"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.operators.runs import read_metadata  # noqa: F401  (S4, re-exported)
 from skyledger.operators.unify import Service
 
 
