@@ -49,19 +49,20 @@ def _iso(c):
 
 
 def metadata_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """One metadata document per provider (event type); its services are the
-    users (bounded by the service catalog, not by data volume)."""
+    """Metadata as JSON lines, one document per (provider, service) entry in
+    the nesting of the metadata file (provider -> services -> service); no
+    grouping gathers a provider's services into one row."""
     e = X.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     svc = e.groupBy("event_type", "user_id").agg(F.max("ts").alias("lu"), F.count(F.lit(1)).alias("n"))
-    entry = F.struct(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("k"),
-                     F.struct(_iso(F.col("lu")).alias("last_updated"), F.col("n").alias("count")).alias("v"))
-    prov = svc.groupBy("event_type").agg(F.map_from_entries(F.collect_list(entry)).alias("services"),
-                                         F.max("lu").alias("plu"))
+    prov = e.groupBy("event_type").agg(F.max("ts").alias("plu"))
+    rows = svc.join(prov, "event_type")
     name = F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 100))
+    services = F.create_map(F.concat(F.lit("c"), F.col("user_id").cast("string")),
+                            F.struct(_iso(F.col("lu")).alias("last_updated"), F.col("n").alias("count")))
     body = F.struct(name.alias("name"), F.lit("events").alias("provider"),
                     schedule_of(F.col("event_type")).alias("schedule"),
-                    _iso(F.col("plu")).alias("last_updated"), F.col("services").alias("services"))
-    return prov.select(F.to_json(F.struct(F.create_map(F.col("event_type"), body).alias("services"),
+                    _iso(F.col("plu")).alias("last_updated"), services.alias("services"))
+    return rows.select(F.to_json(F.struct(F.create_map(F.col("event_type"), body).alias("services"),
                                           _iso(F.col("plu")).alias("last_updated"))).alias("value"))
 
 

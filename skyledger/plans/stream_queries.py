@@ -1,8 +1,8 @@
 """Registered incremental (Structured Streaming) query.
 
-GoDaddy domain pages derived from ``pages`` land as files in two drops; an
-``AvailableNow`` stream merges every new drop into the domain snapshot.
-The result is the final committed snapshot.
+GoDaddy domain pages derived from ``pages`` land as files on two days (the
+whole fetch each day); an ``AvailableNow`` stream merges every new drop into
+the domain snapshot. The result is the final committed snapshot.
 """
 
 from __future__ import annotations
@@ -13,23 +13,25 @@ from pyspark.sql import functions as F
 
 from skyledger.plans import fixtures as X
 from skyledger.plans.normalize_queries import AS_OF, SQL as NSQL, godaddy_domain_docs
+
+NEXT_DAY = "2024-02-02"
 from skyledger.session import scratch_path
 from skyledger.streaming.incremental import IncrementalSync
 
 
 def st1_incremental_sync(spark, sf):
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    day = {"as_of": AS_OF}
     job = IncrementalSync(landed_dir=f"{base}/landed", snapshot_base=f"{base}/snapshot",
-                          run_log_dir=f"{base}/runs", checkpoint=f"{base}/ckpt", as_of=lambda: AS_OF)
-    docs = godaddy_domain_docs(spark, sf).orderBy("_doc")
-    # two drops: the first half of the pages, then all pages again (a rerun the same day)
-    half = docs.filter(F.col("_doc") % 2 == 0)
-    half.select("value").write.text(f"{base}/landed/drop=1")
-    q = job.start(spark)
-    q.awaitTermination()
-    docs.select("value").write.text(f"{base}/landed/drop=2")
-    q = job.start(spark)
-    q.awaitTermination()
+                          run_log_dir=f"{base}/runs", checkpoint=f"{base}/ckpt", as_of=lambda: day["as_of"])
+    docs = godaddy_domain_docs(spark, sf).orderBy("_doc").select("value")
+    # day 1: the full fetch lands and is merged
+    docs.write.text(f"{base}/landed/day1")
+    job.start(spark).awaitTermination()
+    # day 2: the next full fetch lands; only the new files are read
+    day["as_of"] = NEXT_DAY
+    docs.write.text(f"{base}/landed/day2")
+    job.start(spark).awaitTermination()
     snap = job.snapshot(spark)
     return X.finalize(snap.select("domain", "registrar", "status", "discovery_date", "last_seen"))
 
@@ -38,6 +40,6 @@ QUERIES = {"st1_incremental_sync": st1_incremental_sync}
 
 _N1 = NSQL["n1_godaddy_domains"]
 SQL = {
-    "st1_incremental_sync": "SELECT domain, registrar, status, discovery_date, last_seen FROM ("
+    "st1_incremental_sync": "SELECT domain, registrar, status, discovery_date, '2024-02-02' AS last_seen FROM ("
                             + _N1 + ")",
 }

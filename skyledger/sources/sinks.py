@@ -69,15 +69,17 @@ def update_metadata(meta: DataFrame, domains: DataFrame, dns: DataFrame, now: st
 
 
 def metadata_documents(flat: DataFrame, now: str) -> DataFrame:
-    """Flat metadata -> one JSON document per provider (same nesting as the
-    single metadata file, split so no task holds the whole catalog)."""
-    svc = F.struct(F.col("service").alias("k"), F.struct("last_updated", "count").alias("v"))
-    g = flat.groupBy("provider_key", "name", "provider", "schedule", "provider_last_updated").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("service").isNotNull(), svc))).alias("services"))
+    """Flat metadata -> JSON lines in the nesting of the metadata file
+    (provider -> services -> service), one document per service entry (a
+    provider without services keeps one document with an empty map), so no
+    task ever holds a provider's whole service list."""
+    svc = F.when(F.col("service").isNotNull(), F.create_map(
+        F.col("service"), F.struct("last_updated", "count"))).otherwise(
+        F.create_map().cast("map<string,struct<last_updated:string,count:bigint>>"))
     body = F.struct("name", "provider", "schedule", F.col("provider_last_updated").alias("last_updated"),
-                    "services")
-    return g.select(F.to_json(F.struct(F.create_map(F.col("provider_key"), body).alias("services"),
-                                       F.lit(now).alias("last_updated"))).alias("value"))
+                    svc.alias("services"))
+    return flat.select(F.to_json(F.struct(F.create_map(F.col("provider_key"), body).alias("services"),
+                                          F.lit(now).alias("last_updated"))).alias("value"))
 
 
 def export_metadata(flat: DataFrame, path: str, now: str) -> None:
