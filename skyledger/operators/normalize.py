@@ -3,6 +3,8 @@
 Input is landed response text (one JSON document per row, as read by
 ``sources.read_landed``). Every element keeps its raw JSON as ``raw_data``
 and an ordinal ``(_doc, _pos)`` so first-seen rules are deterministic.
+Fields are read through a Variant so their JSON type is checked the way the
+collectors assert it (a number where a string is expected counts as absent).
 """
 
 from __future__ import annotations
@@ -30,14 +32,27 @@ def _elements(docs: DataFrame, value: str = "value", doc: str = "_doc") -> DataF
         F.col("raw_data").isNotNull())
 
 
-def _field(raw: str, name: str, dtype: str = "string"):
-    return F.get_json_object(F.col(raw), f"$.{name}").try_cast(dtype) if dtype != "string" else \
-        F.get_json_object(F.col(raw), f"$.{name}")
+def _parsed(df: DataFrame) -> DataFrame:
+    """Parse each element's JSON once into a Variant (``_v``) so field types
+    are known: the collectors accept a field only when its JSON type is the
+    expected one."""
+    return df.withColumn("_v", F.try_parse_json(F.col("raw_data")))
 
 
-def _as_int(raw: str, name: str):
-    """Go ``int(v.(float64))``: numbers truncate, anything else is 0."""
-    v = F.get_json_object(F.col(raw), f"$.{name}").try_cast("double")
+def _json_type(name: str):
+    return F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{name}", "variant"))
+
+
+def _field(name: str):
+    """Go ``v.(string)``: the value when it is a JSON string, else null."""
+    return F.when(_json_type(name) == "STRING", F.try_variant_get(F.col("_v"), f"$.{name}", "string"))
+
+
+def _as_int(name: str):
+    """Go ``int(v.(float64))``: JSON numbers truncate, anything else is 0."""
+    t = _json_type(name)
+    numeric = t.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | t.startswith("DECIMAL")
+    v = F.when(numeric, F.try_variant_get(F.col("_v"), f"$.{name}", "double"))
     return F.coalesce(v.try_cast("long").cast("int"), F.lit(0))
 
 
@@ -56,9 +71,9 @@ def normalize_godaddy_domains(docs: DataFrame, as_of) -> DataFrame:
     """Domain pages (JSON arrays) -> domain rows. Empty or missing names are
     dropped, the first occurrence of a name wins (document order, then
     position), test domains are dropped, ``expires`` must be RFC 3339."""
-    el = _elements(docs)
-    el = el.select("_doc", "_pos", "raw_data", _field("raw_data", "domain").alias("domain"),
-                   _field("raw_data", "expires").alias("expires"))
+    el = _parsed(_elements(docs))
+    el = el.select("_doc", "_pos", "raw_data", _field("domain").alias("domain"),
+                   _field("expires").alias("expires"))
     el = el.filter(F.col("domain").isNotNull() & (F.col("domain") != ""))
     el = el.withColumn("_ord", F.struct("_doc", "_pos"))
     first = dedupe_first(el.select("domain", "expires", "raw_data", "_ord"), ["domain"], "_ord")
@@ -72,13 +87,13 @@ def normalize_godaddy_domains(docs: DataFrame, as_of) -> DataFrame:
 # N2 -------------------------------------------------------------------------
 def normalize_godaddy_records(docs: DataFrame, as_of) -> DataFrame:
     """Record pages of one domain each (``domain`` column + JSON array)."""
-    el = _elements(docs)
+    el = _parsed(_elements(docs))
     out = el.select(
         "domain",
-        normalize_subdomain(F.coalesce(_field("raw_data", "name"), F.lit(""))).alias("subdomain"),
-        normalize_record_type(F.coalesce(_field("raw_data", "type"), F.lit(""))).alias("record_type"),
-        F.coalesce(_field("raw_data", "data"), F.lit("")).alias("data"),
-        _as_int("raw_data", "ttl").alias("ttl"), _as_int("raw_data", "priority").alias("priority"),
+        normalize_subdomain(F.coalesce(_field("name"), F.lit(""))).alias("subdomain"),
+        normalize_record_type(F.coalesce(_field("type"), F.lit(""))).alias("record_type"),
+        F.coalesce(_field("data"), F.lit("")).alias("data"),
+        _as_int("ttl").alias("ttl"), _as_int("priority").alias("priority"),
         F.lit(GODADDY).alias("source"), F.lit("active").alias("status"), "raw_data",
         F.struct("_doc", "_pos").alias("_ordinal"))
     return _dated(out, as_of)
@@ -112,9 +127,9 @@ def _accepted(docs: DataFrame) -> DataFrame:
 
 def normalize_cloudflare_zones(docs: DataFrame, as_of) -> DataFrame:
     """Zone envelopes -> zone rows (``zone_id`` kept for the record join)."""
-    el = _accepted(docs)
-    z = el.select(F.coalesce(_field("raw_data", "id"), F.lit("")).alias("zone_id"),
-                  F.coalesce(_field("raw_data", "name"), F.lit("")).alias("domain"), "raw_data",
+    el = _parsed(_accepted(docs))
+    z = el.select(F.coalesce(_field("id"), F.lit("")).alias("zone_id"),
+                  F.coalesce(_field("name"), F.lit("")).alias("domain"), "raw_data",
                   F.struct("_doc", "_pos").alias("_ordinal"))
     z = z.filter((F.col("zone_id") != "") & (F.col("domain") != ""))
     z = drop_test_domains(z)
@@ -136,15 +151,13 @@ def attach_zone(records: DataFrame, zones: DataFrame) -> DataFrame:
 def normalize_cloudflare_records(docs: DataFrame, zones: DataFrame, as_of) -> DataFrame:
     """Record envelopes of one zone each (``zone_id`` column) -> record rows,
     host names made relative to the zone."""
-    el = _accepted(docs)
-    el = attach_zone(el, zones)
+    el = _parsed(attach_zone(_accepted(docs), zones))
     out = el.select(
         F.col("zone_name").alias("domain"),
-        extract_subdomain(F.coalesce(_field("raw_data", "name"), F.lit("")), F.col("zone_name"))
-        .alias("subdomain"),
-        normalize_record_type(F.coalesce(_field("raw_data", "type"), F.lit(""))).alias("record_type"),
-        F.coalesce(_field("raw_data", "content"), F.lit("")).alias("data"),
-        _as_int("raw_data", "ttl").alias("ttl"), _as_int("raw_data", "priority").alias("priority"),
+        extract_subdomain(F.coalesce(_field("name"), F.lit("")), F.col("zone_name")).alias("subdomain"),
+        normalize_record_type(F.coalesce(_field("type"), F.lit(""))).alias("record_type"),
+        F.coalesce(_field("content"), F.lit("")).alias("data"),
+        _as_int("ttl").alias("ttl"), _as_int("priority").alias("priority"),
         F.lit(CLOUDFLARE).alias("source"), F.lit("active").alias("status"), "raw_data",
         F.struct("_doc", "_pos").alias("_ordinal"))
     return _dated(out, as_of)

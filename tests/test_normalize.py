@@ -46,3 +46,13 @@ def test_cloudflare_zones_records_errors(spark):
     recs = [tuple(r) for r in N.normalize_cloudflare_records(rdocs, zones, "2024-02-01")
             .select("domain", "subdomain", "record_type").collect()]
     assert sorted(recs) == [("a.io", "", "A"), ("a.io", "far.net", "A"), ("a.io", "www", "CNAME")]
+
+
+def test_json_types_are_asserted(spark):
+    pages = [[{"domain": 123}, {"domain": "a.io", "expires": 5}, {"domain": ["x"]}]]
+    out = [r["domain"] for r in N.normalize_godaddy_domains(_docs(spark, pages), "2024-02-01").collect()]
+    assert out == ["a.io"]
+    docs = _docs(spark, [[{"name": 7, "type": "a", "data": "x", "ttl": "300", "priority": 10.9}]])
+    docs = docs.selectExpr("'a.io' AS domain", "_doc", "value")
+    r = N.normalize_godaddy_records(docs, "2024-02-01").first()
+    assert (r["subdomain"], r["ttl"], r["priority"]) == ("", 0, 10)
