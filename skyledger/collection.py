@@ -50,9 +50,12 @@ def _batches(provider: str, domain_docs: DataFrame, record_docs: DataFrame, as_o
 
 def run_collection(spark: SparkSession, stores: CollectionStores, provider: str, domain_docs: DataFrame,
                    record_docs: DataFrame, as_of: str, now: str, run_id: str, event_seq: int,
-                   trigger: str = "scheduled", checked_domains: DataFrame | None = None) -> DataFrame:
+                   trigger: str = "scheduled", checked_domains: DataFrame | None = None,
+                   version: int | None = None) -> DataFrame:
     """Run one collection of ``provider`` from its landed pages and return
-    the closing run-log event (one row)."""
+    the closing run-log event (one row). With ``version`` the merged
+    partitions are committed as that version, merging from older versions
+    only, so running the same collection again is idempotent."""
     collector = provider.lower()
     log0 = spark.createDataFrame([], RUN_LOG_DDL)
     _append(R.open_run(log0, run_id, collector, "dns", trigger, now, event_seq), stores.run_log_dir)
@@ -61,15 +64,19 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
         dom = dom.select("domain", "expiry_date", "raw_data", "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
         rec = rec.select("domain", "subdomain", "record_type", "data", "ttl", "priority", "raw_data",
                          "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
-        parts = []
+        parts, merges = [], []
         if not dom.isEmpty():
-            m = M.merge_domains(stores.domains.read(), dom, provider, as_of, now).persist()
-            stores.domains.commit(m.source_rows, provider)
+            m = M.merge_domains(stores.domains.read(before=version, only=provider), dom, provider, as_of,
+                                now).persist()
+            stores.domains.commit(m.source_rows, provider, version)
             parts.append(m.stats)
+            merges.append(m)
         if not rec.isEmpty():
-            m = M.merge_dns_records(stores.records.read(), rec, provider, as_of, now, checked_domains).persist()
-            stores.records.commit(m.source_rows, provider)
+            m = M.merge_dns_records(stores.records.read(before=version, only=provider), rec, provider, as_of, now,
+                                    checked_domains).persist()
+            stores.records.commit(m.source_rows, provider, version)
             parts.append(m.stats)
+            merges.append(m)
         found = dom.agg(F.count(F.lit(1)).alias("a")).crossJoin(rec.agg(F.count(F.lit(1)).alias("b")))
         zero = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in
                                        ["added", "updated", "removed", "reactivated"]])
@@ -88,6 +95,8 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
             F.lit(None).cast("string").alias("error_message"), F.lit(trigger).alias("trigger_type"),
             F.lit(event_seq + 1).cast("long").alias("event_seq"))
         _append(closing, stores.run_log_dir)
+        for m in merges:
+            m.joined.unpersist()
         dom.unpersist()
         rec.unpersist()
     except Exception as exc:  # the failure is recorded as the run's state

@@ -1,8 +1,9 @@
-"""Registered incremental (Structured Streaming) query.
+"""Registered incremental (Structured Streaming) queries.
 
-GoDaddy domain pages derived from ``pages`` land as files on two days (the
-whole fetch each day); an ``AvailableNow`` stream merges every new drop into
-the domain snapshot. The result is the final committed snapshot.
+GoDaddy domain and record pages derived from ``pages`` land as envelope
+lines on two days (the whole fetch each day); an ``AvailableNow`` stream runs
+one collection per micro-batch. The results are the final committed domain
+and record snapshots.
 """
 
 from __future__ import annotations
@@ -11,35 +12,54 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skyledger.collection import CollectionStores
 from skyledger.plans import fixtures as X
-from skyledger.plans.normalize_queries import AS_OF, SQL as NSQL, godaddy_domain_docs
+from skyledger.plans.normalize_queries import (AS_OF, HOSTS, SQL as NSQL, _rtype, _sub, godaddy_domain_docs,
+                                               godaddy_record_docs)
+from skyledger.schemas import DNS_DDL, DOMAINS_DDL
+from skyledger.session import scratch_path
+from skyledger.sources.readers import SnapshotStore
+from skyledger.streaming.incremental import IncrementalSync, envelope_lines
 
 NEXT_DAY = "2024-02-02"
-from skyledger.session import scratch_path
-from skyledger.streaming.incremental import IncrementalSync
 
 
-def st1_incremental_sync(spark, sf):
+def _run_two_days(spark, sf) -> IncrementalSync:
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
     day = {"as_of": AS_OF}
-    job = IncrementalSync(landed_dir=f"{base}/landed", snapshot_base=f"{base}/snapshot",
-                          run_log_dir=f"{base}/runs", checkpoint=f"{base}/ckpt", as_of=lambda: day["as_of"])
-    docs = godaddy_domain_docs(spark, sf).orderBy("_doc").select("value")
-    # day 1: the full fetch lands and is merged
-    docs.write.text(f"{base}/landed/day1")
+    stores = CollectionStores(SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL),
+                              SnapshotStore(spark, f"{base}/records", "source", DNS_DDL), f"{base}/runs")
+    job = IncrementalSync(f"{base}/landed", stores, f"{base}/ckpt", as_of=lambda: day["as_of"])
+    lines = envelope_lines(godaddy_domain_docs(spark, sf).orderBy("_doc"), "domains").unionByName(
+        envelope_lines(godaddy_record_docs(spark, sf), "records"))
+    lines.write.text(f"{base}/landed/day1")          # day 1: the full fetch lands and is merged
     job.start(spark).awaitTermination()
-    # day 2: the next full fetch lands; only the new files are read
     day["as_of"] = NEXT_DAY
-    docs.write.text(f"{base}/landed/day2")
+    lines.write.text(f"{base}/landed/day2")          # day 2: the next full fetch; only new files are read
     job.start(spark).awaitTermination()
-    snap = job.snapshot(spark)
-    return X.finalize(snap.select("domain", "registrar", "status", "discovery_date", "last_seen"))
+    return job
+
+
+def st1_incremental_sync(spark, sf):
+    job = _run_two_days(spark, sf)
+    return X.finalize(job.domains().select("domain", "registrar", "status", "discovery_date", "last_seen"))
+
+
+def st2_incremental_records(spark, sf):
+    job = _run_two_days(spark, sf)
+    runs = job.run_log(spark).agg(F.count(F.lit(1)).alias("runs"))
+    return X.finalize(job.records().select("domain", "subdomain", "record_type", "data", "status",
+                                           "discovery_date", "last_seen")).crossJoin(runs)
 
 
-QUERIES = {"st1_incremental_sync": st1_incremental_sync}
+QUERIES = {"st1_incremental_sync": st1_incremental_sync, "st2_incremental_records": st2_incremental_records}
 
 _N1 = NSQL["n1_godaddy_domains"]
 SQL = {
     "st1_incremental_sync": "SELECT domain, registrar, status, discovery_date, '2024-02-02' AS last_seen FROM ("
                             + _N1 + ")",
+    "st2_incremental_records": "WITH " + HOSTS + f"""
+SELECT DISTINCT d3 AS domain, {_sub('rname')} AS subdomain, {_rtype('rtype')} AS record_type, url AS data,
+  'active' AS status, '2024-02-01' AS discovery_date, '2024-02-02' AS last_seen, CAST(2 AS BIGINT) AS runs
+FROM hr WHERE d3 <> ''""",
 }

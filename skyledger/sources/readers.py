@@ -161,10 +161,14 @@ class SnapshotStore:
     def _partition(self, value: str) -> str:
         return f"{self.base}/{self.col}={value}"
 
-    def read(self) -> DataFrame:
+    def read(self, before: int | None = None, only: str | None = None) -> DataFrame:
+        """Newest committed version of every partition, or of partition
+        ``only`` (below ``before`` when given, so a replayed commit never
+        reads its own output)."""
         paths = []
-        for d in list_dirs(self.spark, self.base):
-            vs = _versions(self.spark, d)
+        dirs = [self._partition(only)] if only is not None else list_dirs(self.spark, self.base)
+        for d in dirs:
+            vs = [v for v in _versions(self.spark, d) if before is None or v[0] < before]
             if vs:
                 paths.append(vs[-1][1])
         if not paths:
@@ -173,13 +177,17 @@ class SnapshotStore:
         cols = [f.name for f in T.StructType.fromDDL(self.schema).fields]
         return df.select(*cols)
 
-    def commit(self, rows: DataFrame, value: str) -> int:
-        """Commit the complete new rows of one source as its next version."""
+    def commit(self, rows: DataFrame, value: str, version: int | None = None) -> int:
+        """Commit the complete new rows of one source as its next version, or
+        as ``version`` (rewritten when it exists: replays are idempotent)."""
         part = self._partition(value)
-        cur = latest_version(self.spark, part)
-        nxt = 0 if cur is None else cur + 1
+        if version is None:
+            cur = latest_version(self.spark, part)
+            nxt, mode = (0 if cur is None else cur + 1), "errorifexists"
+        else:
+            nxt, mode = version, "overwrite"
         rows = rows.drop(self.col)
         if "domain" in rows.columns:
             rows = rows.sortWithinPartitions("domain")
-        rows.write.mode("errorifexists").parquet(f"{part}/v={nxt}")
+        rows.write.mode(mode).parquet(f"{part}/v={nxt}")
         return nxt

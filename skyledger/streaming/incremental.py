@@ -1,13 +1,18 @@
 """Incremental collection with Structured Streaming.
 
-The reference runs a full fetch on a cron and merges it. Here landed
-response files are a file stream; each micro-batch (``Trigger.AvailableNow``
-for scheduled runs, or a processing-time trigger) is normalised, merged
-into the current snapshot and committed as a new snapshot version, and the
-run is logged. Progress lives in the stream checkpoint, so a restarted job
-resumes after the last committed batch; a replayed batch rewrites its own
-version directory (the version number is derived from the batch id), so
-replays are idempotent.
+The reference runs a full fetch on a cron and merges it. Here a fetcher lands
+provider responses as JSON lines, one envelope per response page:
+
+    {"kind": "domains", "body": <GoDaddy domain page or Cloudflare zone envelope>}
+    {"kind": "records", "domain": "a.io", "zone_id": "...", "body": <record page / envelope>}
+
+The landed folder is a file stream; each micro-batch (``Trigger.AvailableNow``
+for scheduled runs, or a processing-time trigger) is one collection run:
+normalise, merge domains and records, commit the merged source partitions,
+log the run (``collection.run_collection``). Progress lives in the stream
+checkpoint, so a restarted job resumes after the last committed batch. Store
+versions are numbered by batch id and a batch merges only from older
+versions, so a replayed batch rewrites exactly what it wrote before.
 """
 
 from __future__ import annotations
@@ -18,55 +23,35 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.operators import merge as M
+from skyledger.collection import CollectionStores, read_run_log, run_collection
 from skyledger.operators import normalize as N
 from skyledger.operators import runs as R
-from skyledger.schemas import DOMAINS_DDL, RUN_LOG_DDL
-from skyledger.sources import readers as S
+
+ENVELOPE = "kind STRING, domain STRING, zone_id STRING, body STRING"
 
 
 @dataclass
 class IncrementalSync:
-    landed_dir: str          # where a fetcher drops GoDaddy domain pages (one JSON array per line)
-    snapshot_base: str       # versioned domain snapshot
-    run_log_dir: str         # append-only run log (Parquet)
-    checkpoint: str          # stream checkpoint folder (shared storage)
-    source: str = N.GODADDY
-    as_of: Callable[[], str] | None = None   # date of a batch; default: the batch's processing date
-
-    def _batch(self, docs: DataFrame, epoch_id: int) -> None:
-        spark = docs.sparkSession
-        if docs.isEmpty():
+    landed_dir: str                  # folder a fetcher drops envelope lines into
+    stores: CollectionStores         # per-source domain / record stores and the run log
+    checkpoint: str                  # stream checkpoint folder (shared storage)
+    provider: str = N.GODADDY
+    as_of: Callable[[], str] | None = None   # date of a batch; default: the processing date
+
+    def _batch(self, lines: DataFrame, epoch_id: int) -> None:
+        spark = lines.sparkSession
+        if lines.isEmpty():
             return
         as_of = self.as_of() if self.as_of else spark.range(1).select(
             F.current_date().cast("string")).first()[0]
-        now = f"{as_of} 00:00:00"
-        docs = docs.select(F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
-                           .alias("_doc"), "value")
-        batch = N.normalize_godaddy_domains(docs, as_of).select(
-            "domain", "expiry_date", "raw_data", "_ordinal")
-        version = epoch_id + 1
-        # a replayed batch must not read the version it is about to rewrite
-        current = S.read_snapshot(spark, self.snapshot_base, schema=DOMAINS_DDL, before=version)
-        result = M.merge_domains(current, batch, self.source, as_of, now).persist()
-        try:
-            target = f"{self.snapshot_base.rstrip('/')}/v={version}"
-            result.snapshot.write.mode("overwrite").parquet(target)
-            stats = result.stats
-            found = batch.agg(F.count(F.lit(1)).cast("int").alias("records_found"))
-            run = found.crossJoin(stats).select(
-                F.lit(f"{self.source}-{epoch_id}").alias("run_id"),
-                F.lit(self.source.lower()).alias("collector_name"), F.lit("domains").alias("service_type"),
-                F.lit("completed").alias("status"), F.lit(now).cast("timestamp").alias("started_at"),
-                F.current_timestamp().alias("completed_at"), "records_found",
-                F.col("added").cast("int").alias("records_added"),
-                F.col("updated").cast("int").alias("records_updated"),
-                F.col("removed").cast("int").alias("records_removed"),
-                F.lit(None).cast("string").alias("error_message"), F.lit("scheduled").alias("trigger_type"),
-                F.lit(epoch_id).cast("long").alias("event_seq"))
-            run.write.mode("append").parquet(self.run_log_dir)
-        finally:
-            result.joined.unpersist()
+        env = lines.select(F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("_doc"),
+                           F.from_json("value", ENVELOPE).alias("e"))
+        domain_docs = env.filter(F.col("e.kind") == "domains").select("_doc", F.col("e.body").alias("value"))
+        record_docs = env.filter(F.col("e.kind") == "records").select(
+            F.col("e.domain").alias("domain"), F.col("e.zone_id").alias("zone_id"), "_doc",
+            F.col("e.body").alias("value"))
+        run_collection(spark, self.stores, self.provider, domain_docs, record_docs, as_of, f"{as_of} 00:00:00",
+                       f"{self.provider.lower()}-{epoch_id}", 2 * epoch_id, version=epoch_id + 1)
 
     def start(self, spark: SparkSession, available_now: bool = True, processing_time: str | None = None):
         stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(self.landed_dir)
@@ -79,10 +64,22 @@ class IncrementalSync:
             w = w.trigger(processingTime=processing_time)
         return w.start()
 
-    def snapshot(self, spark: SparkSession) -> DataFrame:
-        return S.read_snapshot(spark, self.snapshot_base, schema=DOMAINS_DDL)
+    def domains(self) -> DataFrame:
+        return self.stores.domains.read()
+
+    def records(self) -> DataFrame:
+        return self.stores.records.read()
 
     def run_log(self, spark: SparkSession) -> DataFrame:
-        if not S.path_exists(spark, self.run_log_dir):
-            return spark.createDataFrame([], RUN_LOG_DDL)
-        return R.current_runs(spark.read.parquet(self.run_log_dir))
+        return R.current_runs(read_run_log(spark, self.stores.run_log_dir))
+
+
+def envelope_lines(docs: DataFrame, kind: str) -> DataFrame:
+    """Wrap landed pages (``value`` = provider JSON, optional ``domain`` /
+    ``zone_id``) as envelope lines for the landed folder."""
+    cols = [F.lit(kind).alias("kind")]
+    for c in ("domain", "zone_id"):
+        if c in docs.columns:
+            cols.append(F.col(c))
+    cols.append(F.parse_json("value").alias("body"))
+    return docs.select(F.to_json(F.struct(*cols)).alias("value"))

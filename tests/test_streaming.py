@@ -7,44 +7,55 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from skyledger.collection import CollectionStores
+from skyledger.schemas import DNS_DDL, DOMAINS_DDL
 from skyledger.sources import readers as S
 from skyledger.streaming.incremental import IncrementalSync
 
 
-def _drop(path, pages):
+def _drop(path, pages, records=()):
     os.makedirs(path, exist_ok=True)
     with open(os.path.join(path, "part-0.txt"), "w") as f:
         for p in pages:
-            f.write(json.dumps(p) + "\n")
+            f.write(json.dumps({"kind": "domains", "body": p}) + "\n")
+        for domain, p in records:
+            f.write(json.dumps({"kind": "records", "domain": domain, "body": p}) + "\n")
 
 
 def test_two_days_and_replay(spark):
     base = tempfile.mkdtemp(prefix="skyledger-stream-")
     day = {"v": "2024-03-01"}
-    job = IncrementalSync(f"{base}/landed", f"{base}/snap", f"{base}/runs", f"{base}/ckpt",
-                          as_of=lambda: day["v"])
+    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/d", "registrar", DOMAINS_DDL),
+                              S.SnapshotStore(spark, f"{base}/r", "source", DNS_DDL), f"{base}/runs")
+    job = IncrementalSync(f"{base}/landed", stores, f"{base}/ckpt", as_of=lambda: day["v"])
     _drop(f"{base}/landed/d1", [[{"domain": "a.io", "expires": "2026-01-01T00:00:00Z"}, {"domain": "b.io"}],
-                                [{"domain": "example.com"}, {"domain": "c.io"}]])
+                                [{"domain": "example.com"}, {"domain": "c.io"}]],
+          [("a.io", [{"name": "@", "type": "A", "data": "1"}, {"name": "old", "type": "A", "data": "2"}])])
     job.start(spark).awaitTermination()
-    snap = {r["domain"]: r["status"] for r in job.snapshot(spark).collect()}
+    snap = {r["domain"]: r["status"] for r in job.domains().collect()}
     assert snap == {"a.io": "active", "b.io": "active", "c.io": "active"}
+    assert job.records().count() == 2
 
     day["v"] = "2024-03-02"
-    _drop(f"{base}/landed/d2", [[{"domain": "a.io"}, {"domain": "d.io"}]])
+    _drop(f"{base}/landed/d2", [[{"domain": "a.io"}, {"domain": "d.io"}]],
+          [("a.io", [{"name": "@", "type": "A", "data": "1"}])])
     job.start(spark).awaitTermination()
-    snap = {r["domain"]: (r["status"], str(r["last_seen"])) for r in job.snapshot(spark).collect()}
+    snap = {r["domain"]: (r["status"], str(r["last_seen"])) for r in job.domains().collect()}
     assert snap["a.io"] == ("active", "2024-03-02")
     assert snap["b.io"] == ("removed", "2024-03-01")       # not in the second full fetch
     assert snap["d.io"][0] == "active"
+    recs = {r["subdomain"]: r["status"] for r in job.records().collect()}
+    assert recs == {"": "active", "old": "removed"}
     runs = {r["run_id"]: r for r in job.run_log(spark).collect()}
     assert len(runs) == 2
-    assert sorted((r["records_added"], r["records_removed"]) for r in runs.values()) == [(1, 2), (3, 0)]
+    assert sorted((r["records_added"], r["records_removed"]) for r in runs.values()) == [(1, 3), (5, 0)]
 
-    # replay the second batch: same version is rewritten from the older one
-    before = S.latest_version(spark, f"{base}/snap")
+    # replay the second batch: the same version is rewritten from the older one
+    part = f"{base}/d/registrar=GoDaddy"
+    before = S.latest_version(spark, part)
     docs = spark.read.text(f"{base}/landed/d2").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     job._batch(docs, before - 1)
-    assert S.latest_version(spark, f"{base}/snap") == before
-    again = {r["domain"]: (r["status"], str(r["last_seen"])) for r in job.snapshot(spark).collect()}
+    assert S.latest_version(spark, part) == before
+    again = {r["domain"]: (r["status"], str(r["last_seen"])) for r in job.domains().collect()}
     assert again == snap
