@@ -2,14 +2,17 @@
 
 ``VIEWS["aws/ec2"]`` is a ``ViewSpec`` usable with ``views.table_view``;
 ``source`` names the asset file stem the view reads. Every view drops
-removed rows (F1) and marks them with ``row_class`` (P12); cell renderers
-(``functions.render``) can be attached with ``with_renders``.
+removed rows (F1) and marks them with ``row_class`` (P12); the views' text
+renderers are attached (P4-P6, P9) and state columns get badge classes via
+``state_classes`` (P7). More renderers can be attached with ``with_renders``;
+column titles follow a rule (field name in title case).
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
+from skyledger.functions import render as R
 from skyledger.operators.views import ViewColumn, ViewSpec
 from skyledger.sources.readers import CatalogEntry
 
@@ -144,15 +147,124 @@ oracle/oke                   oracle/oke                   account name kubernete
 # ---------------------------------------------------------------------------
 
 
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference for equal results).
+# Cell text renderers of the views: view, field, renderer and its arguments.
+#   bool YES|NO      -> YES when the value is truthy, else NO
+#   or TEXT          -> the value when truthy, else TEXT
+#   list / list-null -> items joined by ', '; '-' when null or empty / only when null
+#   unit SUFFIX|ELSE -> value followed by SUFFIX when truthy, else ELSE
+_RENDER_TABLE = """
+alibaba/oss versioning bool Enabled|Disabled
+aws/apigateway stages list-null
+aws/cloudfront aliases list
+aws/cloudfront enabled bool Yes|No
+aws/cloudwatch actions_enabled bool Yes|No
+aws/dynamodb sort_key or -
+aws/ec2 public_ip or -
+aws/ecr scan_on_push bool Yes|No
+aws/ecs capacity_providers list-null
+aws/elasticache encryption_at_rest bool Yes|No
+aws/eventbridge schedule_expression or Event Pattern
+aws/iam password_last_used or Never
+aws/iam mfa_enabled bool Enabled|Disabled
+aws/iam groups list
+aws/kinesis encryption_type or None
+aws/lambda vpc_config bool Yes|No
+aws/opensearch encryption_at_rest bool Yes|No
+aws/rds multi_az bool Yes|No
+aws/rds encrypted bool Yes|No
+aws/redshift encrypted bool Yes|No
+aws/s3 versioning bool Enabled|Disabled
+aws/s3 encryption or None
+aws/s3 public_access bool Public|Private
+aws/sns encryption or None
+aws/sqs encryption or None
+aws/vpc igw_attached bool Yes|No
+aws/vpc is_default bool Yes|No
+azure/ad-users department or -
+azure/ad-users job_title or -
+azure/ad-users last_sign_in or Never
+azure/ad-users mfa_registered bool Registered|Not Registered
+azure/ad-users account_enabled bool Yes|No
+azure/appservice https_only bool Yes|No
+azure/containerregistry admin_enabled bool Yes|No
+azure/eventhub kafka_enabled bool Yes|No
+azure/keyvault soft_delete_enabled bool Yes|No
+azure/storage access_tier or -
+azure/storage https_only bool Yes|No
+azure/vms public_ip or -
+digitalocean/spaces cdn_enabled bool Yes|No
+gcp/bigquery default_table_expiration unit ms|Never
+gcp/cloudsql public_ip or -
+gcp/cloudsql private_ip or -
+gcp/cloudsql high_availability bool Yes|No
+gcp/cloudsql backup_enabled bool Yes|No
+gcp/compute external_ip or -
+gcp/gcs public_access bool Public|Private
+gcp/gcs versioning bool Enabled|Disabled
+gcp/iam last_key_used or Never
+gcp/iam disabled bool Yes|No
+gcp/iam roles list
+gcp/pubsub kms_key_name bool CMEK|Google-managed
+oracle/objectstorage versioning bool Enabled|Disabled
+"""
+# Badge class of state columns (the text stays the value): view, field, mapping.
+_STATE_TABLE = """
+aws/cloudwatch state_value alarm
+aws/ec2 state ec2
+azure/vms power_state azure
+gcp/compute power_state gcp
+"""
+# ---------------------------------------------------------------------------
+
+_STATE_MAPPINGS = {"alarm": R.ALARM_STATE_CLASS, "ec2": R.EC2_STATE_CLASS, "azure": R.AZURE_POWER_CLASS,
+                   "gcp": R.GCP_POWER_CLASS}
+
+
+def _renderer(kind: str, arg: str):
+    if kind == "bool":
+        yes, no = arg.split("|")
+        return lambda df, f: R.bool_label(df, f, yes, no)
+    if kind == "or":
+        return lambda df, f: R.or_default(df, f, arg)
+    if kind == "list":
+        return lambda df, f: R.list_label(df, f, True)
+    if kind == "list-null":
+        return lambda df, f: R.list_label(df, f, False)
+    if kind == "unit":
+        suffix, otherwise = arg.split("|")
+        return lambda df, f: R.with_unit(df, f, suffix, otherwise)
+    raise ValueError(kind)
+
+
+def _renders() -> dict[str, dict]:
+    out: dict[str, dict] = {}
+    for line in _RENDER_TABLE.strip().splitlines():
+        view, field, kind, *arg = line.split()
+        out.setdefault(view, {})[field] = _renderer(kind, " ".join(arg))
+    return out
+
+
 def _parse() -> dict[str, ViewSpec]:
+    renders = _renders()
     out = {}
     for line in _VIEW_TABLE.strip().splitlines():
         key, source, *fields = line.split()
-        out[key] = ViewSpec.of(key, " ".join(fields), source=source)
+        out[key] = ViewSpec.of(key, " ".join(fields), source=source, renders=renders.get(key))
     return out
 
 
 VIEWS: dict[str, ViewSpec] = _parse()
+STATE_CLASSES: dict[str, dict] = {}
+for _line in _STATE_TABLE.strip().splitlines():
+    _v, _f, _m = _line.split()
+    STATE_CLASSES.setdefault(_v, {})[_f] = _STATE_MAPPINGS[_m]
+
+
+def state_classes(df, view_key: str) -> list:
+    """Badge-class columns (``<field>_class``) of a view's state fields."""
+    return [R.state_class(df, f, m).alias(f"{f}_class") for f, m in STATE_CLASSES.get(view_key, {}).items()]
 
 
 def with_renders(view: ViewSpec, renders: dict) -> ViewSpec:

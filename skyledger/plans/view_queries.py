@@ -49,6 +49,31 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.lit("oracle")).alias("provider"))
 
 
+def instances(spark: SparkSession, sf: str) -> DataFrame:
+    """EC2-shaped instances from ``orders`` (no ``account`` field, as in the
+    sample data; some public IPs missing)."""
+    o = X.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("_ordinal"), F.concat(F.lit("i-"), k.cast("string")).alias("instance_id"),
+        F.concat(F.lit("web-"), F.col("o_custkey").cast("string")).alias("name"),
+        F.col("o_orderpriority").alias("instance_type"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("running")).when(F.col("o_orderstatus") == "O", F.lit("stopped"))
+        .otherwise(F.lit("pending")).alias("state"),
+        F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit("."), (k % 7).cast("string")).alias("private_ip"),
+        F.when(k % 3 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("54.1."), (k % 200).cast("string"), F.lit(".9"))).alias("public_ip"),
+        F.concat(F.lit("region-"), (k % 5).cast("string")).alias("region"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("removed")).otherwise(F.lit("active")).alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("discovery_date"))
+
+
+def v1_catalog_view_ec2(spark, sf):
+    from skyledger.catalog import VIEWS
+    return V.table_view(instances(spark, sf), VIEWS["aws/ec2"], sort_col=2, direction="desc", page_no=2,
+                        rows=100)
+
+
 def _proj(df):
     return V.project_view(df, CUSTOMER_VIEW, keep=["_ordinal"])
 
@@ -115,6 +140,7 @@ QUERIES = {
     "e2_table_view": lambda s, sf: V.table_view(customers(s, sf), CUSTOMER_VIEW, account="NATION_3", search="a",
                                                 column_filters={"segment": "o"}, sort_col=3, direction="desc",
                                                 page_no=0, rows=50),
+    "v1_catalog_view_ec2": v1_catalog_view_ec2,
     "p11_provider_code": _render(lambda df: R.provider_code("provider")),
     "p12_row_class": _render(lambda df: R.row_class(df)),
 }
@@ -245,6 +271,19 @@ UNION ALL SELECT _ordinal, 'nation', account FROM cust""",
     AND contains(lower({CELL['segment']}), 'o')),
 p AS (SELECT *, row_number() OVER (ORDER BY {_order_sql('desc')}) AS pos FROM k)
 SELECT {PROJ} FROM p WHERE pos <= 50""",
+    "v1_catalog_view_ec2": f"""WITH inst AS (SELECT o_orderkey AS _ordinal, 'i-' || CAST(o_orderkey AS VARCHAR) AS instance_id,
+  'web-' || CAST(o_custkey AS VARCHAR) AS name, o_orderpriority AS instance_type,
+  CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'stopped' ELSE 'pending' END AS state,
+  '10.0.' || CAST(o_orderkey % 256 AS VARCHAR) || '.' || CAST(o_orderkey % 7 AS VARCHAR) AS private_ip,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '54.1.' || CAST(o_orderkey % 200 AS VARCHAR) || '.9' END AS public_ip,
+  'region-' || CAST(o_orderkey % 5 AS VARCHAR) AS region,
+  CASE WHEN o_orderstatus = 'P' THEN 'removed' ELSE 'active' END AS status,
+  strftime(o_orderdate, '%Y-%m-%d') AS discovery_date FROM orders),
+k AS (SELECT *, {_keys_sql('name')} FROM inst WHERE status IS DISTINCT FROM 'removed'),
+p AS (SELECT *, row_number() OVER (ORDER BY {_order_sql('desc')}) AS pos FROM k)
+SELECT _ordinal, CAST(NULL AS VARCHAR) AS account, instance_id, name, instance_type, state, private_ip,
+  CASE WHEN public_ip <> '' THEN public_ip ELSE '-' END AS public_ip, region, status, discovery_date
+FROM p WHERE pos > 200 AND pos <= 300""",
     "p11_provider_code": _render_sql(
         "CASE lower(provider) WHEN 'aws' THEN 'AWS' WHEN 'azure' THEN 'AZ' WHEN 'gcp' THEN 'GCP' "
         "WHEN 'godaddy' THEN 'GD' WHEN 'cloudflare' THEN 'CF' ELSE provider END"),

@@ -108,3 +108,12 @@ def test_view_catalog_projects_absent_fields(spark):
                                "discovery_date string")
     row = V.table_view(df, ec2).first().asDict()
     assert row["account"] is None and row["public_ip"] == "-" and row["name"] == "web"
+    # the catalog's own renderers: Yes/No labels, defaults and badge classes
+    from skyledger.catalog import state_classes
+    rds = spark.createDataFrame([(1, "db1", True, None, "available")],
+                                "_ordinal long, db_identifier string, multi_az boolean, encrypted boolean, "
+                                "status string")
+    r = V.table_view(rds, VIEWS["aws/rds"]).first().asDict()
+    assert (r["multi_az"], r["encrypted"]) == ("Yes", "No")
+    cls = df.select(*state_classes(df, "aws/ec2")).first()[0]
+    assert cls == "running"
