@@ -5,6 +5,8 @@ per domain. Here one batch is one plan:
 
 * the batch is reduced to one row per natural key with a partial aggregation
   (last payload wins, duplicates counted) - hot keys are combined map-side;
+  the source is fixed for one merge, so grouping and joining use the rest of
+  the key and the batch's aggregation shuffle is reused by the join;
 * the snapshot rows of the batch's source are matched to it with a single
   ``full_outer`` equi-join on the natural key (keys are unique on both sides,
   so no join key can be skewed);
@@ -136,22 +138,26 @@ def _merge(snapshot: DataFrame, batch: DataFrame, keys: list[str], source_col: s
     own = F.col(source_col) == F.lit(source)
     s_src = snapshot.filter(own)
     others = snapshot.filter(~own | F.col(source_col).isNull())
+    # the source is fixed for one merge: dedupe and join on the rest of the
+    # natural key, so the batch is shuffled once and a snapshot bucketed on
+    # that key is joined without moving it
+    jkeys = [k for k in keys if k != source_col]
 
-    b = batch.withColumn(source_col, F.lit(source))
+    b = batch
     if "_ordinal" not in b.columns:
         b = b.withColumn("_ordinal", F.monotonically_increasing_id())
-    bd = dedupe_last(b.select(*keys, *payload, "_ordinal"), keys, "_ordinal")
+    bd = dedupe_last(b.select(*jkeys, *payload, "_ordinal"), jkeys, "_ordinal")
 
     s_cols = [c for c in s_src.columns if c not in keys]
-    s = s_src.select(*keys, *[F.col(c).alias("s_" + c) for c in s_cols], F.lit(True).alias("_s"))
+    s = s_src.select(*jkeys, *[F.col(c).alias("s_" + c) for c in s_cols], F.lit(True).alias("_s"))
     if scope is not None:
         s = scope_to_batch(s, scope)
     else:
         s = s.withColumn("_scope", F.lit(True))
-    bb = bd.select(*keys, *[F.col(c).alias("b_" + c) for c in payload], "_n",
+    bb = bd.select(*jkeys, *[F.col(c).alias("b_" + c) for c in payload], "_n",
                    F.lit(True).alias("_b"))
 
-    j = s.join(bb, keys, "full_outer")
+    j = s.join(bb, jkeys, "full_outer")
     in_b = F.coalesce(F.col("_b"), F.lit(False))
     in_s = F.coalesce(F.col("_s"), F.lit(False))
     stale = (F.col("s_last_seen") < d) if mode == "date" else F.lit(True)
@@ -162,8 +168,8 @@ def _merge(snapshot: DataFrame, batch: DataFrame, keys: list[str], source_col: s
               .when(flip, F.lit(CHANGE_REMOVED))
               .otherwise(F.lit(CHANGE_UNCHANGED)))
 
-    out = [*keys]
     exprs = {
+        source_col: F.lit(source),
         "status": F.when(in_b, F.lit("active")).when(flip, F.lit("removed")).otherwise(F.col("s_status")),
         "discovery_date": F.when(in_s, F.col("s_discovery_date")).otherwise(d),
         "last_seen": F.when(in_b, d).otherwise(F.col("s_last_seen")),
@@ -172,11 +178,7 @@ def _merge(snapshot: DataFrame, batch: DataFrame, keys: list[str], source_col: s
     }
     for p in payload:
         exprs[p] = F.when(in_b, F.col("b_" + p)).otherwise(F.col("s_" + p))
-    sel = [F.col(k) for k in out]
-    for c in columns:
-        if c in keys:
-            continue
-        sel.append(exprs[c].alias(c))
+    sel = [F.col(c) if c in jkeys else exprs[c].alias(c) for c in columns]
     joined = j.select(*sel, change.alias("change"), F.coalesce(F.col("_n"), F.lit(0)).alias("_n"))
     return MergeResult(joined=joined, others=others, columns=columns, keys=keys)
 

@@ -293,3 +293,19 @@ SELECT 'run-1' AS run_id, 'godaddy' AS collector_name, 'completed' AS status,
   CAST((SELECT count(*) FROM r) - (SELECT count(*) FROM rk) AS INTEGER) AS records_updated,
   0 AS records_removed,
   (SELECT count(*) FROM d) AS domains_in_snapshot, (SELECT count(*) FROM rk) AS records_in_snapshot"""
+
+
+# --- K6 on a bucketed snapshot: the snapshot side of the merge never shuffles ----
+def k6_bucketed_merge(spark, sf):
+    from skyledger.schemas import DNS_KEY
+    name = f"dns_snap_{uuid.uuid4().hex[:10]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = S.BucketedSnapshot(spark, _scratch(spark, "k6b"), name, DNS_KEY[:4], buckets, partition_by="source")
+    store.commit(X.dns_snapshot(spark, sf))
+    m = M.merge_dns_records(store.read(), X.dns_batch(spark, sf), X.DNS_SOURCE, X.DNS_AS_OF, X.DNS_NOW)
+    store.commit(m.snapshot)
+    return X.finalize(store.read())
+
+
+QUERIES["k6_bucketed_merge"] = k6_bucketed_merge
+SQL["k6_bucketed_merge"] = MQ.SQL["m2_merge_dns_records"]

@@ -191,3 +191,49 @@ class SnapshotStore:
             rows = rows.sortWithinPartitions("domain")
         rows.write.mode(mode).parquet(f"{part}/v={nxt}")
         return nxt
+
+
+# Bucketed snapshot -------------------------------------------------------------
+class BucketedSnapshot:
+    """Snapshot versions kept as external tables bucketed (and sorted) by the
+    natural key: ``<name>_v<n>`` at ``<base>/v=<n>``. A merge then finds the
+    snapshot side already hash-partitioned on the join key, so only the batch
+    is shuffled - the snapshot, the large side, never moves. Bucket on the
+    natural key without the source column (a merge fixes the source, and
+    ``partition_by`` the source prunes other sources). Use as many buckets as
+    the snapshot needs partitions (~128 MB each) and run merges with
+    ``spark.sql.shuffle.partitions`` equal to it, so the batch is shuffled
+    exactly once."""
+
+    def __init__(self, spark: SparkSession, base: str, name: str, keys: list[str], buckets: int,
+                 partition_by: str | None = None):
+        self.spark, self.base, self.name = spark, base.rstrip("/"), name
+        self.keys, self.buckets, self.partition_by = list(keys), buckets, partition_by
+
+    def _tables(self) -> list[tuple[int, str]]:
+        out = []
+        prefix = f"{self.name}_v"
+        for t in self.spark.catalog.listTables():
+            if t.name.startswith(prefix) and t.name[len(prefix):].isdigit():
+                out.append((int(t.name[len(prefix):]), t.name))
+        return sorted(out)
+
+    def latest(self) -> int | None:
+        t = self._tables()
+        return t[-1][0] if t else None
+
+    def read(self) -> DataFrame:
+        t = self._tables()
+        if not t:
+            raise FileNotFoundError(f"no committed version of {self.name}")
+        return self.spark.table(t[-1][1])
+
+    def commit(self, df: DataFrame) -> int:
+        cur = self.latest()
+        nxt = 0 if cur is None else cur + 1
+        w = df.repartition(self.buckets, *self.keys).write.option("path", f"{self.base}/v={nxt}")
+        if self.partition_by:
+            w = w.partitionBy(self.partition_by)
+        (w.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).mode("errorifexists")
+         .saveAsTable(f"{self.name}_v{nxt}"))
+        return nxt

@@ -75,3 +75,24 @@ def test_page_is_take_ordered(spark):
     df = spark.range(1000).select(F.col("id").alias("_ordinal"), F.col("id").cast("string").alias("v"))
     p = V.page(df, 3, 50, V.smart_order(df, "v"))
     assert "TakeOrderedAndProject" in _plan(p)
+
+
+def test_bucketed_snapshot_is_not_shuffled_by_the_merge(spark, tmp_path):
+    from skyledger.schemas import DNS_DDL, DNS_KEY
+    from skyledger.sources.readers import BucketedSnapshot
+    import datetime as dt
+    d = dt.date(2024, 1, 1)
+    rows = [(f"d{i % 50}.io", f"s{i}", "A", str(i), 300, 0, "GD", "active", d, d, None, None, None)
+            for i in range(500)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = BucketedSnapshot(spark, str(tmp_path / "snap"), "t_bucket_snap", DNS_KEY[:4], parts, "source")
+    store.commit(spark.createDataFrame(rows, DNS_DDL))
+    batch = spark.createDataFrame([(f"d{i}.io", f"s{i}", "A", str(i), 60, 0, None, i) for i in range(0, 500, 7)],
+                                  "domain string, subdomain string, record_type string, data string, ttl int, "
+                                  "priority int, raw_data string, _ordinal long")
+    m = M.merge_dns_records(store.read(), batch, "GD", "2024-01-05")
+    plan = _plan(m.source_rows)
+    join = plan[plan.index("SortMergeJoin"):]
+    snapshot_branch = join[:join.index("t_bucket_snap")]
+    assert "Exchange" not in snapshot_branch.split("BroadcastExchange")[0]
+    assert m.stats.first()["added"] + m.stats.first()["updated"] == len(range(0, 500, 7))
