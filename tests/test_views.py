@@ -6,7 +6,6 @@ import random
 import re
 import tempfile
 
-from pyspark.sql import functions as F
 
 from skyledger.operators import views as V
 from skyledger.sources import sinks as K
