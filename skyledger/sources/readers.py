@@ -68,9 +68,18 @@ def read_assets(spark: SparkSession, path: str, schema: T.StructType | str | Non
 
 
 def land_as_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Land an asset table as Parquet (keeps ``_ordinal``/``_source``)."""
     df.write.mode(mode).parquet(path)
 
 
+def read_parquet_with_ordinal(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows with a deterministic input ordinal ``(file, row index)``,
+    for first/last-row rules (the dedupes) on Parquet inputs."""
+    df = spark.read.parquet(path)
+    return df.withColumn("_ordinal", F.struct(F.col("_metadata.file_path").alias("file"),
+                                              F.col("_metadata.row_index").alias("row")))
+
+
 # S2 -------------------------------------------------------------------------
 @dataclass(frozen=True)
 class CatalogEntry:

@@ -116,3 +116,11 @@ def test_view_catalog_projects_absent_fields(spark):
     assert (r["multi_az"], r["encrypted"]) == ("Yes", "No")
     cls = df.select(*state_classes(df, "aws/ec2")).first()[0]
     assert cls == "running"
+
+
+def test_parquet_ordinal_is_file_and_row(spark, tmp_path):
+    from skyledger.sources.readers import read_parquet_with_ordinal
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = read_parquet_with_ordinal(spark, str(tmp_path / "p")).orderBy("_ordinal").collect()
+    assert [r["id"] for r in rows] == list(range(10))
+    assert [r["_ordinal"]["row"] for r in rows] == list(range(10))
