@@ -120,6 +120,16 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     return v[-1][0] if v else None
 
 
+def _next_version(spark: SparkSession, base: str) -> tuple[int, str]:
+    """Next version number after the newest committed one, and the write
+    mode: a folder left by a failed attempt (no ``_SUCCESS``) is replaced,
+    a committed one never is."""
+    cur = latest_version(spark, base)
+    nxt = 0 if cur is None else cur + 1
+    target = f"{base.rstrip('/')}/v={nxt}"
+    return nxt, ("overwrite" if path_exists(spark, target) else "errorifexists")
+
+
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None,
                   schema: str | None = None, before: int | None = None) -> DataFrame:
     """Current snapshot = the newest committed ``v=<n>`` directory (or a
@@ -145,12 +155,11 @@ def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None,
     Rows are sorted by ``sort_within`` inside each file (no shuffle), so
     Parquet min/max statistics let lookups by domain skip row groups."""
     spark = df.sparkSession
-    cur = latest_version(spark, base)
-    nxt = 0 if cur is None else cur + 1
+    nxt, mode = _next_version(spark, base)
     keys = [c for c in (sort_within or []) if c in df.columns]
     if keys:
         df = df.sortWithinPartitions(*keys)
-    w = df.write.mode("errorifexists")
+    w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(f"{base.rstrip('/')}/v={nxt}")
@@ -191,8 +200,7 @@ class SnapshotStore:
         as ``version`` (rewritten when it exists: replays are idempotent)."""
         part = self._partition(value)
         if version is None:
-            cur = latest_version(self.spark, part)
-            nxt, mode = (0 if cur is None else cur + 1), "errorifexists"
+            nxt, mode = _next_version(self.spark, part)
         else:
             nxt, mode = version, "overwrite"
         rows = rows.drop(self.col)

@@ -124,3 +124,12 @@ def test_parquet_ordinal_is_file_and_row(spark, tmp_path):
     rows = read_parquet_with_ordinal(spark, str(tmp_path / "p")).orderBy("_ordinal").collect()
     assert [r["id"] for r in rows] == list(range(10))
     assert [r["_ordinal"]["row"] for r in rows] == list(range(10))
+
+
+def test_commit_replaces_a_failed_attempt(spark, tmp_path):
+    from skyledger.sources import readers as S
+    base = str(tmp_path / "snap")
+    assert S.commit_snapshot(spark.range(3).withColumnRenamed("id", "x"), base) == 0
+    os.makedirs(os.path.join(base, "v=1", "_temporary"))          # a crashed attempt of version 1
+    assert S.commit_snapshot(spark.range(5).withColumnRenamed("id", "x"), base) == 1
+    assert S.read_snapshot(spark, base).count() == 5
