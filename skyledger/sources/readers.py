@@ -248,7 +248,11 @@ class BucketedSnapshot:
     def commit(self, df: DataFrame) -> int:
         cur = self.latest()
         nxt = 0 if cur is None else cur + 1
-        w = df.repartition(self.buckets, *self.keys).write.option("path", f"{self.base}/v={nxt}")
+        target = f"{self.base}/v={nxt}"
+        if path_exists(self.spark, target):       # files of a failed attempt, never registered
+            fs, p = _fs(self.spark, target)
+            fs.delete(p, True)
+        w = df.repartition(self.buckets, *self.keys).write.option("path", target)
         if self.partition_by:
             w = w.partitionBy(self.partition_by)
         (w.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).mode("errorifexists")
