@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.expr import (first_truthy, fqdn, js_string, record_details,
                                       service_label)
 from skyledger.operators.views import (ViewSpec, filter_providers, filter_removed_between,
-                                       match_any_string, only_removed, project_view)
+                                       match_any_string, only_removed, project_view, string_fields)
 
 
 # U1 -------------------------------------------------------------------------
@@ -152,6 +152,45 @@ def global_search(catalog: list[Service], q: str, providers=None) -> DataFrame:
     return filter_providers(out, providers)
 
 
+# G1 at scale: a search index built once ---------------------------------------
+def build_search_index(catalog: list[Service], ordinal: str = "_ordinal") -> DataFrame:
+    """One row per asset of every service: the hit columns of G1 resolved
+    against each service's schema, plus ``_strings`` = the row's top-level
+    string values, lower-cased (the only values a search may match). Write it
+    partitioned by ``provider`` and searches prune providers and scan one
+    narrow table instead of every service file."""
+    out = None
+    for s in catalog:
+        df = s.df
+        chain = ([s.name_field] if s.name_field else []) + ["name", "id"]
+        status = js_string(df, "status") if "status" in df.columns else F.lit(None).cast("string")
+        strings = [F.lower(F.col(f"`{c}`")) for c in string_fields(df)]
+        arr = F.filter(F.array(*strings), lambda x: x.isNotNull()) if strings else F.array().cast("array<string>")
+        part = df.select(
+            F.lit(s.provider).alias("provider"), F.lit(s.key).alias("service"), F.lit(s.page).alias("page"),
+            first_truthy(df, chain, "Unknown").alias("name"),
+            first_truthy(df, ["account"], "-").alias("account"),
+            first_truthy(df, ["region", "location", "zone"], "").alias("region"),
+            F.when(status == "active", F.lit("active")).otherwise(F.lit("removed")).alias("status_class"),
+            first_truthy(df, ["status"], "unknown").alias("status_text"),
+            (F.col(ordinal) if ordinal in df.columns else F.monotonically_increasing_id()).cast("long")
+            .alias("_ordinal"),
+            arr.alias("_strings"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def search_index(index: DataFrame, q: str, providers=None) -> DataFrame:
+    """G1 over a search index: provider pruning, then any string value
+    containing the (trimmed, >= 2 characters, case-insensitive) query."""
+    q = (q or "").strip()
+    if len(q) < 2:
+        return index.filter(F.lit(False)).drop("_strings")
+    needle = q.lower()
+    hits = filter_providers(index, providers).filter(F.exists("_strings", lambda x: x.contains(needle)))
+    return hits.drop("_strings")
+
+
 # G2 -------------------------------------------------------------------------
 _JAVA_SPECIAL = re.compile(r"([\\.\[\]{}()*+\-?^$|&])")
 

@@ -96,3 +96,16 @@ def test_bucketed_snapshot_is_not_shuffled_by_the_merge(spark, tmp_path):
     snapshot_branch = join[:join.index("t_bucket_snap")]
     assert "Exchange" not in snapshot_branch.split("BroadcastExchange")[0]
     assert m.stats.first()["added"] + m.stats.first()["updated"] == len(range(0, 500, 7))
+
+
+def test_search_index_prunes_providers(spark, tmp_path):
+    from skyledger.operators.unify import Service, build_search_index, search_index
+    a = spark.createDataFrame([(0, "red box", 5)], "_ordinal long, name string, n int")
+    b = spark.createDataFrame([(0, "Red car", "active")], "_ordinal long, title string, status string")
+    idx = build_search_index([Service("aws", "boxes", a), Service("gcp", "cars", b, "title")])
+    idx.write.partitionBy("provider").parquet(str(tmp_path / "idx"))
+    hits = search_index(spark.read.parquet(str(tmp_path / "idx")), " RED ", ["gcp"])
+    plan = _plan(hits)
+    assert "PartitionFilters: [isnotnull(provider" in plan and "gcp" in plan
+    assert [(r["service"], r["name"], r["status_text"]) for r in hits.collect()] == [("cars", "Red car", "active")]
+    assert search_index(spark.read.parquet(str(tmp_path / "idx")), "5", None).count() == 0   # numbers never match
