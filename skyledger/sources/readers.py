@@ -80,6 +80,65 @@ def read_parquet_with_ordinal(spark: SparkSession, path: str) -> DataFrame:
                                               F.col("_metadata.row_index").alias("row")))
 
 
+# S3 bootstrap: an existing inventory's exports or database -------------------
+DOMAINS_FILE_DDL = ("domain STRING, status STRING, registrar STRING, expiry_date STRING, "
+                    "discovery_date STRING, last_seen STRING")
+DNS_FILE_DDL = ("domain STRING, subdomain STRING, type STRING, data STRING, source STRING, status STRING, "
+                "discovery_date STRING, last_seen STRING")
+
+
+def _date(c: str):
+    return F.to_date(F.try_to_timestamp(F.substring(F.col(c), 1, 10), F.lit("yyyy-MM-dd")))
+
+
+def read_domains_json(spark: SparkSession, path: str) -> DataFrame:
+    """Domain export/sample files (JSON arrays or JSON lines) -> domain
+    snapshot rows; dates parsed, missing ones stay null."""
+    from skyledger.schemas import DOMAINS_DDL
+    df = _json_rows(spark, path, DOMAINS_FILE_DDL)
+    out = df.select("domain", "registrar", "status", _date("expiry_date").alias("expiry_date"),
+                    _date("discovery_date").alias("discovery_date"), _date("last_seen").alias("last_seen"),
+                    F.lit(None).cast("string").alias("raw_data"), F.lit(None).cast("timestamp").alias("created_at"),
+                    F.lit(None).cast("timestamp").alias("updated_at"))
+    return out.select(*[f.name for f in T.StructType.fromDDL(DOMAINS_DDL).fields])
+
+
+def read_dns_json(spark: SparkSession, path: str) -> DataFrame:
+    """DNS record export/sample files -> DNS snapshot rows: ``type`` becomes
+    ``record_type`` and the root subdomain ``@`` becomes '' (X2)."""
+    from skyledger.functions.expr import normalize_subdomain
+    df = _json_rows(spark, path, DNS_FILE_DDL)
+    return df.select("domain", normalize_subdomain(F.coalesce("subdomain", F.lit(""))).alias("subdomain"),
+                     F.col("type").alias("record_type"), "data", F.lit(None).cast("int").alias("ttl"),
+                     F.lit(None).cast("int").alias("priority"), "source", "status",
+                     _date("discovery_date").alias("discovery_date"), _date("last_seen").alias("last_seen"),
+                     F.lit(None).cast("string").alias("raw_data"), F.lit(None).cast("timestamp").alias("created_at"),
+                     F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def _json_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Rows of JSON array files and JSON-lines files alike (one pass)."""
+    schema = T.StructType.fromDDL(ddl)
+    docs = read_landed(spark, path).withColumn("_first", F.substring(F.ltrim("value"), 1, 1))
+    arr = docs.filter(F.col("_first") == "[").select(
+        F.explode(F.from_json("value", T.ArrayType(schema))).alias("r")).select("r.*")
+    lines = (docs.filter(F.col("_first") == "{")
+             .select(F.explode(F.split("value", "\n")).alias("line"))
+             .filter(F.trim("line") != "").select(F.from_json("line", schema).alias("r")).select("r.*"))
+    return arr.unionByName(lines)
+
+
+def read_table_jdbc(spark: SparkSession, url: str, table: str, properties: dict, partition_column: str | None = None,
+                    lower: int | None = None, upper: int | None = None, partitions: int | None = None) -> DataFrame:
+    """A table of a database the user keeps (the driver jar must be on the
+    classpath). Give a numeric ``partition_column`` with bounds to read in
+    parallel ranges instead of one connection."""
+    if partition_column:
+        return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                               numPartitions=partitions, properties=properties)
+    return spark.read.jdbc(url, table, properties=properties)
+
+
 # S2 -------------------------------------------------------------------------
 @dataclass(frozen=True)
 class CatalogEntry:

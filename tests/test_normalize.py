@@ -56,3 +56,36 @@ def test_json_types_are_asserted(spark):
     docs = docs.selectExpr("'a.io' AS domain", "_doc", "value")
     r = N.normalize_godaddy_records(docs, "2024-02-01").first()
     assert (r["subdomain"], r["ttl"], r["priority"]) == ("", 0, 10)
+
+
+def test_bootstrap_from_sample_files(spark, tmp_path):
+    from skyledger.sources.readers import read_dns_json, read_domains_json
+    (tmp_path / "domains.json").write_text(json.dumps([
+        {"domain": "a.io", "status": "active", "registrar": "GoDaddy", "expiry_date": "2026-01-01",
+         "discovery_date": "2024-01-01", "last_seen": "2024-05-01"},
+        {"domain": "b.io", "status": "removed", "registrar": "Cloudflare", "discovery_date": "2023-01-01",
+         "last_seen": "2023-06-01"}]))
+    (tmp_path / "subdomains.json").write_text(json.dumps([
+        {"domain": "a.io", "subdomain": "@", "type": "A", "data": "1.2.3.4", "source": "GoDaddy",
+         "status": "active", "discovery_date": "2024-01-01", "last_seen": "2024-05-01"},
+        {"domain": "a.io", "subdomain": "WWW", "type": "CNAME", "data": "a.io", "source": "GoDaddy",
+         "status": "active", "discovery_date": "2024-01-01", "last_seen": "2024-05-01"}]))
+    d = {r["domain"]: r for r in read_domains_json(spark, str(tmp_path / "domains.json")).collect()}
+    assert str(d["a.io"]["expiry_date"]) == "2026-01-01" and d["b.io"]["expiry_date"] is None
+    r = sorted((x["subdomain"], x["record_type"]) for x in read_dns_json(spark, str(tmp_path / "subdomains.json")).collect())
+    assert r == [("", "A"), ("www", "CNAME")]
+
+
+def test_bootstrap_reads_spark_exports(spark, tmp_path):
+    from skyledger.sources.readers import read_dns_json
+    from skyledger.sources.sinks import export_dns
+    from skyledger.schemas import DNS_DDL
+    import datetime as dt
+    d = dt.date(2024, 1, 1)
+    snap = spark.createDataFrame([("a.io", "", "A", "1", 60, 0, "GoDaddy", "active", d, d, None, None, None),
+                                  ("a.io", "www", "A", "2", 60, 0, "GoDaddy", "removed", d, d, None, None, None)],
+                                 DNS_DDL)
+    export_dns(snap, str(tmp_path / "k2"))
+    back = read_dns_json(spark, str(tmp_path / "k2"))
+    assert sorted((r["subdomain"], r["status"], str(r["last_seen"])) for r in back.collect()) == \
+        [("", "active", "2024-01-01"), ("www", "removed", "2024-01-01")]
