@@ -309,3 +309,17 @@ def k6_bucketed_merge(spark, sf):
 
 QUERIES["k6_bucketed_merge"] = k6_bucketed_merge
 SQL["k6_bucketed_merge"] = MQ.SQL["m2_merge_dns_records"]
+
+
+# --- S3 bootstrap: an inventory loaded back from its own JSON exports -----------
+def s3_bootstrap_from_exports(spark, sf):
+    path = _scratch(spark, "boot")
+    K.export_dns(X.dns_snapshot(spark, sf), path)
+    snap = S.read_dns_json(spark, path)
+    return X.finalize(snap.select("domain", "subdomain", "record_type", "data", "source", "status",
+                                  "discovery_date", "last_seen"))
+
+
+QUERIES["s3_bootstrap_from_exports"] = s3_bootstrap_from_exports
+SQL["s3_bootstrap_from_exports"] = f"""WITH {_DNS_S} SELECT domain, subdomain, type AS record_type, data, source,
+  status, strftime(discovery_date, '%Y-%m-%d') AS discovery_date, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM r"""
