@@ -80,9 +80,21 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 # J2 -------------------------------------------------------------------------
 def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame,
                    max_broadcast_rows: int = BROADCAST_SCOPE_MAX_ROWS) -> DataFrame:
-    """Add ``_scope`` = the row's domain is among ``batch_domains``."""
+    """Add ``_scope`` = the row's domain is among ``batch_domains``.
+
+    A domain set within ``max_broadcast_rows`` is broadcast. A larger one is
+    checkpointed to the shared checkpoint folder first: the join then reads
+    it as a plain shuffle stage, which is what lets AQE split a snapshot
+    partition holding a hot domain (a distinct aggregate directly under the
+    join would block the skew split)."""
+    from skyledger.session import checkpoint_dir
+
     scope = batch_domains.select("domain").distinct().withColumn("_scope", F.lit(True))
-    scope = checked_broadcast(scope, max_broadcast_rows)
+    if scope.count() <= max_broadcast_rows:
+        scope = F.broadcast(scope)
+    else:
+        checkpoint_dir(snapshot.sparkSession)
+        scope = scope.checkpoint(eager=True)
     return (snapshot.join(scope, "domain", "left")
             .withColumn("_scope", F.coalesce(F.col("_scope"), F.lit(False))))
 

@@ -109,3 +109,33 @@ def test_search_index_prunes_providers(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(provider" in plan and "gcp" in plan
     assert [(r["service"], r["name"], r["status_text"]) for r in hits.collect()] == [("cars", "Red car", "active")]
     assert search_index(spark.read.parquet(str(tmp_path / "idx")), "5", None).count() == 0   # numbers never match
+
+
+def test_unbroadcast_scope_join_splits_a_hot_domain(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30000
+        snap = spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot.io")).otherwise(F.concat(F.lit("d"), F.col("id").cast("string")))
+            .alias("domain"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        dom = spark.range(0, n, 10).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain")).union(
+            spark.createDataFrame([("hot.io",)], "domain string"))
+        scoped = M.scope_to_batch(snap, dom, max_broadcast_rows=0)
+        got = sum(1 for r in scoped.collect() if r["_scope"])          # runs this very plan to its final form
+        plan = scoped._jdf.queryExecution().executedPlan().toString()
+        assert got == n // 3 + len([i for i in range(0, n, 10) if i % 3 != 0])
+        assert "skew=true" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
