@@ -37,8 +37,8 @@ from skyledger.sources import sinks as K
 
 
 def _stores(spark, base: str) -> CollectionStores:
-    return CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL),
-                            S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL), f"{base}/runs")
+    return CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL, "status"),
+                            S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL, "status"), f"{base}/runs")
 
 
 def _print(df, limit: int) -> None:

@@ -268,8 +268,8 @@ def e1_collection_run(spark, sf):
     from skyledger.plans.normalize_queries import godaddy_record_docs
     from skyledger.schemas import DNS_DDL, DOMAINS_DDL
     base = _scratch(spark, "e1")
-    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL),
-                              S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL), f"{base}/runs")
+    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL, "status"),
+                              S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL, "status"), f"{base}/runs")
     out = run_collection(spark, stores, N.GODADDY, godaddy_domain_docs(spark, sf), godaddy_record_docs(spark, sf),
                          N_AS_OF, f"{N_AS_OF} 06:00:00", "run-1", 1)
     snap = stores.domains.read().agg(F.count(F.lit(1)).alias("d")).crossJoin(

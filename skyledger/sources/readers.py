@@ -232,8 +232,12 @@ class SnapshotStore:
     data is never rewritten. Readers take the newest committed version of
     every partition."""
 
-    def __init__(self, spark: SparkSession, base: str, col: str, schema: str):
+    def __init__(self, spark: SparkSession, base: str, col: str, schema: str, sub_partition: str | None = None):
+        """``sub_partition`` (e.g. ``status``) splits each version folder once
+        more, so filters on it (views drop removed rows) prune whole folders;
+        removed rows accumulate over time and are then never read by views."""
         self.spark, self.base, self.col, self.schema = spark, base.rstrip("/"), col, schema
+        self.sub_partition = sub_partition
 
     def _partition(self, value: str) -> str:
         return f"{self.base}/{self.col}={value}"
@@ -265,7 +269,10 @@ class SnapshotStore:
         rows = rows.drop(self.col)
         if "domain" in rows.columns:
             rows = rows.sortWithinPartitions("domain")
-        rows.write.mode(mode).parquet(f"{part}/v={nxt}")
+        w = rows.write.mode(mode)
+        if self.sub_partition:
+            w = w.partitionBy(self.sub_partition)
+        w.parquet(f"{part}/v={nxt}")
         return nxt
 
 

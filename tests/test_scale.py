@@ -139,3 +139,17 @@ def test_unbroadcast_scope_join_splits_a_hot_domain(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_status_sub_partition_prunes_removed_rows(spark, tmp_path):
+    import datetime as dt
+    from skyledger.schemas import DOMAINS_DDL
+    from skyledger.sources.readers import SnapshotStore
+    d = dt.date(2024, 1, 1)
+    rows = [(f"d{i}.io", "GD", "removed" if i % 4 else "active", None, d, d, None, None, None) for i in range(40)]
+    store = SnapshotStore(spark, str(tmp_path / "s"), "registrar", DOMAINS_DDL, "status")
+    store.commit(spark.createDataFrame(rows, DOMAINS_DDL).drop("registrar").withColumn("registrar", F.lit("GD")), "GD")
+    live = V.not_removed(store.read())
+    assert live.count() == 10
+    plan = _plan(live)
+    assert "PartitionFilters" in plan and "removed" in plan.split("PartitionFilters")[1][:200]
