@@ -143,7 +143,7 @@ def collector_status(runs: DataFrame) -> DataFrame:
 # R5 / R6 ----------------------------------------------------------------------
 def hours_since(ts, now) -> Column:
     t = ts if isinstance(ts, Column) else F.col(ts)
-    return (F.unix_micros(_ts(now)) - F.unix_micros(t.cast("timestamp"))) / F.lit(3_600_000_000.0)
+    return (F.unix_micros(_ts(now)) - F.unix_micros(t.try_cast("timestamp"))) / F.lit(3_600_000_000.0)
 
 
 def freshness(ts, schedule, now) -> Column:
@@ -163,7 +163,7 @@ def freshness(ts, schedule, now) -> Column:
 def relative_time(ts, now) -> Column:
     """'Just now' (< 1 min, also future), 'n min ago', 'n hour(s) ago',
     'n day(s) ago' (< 7), else the ISO date; missing -> 'Invalid Date'."""
-    t = (ts if isinstance(ts, Column) else F.col(ts)).cast("timestamp")
+    t = (ts if isinstance(ts, Column) else F.col(ts)).try_cast("timestamp")
     ms = F.floor((F.unix_micros(_ts(now)) - F.unix_micros(t)) / F.lit(1000))
     mins = F.floor(ms / F.lit(60000))
     hours = F.floor(ms / F.lit(3600000))

@@ -34,3 +34,10 @@ def test_freshness_and_relative_time(spark):
     assert got == [("fresh", "Just now"), ("fresh", "50 min ago"), ("stale", "3 hours ago"),
                    ("stale", "2 days ago"), ("stale", "2024-01-20"), ("old", "2024-01-10"),
                    ("old", "Invalid Date"), ("fresh", "Just now"), ("old", "2023-12-01")]
+
+
+def test_invalid_text_times_are_old(spark):
+    df = spark.createDataFrame([("not a date", "daily"), ("2024-01-30T23:30:00Z", "hourly")], "t string, s string")
+    got = [tuple(r) for r in df.select(R.freshness(F.col("t"), F.col("s"), NOW),
+                                       R.relative_time(F.col("t"), NOW)).collect()]
+    assert got == [("old", "Invalid Date"), ("fresh", "30 min ago")]
