@@ -43,7 +43,8 @@ def _batches(provider: str, domain_docs: DataFrame, record_docs: DataFrame, as_o
         return (N.normalize_godaddy_domains(domain_docs, as_of),
                 N.normalize_godaddy_records(record_docs, as_of))
     if provider == N.CLOUDFLARE:
-        zones = N.normalize_cloudflare_zones(domain_docs, as_of)
+        # zones feed both the domain merge and the record join: parse them once
+        zones = N.normalize_cloudflare_zones(domain_docs, as_of).persist(StorageLevel.MEMORY_AND_DISK)
         return zones, N.normalize_cloudflare_records(record_docs, zones, as_of)
     raise ValueError(f"unknown provider {provider}")
 

@@ -39,3 +39,17 @@ def test_two_runs_and_failure(spark):
     state = {r["run_id"]: r for r in R.current_runs(read_run_log(spark, stores.run_log_dir)).collect()}
     assert state["r3"]["status"] == "failed" and "domain" in state["r3"]["error_message"]
     assert R.latest_runs(R.current_runs(read_run_log(spark, stores.run_log_dir))).first()["run_id"] == "r3"
+
+
+def test_cloudflare_collection(spark):
+    base = tempfile.mkdtemp(prefix="skyledger-cf-")
+    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/d", "registrar", DOMAINS_DDL, "status"),
+                              S.SnapshotStore(spark, f"{base}/r", "source", DNS_DDL, "status"), f"{base}/runs")
+    zones = _docs(spark, [{"success": True, "result": [{"id": "z1", "name": "a.io"}, {"id": "z2", "name": "test.com"}]}])
+    recs = spark.createDataFrame([("z1", 0, json.dumps({"success": True, "result": [
+        {"name": "a.io", "type": "A", "content": "1"}, {"name": "www.a.io", "type": "CNAME", "content": "a.io"}]})),
+        ("z2", 1, json.dumps({"success": True, "result": [{"name": "test.com", "type": "A", "content": "2"}]}))],
+        "zone_id string, _doc long, value string")
+    run = run_collection(spark, stores, "Cloudflare", zones, recs, "2024-03-01", "2024-03-01 06:00:00", "c1", 1).first()
+    assert (run["records_found"], run["records_added"]) == (3, 3)
+    assert sorted(r["subdomain"] for r in stores.records.read().collect()) == ["", "www"]
