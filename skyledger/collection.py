@@ -39,13 +39,14 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batches(provider: str, domain_docs: DataFrame, record_docs: DataFrame, as_of: str):
+    """(domains, records, frames to release after the run)."""
     if provider == N.GODADDY:
         return (N.normalize_godaddy_domains(domain_docs, as_of),
-                N.normalize_godaddy_records(record_docs, as_of))
+                N.normalize_godaddy_records(record_docs, as_of), [])
     if provider == N.CLOUDFLARE:
         # zones feed both the domain merge and the record join: parse them once
         zones = N.normalize_cloudflare_zones(domain_docs, as_of).persist(StorageLevel.MEMORY_AND_DISK)
-        return zones, N.normalize_cloudflare_records(record_docs, zones, as_of)
+        return zones, N.normalize_cloudflare_records(record_docs, zones, as_of), [zones]
     raise ValueError(f"unknown provider {provider}")
 
 
@@ -61,7 +62,7 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
     log0 = spark.createDataFrame([], RUN_LOG_DDL)
     _append(R.open_run(log0, run_id, collector, "dns", trigger, now, event_seq), stores.run_log_dir)
     try:
-        dom, rec = _batches(provider, domain_docs, record_docs, as_of)
+        dom, rec, cached = _batches(provider, domain_docs, record_docs, as_of)
         dom = dom.select("domain", "expiry_date", "raw_data", "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
         rec = rec.select("domain", "subdomain", "record_type", "data", "ttl", "priority", "raw_data",
                          "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
@@ -96,10 +97,8 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
             F.lit(None).cast("string").alias("error_message"), F.lit(trigger).alias("trigger_type"),
             F.lit(event_seq + 1).cast("long").alias("event_seq"))
         _append(closing, stores.run_log_dir)
-        for m in merges:
-            m.joined.unpersist()
-        dom.unpersist()
-        rec.unpersist()
+        for df in [m.joined for m in merges] + [dom, rec] + cached:
+            df.unpersist()
     except Exception as exc:  # the failure is recorded as the run's state
         log = read_run_log(spark, stores.run_log_dir)
         failed = R.close_run(log.filter(F.col("run_id") == run_id), run_id, 0, 0, 0, 0, str(exc)[:500],
