@@ -174,56 +174,111 @@ def field_type(df: DataFrame, name: str) -> T.DataType | None:
     return dtype
 
 
-def path(df: DataFrame, name: str) -> Column:
-    """Null-safe nested path ``a.b.c``; absent paths give null."""
+# The name-based helpers below render one SQL expression per call (a single
+# JVM round trip when the plan is built) with the same semantics as the
+# Column-based ``truthy_col`` / ``js_string_col``.
+def _ident(part: str) -> str:
+    return "`" + part.replace("`", "``") + "`"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_path(df: DataFrame, name: str) -> tuple[str, T.DataType] | None:
     dtype: T.DataType = df.schema
-    col = None
+    sql = None
     for part in name.split("."):
         if isinstance(dtype, T.StructType) and part in dtype.fieldNames():
-            col = F.col(f"`{part}`") if col is None else col.getField(part)
+            sql = _ident(part) if sql is None else f"{sql}.{_ident(part)}"
             dtype = dtype[part].dataType
-        elif isinstance(dtype, T.MapType) and col is not None:
-            col = F.try_element_at(col, F.lit(part))
+        elif isinstance(dtype, T.MapType) and sql is not None:
+            sql = f"try_element_at({sql}, {_quote(part)})"
             dtype = dtype.valueType
         else:
-            return F.lit(None).cast("string")
-    return col
+            return None
+    return sql, dtype
+
+
+def _truthy_sql(p: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.NullType):
+        return "false"
+    if isinstance(dtype, T.StringType):
+        return f"coalesce({p} <> '', false)"
+    if isinstance(dtype, T.BooleanType):
+        return f"coalesce({p}, false)"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"coalesce({p} <> 0 AND NOT isnan({p}), false)"
+    if isinstance(dtype, T.NumericType):
+        return f"coalesce({p} <> 0, false)"
+    return f"({p} IS NOT NULL)"
+
+
+def _js_sql(p: str, dtype: T.DataType, depth: int = 0) -> str:
+    if isinstance(dtype, T.StringType):
+        return p
+    if isinstance(dtype, T.NullType):
+        return "CAST(NULL AS STRING)"
+    if isinstance(dtype, T.BooleanType):
+        return f"CASE WHEN {p} THEN 'true' WHEN NOT {p} THEN 'false' END"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (f"CASE WHEN {p} = floor({p}) AND abs({p}) < 1e21 "
+                f"THEN CAST(CAST({p} AS DECIMAL(38,0)) AS STRING) ELSE CAST({p} AS STRING) END")
+    if isinstance(dtype, T.NumericType):
+        return f"CAST({p} AS STRING)"
+    if isinstance(dtype, T.DateType):
+        return f"date_format({p}, 'yyyy-MM-dd')"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return f"concat(date_format({p}, 'yyyy-MM-dd'), 'T', date_format({p}, 'HH:mm:ss'))"
+    if isinstance(dtype, T.ArrayType):
+        x = f"x{depth}"
+        return f"array_join(transform({p}, {x} -> {_js_sql(x, dtype.elementType, depth + 1)}), ',', '')"
+    return f"CASE WHEN {p} IS NOT NULL THEN '[object Object]' END"
+
+
+def path(df: DataFrame, name: str) -> Column:
+    """Null-safe nested path ``a.b.c``; absent paths give null."""
+    r = _sql_path(df, name)
+    return F.expr(r[0]) if r else F.lit(None).cast("string")
 
 
 def truthy(df: DataFrame, name: str) -> Column:
-    dtype = field_type(df, name)
-    if dtype is None:
-        return F.lit(False)
-    return truthy_col(path(df, name), dtype)
+    r = _sql_path(df, name)
+    return F.expr(_truthy_sql(*r)) if r else F.lit(False)
 
 
 def js_string(df: DataFrame, name: str) -> Column:
-    dtype = field_type(df, name)
-    if dtype is None:
-        return F.lit(None).cast("string")
-    return js_string_col(path(df, name), dtype)
+    r = _sql_path(df, name)
+    return F.expr(_js_sql(*r)) if r else F.lit(None).cast("string")
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
     """``String(v || '')`` - falsy cells become ''."""
-    return F.when(truthy(df, name), js_string(df, name)).otherwise(F.lit(""))
+    r = _sql_path(df, name)
+    if not r:
+        return F.lit("")
+    return F.expr(f"CASE WHEN {_truthy_sql(*r)} THEN {_js_sql(*r)} ELSE '' END")
 
 
 def sort_text(df: DataFrame, name: str) -> Column:
     """``String(v == null ? '' : v).toLowerCase()`` used by the smart sort."""
-    return F.lower(F.coalesce(js_string(df, name), F.lit("")))
+    r = _sql_path(df, name)
+    return F.expr(f"lower(coalesce({_js_sql(*r)}, ''))") if r else F.lit("")
 
 
 # X10 -----------------------------------------------------------------------
 def first_truthy(df: DataFrame, names: list[str], default=None) -> Column:
     """``a || b || ... || default`` as text."""
-    parts = [F.when(truthy(df, n), js_string(df, n)) for n in names
-             if field_type(df, n) is not None]
+    parts = []
+    for n in names:
+        r = _sql_path(df, n)
+        if r:
+            parts.append(f"CASE WHEN {_truthy_sql(*r)} THEN {_js_sql(*r)} END")
     if default is not None:
-        parts.append(F.lit(default))
+        parts.append(_quote(str(default)))
     if not parts:
         return F.lit(None).cast("string")
-    return F.coalesce(*parts) if len(parts) > 1 else parts[0]
+    return F.expr(parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})")
 
 
 # X11 -----------------------------------------------------------------------

@@ -90,7 +90,9 @@ def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame,
     from skyledger.session import checkpoint_dir
 
     scope = batch_domains.select("domain").distinct().withColumn("_scope", F.lit(True))
-    if scope.count() <= max_broadcast_rows:
+    # the batch's row count bounds its distinct domains and needs no shuffle;
+    # the exact distinct count is taken only when that bound is too high
+    if batch_domains.count() <= max_broadcast_rows or scope.count() <= max_broadcast_rows:
         scope = F.broadcast(scope)
     else:
         checkpoint_dir(snapshot.sparkSession)

@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A benchmark table; the DataFrame (its resolved schema and file
+    listing) is reused within a session, the data is read by each job."""
     # the derivations format dates and times; pin the zone so results do not
     # depend on the caller's session
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df
 
 
 def finalize(df: DataFrame) -> DataFrame:
