@@ -211,6 +211,16 @@ def search_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("provider", "service").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def search_rollup(hits: DataFrame) -> DataFrame:
+    """Hits per service, per provider and in total in one aggregation
+    (``rollup``): ``level`` is 'service', 'provider' or 'total'."""
+    g = hits.rollup("provider", "service").agg(F.count(F.lit(1)).alias("hits"),
+                                               F.grouping_id().alias("_gid"))
+    return g.select("provider", "service", "hits",
+                    F.when(F.col("_gid") == 0, F.lit("service")).when(F.col("_gid") == 1, F.lit("provider"))
+                    .otherwise(F.lit("total")).alias("level"))
+
+
 def search_totals(hits: DataFrame) -> DataFrame:
     """Grand total, providers hit and services hit (one row)."""
     return hits.agg(F.count(F.lit(1)).alias("total_hits"),

@@ -101,6 +101,7 @@ QUERIES = {
         "_ordinal", "code"),
     "a3_search_counts": lambda s, sf: U.search_counts(U.global_search(search_catalog(s, sf), "red")),
     "a3_search_totals": lambda s, sf: U.search_totals(U.global_search(search_catalog(s, sf), "00")),
+    "a3_search_rollup": lambda s, sf: U.search_rollup(U.global_search(search_catalog(s, sf), "on")),
     "w3_top_hits": lambda s, sf: U.top_hits(U.global_search(search_catalog(s, sf), "00"), 10),
     "g2_mark_matches": lambda s, sf: U.global_search(search_catalog(s, sf), "red").select(
         "service", "_ordinal", U.mark_matches("name", "Red").alias("marked")),
@@ -268,6 +269,9 @@ FROM hits GROUP BY 1, 2""",
     "a3_search_totals": _search("00") + """ SELECT CAST(count(*) AS BIGINT) AS total_hits,
   CAST(count(DISTINCT provider) AS BIGINT) AS providers_hit,
   CAST(count(DISTINCT (provider, service)) AS BIGINT) AS services_hit FROM hits""",
+    "a3_search_rollup": _search("on") + """ SELECT provider, service, CAST(count(*) AS BIGINT) AS hits,
+  CASE grouping(provider, service) WHEN 0 THEN 'service' WHEN 1 THEN 'provider' ELSE 'total' END AS level
+FROM hits GROUP BY ROLLUP (provider, service)""",
     "w3_top_hits": _search("00") + f""", r AS (SELECT *, row_number() OVER (PARTITION BY provider, service
   ORDER BY _ordinal) AS rank, count(*) OVER (PARTITION BY provider, service) AS hits FROM hits)
 SELECT {_HIT_COLS}, CAST(rank AS INTEGER) AS rank, CAST(hits AS BIGINT) AS hits FROM r WHERE rank <= 10""",
