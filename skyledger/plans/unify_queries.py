@@ -18,6 +18,9 @@ from skyledger.plans import fixtures as X
 from skyledger.plans.view_queries import CUST_CTE, customers
 
 
+SERVICE_KEYS = {"cloudflare": ("sql-servers", "storage", "ad-users")}
+
+
 def removed_catalog(spark: SparkSession, sf: str, provider: str = "azure") -> list[U.Service]:
     o = X.table(spark, sf, "orders")
     k = F.col("o_orderkey")
@@ -45,8 +48,8 @@ def removed_catalog(spark: SparkSession, sf: str, provider: str = "azure") -> li
         F.when(F.col("p_size") < 10, F.lit("removed")).otherwise(F.lit("active")).alias("status"),
         F.col("p_brand").alias("region_id"),
         F.when(pk % 2 == 0, F.col("p_type")).otherwise(F.lit("")).alias("instance_name"))
-    return [U.Service(provider, "sql_servers", orders), U.Service(provider, "storage", suppliers),
-            U.Service(provider, "ad_users", parts)]
+    k1, k2, k3 = SERVICE_KEYS.get(provider, ("sql_servers", "storage", "ad_users"))
+    return [U.Service(provider, k1, orders), U.Service(provider, k2, suppliers), U.Service(provider, k3, parts)]
 
 
 def dns_catalog(spark, sf) -> list[U.Service]:
@@ -84,6 +87,8 @@ QUERIES = {
                                                         "1995-06-01", "1998-12-31"),
     "u2_removed_alibaba": lambda s, sf: U.removed_unified(removed_catalog(s, sf, "alibaba"), "alibaba"),
     "u2_removed_dns": lambda s, sf: U.removed_unified(dns_catalog(s, sf), "dns", "1996-06-01", "1997-06-30"),
+    **{f"u2_removed_{p}": (lambda p: lambda s, sf: U.removed_unified(removed_catalog(s, sf, p), p))(p)
+       for p in ("gcp", "cloudflare", "digitalocean", "oracle", "aws")},
     "u2_removed_dns_literal": lambda s, sf: U.removed_unified(dns_catalog(s, sf), "dns",
                                                               last_seen_fallback=False),
     "a1_status_dashboard": lambda s, sf: U.status_dashboard(removed_catalog(s, sf)),
@@ -130,6 +135,8 @@ def _t(x: str) -> str:
 
 
 def _chain(items: list[str], default: str) -> str:
+    if not items:
+        return f"'{default}'"
     return "CASE " + " ".join(f"WHEN {_t(i)} THEN {i}" for i in items) + f" ELSE '{default}' END"
 
 
@@ -278,3 +285,39 @@ SELECT {_HIT_COLS}, CAST(rank AS INTEGER) AS rank, CAST(hits AS BIGINT) AS hits
     "g2_mark_matches": _search("red") + """ SELECT service, _ordinal,
   regexp_replace(name, '(?i)(red)', '<mark>\\1</mark>', 'g') AS marked FROM hits""",
 }
+
+
+# removed-asset projections of the other providers over the same three services
+_FIELDS = {"o": ["name", "display_name", "resource_group", "location", "status", "removed_date"],
+           "su": ["name", "location", "status", "removed_date", "account"],
+           "pa": ["display_name", "status", "region_id", "instance_name"]}
+
+
+def _label(key: str, rule: str) -> str:
+    if rule == "capitalize":
+        return key[:1].upper() + key[1:]
+    up = key.upper()
+    if rule == "upper_first_underscore":
+        return up.replace("_", " ", 1)
+    if rule == "upper_first_dash":
+        return up.replace("-", " ", 1)
+    return up
+
+
+def _removed_sql(provider: str) -> str:
+    rule, label_col, name_chain, extras = U.REMOVED_PROJECTIONS[provider]
+    keys = dict(zip(("o", "su", "pa"), SERVICE_KEYS.get(provider, ("sql_servers", "storage", "ad_users"))))
+    parts = []
+    for alias, key in keys.items():
+        have = _FIELDS[alias]
+        cols = [f"'{_label(key, rule)}' AS {label_col}",
+                _chain([f for f in name_chain if f in have], "N/A") + " AS name"]
+        cols += [_chain([f for f in chain if f in have], "N/A") + f" AS {out}" for out, chain in extras]
+        cols.append(_chain([f for f in ("removed_date", "last_seen") if f in have], "N/A") + " AS removed_date")
+        cols.append("status")
+        parts.append(f"SELECT {', '.join(cols)} FROM {alias} WHERE status = 'removed'")
+    return f"WITH {_REM} " + " UNION ALL ".join(parts)
+
+
+for _p in ("gcp", "cloudflare", "digitalocean", "oracle", "aws"):
+    SQL[f"u2_removed_{_p}"] = _removed_sql(_p)
