@@ -68,6 +68,18 @@ def instances(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("discovery_date"))
 
 
+def p7_state_classes(spark, sf):
+    """All four state-to-badge mappings over the instances' states."""
+    df = instances(spark, sf)
+    df = df.select("_ordinal", "state", F.upper("state").alias("power_state"),
+                   F.when(F.col("state") == "running", F.lit("OK")).when(F.col("state") == "stopped", F.lit("ALARM"))
+                   .otherwise(F.lit("INSUFFICIENT_DATA")).alias("state_value"))
+    return df.select("_ordinal", R.state_class(df, "state", R.EC2_STATE_CLASS).alias("ec2"),
+                     R.state_class(df, "state", R.AZURE_POWER_CLASS).alias("azure"),
+                     R.state_class(df, "power_state", R.GCP_POWER_CLASS).alias("gcp"),
+                     R.state_class(df, "state_value", R.ALARM_STATE_CLASS).alias("alarm"))
+
+
 def v1_catalog_view_ec2(spark, sf):
     from skyledger.catalog import VIEWS
     return V.table_view(instances(spark, sf), VIEWS["aws/ec2"], sort_col=2, direction="desc", page_no=2,
@@ -141,6 +153,7 @@ QUERIES = {
                                                 column_filters={"segment": "o"}, sort_col=3, direction="desc",
                                                 page_no=0, rows=50),
     "v1_catalog_view_ec2": v1_catalog_view_ec2,
+    "p7_state_classes": p7_state_classes,
     "p11_provider_code": _render(lambda df: R.provider_code("provider")),
     "p12_row_class": _render(lambda df: R.row_class(df)),
 }
@@ -271,6 +284,15 @@ UNION ALL SELECT _ordinal, 'nation', account FROM cust""",
     AND contains(lower({CELL['segment']}), 'o')),
 p AS (SELECT *, row_number() OVER (ORDER BY {_order_sql('desc')}) AS pos FROM k)
 SELECT {PROJ} FROM p WHERE pos <= 50""",
+    "p7_state_classes": """WITH i AS (SELECT o_orderkey AS _ordinal,
+  CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'stopped' ELSE 'pending' END AS state FROM orders),
+j AS (SELECT *, upper(state) AS power_state,
+  CASE state WHEN 'running' THEN 'OK' WHEN 'stopped' THEN 'ALARM' ELSE 'INSUFFICIENT_DATA' END AS state_value FROM i)
+SELECT _ordinal,
+  CASE state WHEN 'running' THEN 'running' WHEN 'stopped' THEN 'stopped' ELSE 'terminated' END AS ec2,
+  CASE state WHEN 'running' THEN 'running' WHEN 'stopped' THEN 'stopped' ELSE 'terminated' END AS azure,
+  CASE power_state WHEN 'RUNNING' THEN 'running' WHEN 'TERMINATED' THEN 'stopped' ELSE 'terminated' END AS gcp,
+  CASE state_value WHEN 'OK' THEN 'active' WHEN 'ALARM' THEN 'removed' ELSE 'stopped' END AS alarm FROM j""",
     "v1_catalog_view_ec2": f"""WITH inst AS (SELECT o_orderkey AS _ordinal, 'i-' || CAST(o_orderkey AS VARCHAR) AS instance_id,
   'web-' || CAST(o_custkey AS VARCHAR) AS name, o_orderpriority AS instance_type,
   CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'stopped' ELSE 'pending' END AS state,
