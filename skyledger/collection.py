@@ -107,3 +107,9 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
         raise
     runs = R.current_runs(read_run_log(spark, stores.run_log_dir))
     return runs.filter(F.col("run_id") == run_id)
+
+
+def compact_run_log(spark: SparkSession, path: str, new_path: str) -> None:
+    """Rewrite the event log as one event per run (its current state) into
+    ``new_path``; point the stores' ``run_log_dir`` there afterwards."""
+    R.current_runs(read_run_log(spark, path)).select(*R.RUN_COLUMNS).write.mode("errorifexists").parquet(new_path)

@@ -53,3 +53,13 @@ def test_cloudflare_collection(spark):
     run = run_collection(spark, stores, "Cloudflare", zones, recs, "2024-03-01", "2024-03-01 06:00:00", "c1", 1).first()
     assert (run["records_found"], run["records_added"]) == (3, 3)
     assert sorted(r["subdomain"] for r in stores.records.read().collect()) == ["", "www"]
+
+
+def test_compact_run_log(spark, tmp_path):
+    from skyledger.collection import compact_run_log
+    log = R.open_run(R.empty_log(spark), "r1", "c", "dns", "manual", "2024-01-01 00:00:00", 1)
+    log = R.close_run(log, "r1", 1, 1, 0, 0, None, "2024-01-01 00:10:00", 2)
+    log.write.parquet(str(tmp_path / "log"))
+    compact_run_log(spark, str(tmp_path / "log"), str(tmp_path / "compact"))
+    rows = spark.read.parquet(str(tmp_path / "compact")).collect()
+    assert len(rows) == 1 and rows[0]["status"] == "completed"
