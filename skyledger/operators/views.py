@@ -305,8 +305,9 @@ def removed_total(df: DataFrame) -> DataFrame:
 def table_view(df: DataFrame, view: ViewSpec, account: str | None = None,
                search: str | None = None, column_filters: dict | None = None,
                sort_col: int | None = 0, direction: str = "asc", page_no: int = 0,
-               rows: int = 50, ordinal: str = "_ordinal") -> DataFrame:
-    """One page of a view: F1 -> F4 -> F6 -> F5 -> O1 -> O3 -> P1."""
+               rows: int = 50, ordinal: str = "_ordinal", hidden=()) -> DataFrame:
+    """One page of a view: F1 -> F4 -> F6 -> F5 -> O1 -> O3 -> P1 (P2: the
+    ``hidden`` column positions are still searched but not projected)."""
     if rows not in ALLOWED_PAGE_SIZES:
         raise ValueError(f"rows must be one of {ALLOWED_PAGE_SIZES}")
     df = not_removed(df)
@@ -316,4 +317,6 @@ def table_view(df: DataFrame, view: ViewSpec, account: str | None = None,
                              for k, v in (column_filters or {}).items()})
     order = smart_order(df, view.columns[sort_col or 0].data, direction, ordinal)
     keep = [ordinal] if ordinal in df.columns else []
-    return project_view(page(df, page_no, rows, order), view, keep)
+    shown = view if not hidden else ViewSpec(view.name, tuple(c for i, c in enumerate(view.columns)
+                                                              if i not in set(hidden)), view.source)
+    return project_view(page(df, page_no, rows, order), shown, keep)

@@ -133,3 +133,10 @@ def test_commit_replaces_a_failed_attempt(spark, tmp_path):
     os.makedirs(os.path.join(base, "v=1", "_temporary"))          # a crashed attempt of version 1
     assert S.commit_snapshot(spark.range(5).withColumnRenamed("id", "x"), base) == 1
     assert S.read_snapshot(spark, base).count() == 5
+
+
+def test_hidden_columns_are_searched_not_shown(spark):
+    df = spark.createDataFrame([(0, "a", "secret-x"), (1, "b", "other")], "_ordinal long, name string, note string")
+    view = V.ViewSpec.of("t", "name note")
+    page = V.table_view(df, view, search="secret", hidden=[1])
+    assert page.columns == ["_ordinal", "name"] and [r["name"] for r in page.collect()] == ["a"]
