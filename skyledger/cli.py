@@ -103,7 +103,8 @@ def cmd_view(spark, a) -> None:
     view = VIEWS[a.view]
     filters = dict(f.split("=", 1) for f in (a.filter or []))
     page = V.table_view(df, view, account=a.account, search=a.search, column_filters=filters,
-                        sort_col=a.sort_col, direction="desc" if a.desc else "asc", page_no=a.page, rows=a.rows)
+                        sort_col=a.sort_col, direction="desc" if a.desc else "asc", page_no=a.page, rows=a.rows,
+                        hidden=[int(x) for x in (a.hide or "").split(",") if x])
     _print(page, 500 if a.rows == -1 else a.rows)
 
 
@@ -163,6 +164,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--desc", action="store_true")
     s.add_argument("--page", type=int, default=0)
     s.add_argument("--rows", type=int, default=50, choices=list(V.ALLOWED_PAGE_SIZES))
+    s.add_argument("--hide", help="column positions to hide, e.g. 0,3 (still searched)")
     s = sub.add_parser("index")
     s.add_argument("--data-dir", required=True)
     s.add_argument("--out", required=True)
