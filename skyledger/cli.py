@@ -105,6 +105,11 @@ def cmd_view(spark, a) -> None:
     page = V.table_view(df, view, account=a.account, search=a.search, column_filters=filters,
                         sort_col=a.sort_col, direction="desc" if a.desc else "asc", page_no=a.page, rows=a.rows,
                         hidden=[int(x) for x in (a.hide or "").split(",") if x])
+    if a.summary:
+        filtered = V.filter_columns(V.search_rows(V.filter_account(V.not_removed(df), a.account), a.search, view),
+                                    filters)
+        _print(V.page_summary(filtered, a.page, a.rows), 1)
+        _print(V.status_stats(df), 1)
     _print(page, 500 if a.rows == -1 else a.rows)
 
 
@@ -165,6 +170,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--page", type=int, default=0)
     s.add_argument("--rows", type=int, default=50, choices=list(V.ALLOWED_PAGE_SIZES))
     s.add_argument("--hide", help="column positions to hide, e.g. 0,3 (still searched)")
+    s.add_argument("--summary", action="store_true", help="first print page bounds and status counts")
     s = sub.add_parser("index")
     s.add_argument("--data-dir", required=True)
     s.add_argument("--out", required=True)

@@ -79,18 +79,13 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
             stores.records.commit(m.source_rows, provider, version)
             parts.append(m.stats)
             merges.append(m)
-        found = dom.agg(F.count(F.lit(1)).alias("a")).crossJoin(rec.agg(F.count(F.lit(1)).alias("b")))
-        zero = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in
-                                       ["added", "updated", "removed", "reactivated"]])
-        stats = zero
-        for p in parts:
-            stats = stats.unionByName(p)
-        stats = stats.agg(*[F.sum(c).alias(c) for c in ["added", "updated", "removed"]])
-        closing = found.crossJoin(stats).select(
+        found = [dom.agg(F.count(F.lit(1)).alias("found")), rec.agg(F.count(F.lit(1)).alias("found"))]
+        stats = M.combine_rows(found + parts, ["found", "added", "updated", "removed"])
+        closing = stats.select(
             F.lit(run_id).alias("run_id"), F.lit(collector).alias("collector_name"),
             F.lit("dns").alias("service_type"), F.lit("completed").alias("status"),
             F.lit(now).cast("timestamp").alias("started_at"), F.current_timestamp().alias("completed_at"),
-            (F.col("a") + F.col("b")).cast("int").alias("records_found"),
+            F.col("found").cast("int").alias("records_found"),
             F.col("added").cast("int").alias("records_added"),
             F.col("updated").cast("int").alias("records_updated"),
             F.col("removed").cast("int").alias("records_removed"),

@@ -250,13 +250,28 @@ def match_batch(snapshot: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
                     F.coalesce("in_batch", F.lit(False)).alias("in_batch")))
 
 
+def combine_rows(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Sum partial results column-wise into one row: each part supplies some
+    of ``columns`` (missing ones count 0). One union and one aggregation -
+    no join between the parts."""
+    u = None
+    for p in parts:
+        q = p.select(*[(F.col(c) if c in p.columns else F.lit(0)).cast("long").alias(c) for c in columns])
+        u = q if u is None else u.unionByName(q)
+    return u.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns])
+
+
+def _count(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
 # N6 -------------------------------------------------------------------------
 def collection_stats(domains: DataFrame, records: DataFrame, start, end) -> DataFrame:
     """Domains and records found plus duration in seconds (one row)."""
-    d = domains.agg(F.count(F.lit(1)).alias("domains_found"))
-    r = records.agg(F.count(F.lit(1)).alias("records_found"))
     dur = (F.unix_timestamp(_ts_lit(end)) - F.unix_timestamp(_ts_lit(start))).cast("long")
-    return d.crossJoin(r).select("domains_found", "records_found", dur.alias("duration_sec"))
+    counts = combine_rows([_count(domains, "domains_found"), _count(records, "records_found")],
+                          ["domains_found", "records_found"])
+    return counts.select("domains_found", "records_found", dur.alias("duration_sec"))
 
 
 # M6 -------------------------------------------------------------------------
@@ -283,19 +298,6 @@ def run_sync(snap_domains: DataFrame, snap_records: DataFrame, domains: DataFram
         m = merge_dns_records(snap_records, records, source, as_of, now, checked_domains)
         out_rec = m.snapshot
         parts.append(m.stats)
-    found = domains.agg(F.count(F.lit(1)).alias("n")).crossJoin(
-        records.agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") + F.col("m")).alias("records_found"))
-    if parts:
-        stats = parts[0]
-        for p in parts[1:]:
-            stats = stats.unionByName(p)
-        stats = stats.agg(*[F.sum(c).cast("long").alias(c) for c in
-                            ["added", "updated", "removed", "reactivated"]])
-    else:
-        spark = domains.sparkSession
-        stats = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in
-                                        ["added", "updated", "removed", "reactivated"]])
-    stats = found.crossJoin(stats).select(
-        F.col("records_found").cast("long").alias("records_found"),
-        "added", "updated", "removed", "reactivated")
+    stats = combine_rows([_count(domains, "records_found"), _count(records, "records_found"), *parts],
+                         ["records_found", "added", "updated", "removed", "reactivated"])
     return SyncResult(out_dom, out_rec, stats)

@@ -56,12 +56,9 @@ def m6_run_sync(spark, sf):
                         X.DOM_SOURCE, X.DOM_AS_OF, X.DOM_NOW).stats
     r = M.merge_dns_records(X.dns_snapshot(spark, sf), X.dns_batch(spark, sf),
                             X.DNS_SOURCE, X.DNS_AS_OF, X.DNS_NOW).stats
-    found = X.domain_batch(spark, sf).agg(F.count(F.lit(1)).alias("a")).crossJoin(
-        X.dns_batch(spark, sf).agg(F.count(F.lit(1)).alias("b"))).select(
-        (F.col("a") + F.col("b")).cast("long").alias("records_found"))
-    s = d.unionByName(r).agg(*[F.sum(c).cast("long").alias(c)
-                               for c in ["added", "updated", "removed", "reactivated"]])
-    return found.crossJoin(s)
+    found = [X.domain_batch(spark, sf).agg(F.count(F.lit(1)).alias("records_found")),
+             X.dns_batch(spark, sf).agg(F.count(F.lit(1)).alias("records_found"))]
+    return M.combine_rows(found + [d, r], ["records_found", "added", "updated", "removed", "reactivated"])
 
 
 def j1_match_batch(spark, sf):

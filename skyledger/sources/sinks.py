@@ -55,7 +55,9 @@ def export_removed(removed: DataFrame, path: str) -> None:
 def update_metadata(meta: DataFrame, domains: DataFrame, dns: DataFrame, now: str) -> DataFrame:
     """Upsert the ``dns`` provider (schedule daily, per-service counts and
     time ``now``), keep every other provider; flat rows in, flat rows out."""
-    counts = domains.agg(F.count(F.lit(1)).alias("d")).crossJoin(dns.agg(F.count(F.lit(1)).alias("r")))
+    from skyledger.operators.merge import combine_rows
+    counts = combine_rows([domains.agg(F.count(F.lit(1)).alias("d")), dns.agg(F.count(F.lit(1)).alias("r"))],
+                          ["d", "r"])
     now_l = F.lit(now)
     new = counts.select(F.explode(F.array(
         F.struct(F.lit("domains").alias("service"), F.col("d").alias("count")),

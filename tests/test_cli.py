@@ -42,6 +42,11 @@ def test_cli_flow(spark, tmp_path, capsys):
     main(["view", "--data", f"{t}/data/aws/ec2.json", "--view", "aws/ec2", "--sort-col", "2"], spark)
     rows = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
     assert [(r["name"], r["public_ip"]) for r in rows] == [("web", "-")]
+    main(["view", "--data", f"{t}/data/aws/ec2.json", "--view", "aws/ec2", "--summary"], spark)
+    out_lines = capsys.readouterr().out.strip().splitlines()
+    summary, stats = json.loads(out_lines[0]), json.loads(out_lines[1])
+    assert (summary["total"], summary["from_row"], summary["to_row"]) == (1, 1, 1)
+    assert (stats["total"], stats["removed"]) == (2, 1)
 
     main(["index", "--data-dir", f"{t}/data", "--out", f"{t}/index"], spark)
     skipped = capsys.readouterr().out.strip().splitlines()
