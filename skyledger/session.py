@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,13 +49,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is read from the session and
-    never replaced. Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    never replaced. When it is unset, a fresh scratch folder is made only for a
+    ``local`` master (tests, one machine); any other master is refused, as a
+    folder of the driver's machine is out of the executors' reach.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[.*\])?$", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: master is {master}")
         current = tempfile.mkdtemp(prefix="skyledger-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
