@@ -144,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0)
     """One row per piece of ``docs`` (doc_id, text), in the columns of ``PIECES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tokens.slices(batches, "text", 16 << 20):
+        for b in tokens.slices(batches, "text"):
             ids, starts = encoded(b.column("text"), tokenizer, end)
             view, rows = memoryview(ids.astype("<u4").view(np.uint8)), []
             for doc, a, z in zip(b.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
