@@ -9,10 +9,14 @@ however many, cost one row. The steps on classes:
    with a chance below 1e-7; sets of up to ``k`` shingles: by arithmetic). So
    only a class's ``size - least + 1`` rarest values need index rows: with that
    prefix the pair still meets in one list, while the values of passages that
-   many documents share are the frequent ones and fall away.
-2. Each list is linked to its least class first: a group of n near copies costs
-   n pairs, not n^2. The union-sketch overlap drops pairs far below the
-   threshold, the full sets confirm the rest.
+   many documents share are the frequent ones and fall away. Classes left alone
+   in all their lists have no partner.
+2. The others are indexed again by a deeper sketch (``deep``, the whole set up
+   to 512 shingles). Positions in the rarest-first order bound the overlap, so
+   copies that differ too much are not paired though they share hundreds of
+   values. Each list is linked to its most common class first: a group of n
+   near copies costs n pairs, not n^2. The union-sketch overlap drops pairs far
+   below the threshold, the full sets confirm the rest.
 3. Components of those links. Lists that still hold two or more components give
    their pairs across components, filtered and confirmed alike; pairs inside a
    component change nothing. No pair over the threshold is lost by step 2.
@@ -83,9 +87,28 @@ def sets(docs: DataFrame, words: int, keep: int | None) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, n_shingles long, class binary, values array<long>")
 
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can reach the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _index(values: DataFrame, least: int, percent: int) -> DataFrame:
+    """Index rows of classes (class, n, values): their rarest values, less those no other class has.
+
+    ``at``: the value's place in the class's rarest-first order, from 1;
+    ``alone``: how many of the class's values no other class has.
+    """
+    flat = values.select("class", "n", F.size("values").alias("size"), F.explode("values").alias("value"))
+    counts = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("class")
+    shared = flat.join(counts, "value").withColumn("alone", F.col("size") - F.count("*").over(own))
+    shared = shared.withColumn("at", F.col("alone") + F.row_number().over(own.orderBy("df", "value")))
+    need = F.least(F.lit(least), F.ceil(F.lit(percent) * F.col("size") / 100))
+    return shared.where(F.col("at") <= F.col("size") - need + 1).select("value", "class", "n", "size", "at", "alone")
+
+
+def _possible(a: str, b: str, deep: int, deep_least: int, percent: int) -> Column:
+    """Whether two index rows of a value can belong to a pair over the threshold."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    both = 1 + F.least(F.col(f"{a}.size") - F.col(f"{a}.at"), F.col(f"{b}.size") - F.col(f"{b}.at"))
+    need = F.when(F.greatest(n, m) > deep, F.lit(deep_least)).otherwise(F.ceil(F.lit(percent) * (n + m) / (100 + percent)))
+    # the first common value of a pair is the one with the most room after it
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (both >= need)
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: int, percent: int) -> DataFrame:
@@ -102,7 +125,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: in
     return sides(near, full).withColumn("common", common).where(100 * F.col("common") >= percent * joint).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int = 40, least: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int = 40, least: int = 20,
+                    deep: int = 512, deep_least: int = 386) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     if percent < 80 or words < 5:
         raise ValueError("takes shingles of five words or more and 80 percent or more")
@@ -110,27 +134,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
     classes = store.written(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("values").alias("values")), "classes")
 
-    # 1. index rows: the rarest size - least + 1 values of each class, less those no other class has
-    flat = classes.select("class", "n", F.size("values").alias("size"), F.explode("values").alias("value"))
-    counts = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = flat.join(counts, "value")
-    need = F.least(F.lit(least), F.ceil(F.lit(percent) * F.col("size") / 100))
-    own = Window.partitionBy("class")
-    shared = (shared.withColumn("m", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "value")))
-              .where(F.col("at") <= F.col("m") - need + 1))
-    index = store.written(shared.select("value", "class", "n"), "index")
-
-    # 2. each list against its least class
-    head = index.groupBy("value").agg(F.min(F.struct("class", "n")).alias("head"))
-    star = (index.join(head, "value").where((F.col("class") != F.col("head.class")) & _alike(F.col("n"), F.col("head.n"), percent))
-            .select(F.col("head.class").alias("u"), F.col("class").alias("v")).distinct())
-    star = store.written(star, "star")
-    involved = index.select("class").distinct()
-    first = classes.join(involved, "class").select("class", "first_id")
+    # 1. classes that share a rare retained value with another class, and their whole sets
+    involved = _index(classes, least, percent).select("class").distinct()
+    sketches = store.written(classes.join(involved, "class"), "involved")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(first, texts["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    full = store.written(sets(texts, words, None).where(F.col("class").isNotNull()).select("class", "values").dropDuplicates(["class"]), "sets")
-    sketches = classes.select("class", "values")
+    texts = texts.join(sketches.select("first_id").distinct(), texts["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
+    full = sets(texts, words, None).join(sketches.select("class"), "class").dropDuplicates(["class"])
+    full = store.written(full.select("class", F.col("n_shingles").alias("n"), "values"), "sets")
+
+    # 2. the deeper index; each list against the class with the fewest values of its own
+    index = store.written(_index(full.withColumn("values", F.slice("values", 1, deep)), deep_least, percent), "index")
+    head = index.groupBy("value").agg(F.min(F.struct("alone", "class", "n", "size", "at")).alias("head")).select("value", "head.*")
+    star = (index.alias("a").join(head.alias("b"), F.col("a.value") == F.col("b.value"))
+            .where((F.col("a.class") != F.col("b.class")) & _possible("a", "b", deep, deep_least, percent))
+            .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct())
+    star = store.written(star, "star")
     links = store.written(_confirmed(star, sketches, full, least, percent), "links")
 
     # 3. what lies across components
@@ -138,12 +156,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
     placed = index.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("value")
     placed = placed.join(several, "value")
-    a, b = placed.alias("a"), placed.alias("b")
-    across = (a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.root") < F.col("b.root")) & _alike(F.col("a.n"), F.col("b.n"), percent))
+    across = (placed.alias("a").join(placed.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", deep, deep_least, percent))
               .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct()
               .join(star, ["u", "v"], "left_anti"))
     more = store.written(_confirmed(store.written(across, "across"), sketches, full, least, percent), "links")
-    roots = components(links.select("u", "v").union(more.select("u", "v")))
+    roots = components(links.union(more))
 
     named = classes.select("class", "first_id").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
