@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontamination, near_dedup, packing
+from skyledger.llm import decontamination, license_scan, near_dedup, packing, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the contract's four rules."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the base rules and the divergence rules."""
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all windows of 10 words of all benchmark items."""
@@ -45,3 +57,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+SQL["op3_url_filter"] = url_filter.SQL
+SQL["op10_license_scan"] = license_scan.SQL
