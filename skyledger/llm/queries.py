@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontamination, license_scan, near_dedup, packing, quality_rules, url_filter
+from skyledger.llm import decontamination, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from three of four folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_classifier.classify(docs, _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 @_query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url under the contract's four rules."""
@@ -39,6 +47,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all windows of 10 words of all benchmark items."""
