@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontamination, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from skyledger.llm import context_mixing, decontamination, html_extract, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+@_query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from four of five folds."""
+    return context_mixing.score(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url under the contract's four rules."""
@@ -65,6 +71,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, words=5)
 
 
+@_query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
