@@ -4,8 +4,8 @@ A token (a word, or the end of the text) is a series of binary decisions: the
 path in a Huffman tree of the ``2**BOOK`` most frequent training words, or the
 escape leaf and then the word's bytes, each a path in a tree of bytes. Every
 decision is predicted from ``ORDERS`` hashed contexts (tree node with nothing,
-the last common word, the previous word, the previous two, the last common word
-and the last mark; inside a spelled word with the bytes before). Each context's
+the last common word, the previous word, the previous two; inside a spelled word
+with one, two or three bytes or all bytes before). Each context's
 counts give a log-odds; a weight set, gated by how much each context has seen,
 mixes them; an adaptive table refines the mixed probability. The logarithms of
 all decisions add up to the text's, from which bits per byte follow.
@@ -17,7 +17,7 @@ counts. The tasks' counts are summed, their weights averaged by decisions seen.
 Scale. Token counts are combined per block of text ahead of the shuffle. The
 context tables have a fixed number of slots (``1 << SLOTS`` for each order), so a
 task sends some MB however much it reads; the sums are made in a stream, block by
-block, and the finished tables (16 MB) and the book are what is broadcast. Every
+block, and the finished tables (13 MB) and the book are what is broadcast. Every
 training document is counted; words outside the book keep exact counts in the
 token table and are joined to it.
 
@@ -43,14 +43,14 @@ from skyledger.llm import store, tokens
 from skyledger.llm.quality_classifier import remainder
 
 END = " "  # no word holds a space
-BOOK, SLOTS, BLOCK, ORDERS = 17, 20, 12, 5
+BOOK, SLOTS, BLOCK, ORDERS = 17, 20, 12, 4
 COMMON = 256  # words of the book that tell the language
 LONGEST = 64  # bytes of a word in the book
 LEVELS = 3 ** (ORDERS - 1) * 2
 BUCKETS = 33
-_CHUNK = 1 << 19  # decisions handled at once
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_NODE = np.uint64(0xE7037ED1A0B428DB)
+_CHUNK = 1 << 17  # decisions handled at once
+_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
+_NODE = np.uint32(0x165667B1)
 
 
 class Tree(NamedTuple):
@@ -145,16 +145,24 @@ class Coder:
         starts = offsets[:-1] + np.arange(len(odd))
         owner = np.repeat(np.arange(len(odd)), np.diff(offsets) + 1)
         back = np.arange(len(symbols)) - starts[owner]  # bytes before in the word
-        seen = np.zeros((ORDERS, len(symbols)), np.uint64)
-        before = np.full(len(symbols), 300, np.int64)
+        seen = []
         chain = np.zeros(len(symbols), np.uint64)
-        for k in range(1, ORDERS):
-            shifted = np.full(len(symbols), 300, np.int64)
-            shifted[k:] = symbols[: len(symbols) - k]
-            before = np.where(back >= k, shifted, 300)
-            chain = tokens.mixed(chain * _NODE + before.astype(np.uint64) + np.uint64(k))
-            seen[k - 1] = chain  # orders 0 to 3: one to four bytes; the last order: one byte and the language
-        seen[ORDERS - 1] = seen[0] + np.uint64(1)
+        reach = int(back.max()) + 1 if len(back) else 0
+        for k in range(1, max(reach, ORDERS) + 1):
+            before = np.full(len(symbols), 300, np.int64)
+            before[k:] = symbols[: max(0, len(symbols) - k)]
+            far = back < k
+            before[far] = 300
+            if k <= 3:
+                chain = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64) + np.uint64(k))
+                seen.append(chain)
+            elif k <= LONGEST:
+                grown = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64))
+                chain = np.where(far, chain, grown)
+            else:
+                break
+        seen.append(chain + np.uint64(9))  # up to LONGEST bytes
+        seen = [(x >> np.uint64(32)).astype(np.uint32) for x in seen]
         bits_of = spell.first[symbols + 1] - spell.first[symbols]
         spelled = np.bincount(owner, bits_of, len(odd)).astype(np.int64) if len(odd) else np.zeros(0, np.int64)
         total = size.copy()
@@ -167,11 +175,10 @@ class Coder:
         at = np.repeat(first[odd] + size[odd], spelled) + _ramp(spelled)
         node[at], bit[at] = tokens.gathered(spell.nodes, spell.first[symbols], bits_of) + self.offset, tokens.gathered(spell.bits, spell.first[symbols], bits_of)
         byte[at] = True
-        inside = np.zeros((ORDERS, n), np.uint64)
-        for k in range(ORDERS):
-            inside[k, at] = np.repeat(seen[k], bits_of)
+        inside = np.empty((ORDERS, n), np.uint32)
+        inside[:] = node.astype(np.uint32) * _NODE
         for k in range(ORDERS):
-            inside[k] += node.astype(np.uint64) * _NODE
+            inside[k, at] += np.repeat(seen[k], bits_of)
         return place, first, bit, byte, inside
 
     def decisions(self, t: tokens.Tokens) -> tuple[np.ndarray, Iterator[tuple]]:
@@ -191,9 +198,9 @@ class Coder:
         last = np.maximum.accumulate(np.where(told, np.arange(n), -1))
         last = np.concatenate([[-1], last[:-1]])
         common = np.where(last >= begin, now[np.maximum(last, 0)], np.uint64(0))
-        mark = pc.fill_null(pc.match_substring_regex(t.words, r"[.,!?:;|]$"), False).to_numpy(zero_copy_only=False)
-        marked = np.concatenate([[False], mark[t.codes][:-1]]) & ~doc_start
-        context = np.stack([np.zeros(n, np.uint64), tokens.mixed(common), tokens.mixed(prev + np.uint64(7)), tokens.mixed(prev * np.uint64(3) + second), tokens.mixed(common + marked + np.uint64(11))])
+        context = [tokens.mixed(x) >> np.uint64(32) for x in (common, prev + np.uint64(7), prev * np.uint64(3) + second)]
+        context = [None, *(x.astype(np.uint32) for x in context)]
+        word = (~byte).astype(np.uint32)
         size = (first[1:] - first[:-1])[t.codes]
         upto = np.concatenate([[0], np.cumsum(size)])
 
@@ -203,11 +210,17 @@ class Coder:
                 z = max(a + 1, int(np.searchsorted(upto, upto[a] + _CHUNK, side="right")) - 1)
                 token = np.repeat(np.arange(a, z), size[a:z])
                 at = np.repeat(first[t.codes[a:z]], size[a:z]) + _ramp(size[a:z])
-                kind = byte[at]
+                kind, spoken = byte[at], word[at]
                 slots = np.empty((ORDERS, len(at)), np.int64)
                 for k in range(ORDERS):
-                    h = inside[k, at] + (context[k, token] if k == ORDERS - 1 else np.where(kind, np.uint64(0), context[k, token]))
-                    slots[k] = ((h ^ (h >> np.uint64(29))) * _MIX[k]) >> np.uint64(64 - SLOTS)
+                    h = inside[k].take(at)
+                    if k:  # the language also tells the letters
+                        h += context[k].take(token) if k == 1 else context[k].take(token) * spoken
+                    h ^= h >> np.uint32(15)
+                    h *= _MIX[k]
+                    h ^= h >> np.uint32(13)
+                    h *= _NODE
+                    slots[k] = h >> np.uint32(32 - SLOTS)
                 yield token, bit[at], kind, slots
                 a = z
 
@@ -238,7 +251,7 @@ def _mixed(odds: np.ndarray, level: np.ndarray, kind: np.ndarray, weights: np.nd
         gate = gate * 3 + level[k]
     z = np.zeros(odds.shape[1], np.float32)
     for k in range(ORDERS):
-        z += weights[gate, k] * odds[k]
+        z += weights[:, k].take(gate) * odds[k]
     np.clip(z, -11, 11, out=z)
     return gate, z, ((z + 11) * ((BUCKETS - 1) / 22)).astype(np.int64)
 
@@ -246,7 +259,13 @@ def _mixed(odds: np.ndarray, level: np.ndarray, kind: np.ndarray, weights: np.nd
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of counts, and how much was seen: 0, 1 (below 8) or 2."""
     n = n0 + n1
-    return (np.log(n1 + np.float32(0.4)) - np.log(n0 + np.float32(0.4))).astype(np.float32), (n > 0).astype(np.int8) + (n >= 8)
+    ratio = n1.astype(np.float32)
+    ratio += np.float32(0.4)
+    ratio /= n0 + np.float32(0.4)
+    return np.log(ratio, out=ratio), (n > 0).view(np.int8) + (n >= 8).view(np.int8)
+
+
+_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 class Learner:
@@ -263,10 +282,10 @@ class Learner:
         for _, bit, kind, slots in self.coder.decisions(t)[1]:
             odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
             for k in range(ORDERS):
-                pair = self.table[k].reshape(-1, 2)[slots[k]]
-                odds[k], level[k] = _odds(pair[:, 0], pair[:, 1])
-            for a in range(0, len(bit), 1 << 16):
-                part = slice(a, a + (1 << 16))
+                pair = self.table[k].view(np.uint64).take(slots[k])
+                odds[k], level[k] = _odds((pair & _LOW).astype(np.float32), (pair >> _HIGH).astype(np.float32))
+            for a in range(0, len(bit), _CHUNK):
+                part = slice(a, a + _CHUNK)
                 gate, z, bucket = _mixed(odds[:, part], level[:, part], kind[part], self.weights)
                 error = bit[part] - 1 / (1 + np.exp(-z))
                 n = np.bincount(gate, minlength=LEVELS)
@@ -307,7 +326,7 @@ def trained(texts: DataFrame, own: Book) -> Model:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = None
-        for b in tokens.slices(batches, "text", 4 << 20):
+        for b in tokens.slices(batches, "text"):
             learner = learner or Learner(Coder(shared.value))
             learner.learn(text_tokens(b.column("text")))
         if learner:
@@ -355,7 +374,7 @@ def log10_scores(model: Model, coder: Coder, t: tokens.Tokens) -> tuple[np.ndarr
     for token, bit, kind, slots in blocks:
         odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
         for k in range(ORDERS):
-            odds[k], level[k] = model.odds[k][slots[k]], model.level[k][slots[k]]
+            odds[k], level[k] = model.odds[k].take(slots[k]), model.level[k].take(slots[k])
         gate, z, bucket = _mixed(odds, level, kind, model.weights)
         p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * model.refined[gate, bucket]
         own = doc[token]
@@ -387,11 +406,12 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        coder = None
-        for b in tokens.slices(batches, "text", 4 << 20):
+        coder = own_model = None
+        for b in tokens.slices(batches, "text"):
             coder = coder or Coder(shared.value)
+            own_model = own_model or model.value._replace(odds=model.value.odds.astype(np.float32))
             t = text_tokens(b.column("text"))
-            place, total = log10_scores(model.value, coder, t)
+            place, total = log10_scores(own_model, coder, t)
             held = np.concatenate([shared.value.counts, [0]])[place]  # by distinct word; 0 if not in the book
             c = held[t.codes]
             doc = np.repeat(np.arange(b.num_rows), np.diff(t.starts))

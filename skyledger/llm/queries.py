@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from skyledger.llm import context_mixing, decontamination, html_extract, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
@@ -91,5 +92,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 SQL["op3_url_filter"] = url_filter.SQL
 SQL["op10_license_scan"] = license_scan.SQL
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
