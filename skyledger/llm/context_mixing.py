@@ -278,7 +278,7 @@ class Learner:
         self.seen = np.zeros(LEVELS)
         self.refine = np.zeros((2, LEVELS * BUCKETS))
 
-    def learn(self, t: tokens.Tokens, rate: float = 0.05) -> None:
+    def learn(self, t: tokens.Tokens, rate: float = 0.2) -> None:
         for _, bit, kind, slots in self.coder.decisions(t)[1]:
             odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
             for k in range(ORDERS):
