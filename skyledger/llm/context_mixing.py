@@ -103,7 +103,16 @@ class Model(NamedTuple):
 def book(counts: DataFrame) -> Book:
     """The book of a token table (token, n): at most ``2**BOOK`` rows and 256 sums reach the driver."""
     short = counts.where((F.octet_length("token") <= LONGEST) & (F.col("token") != END))
-    rows = short.orderBy(F.desc("n"), "token").limit(1 << BOOK).collect()
+    # the least count that can be in the book, from sums over a few hundred size classes
+    size = F.floor(F.log2("n") * 8)
+    least, held = 0, 0
+    for r in sorted(short.groupBy(size.alias("size")).count().collect(), reverse=True):
+        held += r["count"]
+        if held >= 1 << BOOK:
+            least = r["size"]
+            break
+    likely = short.where(size >= least)
+    rows = likely.orderBy(F.desc("n"), "token").limit(1 << BOOK).collect()
     end = counts.where(F.col("token") == END).agg(F.sum("n")).first()[0] or 0
     words, held = [END, *[r["token"] for r in rows]], np.array([end, *[r["n"] for r in rows]], np.int64)
 
@@ -116,7 +125,7 @@ def book(counts: DataFrame) -> Book:
             total[256] += n.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
 
-    spelled = counts.join(F.broadcast(short.orderBy(F.desc("n"), "token").limit(1 << BOOK).select("token")), "token", "left_anti").where(F.col("token") != END)
+    spelled = counts.join(F.broadcast(likely.orderBy(F.desc("n"), "token").limit(1 << BOOK).select("token")), "token", "left_anti").where(F.col("token") != END)
     sums = dict(spelled.mapInArrow(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect())
     rest = sums.get(256, 0.0)
     return Book(words, held, huffman([*(held + 0.5).tolist(), rest + 0.5]), huffman([sums.get(b, 0.0) + 0.5 for b in range(257)]))
