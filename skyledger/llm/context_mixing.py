@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
 A token (a word, or the end of the text) is a series of binary decisions: the
-path in a Huffman tree of the ``2**BOOK`` most frequent training words, or the
+path in a Huffman tree of the ``2**BOOK`` most frequent training words (seen twice at least), or the
 escape leaf and then the word's bytes, each a path in a tree of bytes. Every
 decision is predicted from ``ORDERS`` hashed contexts (tree node with nothing,
 the last common word, the previous word, the previous two; inside a spelled word
@@ -102,7 +102,7 @@ class Model(NamedTuple):
 
 def book(counts: DataFrame) -> Book:
     """The book of a token table (token, n): at most ``2**BOOK`` rows and 256 sums reach the driver."""
-    short = counts.where((F.octet_length("token") <= LONGEST) & (F.col("token") != END))
+    short = counts.where((F.octet_length("token") <= LONGEST) & (F.col("token") != END) & (F.col("n") > 1))  # words seen once teach how new words are spelled
     # the least count that can be in the book, from sums over a few hundred size classes
     size = F.floor(F.log2("n") * 8)
     least, held = 0, 0
