@@ -110,7 +110,11 @@ def cmd_view(spark, a) -> None:
                                     filters)
         _print(V.page_summary(filtered, a.page, a.rows), 1)
         _print(V.status_stats(df), 1)
-    _print(page, 500 if a.rows == -1 else a.rows)
+    if a.rows == -1:  # every row, fetched one partition at a time
+        for line in page.toJSON().toLocalIterator():
+            print(line)
+    else:
+        _print(page, a.rows)
 
 
 def cmd_index(spark, a) -> None:

@@ -39,7 +39,16 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batches(provider: str, domain_docs: DataFrame, record_docs: DataFrame, as_of: str):
-    """(domains, records, frames to release after the run)."""
+    """(domains, records, frames to release after the run).
+
+    A rejected or unreadable domain page fails the run: merging the rest would
+    mark its domains removed. A rejected record page leaves all records of its
+    domain (or zone) out of the batch, so that domain is not touched."""
+    failed = N.rejected_pages(domain_docs, provider).select("error").take(1)
+    if failed:
+        raise ValueError(f"domain page failed: {failed[0]['error']}")
+    key = "zone_id" if provider == N.CLOUDFLARE else "domain"
+    record_docs = record_docs.join(N.rejected_pages(record_docs, provider).select(key).distinct(), key, "left_anti")
     if provider == N.GODADDY:
         return (N.normalize_godaddy_domains(domain_docs, as_of),
                 N.normalize_godaddy_records(record_docs, as_of), [])
@@ -96,7 +105,8 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
             df.unpersist()
     except Exception as exc:  # the failure is recorded as the run's state
         log = read_run_log(spark, stores.run_log_dir)
-        failed = R.close_run(log.filter(F.col("run_id") == run_id), run_id, 0, 0, 0, 0, str(exc)[:500],
+        failed = R.close_run(log.filter(F.col("run_id") == run_id), run_id, 0, 0, 0, 0,
+                             str(exc) or type(exc).__name__,
                              now, event_seq + 1).filter(F.col("event_seq") == event_seq + 1)
         _append(failed, stores.run_log_dir)
         raise

@@ -120,47 +120,6 @@ def service_label(key, rule: str) -> Column:
 
 
 # JavaScript coercions, dispatched on the Spark type ---------------
-def truthy_col(c, dtype: T.DataType) -> Column:
-    """JS truthiness: null, '', 0, NaN and false are falsy; arrays, maps and
-    objects are truthy even when empty."""
-    c = _c(c)
-    if isinstance(dtype, T.NullType):
-        return F.lit(False)
-    if isinstance(dtype, T.StringType):
-        return F.coalesce(c != "", F.lit(False))
-    if isinstance(dtype, T.BooleanType):
-        return F.coalesce(c, F.lit(False))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.coalesce((c != 0) & ~F.isnan(c), F.lit(False))
-    if isinstance(dtype, T.NumericType):
-        return F.coalesce(c != 0, F.lit(False))
-    return c.isNotNull()
-
-
-def js_string_col(c, dtype: T.DataType) -> Column:
-    """``String(v)`` of a non-null value (null stays null)."""
-    c = _c(c)
-    if isinstance(dtype, T.StringType):
-        return c
-    if isinstance(dtype, T.NullType):
-        return F.lit(None).cast("string")
-    if isinstance(dtype, T.BooleanType):
-        return F.when(c, F.lit("true")).when(~c, F.lit("false"))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        integral = (c == F.floor(c)) & (F.abs(c) < F.lit(1e21))
-        return F.when(integral, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
-    if isinstance(dtype, T.NumericType):
-        return c.cast("string")
-    if isinstance(dtype, T.DateType):
-        return F.date_format(c, "yyyy-MM-dd")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    if isinstance(dtype, T.ArrayType):
-        inner = dtype.elementType
-        return F.array_join(F.transform(c, lambda x: js_string_col(x, inner)), ",", "")
-    return F.when(c.isNotNull(), F.lit("[object Object]"))
-
-
 def field_type(df: DataFrame, name: str) -> T.DataType | None:
     """Type of a (possibly dotted) field, or None when absent."""
     dtype: T.DataType = df.schema
@@ -175,8 +134,7 @@ def field_type(df: DataFrame, name: str) -> T.DataType | None:
 
 
 # The name-based helpers below render one SQL expression per call (a single
-# JVM round trip when the plan is built) with the same semantics as the
-# Column-based ``truthy_col`` / ``js_string_col``.
+# JVM round trip when the plan is built).
 def _ident(part: str) -> str:
     return "`" + part.replace("`", "``") + "`"
 
@@ -222,8 +180,14 @@ def _js_sql(p: str, dtype: T.DataType, depth: int = 0) -> str:
     if isinstance(dtype, T.BooleanType):
         return f"CASE WHEN {p} THEN 'true' WHEN NOT {p} THEN 'false' END"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return (f"CASE WHEN {p} = floor({p}) AND abs({p}) < 1e21 "
-                f"THEN CAST(CAST({p} AS DECIMAL(38,0)) AS STRING) ELSE CAST({p} AS STRING) END")
+        # plain digits from 1e-6 up to 1e21, as JavaScript writes them
+        text = f"CAST({p} AS STRING)"
+        plain = "rtrim('0', CAST(CAST({0} AS DECIMAL(38,{1})) AS STRING))"
+        power = f"regexp_replace(regexp_replace({text}, '[.]0E|E', 'e'), 'e([0-9])', 'e+$1')"
+        return (f"CASE WHEN {p} = floor({p}) AND abs({p}) < 1e21 THEN CAST(CAST({p} AS DECIMAL(38,0)) AS STRING) "
+                f"WHEN abs({p}) >= 1 AND abs({p}) < 1e21 THEN {plain.format(text, 17)} "
+                f"WHEN abs({p}) >= 1e-6 AND abs({p}) < 1 THEN {plain.format(text, 24)} "
+                f"WHEN isnan({p}) OR abs({p}) = double('Infinity') THEN {text} ELSE {power} END")
     if isinstance(dtype, T.NumericType):
         return f"CAST({p} AS STRING)"
     if isinstance(dtype, T.DateType):

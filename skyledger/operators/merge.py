@@ -71,12 +71,6 @@ def dedupe_last(df: DataFrame, keys: list[str], order: str, count_col: str = "_n
     return agg.select(*keys, "_p.*", count_col)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # J2 -------------------------------------------------------------------------
 def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame,
                    max_broadcast_rows: int = BROADCAST_SCOPE_MAX_ROWS) -> DataFrame:

@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.expr import (extract_subdomain, is_test_domain, is_valid_record_type,
                                       normalize_record_type, normalize_subdomain,
                                       parse_rfc3339_date)
-from skyledger.operators.merge import checked_broadcast, dedupe_first
-
-# Largest zone list broadcast to the record join; above it the join shuffles.
-BROADCAST_ZONES_MAX_ROWS = 1_000_000
+from skyledger.operators.merge import dedupe_first
 
 GODADDY = "GoDaddy"
 CLOUDFLARE = "Cloudflare"
@@ -49,11 +46,12 @@ def _field(name: str):
 
 
 def _as_int(name: str):
-    """Go ``int(v.(float64))``: JSON numbers truncate, anything else is 0."""
+    """Go ``int(v.(float64))``: JSON numbers truncate, anything else (and
+    a number beyond the int range) is 0."""
     t = _json_type(name)
     numeric = t.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | t.startswith("DECIMAL")
     v = F.when(numeric, F.try_variant_get(F.col("_v"), f"$.{name}", "double"))
-    return F.coalesce(v.try_cast("long").cast("int"), F.lit(0))
+    return F.coalesce(v.try_cast("int"), F.lit(0))
 
 
 def _dated(df: DataFrame, as_of) -> DataFrame:
@@ -117,6 +115,16 @@ def envelope_errors(docs: DataFrame) -> DataFrame:
         *keep, F.coalesce(F.col("env.errors")[0]["message"], F.lit("unknown")).alias("error"))
 
 
+def rejected_pages(docs: DataFrame, provider: str) -> DataFrame:
+    """Pages that give no rows because they failed: rejected envelopes, and
+    pages that are not the JSON the provider sends (``error`` says why)."""
+    if provider == CLOUDFLARE:
+        return envelope_errors(docs)
+    keep = [c for c in docs.columns if c != "value"]
+    return docs.filter(F.from_json("value", "array<string>").isNull()).select(
+        *keep, F.concat(F.lit("not a JSON array: "), F.coalesce("value", F.lit("null"))).alias("error"))
+
+
 def _accepted(docs: DataFrame) -> DataFrame:
     env = parse_envelopes(docs)
     keep = [c for c in docs.columns if c != "value"]
@@ -141,10 +149,10 @@ def normalize_cloudflare_zones(docs: DataFrame, as_of) -> DataFrame:
 
 # J4 -------------------------------------------------------------------------
 def attach_zone(records: DataFrame, zones: DataFrame) -> DataFrame:
-    """Inner join of records to their zone by id; the zone list is broadcast
-    only after its size is checked."""
+    """Inner join of records to their zone by id; the planner broadcasts the
+    zone list when its bytes allow."""
     z = zones.select("zone_id", F.col("domain").alias("zone_name"))
-    return records.join(checked_broadcast(z, BROADCAST_ZONES_MAX_ROWS), "zone_id")
+    return records.join(z, "zone_id")
 
 
 # N4 -------------------------------------------------------------------------

@@ -62,12 +62,13 @@ def current_runs(log: DataFrame) -> DataFrame:
 # R2 -------------------------------------------------------------------------
 def close_run(log: DataFrame, run_id: str, found: int, added: int, updated: int, removed: int,
               error: str | None, now, event_seq: int) -> DataFrame:
-    """Append the closing event of ``run_id``: completed, or failed with the
-    error message; counters and completion time set."""
+    """Append the closing event of ``run_id``: completed (``error`` is None), or
+    failed with the whole error message (which may be empty); counters and
+    completion time set."""
     cur = current_runs(log.filter(F.col("run_id") == run_id))
     closing = cur.select(
         "run_id", "collector_name", "service_type",
-        F.lit("failed" if error else "completed").alias("status"), "started_at",
+        F.lit("completed" if error is None else "failed").alias("status"), "started_at",
         _ts(now).alias("completed_at"),
         F.lit(found).cast("int").alias("records_found"), F.lit(added).cast("int").alias("records_added"),
         F.lit(updated).cast("int").alias("records_updated"),

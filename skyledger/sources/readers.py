@@ -294,12 +294,25 @@ class BucketedSnapshot:
         self.keys, self.buckets, self.partition_by = list(keys), buckets, partition_by
 
     def _tables(self) -> list[tuple[int, str]]:
+        """Committed versions, found by folder and ``_SUCCESS`` marker; one
+        that this session's catalog does not know yet is registered."""
+        known = {t.name for t in self.spark.catalog.listTables()}
         out = []
-        prefix = f"{self.name}_v"
-        for t in self.spark.catalog.listTables():
-            if t.name.startswith(prefix) and t.name[len(prefix):].isdigit():
-                out.append((int(t.name[len(prefix):]), t.name))
-        return sorted(out)
+        for n, path in _versions(self.spark, self.base):
+            table = f"{self.name}_v{n}"
+            if table.lower() not in known:
+                self._register(table, path)
+            out.append((n, table))
+        return out
+
+    def _register(self, table: str, path: str) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema.fields)
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        parts = f"PARTITIONED BY (`{self.partition_by}`) " if self.partition_by else ""
+        self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {parts}"
+                       f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        if self.partition_by:
+            self.spark.catalog.recoverPartitions(table)
 
     def latest(self) -> int | None:
         t = self._tables()
@@ -314,10 +327,9 @@ class BucketedSnapshot:
     def commit(self, df: DataFrame) -> int:
         cur = self.latest()
         nxt = 0 if cur is None else cur + 1
+        while path_exists(self.spark, f"{self.base}/v={nxt}"):  # a failed attempt keeps its folder and number
+            nxt += 1
         target = f"{self.base}/v={nxt}"
-        if path_exists(self.spark, target):       # files of a failed attempt, never registered
-            fs, p = _fs(self.spark, target)
-            fs.delete(p, True)
         w = df.repartition(self.buckets, *self.keys).write.option("path", target)
         if self.partition_by:
             w = w.partitionBy(self.partition_by)
