@@ -49,16 +49,20 @@ def m5_batch_last_wins(spark, sf):
 
 
 def m6_run_sync(spark, sf):
-    """Domains and records of one collection merged with summed stats. The
-    two derivations use different source names, so the run merges the
-    domain batch of 1-URGENT and the record batch of F under one call each."""
-    d = M.merge_domains(X.domain_snapshot(spark, sf), X.domain_batch(spark, sf),
-                        X.DOM_SOURCE, X.DOM_AS_OF, X.DOM_NOW).stats
-    r = M.merge_dns_records(X.dns_snapshot(spark, sf), X.dns_batch(spark, sf),
-                            X.DNS_SOURCE, X.DNS_AS_OF, X.DNS_NOW).stats
-    found = [X.domain_batch(spark, sf).agg(F.count(F.lit(1)).alias("records_found")),
-             X.dns_batch(spark, sf).agg(F.count(F.lit(1)).alias("records_found"))]
-    return M.combine_rows(found + [d, r], ["records_found", "added", "updated", "removed", "reactivated"])
+    """``run_sync`` twice: with both batches, and with an empty record batch
+    (its merge is skipped, so no record is removed). The domain snapshot's
+    registrar takes the name of the record source."""
+    doms = X.domain_snapshot(spark, sf).withColumn(
+        "registrar", F.when(F.col("registrar") == X.DOM_SOURCE, F.lit(X.DNS_SOURCE)).otherwise(F.col("registrar")))
+    recs, batch = X.dns_snapshot(spark, sf), X.dns_batch(spark, sf)
+    out = None
+    for name, records in (("both", batch), ("no_records", batch.limit(0))):
+        r = M.run_sync(doms, recs, X.domain_batch(spark, sf), records, X.DNS_SOURCE, X.DNS_AS_OF, X.DNS_NOW)
+        removed = r.records.agg(F.count_if(F.col("status") == "removed").alias("removed_records"))
+        part = M.combine_rows([r.stats, removed], ["records_found", "added", "updated", "removed", "reactivated",
+                                                   "removed_records"]).withColumn("run", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def j1_match_batch(spark, sf):
@@ -105,7 +109,7 @@ s AS (
          '{"n":' || CAST(count(*) AS VARCHAR) || '}' AS raw_data,
          CAST(CAST(min(o_orderdate) AS DATE) AS TIMESTAMP) AS created_at,
          CAST(CAST(max(o_orderdate) AS DATE) AS TIMESTAMP) AS updated_at
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
+  FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT') GROUP BY 1, 2),
 b AS (
   SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, CAST(o_orderdate AS DATE) + 365 AS expiry_date,
          '{"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || ',"o_orderstatus":"' || o_orderstatus || '"}' AS raw_data,
@@ -146,7 +150,7 @@ s AS (
          '{"n":' || CAST(count(*) AS VARCHAR) || '}' AS raw_data,
          CAST(CAST(min(l_shipdate) AS DATE) AS TIMESTAMP) AS created_at,
          CAST(CAST(max(l_shipdate) AS DATE) AS TIMESTAMP) AS updated_at
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5),
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5),
 b AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
          l_returnflag AS record_type, CAST(l_partkey AS VARCHAR) AS data,
@@ -217,14 +221,20 @@ FROM s WHERE source <> 'F'""",
 SELECT domain, '1-URGENT' AS registrar, strftime(expiry_date, '%Y-%m-%d') AS expiry_date, raw_data,
        n AS batch_rows FROM bd""",
     "m6_run_sync": f"""
-WITH d AS (WITH {_DOM_CTE} {_STATS}), r AS (WITH {_DNS_CTE} {_STATS})
-SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
-          AND o_orderpriority = '1-URGENT')
-       + (SELECT CAST(count(*) AS BIGINT) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'
-          AND l_linestatus = 'F') AS records_found,
-       CAST(sum(added) AS BIGINT) AS added, CAST(sum(updated) AS BIGINT) AS updated,
-       CAST(sum(removed) AS BIGINT) AS removed, CAST(sum(reactivated) AS BIGINT) AS reactivated
-FROM (SELECT * FROM d UNION ALL SELECT * FROM r)""",
+WITH d AS (WITH {_DOM_CTE.replace("2001-08-02", "2001-12-01")} {_STATS}), r AS (WITH {_DNS_CTE} {_STATS}),
+nd AS (SELECT CAST(count(*) AS BIGINT) AS n FROM orders
+       WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderpriority = '1-URGENT'),
+nr AS (SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem
+       WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_linestatus = 'F'),
+new_removed AS (WITH {_DNS_CTE} SELECT (SELECT count(*) FROM m WHERE status = 'removed')
+                + (SELECT count(*) FROM s WHERE source <> 'F' AND status = 'removed') AS n),
+old_removed AS (WITH {_DNS_CTE} SELECT count(*) AS n FROM s WHERE status = 'removed')
+SELECT 'both' AS run, nd.n + nr.n AS records_found, d.added + r.added AS added, d.updated + r.updated AS updated,
+       d.removed + r.removed AS removed, d.reactivated + r.reactivated AS reactivated,
+       CAST(new_removed.n AS BIGINT) AS removed_records FROM d, r, nd, nr, new_removed
+UNION ALL
+SELECT 'no_records', nd.n, d.added, d.updated, d.removed, d.reactivated, CAST(old_removed.n AS BIGINT)
+FROM d, nd, old_removed""",
     "j1_match_batch": "WITH " + _DNS_CTE + """
 SELECT in_s AS in_snapshot, in_b AS in_batch, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1, 2""",
     "j2_scope_to_batch": "WITH " + _DNS_CTE + """

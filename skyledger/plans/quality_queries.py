@@ -34,7 +34,7 @@ GROUP BY 1 HAVING count(*) > 1""",
     "q1_snapshot_key_violations": """SELECT domain, subdomain, record_type, data, source, CAST(count(*) AS BIGINT) AS rows
 FROM (SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
   l_returnflag AS record_type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5)
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5)
 GROUP BY 1, 2, 3, 4, 5 HAVING count(*) > 1""",
     "q2_running_run_violations": "WITH " + LOG + """ SELECT collector_name,
   CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS running FROM log GROUP BY 1

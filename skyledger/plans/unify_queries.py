@@ -192,13 +192,13 @@ SQL = {
   SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS registrar,
          CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status,
          CAST(min(o_orderdate) AS DATE) AS discovery_date, CAST(max(o_orderdate) AS DATE) AS last_seen
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
+  FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT') GROUP BY 1, 2),
 r AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
          l_returnflag AS record_type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source,
          CASE WHEN max(l_shipdate) < TIMESTAMP '1997-01-01' THEN 'removed' ELSE 'active' END AS status,
          CAST(min(l_shipdate) AS DATE) AS discovery_date, CAST(max(l_shipdate) AS DATE) AS last_seen
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5)
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5)
 SELECT 'domain' AS asset_type, domain AS name, registrar AS provider, 'Domain removed from registrar' AS details,
        strftime(discovery_date, '%Y-%m-%d') AS discovery_date, strftime(last_seen, '%Y-%m-%d') AS removed_date,
        'removed' AS status FROM s WHERE status = 'removed'
@@ -221,13 +221,13 @@ FROM pa WHERE status = 'removed'""",
   SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS registrar,
          CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status,
          strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
+  FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT') GROUP BY 1, 2),
 r AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
          l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source,
          CASE WHEN max(l_shipdate) < TIMESTAMP '1997-01-01' THEN 'removed' ELSE 'active' END AS status,
          strftime(max(l_shipdate), '%Y-%m-%d') AS last_seen
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5),
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5),
 u AS (
 SELECT 'Domains' AS asset_type, domain AS name, registrar AS type, registrar AS source, last_seen AS removed_date, status
 FROM s WHERE status = 'removed'
@@ -237,12 +237,12 @@ SELECT * FROM u WHERE """ + _range("removed_date", "1996-06-01", "1997-06-30"),
     "u2_removed_dns_literal": """WITH s AS (
   SELECT 'd' || CAST(o_custkey AS VARCHAR) AS domain, o_orderpriority AS registrar,
          CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2),
+  FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT') GROUP BY 1, 2),
 r AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS domain, CAST(l_linenumber AS VARCHAR) AS subdomain,
          l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source,
          CASE WHEN max(l_shipdate) < TIMESTAMP '1997-01-01' THEN 'removed' ELSE 'active' END AS status
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5)
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5)
 SELECT 'Domains' AS asset_type, domain AS name, registrar AS type, registrar AS source, 'N/A' AS removed_date, status
 FROM s WHERE status = 'removed'
 UNION ALL

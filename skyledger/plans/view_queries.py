@@ -222,7 +222,7 @@ SQL = {
          CASE WHEN max(o_orderdate) < TIMESTAMP '1998-01-01' THEN 'removed' ELSE 'active' END AS status,
          CAST(max(o_orderdate) AS DATE) + 365 AS expiry_date,
          CAST(min(o_orderdate) AS DATE) AS discovery_date, CAST(max(o_orderdate) AS DATE) AS last_seen
-  FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2)
+  FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderpriority = '1-URGENT') GROUP BY 1, 2)
 SELECT domain, registrar, status, strftime(expiry_date, '%Y-%m-%d') AS expiry_date,
        strftime(discovery_date, '%Y-%m-%d') AS discovery_date, strftime(last_seen, '%Y-%m-%d') AS last_seen
 FROM s WHERE status = 'removed' AND registrar = '3-MEDIUM'""",
@@ -231,7 +231,7 @@ FROM s WHERE status = 'removed' AND registrar = '3-MEDIUM'""",
          l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS data, l_linestatus AS source,
          CASE WHEN max(l_shipdate) < TIMESTAMP '1997-01-01' THEN 'removed' ELSE 'active' END AS status,
          CAST(min(l_shipdate) AS DATE) AS discovery_date, CAST(max(l_shipdate) AS DATE) AS last_seen
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2, 3, 4, 5)
+  FROM lineitem WHERE NOT (l_shipdate >= TIMESTAMP '2000-01-01' AND l_linestatus = 'F') GROUP BY 1, 2, 3, 4, 5)
 SELECT domain, subdomain, type, data, source, status, strftime(discovery_date, '%Y-%m-%d') AS discovery_date,
        strftime(last_seen, '%Y-%m-%d') AS last_seen FROM s WHERE status = 'active' AND source = 'O'""",
     "f4_filter_account": f"WITH {CUST_CTE} SELECT {PROJ} FROM cust WHERE account = 'NATION_7'",
