@@ -28,10 +28,6 @@ from pyspark.sql import functions as F
 
 from skyledger.schemas import DNS_KEY, DOMAIN_KEY
 
-# Largest number of scope domains broadcast to the executors (about 100 bytes
-# each); above it the scope join is a shuffled join.
-BROADCAST_SCOPE_MAX_ROWS = 2_000_000
-
 CHANGE_ADDED = "added"
 CHANGE_UPDATED = "updated"
 CHANGE_REACTIVATED = "reactivated"
@@ -72,25 +68,16 @@ def dedupe_last(df: DataFrame, keys: list[str], order: str, count_col: str = "_n
 
 
 # J2 -------------------------------------------------------------------------
-def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame,
-                   max_broadcast_rows: int = BROADCAST_SCOPE_MAX_ROWS) -> DataFrame:
+def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame) -> DataFrame:
     """Add ``_scope`` = the row's domain is among ``batch_domains``.
 
-    A domain set within ``max_broadcast_rows`` is broadcast. A larger one is
-    checkpointed to the shared checkpoint folder first: the join then reads
-    it as a plain shuffle stage, which is what lets AQE split a snapshot
-    partition holding a hot domain (a distinct aggregate directly under the
-    join would block the skew split)."""
-    from skyledger.session import checkpoint_dir
-
-    scope = batch_domains.select("domain").distinct().withColumn("_scope", F.lit(True))
-    # the batch's row count bounds its distinct domains and needs no shuffle;
-    # the exact distinct count is taken only when that bound is too high
-    if batch_domains.count() <= max_broadcast_rows or scope.count() <= max_broadcast_rows:
-        scope = F.broadcast(scope)
-    else:
-        checkpoint_dir(snapshot.sparkSession)
-        scope = scope.checkpoint(eager=True)
+    A plain left join on the distinct domains: the planner broadcasts the set
+    when its runtime bytes allow, and no job runs while the plan is built. The
+    set is spread by a hash of the domain, so the join shuffles it anew: as a
+    shuffle of its own AQE can pair it with the splits of a snapshot partition
+    that holds a hot domain (the distinct's own shuffle would block that)."""
+    scope = (batch_domains.select("domain").distinct().withColumn("_scope", F.lit(True))
+             .repartition(F.xxhash64("domain")))
     return (snapshot.join(scope, "domain", "left")
             .withColumn("_scope", F.coalesce(F.col("_scope"), F.lit(False))))
 

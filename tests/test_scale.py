@@ -33,19 +33,22 @@ def test_hot_key_batch_is_combined_map_side(spark):
     assert hot["_n"] == n // 3 and hot["raw_data"] == str(n - 3)
 
 
-def test_scope_broadcast_only_under_limit(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        snap = spark.range(1000).select(F.concat(F.lit("d"), (F.col("id") % 50).cast("string")).alias("domain"),
-                                        F.col("id"))
-        dom = spark.range(10).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain"))
-        small = M.scope_to_batch(snap, dom, max_broadcast_rows=100)
-        big = M.scope_to_batch(snap, dom, max_broadcast_rows=5)
-        assert "BroadcastHashJoin" in _plan(small)
-        assert "BroadcastHashJoin" not in _plan(big)
-        assert small.filter("_scope").count() == big.filter("_scope").count() == 200
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_scope_broadcast_is_the_planners_choice(spark):
+    snap = spark.range(1000).select(F.concat(F.lit("d"), (F.col("id") % 50).cast("string")).alias("domain"),
+                                    F.col("id"))
+    dom = spark.range(10).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain"))
+    counts = []
+    for threshold in ["10MB", "-1"]:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+        try:
+            scoped = M.scope_to_batch(snap, dom)
+            assert ("BroadcastHashJoin" in _plan(scoped)) == (threshold != "-1")
+            counts.append(scoped.filter("_scope").count())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert counts == [200, 200]
 
 
 def test_top_hits_limit_runs_before_shuffle(spark):
@@ -90,6 +93,8 @@ def test_bucketed_snapshot_is_not_shuffled_by_the_merge(spark, tmp_path):
     batch = spark.createDataFrame([(f"d{i}.io", f"s{i}", "A", str(i), 60, 0, None, i) for i in range(0, 500, 7)],
                                   "domain string, subdomain string, record_type string, data string, ttl int, "
                                   "priority int, raw_data string, _ordinal long")
+    batch.write.parquet(str(tmp_path / "batch"))      # a landed batch: its size is known to the planner
+    batch = spark.read.parquet(str(tmp_path / "batch"))
     m = M.merge_dns_records(store.read(), batch, "GD", "2024-01-05")
     plan = _plan(m.source_rows)
     join = plan[plan.index("SortMergeJoin"):]
@@ -128,7 +133,7 @@ def test_unbroadcast_scope_join_splits_a_hot_domain(spark):
             .alias("domain"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
         dom = spark.range(0, n, 10).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("domain")).union(
             spark.createDataFrame([("hot.io",)], "domain string"))
-        scoped = M.scope_to_batch(snap, dom, max_broadcast_rows=0)
+        scoped = M.scope_to_batch(snap, dom)
         got = sum(1 for r in scoped.collect() if r["_scope"])          # runs this very plan to its final form
         plan = scoped._jdf.queryExecution().executedPlan().toString()
         assert got == n // 3 + len([i for i in range(0, n, 10) if i % 3 != 0])
