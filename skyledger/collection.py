@@ -21,6 +21,10 @@ from skyledger.schemas import RUN_LOG_DDL
 from skyledger.sources import readers as S
 
 
+class RunInProgress(RuntimeError):
+    """Another run of the same collector is running."""
+
+
 @dataclass
 class CollectionStores:
     domains: S.SnapshotStore      # partitioned by registrar
@@ -61,15 +65,18 @@ def _batches(provider: str, domain_docs: DataFrame, record_docs: DataFrame, as_o
 
 def run_collection(spark: SparkSession, stores: CollectionStores, provider: str, domain_docs: DataFrame,
                    record_docs: DataFrame, as_of: str, now: str, run_id: str, event_seq: int,
-                   trigger: str = "scheduled", checked_domains: DataFrame | None = None,
-                   version: int | None = None) -> DataFrame:
+                   trigger: str = "scheduled", checked_domains: DataFrame | None = None) -> DataFrame:
     """Run one collection of ``provider`` from its landed pages and return
-    the closing run-log event (one row). With ``version`` the merged
-    partitions are committed as that version, merging from older versions
-    only, so running the same collection again is idempotent."""
+    the closing run-log event (one row). Each store records the version that
+    ``run_id`` commits and merges from older versions only, so running the
+    same collection again is idempotent. Refused (``RunInProgress``, nothing
+    logged) while another run of the collector is running."""
     collector = provider.lower()
-    log0 = spark.createDataFrame([], RUN_LOG_DDL)
-    _append(R.open_run(log0, run_id, collector, "dns", trigger, now, event_seq), stores.run_log_dir)
+    opening = R.open_event_if_free(read_run_log(spark, stores.run_log_dir), run_id, collector, "dns", trigger, now,
+                                   event_seq)
+    if opening.isEmpty():
+        raise RunInProgress(f"a run of {collector} is running")
+    _append(opening, stores.run_log_dir)
     try:
         dom, rec, cached = _batches(provider, domain_docs, record_docs, as_of)
         dom = dom.select("domain", "expiry_date", "raw_data", "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
@@ -77,12 +84,14 @@ def run_collection(spark: SparkSession, stores: CollectionStores, provider: str,
                          "_ordinal").persist(StorageLevel.MEMORY_AND_DISK)
         parts, merges = [], []
         if not dom.isEmpty():
+            version = stores.domains.reserve(provider, run_id)
             m = M.merge_domains(stores.domains.read(before=version, only=provider), dom, provider, as_of,
                                 now).persist()
             stores.domains.commit(m.source_rows, provider, version)
             parts.append(m.stats)
             merges.append(m)
         if not rec.isEmpty():
+            version = stores.records.reserve(provider, run_id)
             m = M.merge_dns_records(stores.records.read(before=version, only=provider), rec, provider, as_of, now,
                                     checked_domains).persist()
             stores.records.commit(m.source_rows, provider, version)

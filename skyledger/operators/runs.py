@@ -51,6 +51,22 @@ def open_run(log: DataFrame, run_id: str, collector: str, service_type: str, tri
     return log.unionByName(row)
 
 
+def open_run_if_free(log: DataFrame, run_id: str, collector: str, service_type: str, trigger: str,
+                     now, event_seq: int) -> DataFrame:
+    """``open_run``, refused (no event) while another run of the collector is
+    ``running``; the run's own earlier attempt does not count."""
+    return log.unionByName(open_event_if_free(log, run_id, collector, service_type, trigger, now, event_seq))
+
+
+def open_event_if_free(log: DataFrame, run_id: str, collector: str, service_type: str, trigger: str,
+                       now, event_seq: int) -> DataFrame:
+    """The ``running`` event alone; empty when the run is refused."""
+    running = current_runs(log.filter(F.col("collector_name") == collector)).filter(
+        (F.col("status") == "running") & (F.col("run_id") != run_id))
+    event = open_run(log.limit(0), run_id, collector, service_type, trigger, now, event_seq)
+    return event.join(running.select("collector_name"), "collector_name", "left_anti").select(*log.columns)
+
+
 def current_runs(log: DataFrame) -> DataFrame:
     """State of every run = its latest event (partial aggregation per run)."""
     payload = [c for c in RUN_COLUMNS if c != "run_id"]
@@ -137,8 +153,13 @@ def is_running(runs: DataFrame, collector: str) -> DataFrame:
 
 # R4 -------------------------------------------------------------------------
 def collector_status(runs: DataFrame) -> DataFrame:
-    """Latest run and running flag of every collector (one row each)."""
-    return latest_runs(runs).join(running_collectors(runs), "collector_name")
+    """Latest run and running flag of every collector (one row each), folded
+    in one pass over the runs."""
+    payload = [c for c in runs.columns if c != "collector_name"]
+    return (runs.groupBy("collector_name")
+            .agg(F.max_by(F.struct(*payload), F.struct("started_at", "run_id")).alias("_r"),
+                 (F.count_if(F.col("status") == "running") > 0).alias("is_running"))
+            .select("collector_name", "_r.*", "is_running"))
 
 
 # R5 / R6 ----------------------------------------------------------------------
@@ -202,9 +223,13 @@ def parse_metadata(docs: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Read metadata into the flat table: one document per file, or with
-    ``lines`` one document per line (as ``sinks.export_metadata`` writes)."""
-    return parse_metadata(spark.read.text(path) if lines else spark.read.text(path, wholetext=True))
+    """Read metadata into the flat table. A file is one document, indented or
+    not, or several that each start on a line of their own; ``lines`` reads
+    one document per line, splittably."""
+    if lines:
+        return parse_metadata(spark.read.text(path))
+    docs = spark.read.text(path, wholetext=True)
+    return parse_metadata(docs.select(F.explode(F.split("value", r"\r?\n(?=\{)")).alias("value")))
 
 
 # J3 -------------------------------------------------------------------------

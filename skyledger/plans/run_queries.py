@@ -84,6 +84,14 @@ def r1_open_run(spark, sf):
     return X.finalize(R.current_runs(log).filter(F.col("collector_name") == "c1"))
 
 
+def r1_refused_when_running(spark, sf):
+    """Two runs of c1 in a row: the second is refused, and the first too
+    when the log already holds a running run of c1."""
+    log = R.open_run_if_free(run_log(spark, sf), "new-1", "c1", "dns", "manual", NOW, 10 ** 9)
+    log = R.open_run_if_free(log, "new-2", "c1", "dns", "manual", NOW, 10 ** 9 + 1)
+    return X.finalize(R.current_runs(log).filter(F.col("collector_name") == "c1"))
+
+
 def r2_close_run(spark, sf):
     log = R.open_run(run_log(spark, sf), "new-1", "c1", "dns", "manual", NOW, 10 ** 9)
     log = R.close_run(log, "new-1", 12, 3, 9, 1, None, "2024-01-31 00:05:00", 10 ** 9 + 1)
@@ -105,6 +113,7 @@ def r6_relative_time(spark, sf):
 
 QUERIES = {
     "r1_open_run": r1_open_run,
+    "r1_refused_when_running": r1_refused_when_running,
     "r2_close_run": r2_close_run,
     "r3_repair_stale": lambda s, sf: X.finalize(R.repair_stale(_runs(s, sf), NOW)),
     "r3_stale_count": lambda s, sf: R.stale_count(_runs(s, sf), NOW),
@@ -178,6 +187,11 @@ SQL = {
     "r1_open_run": "WITH " + LOG + f""", allr AS (SELECT * FROM log UNION ALL
   SELECT 'new-1', 'c1', 'dns', 'running', TIMESTAMP '2024-01-31 00:00:00', NULL, NULL, NULL, NULL, NULL,
          NULL, 'manual', 1000000000)
+SELECT {RUN_OUT} FROM allr WHERE collector_name = 'c1'""",
+    "r1_refused_when_running": "WITH " + LOG + f""", allr AS (SELECT * FROM log UNION ALL
+  SELECT 'new-1', 'c1', 'dns', 'running', TIMESTAMP '2024-01-31 00:00:00', NULL, NULL, NULL, NULL, NULL,
+         NULL, 'manual', 1000000000
+  WHERE NOT EXISTS (SELECT 1 FROM log WHERE collector_name = 'c1' AND status = 'running'))
 SELECT {RUN_OUT} FROM allr WHERE collector_name = 'c1'""",
     "r2_close_run": "WITH " + LOG + f""", allr AS (SELECT * FROM log WHERE collector_name IN ('c1', 'c2') UNION ALL
   SELECT 'new-1', 'c1', 'dns', 'completed', TIMESTAMP '2024-01-31 00:00:00', TIMESTAMP '2024-01-31 00:05:00',

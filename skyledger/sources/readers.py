@@ -258,14 +258,41 @@ class SnapshotStore:
         cols = [f.name for f in T.StructType.fromDDL(self.schema).fields]
         return df.select(*cols)
 
+    def _reserved(self, value: str) -> list[tuple[str, int]]:
+        path = f"{self._partition(value)}/runs"
+        if not path_exists(self.spark, path):
+            return []
+        return [(r["run_id"], r["version"]) for r in self.spark.read.parquet(path).toLocalIterator()]
+
+    def reserve(self, value: str, run_id: str) -> int:
+        """Version that run ``run_id`` commits: the one recorded for it (a
+        replay), or the next free number, recorded before anything is written.
+        A replay of an uncommitted run takes a new number when a later version
+        has been committed meanwhile."""
+        part = self._partition(value)
+        committed = [n for n, _ in _versions(self.spark, part)]
+        reserved = self._reserved(value)
+        own = max((n for r, n in reserved if r == run_id), default=None)
+        if own is not None and (own in committed or own > max(committed, default=-1)):
+            return own
+        nxt = max(committed + [n for _, n in reserved], default=-1) + 1
+        self.spark.range(0, 1, 1, 1).select(F.lit(run_id).alias("run_id"), F.lit(nxt).alias("version")).write.mode(
+            "append").parquet(f"{part}/runs")
+        return nxt
+
     def commit(self, rows: DataFrame, value: str, version: int | None = None) -> int:
         """Commit the complete new rows of one source as its next version, or
-        as ``version`` (rewritten when it exists: replays are idempotent)."""
+        as the ``version`` its run has reserved. A committed version is never
+        written again: the replay of a committed run keeps it."""
         part = self._partition(value)
         if version is None:
-            nxt, mode = _next_version(self.spark, part)
+            nxt = max([n for n, _ in _versions(self.spark, part)] + [n for _, n in self._reserved(value)],
+                      default=-1) + 1
         else:
-            nxt, mode = version, "overwrite"
+            nxt = version
+            if path_exists(self.spark, f"{part}/v={nxt}/_SUCCESS"):
+                return nxt
+        mode = "overwrite"  # an uncommitted folder is what a failed attempt of this version left
         rows = rows.drop(self.col)
         if "domain" in rows.columns:
             rows = rows.sortWithinPartitions("domain")

@@ -10,13 +10,21 @@ The landed folder is a file stream; each micro-batch (``Trigger.AvailableNow``
 for scheduled runs, or a processing-time trigger) is one collection run:
 normalise, merge domains and records, commit the merged source partitions,
 log the run (``collection.run_collection``). Progress lives in the stream
-checkpoint, so a restarted job resumes after the last committed batch. Store
-versions are numbered by batch id and a batch merges only from older
-versions, so a replayed batch rewrites exactly what it wrote before.
+checkpoint, so a restarted job resumes after the last committed batch. A run
+is named after the stream and its batch; the stores record the version each
+run commits, so a replayed batch keeps its version and any other run, of
+this or another stream or of the command line, takes the next free one.
+
+A micro-batch is taken for a whole fetch, as when the fetch has landed before
+the run starts. With a ``pending`` folder pages may land over several
+micro-batches: every envelope then names its ``fetch``, its pages are kept in
+the folder, and the collection runs when ``{"kind": "end", "fetch": ...}``
+arrives, over all pages of that fetch.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,7 +35,7 @@ from skyledger.collection import CollectionStores, read_run_log, run_collection
 from skyledger.operators import normalize as N
 from skyledger.operators import runs as R
 
-ENVELOPE = "kind STRING, domain STRING, zone_id STRING, body STRING"
+ENVELOPE = "kind STRING, fetch STRING, domain STRING, zone_id STRING, body STRING"
 
 
 @dataclass
@@ -37,21 +45,38 @@ class IncrementalSync:
     checkpoint: str                  # stream checkpoint folder (shared storage)
     provider: str = N.GODADDY
     as_of: Callable[[], str] | None = None   # date of a batch; default: the processing date
+    pending: str | None = None       # folder of pages whose fetch has not ended (shared storage)
+
+    def stream_id(self, spark: SparkSession) -> str:
+        """Identity of the stream's checkpoint (a new one after a reset)."""
+        return json.loads(spark.read.text(f"{self.checkpoint}/metadata").first()["value"])["id"]
 
     def _batch(self, lines: DataFrame, epoch_id: int) -> None:
         spark = lines.sparkSession
         if lines.isEmpty():
             return
+        name = f"{self.provider.lower()}-{self.stream_id(spark)}"
         as_of = self.as_of() if self.as_of else spark.range(1).select(
             F.current_date().cast("string")).first()[0]
         env = lines.select(F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("_doc"),
                            F.from_json("value", ENVELOPE).alias("e"))
+        if self.pending is None:
+            return self._collect(env, as_of, f"{name}-{epoch_id}", 2 * epoch_id)
+        env.write.mode("overwrite").parquet(f"{self.pending}/{name}/batch={epoch_id}")
+        pages = spark.read.parquet(f"{self.pending}/{name}").filter(F.col("batch") <= epoch_id)
+        # a fetch ends once, so a micro-batch holds a handful of ends at most
+        ends = pages.filter((F.col("batch") == epoch_id) & (F.col("e.kind") == "end")).select("e.fetch").distinct()
+        for end in ends.orderBy("fetch").toLocalIterator():
+            self._collect(pages.filter(F.col("e.fetch") == end["fetch"]), as_of, f"{name}-fetch-{end['fetch']}",
+                          2 * epoch_id)
+
+    def _collect(self, env: DataFrame, as_of: str, run_id: str, event_seq: int) -> None:
         domain_docs = env.filter(F.col("e.kind") == "domains").select("_doc", F.col("e.body").alias("value"))
         record_docs = env.filter(F.col("e.kind") == "records").select(
             F.col("e.domain").alias("domain"), F.col("e.zone_id").alias("zone_id"), "_doc",
             F.col("e.body").alias("value"))
-        run_collection(spark, self.stores, self.provider, domain_docs, record_docs, as_of, f"{as_of} 00:00:00",
-                       f"{self.provider.lower()}-{epoch_id}", 2 * epoch_id, version=epoch_id + 1)
+        run_collection(env.sparkSession, self.stores, self.provider, domain_docs, record_docs, as_of,
+                       f"{as_of} 00:00:00", run_id, event_seq)
 
     def start(self, spark: SparkSession, available_now: bool = True, processing_time: str | None = None):
         stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(self.landed_dir)

@@ -50,12 +50,39 @@ def test_two_days_and_replay(spark):
     assert len(runs) == 2
     assert sorted((r["records_added"], r["records_removed"]) for r in runs.values()) == [(1, 3), (5, 0)]
 
-    # replay the second batch: the same version is rewritten from the older one
+    # replay the second batch: it keeps its version
     part = f"{base}/d/registrar=GoDaddy"
     before = S.latest_version(spark, part)
     docs = spark.read.text(f"{base}/landed/d2").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    job._batch(docs, before - 1)
+    job._batch(docs, 1)
     assert S.latest_version(spark, part) == before
     again = {r["domain"]: (r["status"], str(r["last_seen"])) for r in job.domains().collect()}
     assert again == snap
+
+    # a reset checkpoint starts again at batch 0: its run takes the next free version
+    day["v"] = "2024-03-03"
+    fresh = IncrementalSync(f"{base}/landed2", stores, f"{base}/ckpt2", as_of=lambda: day["v"])
+    _drop(f"{base}/landed2/d3", [[{"domain": "a.io"}, {"domain": "e.io"}]])
+    fresh.start(spark).awaitTermination()
+    assert S.latest_version(spark, part) == before + 1
+    now = {r["domain"]: r["status"] for r in job.domains().collect()}
+    assert now["e.io"] == "active" and now["d.io"] == "removed"
+
+
+def test_pages_wait_for_the_end_of_their_fetch(spark):
+    base = tempfile.mkdtemp(prefix="skyledger-fetch-")
+    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/d", "registrar", DOMAINS_DDL),
+                              S.SnapshotStore(spark, f"{base}/r", "source", DNS_DDL), f"{base}/runs")
+    job = IncrementalSync(f"{base}/landed", stores, f"{base}/ckpt", as_of=lambda: "2024-03-01",
+                          pending=f"{base}/pending")
+    os.makedirs(f"{base}/landed")
+    for i, lines in enumerate([[{"kind": "domains", "fetch": "f1", "body": [{"domain": "a.io"}]}],
+                               [{"kind": "domains", "fetch": "f1", "body": [{"domain": "b.io"}]},
+                                {"kind": "end", "fetch": "f1"},
+                                {"kind": "domains", "fetch": "f2", "body": [{"domain": "z.io"}]}]]):
+        with open(f"{base}/landed/{i}.txt", "w") as f:
+            f.writelines(json.dumps(x) + "\n" for x in lines)
+        job.start(spark).awaitTermination()
+        seen = {r["domain"] for r in job.domains().collect()}
+        assert seen == (set() if i == 0 else {"a.io", "b.io"})
