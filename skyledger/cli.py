@@ -13,8 +13,8 @@ Spark job here:
   index     build the provider-partitioned search index from asset files      (search page data)
   search    search the index: per-service counts and first hits               (search page)
 
-Printed output is always bounded (a page, ten hits per service, one row per
-collector); full results are written by the executors.
+Printed output is a page, ten hits per service or one row per collector, fetched
+one partition at a time; full results are written by the executors.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ def _stores(spark, base: str) -> CollectionStores:
                             S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL, "status"), f"{base}/runs")
 
 
-def _print(df, limit: int) -> None:
-    for row in df.limit(limit).toLocalIterator():
+def _print(df, limit: int | None = None) -> None:
+    for row in (df if limit is None else df.limit(limit)).toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), default=str))
 
 
@@ -64,7 +64,7 @@ def cmd_sync(spark, a) -> None:
 
 def cmd_status(spark, a) -> None:
     runs = R.current_runs(read_run_log(spark, f"{a.store}/runs"))
-    _print(R.collector_status(runs).orderBy("collector_name"), 10_000)
+    _print(R.collector_status(runs).orderBy("collector_name"))
 
 
 def cmd_repair(spark, a) -> None:
@@ -79,11 +79,11 @@ def cmd_repair(spark, a) -> None:
 
 def cmd_export(spark, a) -> None:
     stores = _stores(spark, a.store)
-    meta = (R.read_metadata(spark, a.metadata, lines=True) if a.metadata else
+    meta = (R.read_metadata(spark, a.metadata) if a.metadata else
             spark.createDataFrame([], "provider_key string, name string, provider string, schedule string, "
                                       "provider_last_updated string, service string, last_updated string, "
                                       "count bigint"))
-    K.export_all(stores.domains.read(), stores.records.read(), meta, a.out, a.now)
+    K.export_all(stores.domains.read(), stores.records.read(), meta, a.out, a.now, document=True)
 
 
 def cmd_domains(spark, a) -> None:
@@ -106,8 +106,9 @@ def cmd_view(spark, a) -> None:
                         sort_col=a.sort_col, direction="desc" if a.desc else "asc", page_no=a.page, rows=a.rows,
                         hidden=[int(x) for x in (a.hide or "").split(",") if x])
     if a.summary:
+        by_name = {view.columns[int(k)].data if k.isdigit() else k: v for k, v in filters.items()}
         filtered = V.filter_columns(V.search_rows(V.filter_account(V.not_removed(df), a.account), a.search, view),
-                                    filters)
+                                    by_name)
         _print(V.page_summary(filtered, a.page, a.rows), 1)
         _print(V.status_stats(df), 1)
     if a.rows == -1:  # every row, fetched one partition at a time
@@ -120,13 +121,13 @@ def cmd_view(spark, a) -> None:
 def cmd_index(spark, a) -> None:
     services, skipped = S.read_catalog(spark, search_manifest(a.data_dir))
     U.build_search_index(services).write.mode("overwrite").partitionBy("provider").parquet(a.out)
-    _print(skipped, 1000)
+    _print(skipped)
 
 
 def cmd_search(spark, a) -> None:
     hits = U.search_index(spark.read.parquet(a.index), a.q, a.providers.split(",") if a.providers else None)
     _print(U.search_totals(hits), 1)
-    _print(U.top_hits(hits, 10).orderBy("provider", "service", "rank"), 10_000)
+    _print(U.top_hits(hits, 10).orderBy("provider", "service", "rank"))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -117,8 +117,15 @@ def status_dashboard(services: list[Service]) -> DataFrame:
 # U3 -------------------------------------------------------------------------
 def removed_service(df: DataFrame, view: ViewSpec, date_from: str | None = None,
                     date_to: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Removed rows of one service in its own column list."""
-    return project_view(filter_removed_between(only_removed(df), date_from, date_to), view, keep)
+    """Removed rows of one service in its own column list. The date range
+    applies to ``removed_date``, or to ``last_seen`` where a row has none
+    (rows of the merge have no ``removed_date``)."""
+    removed = only_removed(df)
+    dates = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("removed_date", "last_seen") if c in df.columns]
+    if dates and (date_from or date_to):
+        removed = filter_removed_between(removed.withColumn("_removed_on", F.coalesce(*dates)), date_from, date_to,
+                                         "_removed_on").drop("_removed_on")
+    return project_view(removed, view, keep)
 
 
 # G1 -------------------------------------------------------------------------

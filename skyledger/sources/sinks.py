@@ -84,13 +84,29 @@ def metadata_documents(flat: DataFrame, now: str) -> DataFrame:
                                           F.lit(now).alias("last_updated"))).alias("value"))
 
 
-def export_metadata(flat: DataFrame, path: str, now: str) -> None:
-    metadata_documents(flat, now).write.mode("overwrite").text(path)
+def metadata_document(flat: DataFrame, now: str) -> DataFrame:
+    """Flat metadata -> the one nested document of the metadata file. For a
+    catalog of services (some hundred entries), which becomes one row."""
+    entry = F.when(F.col("service").isNotNull(), F.struct("service", F.struct("last_updated", "count").alias("v")))
+    heads = ["name", "provider", "schedule", "provider_last_updated"]
+    providers = flat.groupBy("provider_key").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in heads],
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("services"))
+    body = F.struct("name", "provider", "schedule", F.col("provider_last_updated").alias("last_updated"), "services")
+    return providers.agg(F.to_json(F.struct(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider_key", body.alias("v"))),
+                                        lambda a, b: F.when(a["provider_key"] < b["provider_key"], -1).otherwise(1)))
+        .alias("services"), F.lit(now).alias("last_updated"))).alias("value"))
+
+
+def export_metadata(flat: DataFrame, path: str, now: str, document: bool = False) -> None:
+    """Metadata as JSON lines, or with ``document`` as one nested document."""
+    (metadata_document if document else metadata_documents)(flat, now).write.mode("overwrite").text(path)
 
 
 # K5 -------------------------------------------------------------------------
 CSV_OPTIONS = {
-    "header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
+    "header": "false", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n",
 }
 
@@ -102,23 +118,23 @@ def csv_frame(df: DataFrame, view: ViewSpec) -> DataFrame:
 
 
 def export_csv(df: DataFrame, view: ViewSpec, path: str) -> None:
-    """CSV of the filtered and sorted rows (keep ``df``'s order)."""
-    csv_frame(df, view).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    """CSV of the filtered and sorted rows (keep ``df``'s order). The header is
+    the only row of the first part file: the parts joined in name order are
+    one CSV file with one header."""
+    body = csv_frame(df, view)
+    titles = df.sparkSession.range(0, 1, 1, 1).select(
+        *[F.lit(c.title).alias(f"c{i}") for i, c in enumerate(view.columns)])
+    titles.union(body).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 # K7 -------------------------------------------------------------------------
-def export_all(domains: DataFrame, dns: DataFrame, meta: DataFrame, out_dir: str, now: str) -> None:
-    """Domains, records, removed assets and metadata from one persisted copy
-    of each snapshot."""
+def export_all(domains: DataFrame, dns: DataFrame, meta: DataFrame, out_dir: str, now: str,
+               document: bool = False) -> None:
+    """Domains, records, removed assets and metadata. Each export reads its own
+    columns of the committed snapshots; nothing is cached."""
     from skyledger.operators.unify import removed_assets
 
-    d = domains.persist()
-    r = dns.persist()
-    try:
-        export_domains(d, f"{out_dir}/domains")
-        export_dns(r, f"{out_dir}/subdomains")
-        export_removed(removed_assets(d, r), f"{out_dir}/removed")
-        export_metadata(update_metadata(meta, d, r, now), f"{out_dir}/metadata", now)
-    finally:
-        d.unpersist()
-        r.unpersist()
+    export_domains(domains, f"{out_dir}/domains")
+    export_dns(dns, f"{out_dir}/subdomains")
+    export_removed(removed_assets(domains, dns), f"{out_dir}/removed")
+    export_metadata(update_metadata(meta, domains, dns, now), f"{out_dir}/metadata", now, document)
