@@ -145,9 +145,7 @@ def k6_commit_snapshot(spark, sf):
     v1 = S.commit_snapshot(M.merge_dns_records(S.read_snapshot(spark, base), X.dns_batch(spark, sf),
                                                X.DNS_SOURCE, X.DNS_AS_OF, X.DNS_NOW).snapshot,
                            base, partition_by="source")
-    snap = S.read_snapshot(spark, base)
-    return snap.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(v1 - v0).alias("versions_apart"), "source", "status", "n")
+    return X.finalize(S.read_snapshot(spark, base)).withColumn("versions_apart", F.lit(v1 - v0))
 
 
 def k6_commit_source_partition(spark, sf):
@@ -166,12 +164,15 @@ def k7_export_all(spark, sf):
     out = _scratch(spark, "k7")
     meta = R.parse_metadata(metadata_docs(spark, sf))
     K.export_all(X.domain_snapshot(spark, sf), X.dns_snapshot(spark, sf), meta, out, EXPORT_NOW)
-    parts = [("domains", spark.read.json(f"{out}/domains")), ("subdomains", spark.read.json(f"{out}/subdomains")),
-             ("removed", spark.read.json(f"{out}/removed")),
-             ("metadata", R.read_metadata(spark, f"{out}/metadata", lines=True))]
+    text = "{0} STRING, {1} STRING, {2} STRING"
+    parts = [("domains", ["domain", "registrar", "status"]), ("subdomains", ["domain", "source", "status"]),
+             ("removed", ["name", "provider", "removed_date"]), ("metadata", ["service", "provider_key", "last_updated"])]
     res = None
-    for name, df in parts:
-        r = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("file"), "rows")
+    for name, cols in parts:
+        df = (R.read_metadata(spark, f"{out}/{name}", lines=True) if name == "metadata" else
+              _read_json(spark, f"{out}/{name}", text.format(*cols)))
+        r = df.select(F.lit(name).alias("file"), F.col(cols[0]).alias("name"), F.col(cols[1]).alias("provider"),
+                      F.col(cols[2]).alias("value"))
         res = r if res is None else res.unionByName(r)
     return res
 
@@ -246,19 +247,18 @@ UNION ALL SELECT 'dns', 'DNS', 'GoDaddy/Cloudflare', 'daily', '{EXPORT_NOW}', 's
 SELECT {" || ',' || ".join(_csv_cell(c) for c in _CSV_COLS)} AS value FROM cust
 WHERE status IS DISTINCT FROM 'removed'
 UNION ALL SELECT 'Account,Name,Note,Balance,Public,Groups,Status'""",
-    "k6_commit_snapshot": "WITH " + MQ._DNS_CTE + """, snap AS (SELECT source, status FROM m
-  UNION ALL SELECT source, status FROM s WHERE source <> 'F')
-SELECT 1 AS versions_apart, source, status, CAST(count(*) AS BIGINT) AS n FROM snap GROUP BY 2, 3""",
+    "k6_commit_snapshot": f"SELECT 1 AS versions_apart, * FROM ({MQ.SQL['m2_merge_dns_records']})",
     "k6_commit_source_partition": MQ.SQL["m1_merge_domains"],
-    "k7_export_all": f"""WITH {_DOM_S}, {_DNS_S}
-SELECT 'domains' AS file, CAST(count(*) AS BIGINT) AS rows FROM s
-UNION ALL SELECT 'subdomains', CAST(count(*) AS BIGINT) FROM r
-UNION ALL SELECT 'removed', (SELECT CAST(count(*) AS BIGINT) FROM s WHERE status = 'removed')
-  + (SELECT CAST(count(*) AS BIGINT) FROM r WHERE status = 'removed')
-UNION ALL SELECT 'metadata', (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT event_type, user_id FROM events)) + 2""",
 }
 
 
+SQL["k7_export_all"] = f"""
+SELECT 'domains' AS file, domain AS name, registrar AS provider, status AS value FROM ({SQL['k1_export_domains']})
+UNION ALL SELECT 'subdomains', domain, source, status FROM ({SQL['k2_export_dns']})
+UNION ALL SELECT 'removed', name, provider, removed_date FROM ({SQL['k3_export_removed']})
+UNION ALL SELECT 'metadata', service, provider_key, last_updated FROM ({SQL['k4_update_metadata']})"""
+
+
 # --- E1: one collection run end to end -----------------------------------------
 def e1_collection_run(spark, sf):
     from skyledger.collection import CollectionStores, run_collection
