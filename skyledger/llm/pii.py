@@ -8,8 +8,11 @@ chain share a weak potential, and candidates that repeat or resemble one another
 anywhere in the document (same last seven digits, same local part) share a
 strong one. Loopy sum-product over this graph makes the labels agree: a phone
 number given once with its country code and once without is found both times.
-Repeats are linked one to the next, so edges grow with the document, not with
-the square of a repeat's count.
+The field runs on every document with a candidate that is not observed, base
+spans or not: a number given twice can be found by its form and its repeat alone.
+Repeats are linked to the first observed span of each kind of their key, or, if
+the patterns saw none, one to the next: edges grow with the document, not with
+the square of a repeat's count, and no number of repeats outvotes a pattern.
 
 Scale. A document is labelled within its row: nothing is shuffled. The form
 model is fitted on the candidates of a bounded sample of documents
@@ -120,18 +123,20 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, str]]:
     return [(a, z, label, key) for (a, z), (label, key) in sorted(out.items())]
 
 
-def fit(examples: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 1.0) -> np.ndarray:
-    """Multinomial logistic weights (features by labels) of a candidate's form; without examples, everything is label 0."""
+def fit(examples: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None, steps: int = 300, rate: float = 1.0) -> np.ndarray:
+    """Multinomial logistic weights (features by labels) of a candidate's form, each example as often as ``times`` says; without examples, everything is label 0."""
     w = np.zeros((FEATURES, 1 + len(KINDS)))
     if not len(examples):
         w[0, 0] = 6.0
         return w
     target = np.eye(1 + len(KINDS))[labels]
+    part = np.ones(len(examples)) if times is None else np.asarray(times, float)
+    part = (part / part.sum())[:, None]
     for _ in range(steps):
         z = examples @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w -= rate * (examples.T @ (p - target) / len(examples) + 1e-4 * w)
+        w -= rate * (examples.T @ (part * (p - target)) + 1e-4 * w)
     return w
 
 
@@ -160,25 +165,27 @@ def marginals(own: np.ndarray, edges: np.ndarray, weights: np.ndarray, rounds: i
 def label(text: str, weights: np.ndarray, near: float = 0.2, alike: float = 9.0, reach: int = 30, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, by kind as listed, then start."""
     base = base_spans(text)
-    if not base:  # nothing is observed: forms alone add no span
-        return [], []
     nodes = candidates(text, base)
     if len(nodes) == len(base):
         return base, base
     own = np.clip(np.array([_features(text[a:z]) for a, z, _, _ in nodes], float) @ weights, -3.0, 3.0)
     for k, (_, _, seen, _) in enumerate(nodes):
         if seen:
-            own[k] = -50.0
-            own[k, seen] = 50.0
+            own[k] = -1e9  # more than all messages of a document
+            own[k, seen] = 1e9
     edges, strength, last = [], [], {}
+    observed: dict[str, dict[int, int]] = {}  # of each key, the first span of each kind
+    for k, (_, _, seen, key) in enumerate(nodes):
+        if seen and key:
+            observed.setdefault(key, {}).setdefault(seen, k)
     for k, (a, _, _, key) in enumerate(nodes):
         if k and a - nodes[k - 1][1] <= reach:
             edges.append((k - 1, k))
             strength.append(near)
         if key:
-            if key in last:
-                edges.append((last[key], k))
-                strength.append(alike)
+            like = [] if seen else observed[key].values() if key in observed else [last[key]] if key in last else []
+            edges += [(s, k) for s in like]
+            strength += [alike] * len(like)
             last[key] = k
     p = marginals(own, np.array(edges, np.int64).reshape(-1, 2), np.array(strength, float))
     out = list(base)
@@ -215,9 +222,7 @@ def trained(docs: DataFrame, sample_docs: int = 4000) -> np.ndarray:
 
     rows = _texts(sample(docs, sample_docs)).select("text").mapInArrow(run, "row array<double>, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
     table = np.array([r["row"] for r in sorted(rows, key=lambda r: r["row"])], float).reshape(-1, FEATURES + 1)
-    times = np.array([min(r["n"], 1000) for r in sorted(rows, key=lambda r: r["row"])], int)
-    table = np.repeat(table, times, axis=0) if len(table) else table
-    return fit(table[:, :-1], table[:, -1].astype(int))
+    return fit(table[:, :-1], table[:, -1].astype(int), np.array([r["n"] for r in sorted(rows, key=lambda r: r["row"])], float))
 
 
 def _written(spans: list[Span]) -> str:
