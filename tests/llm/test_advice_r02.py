@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from skyledger.llm import pii
+from skyledger.llm import html_extract, pii
 
 TEXT = "doc_id long, text string"
 
@@ -34,3 +34,27 @@ def test_every_candidate_weighs_in_the_form_model(spark):
     docs = spark.createDataFrame([(i, "order 123456789" if i % 3 else "call +1 858 555 2896") for i in range(3600)], TEXT)
     features = np.array([pii._features("123456789"), pii._features("+1 858 555 2896")], float)
     assert np.allclose(pii.trained(docs, 10000), pii.fit(features, np.array([0, 4]), np.array([2400, 1200])))
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_a_class_word_alone_does_not_drop_the_article(spark):
+    story = "The river rose again on day {0} and took the old bridge of village {0} with it."
+    forms = ("<div class='layout with-sidebar'><article><p>{}</p></article></div>", "<div id=content class=no-sidebar><p>{}</p></div>",
+             "<div class='social-news'><article><p>{}</p></article></div>", "<form id=aspnetForm><nav>home</nav><div id=login><p>{}</p></div></form>")
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", f"<html><head><title>t</title><body><nav>menu</nav>{form.format(story.format(i))}<footer>end</footer>") for k, form in enumerate(forms) for i in range(4)]
+    got = texts(spark, rows)
+    assert got == {10 * k + i: story.format(i) for k in range(4) for i in range(4)}
+
+
+def test_marked_containers_go_where_the_template_has_them(spark):
+    page = "<body><div class=ad>buy {0}</div><div class=comments><article class=comment>me too {0}</article></div><main><p>text {0}</main>"
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(4)] + [(9, "http://a.org/9", "<body><p>" + "a long text " * 9 + "<div class=notice>a notice of this page only</div>")]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(4)] == [f"text {i}" for i in range(4)]
+    assert got[9].endswith("a notice of this page only")
