@@ -58,3 +58,19 @@ def test_marked_containers_go_where_the_template_has_them(spark):
     got = texts(spark, rows)
     assert [got[i] for i in range(4)] == [f"text {i}" for i in range(4)]
     assert got[9].endswith("a notice of this page only")
+
+
+def test_text_of_every_page_is_template_and_all_slots_are_text(spark):
+    rng = np.random.default_rng(11)
+    some = lambda k: " ".join("w" + "".join(rng.choice(list("abcdefghij"), 5)) for _ in range(k))
+    rows, want = [], {}
+    for i in range(20):
+        story, intro, side = some(60), some(8), some(5)
+        extra = "<p>Buy our book of the old bridges today.</p>" if i % 4 else ""  # on some pages only
+        rows.append((i, f"http://news.org/{i}", f"<body><div class=top>Daily river paper</div><div class='story-intro'><p>{intro}</p></div>"
+                                                f"<div class=c><p>Published by the desk on {side}</p><p>{story}</p>{extra}<p>Read all our other stories of the day</p></div>"))
+        want[i] = f"{intro}\n{side}\n{story}"
+    rows += [(100 + i, f"http://copy.org/{i}", f"<body><p>{story}</p>") for i in range(12)]  # copies of one page
+    got = texts(spark, rows)
+    assert {i: got[i] for i in want} == want
+    assert {got[100 + i] for i in range(12)} == {story}
