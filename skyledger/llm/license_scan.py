@@ -1,11 +1,19 @@
 """Licence recognition by known sentences and ordered sequence rules.
 
-A text is cut into sentences (at line ends, and at white space after
-``. ; : ! ?``), each is normalised (A-Z lower-cased, everything but a-z and 0-9
-one space, trimmed) and mapped to the identifier of a known licence sentence.
+A sentence begins and ends at a line end or at white space after ``. ; : ! ?``; it
+may run over line ends, but not over a blank line. What stands before the first
+letter or digit of a line (indentation, comment marks, bullets) is not part of it,
+and a line without any is blank. Sentences are normalised (A-Z lower-cased,
+everything but a-z and 0-9 one space, trimmed) and mapped to the identifier of a
+known sentence: ``PUBLISHED`` holds sentences of published licences and headers,
+``SENTENCES`` short notices and parts of them; the longest that fits is taken.
 The known identifiers of a text, in order, are held against the licence rules:
 a rule names a sequence of identifiers that must follow one another; the first
-rule that matches, in the rules' order, is the text's licence.
+rule that matches, in the rules' order, is the text's licence. A rule is passed
+over where a longer one that begins with it matches.
+
+``n_sentences`` counts pieces between line ends, as the SQL twin does; the twin knows
+the notices only, and gives the same on texts without published licences.
 
 Everything is an expression over one row: no shuffle, no skew, and a text of any
 length stays in its row. Null and empty texts have no sentences; equal rows are
@@ -17,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.license_texts import PUBLISHED, PUBLISHED_RULES, SLOTS
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Sentences of public licence texts and notices, normalised.
@@ -58,22 +68,45 @@ RULES = (
 _ENDS = r"([.;:!?])[\x20\x09-\x0D]+"
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+_EDGE = "\u0001"  # a sentence end or blank line; a line end stays as it is
+
+
+def _stream(text: Column) -> Column:
+    """The normalised words of a text between single spaces, line ends and edges."""
+    lines = F.regexp_replace(F.translate(text, UPPER + _EDGE, LOWER + " "), r"(^|\n)[^a-z0-9\n]+", "$1")
+    edged = F.regexp_replace(lines, r"[.;:!?][\x20\x09-\x0D]+|\n{2,}", _EDGE)
+    spaced = F.regexp_replace(edged, f"[^a-z0-9\n{_EDGE}]+", " ")
+    out = F.trim(F.regexp_replace(F.regexp_replace(spaced, r" ?\n ?", "\n"), f"[ \n]*{_EDGE}[ \n{_EDGE}]*", _EDGE))
+    for before, name, after in SLOTS:
+        out = F.regexp_replace(out, "(" + _wrapped(before) + rf")(?:[a-z0-9]+[ \n{_EDGE}]){{1,20}}?(" + _wrapped(after[1:]) + ")", f"$1{name} $2")
+    return out
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def _wrapped(text: str) -> str:
+    return text.replace(" ", "[ \n]")
+
+
+def scan(docs: DataFrame, sentences: dict[str, str] = {**SENTENCES, **PUBLISHED}, rules: tuple = PUBLISHED_RULES + RULES) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (known ones in order), licenses (all that match, in rule order) and license (the first)."""
-    longest = max(map(len, sentences.values()))
     known = F.create_map(*[F.lit(x) for name, text in sentences.items() for x in (text, name)])
-    cut = docs.select("doc_id", F.split(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), _ENDS, "$1\n"), "\n").alias("cut"))
-    full = cut.select("doc_id", F.filter("cut", lambda s: s.rlike("[A-Za-z0-9]")).alias("cut"))
-    # a known sentence has a known number of letters and digits at most, so few others are normalised
-    letters = "|".join(sorted({text.split(" ")[0] for text in sentences.values()}))
-    likely = F.filter("cut", lambda s: s.rlike(f"^[^A-Za-z0-9]*(?i:{letters})[^A-Za-z0-9]") & (F.regexp_count(s, F.lit("[A-Za-z0-9]")) <= longest))
-    found = full.select("doc_id", F.size("cut").cast("long").alias("n_sentences"), F.array_compact(F.transform(likely, lambda s: known[_normalised(s)])).alias("ids"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cut = F.filter(F.split(F.regexp_replace(text, _ENDS, "$1\n"), "\n"), lambda s: s.rlike("[A-Za-z0-9]"))
+    # a text without the first two words of any known sentence is not normalised
+    begins = "|".join(sorted({"[^A-Za-z0-9]+".join(s.split(" ")[:2]) for s in sentences.values()}))
+    whole = "|".join(_wrapped(s) for s in sorted(sentences.values(), key=lambda s: (-len(s), s)))
+    hits = F.regexp_extract_all(_stream(text), F.lit(f"(?:^|(?<=[\n{_EDGE}]))(?:{whole})(?=$|[\n{_EDGE}])"), 0)
+    ids = F.when(text.rlike(f"(?i)(?:{begins})"), F.transform(hits, lambda s: known[F.translate(s, "\n", " ")])).otherwise(F.array().cast("array<string>"))
+    found = docs.select("doc_id", F.size(cut).cast("long").alias("n_sentences"), ids.alias("ids"))
     line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    hits = F.array_distinct(F.array_compact(F.array(*[F.when(F.instr(line, f",{','.join(ids)},") > 0, F.lit(name)) for name, ids in rules])))
+
+    def told(name: str, ids: tuple[str, ...]) -> Column:
+        out = F.instr(line, f",{','.join(ids)},") > 0
+        for other, more in rules:
+            if other != name and len(more) > len(ids) and more[: len(ids)] == ids:
+                out &= F.instr(line, f",{','.join(more)},") == 0
+        return F.when(out, F.lit(name))
+
+    hits = F.array_distinct(F.array_compact(F.array(*[told(name, ids) for name, ids in rules])))
     return (found.withColumn("hits", hits)
             .select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"), F.array_join("hits", ",").alias("licenses"), F.get("hits", F.lit(0)).alias("license")))
 

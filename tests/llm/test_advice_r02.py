@@ -1,9 +1,11 @@
 """Cases that a review found cut short: each failed before its fix."""
 
+import pathlib
+
 import numpy as np
 import pytest
 
-from skyledger.llm import html_extract, pii
+from skyledger.llm import html_extract, license_scan, pii
 
 TEXT = "doc_id long, text string"
 
@@ -74,3 +76,80 @@ def test_text_of_every_page_is_template_and_all_slots_are_text(spark):
     got = texts(spark, rows)
     assert {i: got[i] for i in want} == want
     assert {got[100 + i] for i in range(12)} == {story}
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2015 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER BE LIABLE"""
+NAMES = """3. Neither the name of Example Widgets, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+"""
+
+
+def licences(spark, rows):
+    return {r.doc_id: (r.license, r.licenses) for r in license_scan.scan(spark.createDataFrame(rows, TEXT)).collect()}
+
+
+def test_published_licences_are_recognised(spark):
+    cases = [(MIT, "MIT"), (APACHE, "Apache-2.0"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"), (LGPL, "LGPL-2.1-or-later"),
+             (BSD.format(NAMES), "BSD-3-Clause"), (BSD.format(""), "BSD-2-Clause"),
+             ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0\nInternational License.", "CC-BY-NC-4.0")]
+    forms = [lambda t: t, lambda t: t.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n") if "Redistribution" not in t else t,
+             lambda t: "/*\n" + "\n".join(" * " + line for line in t.split("\n")) + "\n */\nint x;", lambda t: "\r\n".join("# " + line for line in t.split("\n")) + "\r\n\r\nx = 1"]
+    rows = [(100 * k + f, "Some words before.\n\n" + form(text)) for k, (text, _) in enumerate(cases) for f, form in enumerate(forms)]
+    got = licences(spark, rows)
+    assert got == {100 * k + f: (name, name) for k, (_, name) in enumerate(cases) for f in range(len(forms))}
+
+
+def test_a_sentence_does_not_run_over_a_blank_line(spark):
+    got = licences(spark, [(1, "Released under\nthe MIT License."), (2, "Released under\n \nthe MIT License."), (3, "Never released under the MIT License."), (4, "x\nAll rights reserved\ny")])
+    assert got == {1: ("MIT", "MIT"), 2: (None, ""), 3: (None, ""), 4: ("proprietary", "proprietary")}
+
+
+@pytest.mark.parametrize("name, want", [("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0")])
+def test_unedited_texts(spark, name, want):
+    text = pathlib.Path("/usr/share/common-licenses", name)
+    if not text.exists():
+        pytest.skip("the text is not on this machine")
+    assert licences(spark, [(1, text.read_text())])[1][0] == want
