@@ -61,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, weights=packing.BALANCED)
 
 
 STAGES = [

@@ -46,6 +46,7 @@ class Plan(NamedTuple):
     sequences: int
 
 
+BALANCED = (1.0, 1.0, 1.0)  # tokens, pieces and attention cost weigh alike
 _CACHED_WORDS = 1 << 19  # in each Python worker; further words are tokenised again in each batch
 _LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _kept = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]

@@ -5,7 +5,7 @@ import pathlib
 import numpy as np
 import pytest
 
-from skyledger.llm import html_extract, license_scan, pii
+from skyledger.llm import html_extract, license_scan, packing, pii
 
 TEXT = "doc_id long, text string"
 
@@ -153,3 +153,25 @@ def test_unedited_texts(spark, name, want):
     if not text.exists():
         pytest.skip("the text is not on this machine")
     assert licences(spark, [(1, text.read_text())])[1][0] == want
+
+
+def test_the_registered_packing_weighs_all_dimensions(spark, docs, monkeypatch):
+    import corpus_pipeline
+    from skyledger.llm import queries
+
+    seen = []
+    plan = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda *args: seen.append(args) or plan(*args))
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    queries.QUERIES["op9_best_fit_packing"](spark, "")
+    corpus_pipeline.packed(spark, docs, "")
+    assert len(seen) == 2 and all(min(weights) > 0 for *_, weights, _ in seen)
+
+
+def test_weights_of_pieces_and_cost_decide():
+    """10 tokens fit beside 50 and 31 (19 left) or 80 (20 left); by tokens the first is best, by all three the second, which has less cost left."""
+    place = {}
+    for weights in ((1.0, 0.0, 0.0), packing.BALANCED):
+        rules = packing.best_fit({80: 1, 50: 1, 31: 1, 10: 1}, 100, weights=weights).rules.tolist()
+        place[weights] = rules[-1][3]
+    assert list(place.values()) == [1, 0]
