@@ -6,7 +6,8 @@ however many, cost one row. The steps on classes:
 
 1. Inverted lists of retained values. A pair over the threshold shares at least
    ``least`` of its retained values (``k`` 40, similarity 0.85: fewer than 20
-   with a chance below 1e-7; sets of up to ``k`` shingles: by arithmetic). So
+   with a chance below 1e-7; sets of up to ``k`` shingles: by arithmetic). Below
+   0.85 ``least`` and ``deep_least`` are lowered to what the binomial tail allows. So
    only a class's ``size - least + 1`` rarest values need index rows: with that
    prefix the pair still meets in one list, while the values of passages that
    many documents share are the frequent ones and fall away. Classes left alone
@@ -31,6 +32,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -125,11 +127,22 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: in
     return sides(near, full).withColumn("common", common).where(100 * F.col("common") >= percent * joint).select("u", "v")
 
 
+def _shared(k: int, percent: int, chance: float) -> int:
+    """The most ``m`` for which fewer than ``m`` of ``k`` values are shared, each with the similarity, with a chance below ``chance``."""
+    s, tail = percent / 100, 0.0
+    for m in range(k):
+        tail += comb(k, m) * s**m * (1 - s) ** (k - m)
+        if tail >= chance:
+            return m
+    return k
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int = 40, least: int = 20,
                     deep: int = 512, deep_least: int = 386) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     if percent < 80 or words < 5:
         raise ValueError("takes shingles of five words or more and 80 percent or more")
+    least, deep_least = min(least, _shared(k, percent, 1e-7)), min(deep_least, _shared(deep, percent, 1e-8))
     rows = store.written(sets(docs, words, k), "sketches")
     classes = store.written(rows.where(F.col("class").isNotNull()).groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("values").alias("values")), "classes")

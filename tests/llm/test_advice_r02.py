@@ -5,7 +5,7 @@ import pathlib
 import numpy as np
 import pytest
 
-from skyledger.llm import html_extract, license_scan, packing, pii
+from skyledger.llm import html_extract, license_scan, near_dedup, packing, pii
 
 TEXT = "doc_id long, text string"
 
@@ -175,3 +175,14 @@ def test_weights_of_pieces_and_cost_decide():
         rules = packing.best_fit({80: 1, 50: 1, 31: 1, 10: 1}, 100, weights=weights).rules.tolist()
         place[weights] = rules[-1][3]
     assert list(place.values()) == [1, 0]
+
+
+def test_pairs_at_80_percent_are_found(spark):
+    """The first document's 2,400 shingles are among the second's 3,000; of the 512 least values of each, 378 and 385 are shared."""
+    rows = []
+    for seed in (707, 312):
+        words = [f"w{seed}x{i}" for i in range(3004)]
+        rows += [(seed, " ".join(words[:2404])), (seed + 1, " ".join(words))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, TEXT), percent=80).collect()}
+    assert got == {707: 707, 708: 707, 312: 312, 313: 312}
+    assert near_dedup._shared(40, 85, 1e-7) == 20 and near_dedup._shared(512, 85, 1e-8) >= 386
