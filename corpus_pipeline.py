@@ -25,9 +25,12 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; all, if the labels allow no model."""
     ship(spark)
-    scored = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality_classifier.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
+    scored = quality_classifier.classified(docs, model)
     return scored.where(F.col("predicted") == 1).select(*docs.columns)
 
 

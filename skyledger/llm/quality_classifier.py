@@ -169,7 +169,11 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", folds:
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, sample_docs: int = 4000) -> DataFrame:
     """``docs`` with held_out, score and predicted (1: score of ``threshold`` or more); columns so named are replaced."""
-    model = trained(docs, labels, folds=folds, held_out=held_out, sample_docs=sample_docs)
+    return classified(docs, trained(docs, labels, folds=folds, held_out=held_out, sample_docs=sample_docs), folds, held_out, threshold)
+
+
+def classified(docs: DataFrame, model: Model | None, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
+    """``classify`` under a model; None: every score is 0.5."""
     docs = docs.drop("held_out", "score", "predicted").withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
