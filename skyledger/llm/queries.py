@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyledger.llm import context_mixing, decontamination, html_extract, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from skyledger.llm import binary_packing, context_mixing, decontamination, html_extract, infilling, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces of power-of-two lengths, each a sequence."""
+    import public_tokenizers
+
+    packed = binary_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=1)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "place")
+
+
+@_query
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as fill-in-the-middle text, as digests of the output and of the text rebuilt from it."""
+    return infilling.digests(infilling.transform(_table(spark, sf_dir, "documents"), seed=1))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
@@ -100,5 +115,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op3_url_filter"] = url_filter.SQL
 SQL["op10_license_scan"] = license_scan.SQL
+SQL["op13_infilling"] = infilling.SQL
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
