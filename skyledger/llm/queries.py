@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skyledger.llm import binary_packing, context_mixing, decontamination, html_extract, infilling, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
+from skyledger.llm import binary_packing, context_mixing, conversation_repair, decontamination, html_extract, infilling, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, url_filter
 from skyledger.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,13 @@ def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "place")
 
 
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the contract's damage, and its cheapest repair."""
+    repaired = conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")), with_turns=False)
+    return repaired.where("last").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 @_query
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as fill-in-the-middle text, as digests of the output and of the text rebuilt from it."""
