@@ -184,7 +184,7 @@ def _js_sql(p: str, dtype: T.DataType, depth: int = 0) -> str:
         text = f"CAST({p} AS STRING)"
         plain = "rtrim('0', CAST(CAST({0} AS DECIMAL(38,{1})) AS STRING))"
         power = f"regexp_replace(regexp_replace({text}, '[.]0E|E', 'e'), 'e([0-9])', 'e+$1')"
-        return (f"CASE WHEN {p} = floor({p}) AND abs({p}) < 1e21 THEN CAST(CAST({p} AS DECIMAL(38,0)) AS STRING) "
+        return (f"CASE WHEN {p} = rint({p}) AND abs({p}) < 1e21 THEN CAST(CAST({p} AS DECIMAL(38,0)) AS STRING) "
                 f"WHEN abs({p}) >= 1 AND abs({p}) < 1e21 THEN {plain.format(text, 17)} "
                 f"WHEN abs({p}) >= 1e-6 AND abs({p}) < 1 THEN {plain.format(text, 24)} "
                 f"WHEN isnan({p}) OR abs({p}) = double('Infinity') THEN {text} ELSE {power} END")

@@ -20,6 +20,7 @@ from skyledger.plans.normalize_queries import AS_OF as N_AS_OF, godaddy_domain_d
 from skyledger.plans.run_queries import META, metadata_docs
 from skyledger.plans.view_queries import BAL, CUST_CTE, customers
 from skyledger.session import scratch_path
+from skyledger.sources import envelope as E
 from skyledger.sources import readers as S
 from skyledger.sources import sinks as K
 
@@ -55,19 +56,56 @@ def s1_read_assets(spark, sf):
                      F.array_join("groups", ",").alias("groups"), "_ordinal")
 
 
-def s2_read_catalog(spark, sf):
+def _catalog_files(spark, sf) -> list[S.CatalogEntry]:
+    """Asset files of two layouts and schemas, a file cut short, a line cut short and a missing file."""
     path = _scratch(spark, "catalog")
-    _write_docs(_asset_docs(spark, sf), f"{path}/customers")
-    manifest = [S.CatalogEntry("aws", "customers", f"{path}/customers/*/*.txt", "Customers", "c.html", "name"),
-                S.CatalogEntry("aws", "missing", f"{path}/missing.json", "Missing", "m.html", "name")]
-    services, skipped = S.read_catalog(spark, manifest, {"customers": ASSET_SCHEMA})
-    read = [s.df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(s.provider).alias("provider"), F.lit(s.key).alias("service"), "rows") for s in services]
-    miss = skipped.select("provider", "service", F.lit(-1).cast("long").alias("rows"))
-    out = miss
-    for r in read:
-        out = out.unionByName(r)
-    return out
+    c = customers(spark, sf)
+    item = F.struct(F.col("_ordinal").alias("o"), F.struct("name", "account", "status", "groups", "node_count").alias("e"))
+    docs = (c.groupBy((F.col("_ordinal") / 100).cast("long").alias("_doc"))
+            .agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"])).alias("value")))
+    _write_docs(docs, f"{path}/customers")
+    sup = X.table(spark, sf, "supplier").select(F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey")).alias("value"))
+    cut = F.lit('{"s_suppkey": 0, "s_name"').alias("value")
+    sup.unionByName(spark.range(1).select(cut)).write.text(f"{path}/suppliers")
+    spark.range(1).select(F.lit('[{"name": "cut sh').alias("value")).write.text(f"{path}/broken")
+    return [S.CatalogEntry("aws", "customers", f"{path}/customers/*/*.txt", "Customers", "c.html", "name"),
+            S.CatalogEntry("gcp", "suppliers", f"{path}/suppliers", "Suppliers", "s.html", "s_name"),
+            S.CatalogEntry("gcp", "broken", f"{path}/broken", "Broken", "b.html", "name"),
+            S.CatalogEntry("aws", "missing", f"{path}/missing.json", "Missing", "m.html", "name")]
+
+
+def s2_read_catalog(spark, sf):
+    """Every row of the catalog, and what could not be read."""
+    e = E.read_envelope(spark, _catalog_files(spark, sf))
+    none = F.lit(None).cast("string")
+    rows = e.rows.select("provider", "service", "page", "name_field", F.to_json("row").alias("row"), none.alias("reason"))
+    bad = e.errors.select("provider", "service", none.alias("page"), none.alias("name_field"), F.col("text").alias("row"), "reason")
+    return rows.unionByName(bad)
+
+
+def f9_envelope(spark, sf):
+    """F9 and G1 over rows of two schemas in one scan."""
+    return E.search_envelope(E.read_envelope(spark, _catalog_files(spark, sf)).rows, "00000").drop("_ordinal")
+
+
+def s1_read_lines(spark, sf):
+    """An exported JSON-lines table read back, the lines that are cut short beside it."""
+    path = _scratch(spark, "lines")
+    item = F.to_json(F.struct("name", "account", "segment", "balance", "status", "groups"))
+    half = F.when(F.col("_ordinal") % 10 == 3, F.substring(item, 1, 9)).otherwise(item)
+    customers(spark, sf).select(half.alias("value")).write.text(path)
+    rows, errors = E.read_lines(spark, path, ASSET_SCHEMA)
+    good = rows.select("name", "account", "segment", "balance", "status", F.array_join("groups", ",").alias("groups"))
+    bad = errors.select(F.col("text").alias("name"), *[F.lit(None).cast(t).alias(c) for c, t in
+                        (("account", "string"), ("segment", "string"), ("balance", "double"), ("status", "string"), ("groups", "string"))])
+    return good.unionByName(bad)
+
+
+def s1_read_export(spark, sf):
+    """The engine's own export through ``read_assets`` (JSON lines told from arrays by their first character)."""
+    path = _scratch(spark, "export")
+    K.export_domains(X.domain_snapshot(spark, sf), path)
+    return S.read_assets(spark, path, "domain STRING, status STRING, registrar STRING, last_seen STRING").drop("_source", "_ordinal")
 
 
 def s3_read_snapshot(spark, sf):
@@ -179,7 +217,10 @@ def k7_export_all(spark, sf):
 
 QUERIES = {
     "s1_read_assets": s1_read_assets,
+    "s1_read_lines": s1_read_lines,
+    "s1_read_export": s1_read_export,
     "s2_read_catalog": s2_read_catalog,
+    "f9_envelope": f9_envelope,
     "s3_read_snapshot": s3_read_snapshot,
     "s5_read_landed": s5_read_landed,
     "k1_export_domains": k1_export_domains,
@@ -227,8 +268,25 @@ _CSV_COLS = [
 SQL = {
     "s1_read_assets": f"""WITH {CUST_CTE} SELECT name, account, segment, balance, status,
   array_to_string(groups, ',') AS groups, _ordinal % 100 AS _ordinal FROM cust""",
-    "s2_read_catalog": """SELECT 'aws' AS provider, 'missing' AS service, CAST(-1 AS BIGINT) AS rows
-UNION ALL SELECT 'aws', 'customers', CAST(count(*) AS BIGINT) FROM customer""",
+    "s1_read_lines": f"""WITH {CUST_CTE} SELECT name, account, segment, balance, status,
+  array_to_string(groups, ',') AS groups FROM cust WHERE _ordinal % 10 <> 3
+UNION ALL SELECT '{{"name":"', NULL, NULL, NULL, NULL, NULL FROM cust WHERE _ordinal % 10 = 3""",
+    "s1_read_export": f"""WITH {_DOM_S} SELECT domain, status, registrar, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM s""",
+    "s2_read_catalog": f"""WITH {CUST_CTE}
+SELECT 'aws' AS provider, 'customers' AS service, 'c.html' AS page, 'name' AS name_field,
+  '{{"account":"' || account || '"' || CASE WHEN groups IS NULL THEN '' WHEN len(groups) = 0 THEN ',"groups":[]'
+    ELSE ',"groups":["' || array_to_string(groups, '","') || '"]' END || ',"name":"' || name || '","node_count":'
+    || CAST(node_count AS VARCHAR) || coalesce(',"status":"' || status || '"', '') || '}}' AS row, NULL AS reason FROM cust
+UNION ALL SELECT 'gcp', 'suppliers', 's.html', 's_name', '{{"s_name":"' || s_name || '","s_nationkey":'
+  || CAST(s_nationkey AS VARCHAR) || ',"s_suppkey":' || CAST(s_suppkey AS VARCHAR) || '}}', NULL FROM supplier
+UNION ALL SELECT 'gcp', 'suppliers', NULL, NULL, '{{"s_suppkey": 0, "s_name"', 'not a JSON object'
+UNION ALL SELECT 'gcp', 'broken', NULL, NULL, '[{{"name": "cut sh' || chr(10), 'not a JSON array'
+UNION ALL SELECT 'aws', 'missing', NULL, NULL, NULL, 'missing'""",
+    "f9_envelope": f"""WITH {CUST_CTE}
+SELECT 'aws' AS provider, 'customers' AS service, 'c.html' AS page, name, account, '' AS region,
+  CASE WHEN status = 'active' THEN 'active' ELSE 'removed' END AS status_class, coalesce(status, 'unknown') AS status_text
+FROM cust WHERE contains(lower(account), '00000') OR contains(lower(name), '00000') OR coalesce(contains(lower(status), '00000'), false)
+UNION ALL SELECT 'gcp', 'suppliers', 's.html', s_name, '-', '', 'removed', 'unknown' FROM supplier WHERE contains(lower(s_name), '00000')""",
     "s3_read_snapshot": MQ.SQL["m1_merge_domains"],
     "s5_read_landed": NQ.SQL["n1_godaddy_domains"],
     "k1_export_domains": f"""WITH {_DOM_S} SELECT domain, registrar, status, strftime(expiry_date, '%Y-%m-%d') AS expiry_date,

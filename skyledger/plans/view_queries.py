@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import render as R
-from skyledger.functions.expr import path
+from skyledger.functions.expr import cell_text, path
 from skyledger.operators import views as V
 from skyledger.plans import fixtures as X
 
@@ -112,7 +112,22 @@ def o1_smart_sort_keys(spark, sf):
     return df.select("_ordinal", b.alias("bucket"), n.alias("num"), t.alias("text"))
 
 
+_LARGE = ["1e20", "1.2345678901234568e20", "9.3e18", "-9.5e18", "1e21", "1e-7", "2251799813685249.5", "o_orderkey"]
+_LARGE_TEXT = ["100000000000000000000", "123456789012345680000", "9300000000000000000", "-9500000000000000000", "1e+21", "1e-7", "2251799813685249.5"]
+
+
+def x14_large_numbers(spark, sf):
+    """Numbers as the views print them, beyond what fits a long too."""
+    k = F.col("o_orderkey")
+    v = k.cast("double")
+    for i, text in enumerate(_LARGE[:-1]):
+        v = F.when(k % 8 == i, F.lit(float(text))).otherwise(v)
+    df = X.table(spark, sf, "orders").select(k.alias("_ordinal"), v.alias("v"))
+    return df.select("_ordinal", cell_text(df, "v").alias("value"))
+
+
 QUERIES = {
+    "x14_large_numbers": x14_large_numbers,
     "f1_not_removed": lambda s, sf: _proj(V.not_removed(customers(s, sf))),
     "f2_only_removed": lambda s, sf: _proj(V.only_removed(customers(s, sf))),
     "f3_get_domains": lambda s, sf: X.finalize(V.get_domains(X.domain_snapshot(s, sf), "removed", "3-MEDIUM")),
@@ -215,6 +230,9 @@ def _render_sql(expr: str) -> str:
 _ROW_TEXT = "lower(concat_ws(' ', " + ", ".join(CELL[f] for f in CUSTOMER_VIEW.fields) + "))"
 
 SQL = {
+    "x14_large_numbers": "SELECT o_orderkey AS _ordinal, CASE o_orderkey % 8 "
+                         + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_LARGE_TEXT))
+                         + " ELSE CAST(o_orderkey AS VARCHAR) END AS value FROM orders",
     "f1_not_removed": f"WITH {CUST_CTE} SELECT {PROJ} FROM cust WHERE status IS DISTINCT FROM 'removed'",
     "f2_only_removed": f"WITH {CUST_CTE} SELECT {PROJ} FROM cust WHERE status = 'removed'",
     "f3_get_domains": """WITH s AS (

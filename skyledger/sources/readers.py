@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from skyledger.operators.runs import read_metadata  # noqa: F401  (S4, re-exported)
 from skyledger.operators.unify import Service
+from skyledger.sources.envelope import layout_of, read_lines
 
 
 # Hadoop file-system helpers (listing only; all data moves through Spark) ----
@@ -54,13 +55,21 @@ def read_landed(spark: SparkSession, path: str, lines: bool = False) -> DataFram
 
 # S1 -------------------------------------------------------------------------
 def read_assets(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One asset table from JSON array file(s): one row per element with its
-    position as ``_ordinal``; a file that is not an array yields no rows."""
-    docs = read_landed(spark, path).filter(F.ltrim("value").startswith("["))
+    """One asset table from JSON array file(s), one row per element with its
+    position as ``_ordinal``, or from JSON lines (told by the first character),
+    which are split over many tasks. A file that is not an array and a line
+    that is no object of the schema yield no rows; ``envelope.read_lines`` and
+    ``envelope.read_envelope`` report them."""
     if schema is None:
-        schema = spark.read.option("multiLine", True).json(path).schema
+        schema = spark.read.option("multiLine", layout_of(spark, path) != "lines").json(path).schema
+        schema = T.StructType([f for f in schema.fields if f.name != "_corrupt_record"])
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
+    if layout_of(spark, path) == "lines":
+        rows, _ = read_lines(spark, path, schema)
+        return rows.select(F.struct("_file", "_ordinal").alias("_source"),
+                           *[F.col(f"`{f.name}`") for f in schema.fields], "_ordinal")
+    docs = read_landed(spark, path).filter(F.ltrim("value").startswith("["))
     arr = F.from_json("value", T.ArrayType(schema))
     return (docs.select("_doc", F.posexplode(arr).alias("_pos", "r"))
             .select(F.struct("_doc", "_pos").alias("_source"), "r.*",
