@@ -11,15 +11,18 @@ from pyspark.sql import SparkSession
 import skyledger
 
 _shipped: dict[str, str] = {}
+BATCH_ROWS = 1000  # an Arrow batch is held whole by the executor and by its Python worker, and its rows are texts
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application.
+    """Add the package to the session's Python files, once per application, and bound the session's Arrow batches.
 
     Spark's own file server hands the archive to every executor, so workers
     import the operators wherever the job was started from.
     """
-    sc = spark.sparkContext
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(skyledger.__file__))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +41,28 @@ class Tokens(NamedTuple):
     starts: np.ndarray  # int64, one more than the documents
 
 
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # fixed values: parameters of glibc's mallopt
+
+
+@cache
+def frugal() -> None:
+    """Have this Python worker hand freed arrays back to the system, once per process.
+
+    Workers outlive their tasks; what they hold lies beside the executor's heap
+    while later stages run. Without glibc nothing is set.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_MMAP_THRESHOLD, 2 << 20)
+        libc.mallopt(_TRIM_THRESHOLD, 8 << 20)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``max_bytes`` of ``column`` (one row at least)."""
+    frugal()
     for batch in batches:
         if not batch.num_rows:
             continue
