@@ -9,13 +9,17 @@ queries, ``supplier``, ``part`` and ``nation`` as services of two providers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.operators import gram_index as G
 from skyledger.operators import unify as U
 from skyledger.operators import views as V
 from skyledger.plans import fixtures as X
 from skyledger.plans.view_queries import CUST_CTE, customers
+from skyledger.session import scratch_path
 
 
 SERVICE_KEYS = {"cloudflare": ("sql-servers", "storage", "ad-users")}
@@ -69,13 +73,18 @@ def search_catalog(spark: SparkSession, sf: str) -> list[U.Service]:
 
 def g1_search_index(spark, sf):
     """The search index written once (partitioned by provider), then searched."""
-    import uuid
-    from skyledger.session import scratch_path
     path = scratch_path(spark, f"search-index-{uuid.uuid4().hex[:12]}")
     U.build_search_index(search_catalog(spark, sf)).write.partitionBy("provider").parquet(path)
     return U.search_index(spark.read.parquet(path), "red", ["aws", "gcp"])
 
 
+def g1_gram_index(spark, sf):
+    """The search index with an n-gram index over its texts, searched without reading all of them."""
+    path = scratch_path(spark, f"gram-search-{uuid.uuid4().hex[:12]}")
+    G.build_gram_index(U.build_search_index(search_catalog(spark, sf)), "_strings", path)
+    return G.search_grams(spark, path, "_strings", "Red").drop("_strings")
+
+
 def _removed_orders_view():
     return V.ViewSpec.of("sql", "name display_name resource_group location removed_date status")
 
@@ -102,6 +111,7 @@ QUERIES = {
     "g1_global_search_aws": lambda s, sf: U.global_search(search_catalog(s, sf), " 00000 ", ["aws"]),
     "f8_filter_providers": lambda s, sf: U.global_search(search_catalog(s, sf), "on", ["gcp"]),
     "g1_search_index": g1_search_index,
+    "g1_gram_index": g1_gram_index,
     "f9_match_any_string": lambda s, sf: V.match_any_string(customers(s, sf), ".3").select(
         "_ordinal", "code"),
     "a3_search_counts": lambda s, sf: U.search_counts(U.global_search(search_catalog(s, sf), "red")),
@@ -264,6 +274,7 @@ SELECT * FROM su WHERE {_range('removed_date', '1998-06-01', '1998-06-15')}""",
 WHERE {_range('removed_date', '1995-06-01', '1998-12-31')}""",
     "g1_global_search": _search("red") + f" SELECT {_HIT_COLS} FROM hits",
     "g1_global_search_aws": _search("00000") + f" SELECT {_HIT_COLS} FROM hits WHERE provider = 'aws'",
+    "g1_gram_index": _search("red") + f" SELECT {_HIT_COLS} FROM hits",
     "g1_search_index": _search("red") + f" SELECT {_HIT_COLS} FROM hits",
     "f8_filter_providers": _search("on") + f" SELECT {_HIT_COLS} FROM hits WHERE provider = 'gcp'",
     "f9_match_any_string": f"""WITH {CUST_CTE} SELECT _ordinal, code FROM cust

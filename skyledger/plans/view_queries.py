@@ -8,13 +8,18 @@ struct. The ordinal (input order) is the customer key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import render as R
 from skyledger.functions.expr import cell_text, path
+from skyledger.operators import gram_index as G
+from skyledger.operators import ranking
 from skyledger.operators import views as V
 from skyledger.plans import fixtures as X
+from skyledger.session import scratch_path
 
 CUSTOMER_VIEW = V.ViewSpec.of("customers", "account name segment balance region code status")
 
@@ -106,6 +111,25 @@ def _page(name, direction, page_no, rows):
     return q
 
 
+def _rank_page(name, direction, page_no, rows):
+    def q(spark, sf):
+        df = V.not_removed(customers(spark, sf))
+        index = scratch_path(spark, f"rank-{uuid.uuid4().hex[:12]}")
+        ranked = V.project_view(df, CUSTOMER_VIEW, keep=["_ordinal"])
+        ranking.build_rank_index(ranked, V.smart_order(ranked, name, direction), index)
+        return ranking.page_by_rank(spark, index, page_no, rows, position="pos")
+    return q
+
+
+def f6_gram_index(spark, sf):
+    """F6 through the n-gram index of the row texts, equal to the scan."""
+    df = customers(spark, sf)
+    index = scratch_path(spark, f"grams-{uuid.uuid4().hex[:12]}")
+    rows = V.project_view(df.withColumn("_strings", F.array(V.row_text(df, CUSTOMER_VIEW))), CUSTOMER_VIEW, keep=["_ordinal", "_strings"])
+    G.build_gram_index(rows, "_strings", index)
+    return G.search_grams(spark, index, "_strings", " BUILDING 7").drop("_strings")
+
+
 def o1_smart_sort_keys(spark, sf):
     df = customers(spark, sf)
     b, n, t = V.smart_sort_keys(df, "code")
@@ -140,6 +164,9 @@ QUERIES = {
     "o3_page_code_asc": _page("code", "asc", 1, 50),
     "o3_page_balance_desc": _page("balance", "desc", 0, 100),
     "o3_page_region_desc": _page("region", "desc", 2, 250),
+    "o3_rank_page_desc": _rank_page("balance", "desc", 1, 50),
+    "o3_rank_page_asc": _rank_page("code", "asc", 2, 25),
+    "f6_gram_index": f6_gram_index,
     "o3_page_keyset": lambda s, sf: _proj(V.page_after(customers(s, sf), ["segment", "_ordinal"],
                                                        ("BUILDING", 500), 50)),
     "o4_page_summary": lambda s, sf: V.page_summary(V.not_removed(customers(s, sf)), 3, 50),
@@ -260,6 +287,9 @@ SELECT domain, subdomain, type, data, source, status, strftime(discovery_date, '
     "o3_page_code_asc": _page_sql("code", "asc", 1, 50),
     "o3_page_balance_desc": _page_sql(BAL, "desc", 0, 100),
     "o3_page_region_desc": _page_sql("region", "desc", 2, 250),
+    "o3_rank_page_desc": _page_sql(BAL, "desc", 1, 50),
+    "o3_rank_page_asc": _page_sql("code", "asc", 2, 25),
+    "f6_gram_index": f"WITH {CUST_CTE} SELECT {PROJ} FROM cust WHERE contains({_ROW_TEXT}, 'building 7')",
     "o3_page_keyset": f"""WITH {CUST_CTE} SELECT {PROJ} FROM cust
   WHERE segment > 'BUILDING' OR (segment = 'BUILDING' AND _ordinal > 500)
   ORDER BY segment, _ordinal LIMIT 50""",
