@@ -10,10 +10,9 @@ per domain. Here one batch is one plan:
 * the snapshot rows of the batch's source are matched to it with a single
   ``full_outer`` equi-join on the natural key (keys are unique on both sides,
   so no join key can be skewed);
-* the removal scope of DNS records (domains present in the batch) is a join on
-  ``domain`` whose small side is broadcast only after its row count has been
-  checked, otherwise it stays a shuffled join that AQE splits when one domain
-  is hot;
+* the removal scope of DNS records (domains present in the batch) is a plain
+  join on ``domain``: the planner broadcasts the set when its bytes allow,
+  otherwise AQE splits the join when one domain is hot;
 * rows of other sources never enter the join.
 """
 
@@ -82,6 +81,15 @@ def scope_to_batch(snapshot: DataFrame, batch_domains: DataFrame) -> DataFrame:
             .withColumn("_scope", F.coalesce(F.col("_scope"), F.lit(False))))
 
 
+def stat_columns() -> dict[str, Column]:
+    """M3 as aggregates over ``MergeResult.joined``, also for ``observe`` while it is written; ``found``: batch rows."""
+    found = F.coalesce(F.sum("_n"), F.lit(0)).cast("long")
+    added = F.count_if(F.col("change") == CHANGE_ADDED).cast("long")
+    return {"found": found, "added": added, "updated": found - added,
+            "removed": F.count_if(F.col("change") == CHANGE_REMOVED).cast("long"),
+            "reactivated": F.count_if(F.col("change") == CHANGE_REACTIVATED).cast("long")}
+
+
 @dataclass
 class MergeResult:
     """Outcome of one merge. ``joined`` holds every snapshot row of the
@@ -111,14 +119,8 @@ class MergeResult:
     @property
     def stats(self) -> DataFrame:
         """M3: added (new keys), updated (batch rows - added), removed (flips)."""
-        j = self.joined
-        return j.agg(
-            F.count_if(F.col("change") == CHANGE_ADDED).cast("long").alias("added"),
-            (F.coalesce(F.sum("_n"), F.lit(0)) - F.count_if(F.col("change") == CHANGE_ADDED))
-            .cast("long").alias("updated"),
-            F.count_if(F.col("change") == CHANGE_REMOVED).cast("long").alias("removed"),
-            F.count_if(F.col("change") == CHANGE_REACTIVATED).cast("long").alias("reactivated"),
-        )
+        columns = stat_columns()
+        return self.joined.agg(*[columns[c].alias(c) for c in ("added", "updated", "removed", "reactivated")])
 
     def persist(self) -> "MergeResult":
         self.joined = self.joined.persist(StorageLevel.MEMORY_AND_DISK)
@@ -221,6 +223,23 @@ def change_log(result: MergeResult) -> DataFrame:
     return result.changes
 
 
+def status_changes(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What a change log (M4) does to the status counts, per ``by`` columns: added rows are
+    active, reactivated ones turn active again, removed ones stop being active."""
+    n = lambda kind: F.count_if(F.col("change") == kind)
+    moved = changes.groupBy(*by) if by else changes.groupBy()
+    return moved.agg(n(CHANGE_ADDED).alias("total"), (n(CHANGE_ADDED) + n(CHANGE_REACTIVATED) - n(CHANGE_REMOVED)).alias("active"),
+                     (n(CHANGE_REMOVED) - n(CHANGE_REACTIVATED)).alias("removed"))
+
+
+def kept_counts(counts: DataFrame, changes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A1/A6 kept up to date: the status counts after a merge from those before it
+    and its change log, so that the snapshot is not counted again."""
+    names = ["total", "active", "removed"]
+    both = counts.select(*(by or []), *names).unionByName(status_changes(changes.where(F.col("change") != CHANGE_UNCHANGED), by))
+    return (both.groupBy(*by) if by else both.groupBy()).agg(*[F.sum(c).cast("long").alias(c) for c in names])
+
+
 # J1 -------------------------------------------------------------------------
 def match_batch(snapshot: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Batch-to-snapshot match by natural key: every key with side flags."""

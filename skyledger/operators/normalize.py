@@ -19,6 +19,7 @@ from skyledger.operators.merge import dedupe_first
 
 GODADDY = "GoDaddy"
 CLOUDFLARE = "Cloudflare"
+ERROR_CHARS = 200  # of a page that cannot be read, in the message about it
 
 
 def _elements(docs: DataFrame, value: str = "value", doc: str = "_doc") -> DataFrame:
@@ -82,6 +83,13 @@ def normalize_godaddy_domains(docs: DataFrame, as_of) -> DataFrame:
     return _dated(out, as_of)
 
 
+def of_kept_domains(record_docs: DataFrame, domains: DataFrame) -> DataFrame:
+    """Record pages of the domains that N1 keeps: records of test domains and of
+    domains that the account does not list are never collected."""
+    kept = domains.select(F.col("domain").alias("_kept"))
+    return record_docs.join(kept, F.col("domain") == F.col("_kept"), "left_semi")
+
+
 # N2 -------------------------------------------------------------------------
 def normalize_godaddy_records(docs: DataFrame, as_of) -> DataFrame:
     """Record pages of one domain each (``domain`` column + JSON array)."""
@@ -121,8 +129,12 @@ def rejected_pages(docs: DataFrame, provider: str) -> DataFrame:
     if provider == CLOUDFLARE:
         return envelope_errors(docs)
     keep = [c for c in docs.columns if c != "value"]
+    # the page stays where it landed: a message names it and shows its beginning
+    start = F.substring(F.regexp_replace(F.coalesce("value", F.lit("null")), r"\s+", " "), 1, ERROR_CHARS)
+    whole = F.char_length(F.coalesce("value", F.lit("null"))) <= ERROR_CHARS
+    where = [F.concat(F.lit(" (page "), F.to_json(F.struct("_doc")), F.lit(")"))] if "_doc" in docs.columns else []
     return docs.filter(F.from_json("value", "array<string>").isNull()).select(
-        *keep, F.concat(F.lit("not a JSON array: "), F.coalesce("value", F.lit("null"))).alias("error"))
+        *keep, F.concat(F.lit("not a JSON array: "), start, F.when(whole, F.lit("")).otherwise(F.lit(" ...")), *where).alias("error"))
 
 
 def _accepted(docs: DataFrame) -> DataFrame:

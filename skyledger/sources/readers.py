@@ -6,14 +6,19 @@ once as Parquet (``land_as_parquet``) and query the Parquet copy at scale.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.operators.runs import read_metadata  # noqa: F401  (S4, re-exported)
 from skyledger.operators.unify import Service
+from skyledger.sources import claims
 from skyledger.sources.envelope import layout_of, read_lines
 
 
@@ -241,12 +246,15 @@ class SnapshotStore:
     data is never rewritten. Readers take the newest committed version of
     every partition."""
 
-    def __init__(self, spark: SparkSession, base: str, col: str, schema: str, sub_partition: str | None = None):
+    def __init__(self, spark: SparkSession, base: str, col: str, schema: str, sub_partition: str | None = None,
+                 lookups: tuple[str, ...] = ("domain",)):
         """``sub_partition`` (e.g. ``status``) splits each version folder once
         more, so filters on it (views drop removed rows) prune whole folders;
-        removed rows accumulate over time and are then never read by views."""
+        removed rows accumulate over time and are then never read by views.
+        ``lookups`` are columns with a Bloom filter in every row group, so a
+        lookup of one value opens the row groups that have it."""
         self.spark, self.base, self.col, self.schema = spark, base.rstrip("/"), col, schema
-        self.sub_partition = sub_partition
+        self.sub_partition, self.lookups = sub_partition, tuple(lookups)
 
     def _partition(self, value: str) -> str:
         return f"{self.base}/{self.col}={value}"
@@ -267,50 +275,90 @@ class SnapshotStore:
         cols = [f.name for f in T.StructType.fromDDL(self.schema).fields]
         return df.select(*cols)
 
-    def _reserved(self, value: str) -> list[tuple[str, int]]:
-        path = f"{self._partition(value)}/runs"
-        if not path_exists(self.spark, path):
-            return []
-        return [(r["run_id"], r["version"]) for r in self.spark.read.parquet(path).toLocalIterator()]
-
     def reserve(self, value: str, run_id: str) -> int:
-        """Version that run ``run_id`` commits: the one recorded for it (a
-        replay), or the next free number, recorded before anything is written.
-        A replay of an uncommitted run takes a new number when a later version
-        has been committed meanwhile."""
+        """Version that run ``run_id`` commits: the one it holds (a replay), or
+        the next number that nobody has claimed. A claim is a file that can be
+        created once, so no number is handed out twice. A replay of an
+        uncommitted run takes a new number when a later version has been
+        committed meanwhile."""
         part = self._partition(value)
         committed = [n for n, _ in _versions(self.spark, part)]
-        reserved = self._reserved(value)
-        own = max((n for r, n in reserved if r == run_id), default=None)
-        if own is not None and (own in committed or own > max(committed, default=-1)):
-            return own
-        nxt = max(committed + [n for _, n in reserved], default=-1) + 1
-        self.spark.range(0, 1, 1, 1).select(F.lit(run_id).alias("run_id"), F.lit(nxt).alias("version")).write.mode(
-            "append").parquet(f"{part}/runs")
-        return nxt
-
-    def commit(self, rows: DataFrame, value: str, version: int | None = None) -> int:
+        mine = f"{part}/claims/run={quote(run_id, safe='')}"
+        told = claims.owner_of(self.spark, mine)
+        if told and (int(told) in committed or int(told) > max(committed, default=-1)):
+            return int(told)
+        taken = [int(n[2:]) for n in claims.names(self.spark, f"{part}/claims") if n.startswith("v=")]
+        n = max(committed + taken, default=-1) + 1
+        while not claims.take(self.spark, f"{part}/claims/v={n}", run_id):
+            n += 1
+        for old in taken:
+            if old < max(committed, default=-1):  # a new number is always larger
+                claims.drop(self.spark, f"{part}/claims/v={old}")
+        if told:
+            claims.drop(self.spark, mine)
+        claims.take(self.spark, mine, str(n))
+        return n
+
+    def is_committed(self, value: str, version: int) -> bool:
+        return path_exists(self.spark, f"{self._partition(value)}/v={version}/_SUCCESS")
+
+    def commit(self, rows: DataFrame, value: str, version: int | None = None, metrics: dict[str, Column] | None = None) -> int:
         """Commit the complete new rows of one source as its next version, or
         as the ``version`` its run has reserved. A committed version is never
-        written again: the replay of a committed run keeps it."""
+        written again: the replay of a committed run keeps it.
+
+        Kept with the version, from the one pass that writes it: the status
+        counts of its rows and ``metrics`` (aggregates over ``rows``, whose
+        further columns serve them and are not stored)."""
         part = self._partition(value)
-        if version is None:
-            nxt = max([n for n, _ in _versions(self.spark, part)] + [n for _, n in self._reserved(value)],
-                      default=-1) + 1
-        else:
-            nxt = version
-            if path_exists(self.spark, f"{part}/v={nxt}/_SUCCESS"):
-                return nxt
-        mode = "overwrite"  # an uncommitted folder is what a failed attempt of this version left
-        rows = rows.drop(self.col)
+        nxt = self.reserve(value, uuid.uuid4().hex) if version is None else version
+        if self.is_committed(value, nxt):
+            return nxt
+        stored = [f.name for f in T.StructType.fromDDL(self.schema).fields if f.name in rows.columns and f.name != self.col]
+        seen = Observation()
+        status = F.col("status") if "status" in rows.columns else F.lit(None).cast("string")
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(status == "active").alias("active"),
+                            F.count_if(status == "removed").alias("removed"), *[c.alias(f"m_{k}") for k, c in (metrics or {}).items()])
+        rows = rows.select(*stored)
         if "domain" in rows.columns:
             rows = rows.sortWithinPartitions("domain")
-        w = rows.write.mode(mode)
+        w = rows.write.mode("overwrite")  # an uncommitted folder is what a failed attempt of this version left
+        for key in self.lookups:
+            if key in rows.columns:
+                w = w.option(f"parquet.bloom.filter.enabled#{key}", "true")
         if self.sub_partition:
             w = w.partitionBy(self.sub_partition)
         w.parquet(f"{part}/v={nxt}")
+        kept = {k: int(v or 0) for k, v in seen.get.items()}
+        where = f"{part}/kept/v={nxt}"
+        if not claims.take(self.spark, where, json.dumps(kept)):
+            claims.drop(self.spark, where)
+            claims.take(self.spark, where, json.dumps(kept))
         return nxt
 
+    def kept(self, value: str, version: int) -> dict[str, int] | None:
+        """The counts and metrics kept with a version; None if it was written without."""
+        told = claims.owner_of(self.spark, f"{self._partition(value)}/kept/v={version}")
+        return json.loads(told) if told else None
+
+    def counts(self) -> DataFrame:
+        """Total, active and removed rows of each source, from what is kept with
+        the newest versions; no row of a snapshot is read. (A version without
+        kept counts is counted.)"""
+        out = []
+        for d in list_dirs(self.spark, self.base):
+            vs = _versions(self.spark, d)
+            value = unquote(d.rstrip("/").rsplit("/", 1)[-1].split("=", 1)[-1])
+            if not vs:
+                continue
+            k = self.kept(value, vs[-1][0])
+            if k is None:
+                r = self.read(only=value).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "active").alias("active"),
+                                              F.count_if(F.col("status") == "removed").alias("removed")).first()
+                k = r.asDict()
+            out.append((value, k["total"], k["active"], k["removed"]))
+        return self.spark.createDataFrame(out, f"`{self.col}` string, total long, active long, removed long")
+
 
 # Bucketed snapshot -------------------------------------------------------------
 class BucketedSnapshot:
@@ -326,9 +374,19 @@ class BucketedSnapshot:
 
     def __init__(self, spark: SparkSession, base: str, name: str, keys: list[str], buckets: int,
                  partition_by: str | None = None):
-        self.spark, self.base, self.name = spark, base.rstrip("/"), name
+        self.spark, self.base = spark, base.rstrip("/")
+        # tables of one name in different folders are different tables
+        self.name = f"{name}_{hashlib.sha256(self._location(self.base).encode()).hexdigest()[:12]}"
         self.keys, self.buckets, self.partition_by = list(keys), buckets, partition_by
 
+    def _location(self, path: str) -> str:
+        fs, p = _fs(self.spark, path)
+        return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().getPath().rstrip("/")
+
+    def _registered(self, table: str) -> str:
+        rows = self.spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").collect()
+        return self._location(rows[0]["data_type"]) if rows else ""
+
     def _tables(self) -> list[tuple[int, str]]:
         """Committed versions, found by folder and ``_SUCCESS`` marker; one
         that this session's catalog does not know yet is registered."""
@@ -338,6 +396,9 @@ class BucketedSnapshot:
             table = f"{self.name}_v{n}"
             if table.lower() not in known:
                 self._register(table, path)
+            elif self._registered(table) != self._location(path):  # an external table: its files stay
+                self.spark.sql(f"DROP TABLE {table}")
+                self._register(table, path)
             out.append((n, table))
         return out
 

@@ -86,3 +86,40 @@ def test_pages_wait_for_the_end_of_their_fetch(spark):
         job.start(spark).awaitTermination()
         seen = {r["domain"] for r in job.domains().collect()}
         assert seen == (set() if i == 0 else {"a.io", "b.io"})
+
+
+def _land(base, name, lines, landed):
+    """A file of envelope lines, landed at ``landed`` (minutes)."""
+    os.makedirs(f"{base}/landed", exist_ok=True)
+    path = f"{base}/landed/{name}.txt"
+    with open(path, "w") as f:
+        f.writelines(json.dumps(x) + "\n" for x in lines)
+    os.utime(path, (1_700_000_000 + 60 * landed,) * 2)
+
+
+def test_fetches_out_of_order_replayed_and_lost(spark):
+    base = tempfile.mkdtemp(prefix="skyledger-state-")
+    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/d", "registrar", DOMAINS_DDL),
+                              S.SnapshotStore(spark, f"{base}/r", "source", DNS_DDL), f"{base}/runs")
+    job = IncrementalSync(f"{base}/landed", stores, f"{base}/ckpt", as_of=lambda: "2024-03-01", pending=f"{base}/pending",
+                          fetch_timeout_ms=60 * 60_000)
+    page = lambda fetch, n, *names: {"kind": "domains", "fetch": fetch, "page": n, "body": [{"domain": d} for d in names]}
+    # the end comes first, one page is landed twice, one fetch never ends
+    _land(base, "0", [{"kind": "end", "fetch": "f1", "pages": 2}, page("f1", 2, "b.io"), page("lost", 1, "l.io")], 0)
+    _land(base, "1", [page("f1", 2, "b.io")], 1)
+    job.start(spark).awaitTermination()
+    assert job.domains().count() == 0
+    _land(base, "2", [page("f1", 1, "a.io")], 30)
+    job.start(spark).awaitTermination()
+    assert {r["domain"] for r in job.domains().collect()} == {"a.io", "b.io"}
+    _land(base, "3", [page("f2", 1, "a.io", "c.io"), {"kind": "end", "fetch": "f2"}], 120)
+    job.start(spark).awaitTermination()
+    assert {r["domain"]: r["status"] for r in job.domains().collect()} == {"a.io": "active", "b.io": "active", "c.io": "active"}
+    runs = {r["run_id"].split("-fetch-")[1]: r for r in job.run_log(spark).collect()}
+    assert {k: r["status"] for k, r in runs.items()} == {"f1": "completed", "f2": "completed", "lost": "failed"}
+    assert "never ended: 1 pages" in runs["lost"]["error_message"]
+    listed = spark.read.parquet(f"{base}/pending/expired/*").first()
+    assert listed["fetch"] == "lost" and [os.path.basename(f) for f in listed["files"]] == ["0.txt"]
+    # nothing is kept of fetches that are over
+    state = spark.read.format("statestore").option("stateVarName", "about").load(f"{base}/ckpt")
+    assert state.count() == 0
