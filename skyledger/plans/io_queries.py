@@ -15,10 +15,14 @@ from skyledger.operators import normalize as N
 from skyledger.operators import runs as R
 from skyledger.operators import unify as U
 from skyledger.operators import views as V
+from skyledger import collection as C
 from skyledger.plans import fixtures as X
+from skyledger.plans import normalize_queries as NQ
 from skyledger.plans.normalize_queries import AS_OF as N_AS_OF, godaddy_domain_docs
 from skyledger.plans.run_queries import META, metadata_docs
+from skyledger.plans.stream_queries import CHANGED, NEXT_DAY, REMOVED_DOMAINS, REMOVED_RECORDS
 from skyledger.plans.view_queries import BAL, CUST_CTE, customers
+from skyledger.schemas import DNS_DDL, DOMAINS_DDL
 from skyledger.session import scratch_path
 from skyledger.sources import envelope as E
 from skyledger.sources import readers as S
@@ -235,7 +239,6 @@ QUERIES = {
 
 # --- SQL twins ---------------------------------------------------------------
 from skyledger.plans import merge_queries as MQ  # noqa: E402
-from skyledger.plans import normalize_queries as NQ  # noqa: E402
 from skyledger.plans import unify_queries as UQ  # noqa: E402
 
 _DOM_S = """s AS (
@@ -317,16 +320,27 @@ UNION ALL SELECT 'removed', name, provider, removed_date FROM ({SQL['k3_export_r
 UNION ALL SELECT 'metadata', service, provider_key, last_updated FROM ({SQL['k4_update_metadata']})"""
 
 
-# --- E1: one collection run end to end -----------------------------------------
-def e1_collection_run(spark, sf):
-    from skyledger.collection import CollectionStores, run_collection
-    from skyledger.plans.normalize_queries import godaddy_record_docs
-    from skyledger.schemas import DNS_DDL, DOMAINS_DDL
-    base = _scratch(spark, "e1")
-    stores = CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL, "status"),
+# --- E1: collection runs end to end ----------------------------------------------
+def _stores(spark, name: str) -> C.CollectionStores:
+    base = _scratch(spark, name)
+    return C.CollectionStores(S.SnapshotStore(spark, f"{base}/domains", "registrar", DOMAINS_DDL, "status"),
                               S.SnapshotStore(spark, f"{base}/records", "source", DNS_DDL, "status"), f"{base}/runs")
-    out = run_collection(spark, stores, N.GODADDY, godaddy_domain_docs(spark, sf), godaddy_record_docs(spark, sf),
-                         N_AS_OF, f"{N_AS_OF} 06:00:00", "run-1", 1)
+
+
+def _day(spark, stores, provider, domains, records, day, run_id, seq=1):
+    return C.run_collection(spark, stores, provider, domains, records, day, f"{day} 06:00:00", run_id, seq)
+
+
+_RUN = ["run_id", "collector_name", "status", "records_found", "records_added", "records_updated", "records_removed", "error_message"]
+
+
+def _runs(spark, stores):
+    return R.current_runs(C.read_run_log(spark, stores.run_log_dir)).select(*_RUN)
+
+
+def e1_collection_run(spark, sf):
+    stores = _stores(spark, "e1")
+    out = _day(spark, stores, N.GODADDY, godaddy_domain_docs(spark, sf), NQ.godaddy_record_docs(spark, sf), N_AS_OF, "run-1")
     d, r = stores.domains.read().count(), stores.records.read().count()
     return out.select(
         "run_id", "collector_name", "status", "records_found", "records_added", "records_updated",
@@ -334,20 +348,124 @@ def e1_collection_run(spark, sf):
         F.lit(r).cast("long").alias("records_in_snapshot"))
 
 
-QUERIES["e1_collection_run"] = e1_collection_run
+def _two_days(spark, sf):
+    """A collection of all pages and, a day later, one of two thirds of them."""
+    stores = _stores(spark, "e1r")
+    for day, where in ((N_AS_OF, "true"), (NEXT_DAY, CHANGED)):
+        _day(spark, stores, N.GODADDY, godaddy_domain_docs(spark, sf, where), NQ.godaddy_record_docs(spark, sf, where), day, f"run-{day}")
+    return stores
+
+
+def e1_removals(spark, sf):
+    """Records after a second collection that has fewer of them."""
+    rows = _two_days(spark, sf).records.read()
+    return X.finalize(rows.select("domain", "subdomain", "record_type", "data", "status", "discovery_date", "last_seen"))
+
+
+def e1_removal_counts(spark, sf):
+    """The run log's counters of both days, and the counts kept with the snapshots."""
+    stores = _two_days(spark, sf)
+    runs = _runs(spark, stores).select("run_id", *[F.col(f"records_{c}").cast("long").alias(c) for c in ("added", "updated", "removed")])
+    both = stores.domains.counts().select(F.lit("domains").alias("run_id"), F.col("total").alias("added"), F.col("active").alias("updated"), "removed")
+    return runs.unionByName(both).unionByName(
+        stores.records.counts().select(F.lit("records").alias("run_id"), F.col("total").alias("added"), F.col("active").alias("updated"), "removed"))
+
+
+def _failed_day(spark, stores, *day) -> None:
+    try:
+        _day(spark, stores, *day)
+    except ValueError:
+        return
+    raise AssertionError("a run with a page that cannot be read must fail")
+
+
+_REJECTED = '{"success":false,"errors":[{"code":1,"message":"rate limited"}]}'
+
+
+def _zone_pages(spark, sf):
+    docs = NQ.cloudflare_zone_docs(spark, sf)
+    return docs.withColumn("value", F.regexp_replace("value", '"success":false', '"success":true'))
+
+
+def e1_failed_zone_page(spark, sf):
+    """A zone page is rejected on the second day: the run fails and the zones stay as they were."""
+    stores = _stores(spark, "e1z")
+    pages = _zone_pages(spark, sf)
+    none = spark.createDataFrame([], "zone_id string, _doc long, value string")
+    _day(spark, stores, N.CLOUDFLARE, pages, none, N_AS_OF, "run-1")
+    bad = pages.where("_doc > 0").unionByName(spark.range(1).select(F.lit(0).cast("long").alias("_doc"), F.lit(_REJECTED).alias("value")))
+    _failed_day(spark, stores, N.CLOUDFLARE, bad, none, NEXT_DAY, "run-2")
+    active = stores.domains.read().where("status = 'active'").count()
+    return _runs(spark, stores).withColumn("active", F.lit(active).cast("long"))
+
+
+def e1_failed_record_page(spark, sf):
+    """Record pages of some zones are rejected on the second day: their records are left alone."""
+    stores = _stores(spark, "e1p")
+    zones, pages = _zone_pages(spark, sf), NQ.cloudflare_record_docs(spark, sf)
+    first = pages.withColumn("value", F.regexp_replace("value", '"success":false', '"success":true'))
+    _day(spark, stores, N.CLOUDFLARE, zones, first, N_AS_OF, "run-1")
+    _day(spark, stores, N.CLOUDFLARE, zones, pages, NEXT_DAY, "run-2")
+    rows = stores.records.read().groupBy("domain", "status", "last_seen").agg(F.count(F.lit(1)).alias("records"))
+    return X.finalize(rows)
+
+
+def e1_bad_json(spark, sf):
+    """A domain page that is cut short fails the run, which merges nothing and names the page."""
+    stores = _stores(spark, "e1j")
+    pages = godaddy_domain_docs(spark, sf)
+    cut = pages.withColumn("value", F.when(F.col("_doc") == 0, F.substring("value", 1, 12)).otherwise(F.col("value")))
+    _failed_day(spark, stores, N.GODADDY, cut, NQ.godaddy_record_docs(spark, sf), N_AS_OF, "run-1")
+    return _runs(spark, stores).withColumn("stored", F.lit(stores.domains.read().count()).cast("long"))
+
+
+def r2_retried_run(spark, sf):
+    """A run that fails and is then run again under its name ends as completed."""
+    stores = _stores(spark, "r2")
+    pages = godaddy_domain_docs(spark, sf)
+    cut = pages.withColumn("value", F.when(F.col("_doc") == 0, F.substring("value", 1, 12)).otherwise(F.col("value")))
+    none = spark.createDataFrame([], "domain string, _doc long, value string")
+    _failed_day(spark, stores, N.GODADDY, cut, none, N_AS_OF, "run-1")
+    _day(spark, stores, N.GODADDY, pages, none, N_AS_OF, "run-1")
+    events = C.read_run_log(spark, stores.run_log_dir).select("event_seq").distinct().count()
+    return _runs(spark, stores).drop("error_message").withColumn("events", F.lit(events).cast("long"))
+
+
+for _q in (e1_collection_run, e1_removals, e1_removal_counts, e1_failed_zone_page, e1_failed_record_page, e1_bad_json, r2_retried_run):
+    QUERIES[_q.__name__] = _q
+
 SQL["e1_collection_run"] = "WITH " + NQ.HOSTS + f""",
-f AS (SELECT * FROM hr WHERE domain IS NOT NULL AND domain <> ''),
-fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM f) WHERE rn = 1),
-d AS (SELECT domain FROM fs WHERE NOT {NQ._is_test('domain')}),
-r AS (SELECT d3 AS domain, {NQ._sub('rname')} AS subdomain, {NQ._rtype('rtype')} AS record_type, url AS data
-      FROM hr WHERE d3 <> ''),
-rk AS (SELECT DISTINCT * FROM r)
+{NQ.kept('d')}, {NQ.records_of('r', 'd')}, rk AS (SELECT DISTINCT * FROM r)
 SELECT 'run-1' AS run_id, 'godaddy' AS collector_name, 'completed' AS status,
   CAST((SELECT count(*) FROM d) + (SELECT count(*) FROM r) AS INTEGER) AS records_found,
   CAST((SELECT count(*) FROM d) + (SELECT count(*) FROM rk) AS INTEGER) AS records_added,
   CAST((SELECT count(*) FROM r) - (SELECT count(*) FROM rk) AS INTEGER) AS records_updated,
   0 AS records_removed,
   (SELECT count(*) FROM d) AS domains_in_snapshot, (SELECT count(*) FROM rk) AS records_in_snapshot"""
+SQL["e1_removals"] = REMOVED_RECORDS
+SQL["e1_removal_counts"] = f"""WITH dd AS ({REMOVED_DOMAINS}), rr AS ({REMOVED_RECORDS}),
+n AS (WITH {NQ.HOSTS}, {NQ.kept('d1')}, {NQ.kept('d2', CHANGED)}, {NQ.records_of('r1', 'd1')}, {NQ.records_of('r2', 'd2', CHANGED)}
+  SELECT (SELECT count(*) FROM d1) AS nd1, (SELECT count(*) FROM d2) AS nd2, (SELECT count(*) FROM r1) AS nr1, (SELECT count(*) FROM r2) AS nr2)
+SELECT 'run-2024-02-01' AS run_id, (SELECT count(*) FROM dd) + (SELECT count(*) FROM rr) AS added,
+  nd1 + nr1 - (SELECT count(*) FROM dd) - (SELECT count(*) FROM rr) AS updated, CAST(0 AS BIGINT) AS removed FROM n
+UNION ALL SELECT 'run-2024-02-02', 0, nd2 + nr2, (SELECT count(*) FROM dd WHERE status = 'removed') + (SELECT count(*) FROM rr WHERE status = 'removed') FROM n
+UNION ALL SELECT 'domains', count(*), count(*) FILTER (WHERE status = 'active'), count(*) FILTER (WHERE status = 'removed') FROM dd
+UNION ALL SELECT 'records', count(*), count(*) FILTER (WHERE status = 'active'), count(*) FILTER (WHERE status = 'removed') FROM rr"""
+_ALL_ZONES = NQ.ZONES.replace("_doc % 7 <> 3 AND ", "")
+SQL["e1_failed_zone_page"] = "WITH " + _ALL_ZONES + """, n AS (SELECT CAST(count(*) AS INTEGER) AS n FROM zones)
+SELECT 'run-1' AS run_id, 'cloudflare' AS collector_name, 'completed' AS status, n AS records_found, n AS records_added, 0 AS records_updated,
+  0 AS records_removed, CAST(NULL AS VARCHAR) AS error_message, CAST(n AS BIGINT) AS active FROM n
+UNION ALL SELECT 'run-2', 'cloudflare', 'failed', 0, 0, 0, 0, 'domain page failed: rate limited', CAST(n AS BIGINT) FROM n"""
+SQL["e1_failed_record_page"] = "WITH " + _ALL_ZONES + ", " + NQ.RECS.replace(" FROM rs WHERE zk % 10 <> 7)", " FROM rs)") + f""",
+k AS (SELECT DISTINCT zone_name AS domain, zk, {NQ._extract('name', 'zone_name')} AS subdomain, {NQ._rtype('type')} AS record_type, content FROM rj)
+SELECT domain, 'active' AS status, CASE WHEN zk % 10 = 7 THEN '2024-02-01' ELSE '2024-02-02' END AS last_seen, CAST(count(*) AS BIGINT) AS records
+FROM k GROUP BY 1, 2, 3"""
+SQL["e1_bad_json"] = """SELECT 'run-1' AS run_id, 'godaddy' AS collector_name, 'failed' AS status, 0 AS records_found, 0 AS records_added,
+  0 AS records_updated, 0 AS records_removed, 'domain page failed: not a JSON array: [{"domain":" (page {"_doc":0})' AS error_message,
+  CAST(0 AS BIGINT) AS stored"""
+SQL["r2_retried_run"] = "WITH " + NQ.HOSTS + f""", {NQ.kept('d')}, n AS (SELECT CAST(count(*) AS INTEGER) AS n FROM d)
+SELECT 'run-1' AS run_id, 'godaddy' AS collector_name, 'completed' AS status, n AS records_found, n AS records_added, 0 AS records_updated,
+  0 AS records_removed, CAST(4 AS BIGINT) AS events FROM n"""
 
 
 # --- K6 on a bucketed snapshot: the snapshot side of the merge never shuffles ----

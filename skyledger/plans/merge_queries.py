@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import merge as M
+from skyledger.operators import views as V
 from skyledger.plans import fixtures as X
 
 
@@ -43,6 +44,14 @@ def m4_change_log_dns(spark, sf):
     return _dns(spark, sf).changes
 
 
+def a1_kept_counts(spark, sf):
+    """Status counts per registrar after a merge, from those before it and its change log."""
+    before = X.domain_snapshot(spark, sf)
+    merged = _dom(spark, sf)
+    counts = V.status_stats(before, ["registrar"])
+    return M.kept_counts(counts, M.change_log(merged), ["registrar"])
+
+
 def m5_batch_last_wins(spark, sf):
     b = X.domain_batch(spark, sf).withColumn("registrar", F.lit(X.DOM_SOURCE))
     return X.finalize(M.dedupe_last(b, ["domain", "registrar"], "_ordinal", "batch_rows"))
@@ -85,6 +94,7 @@ def n6_collection_stats(spark, sf):
 
 
 QUERIES = {
+    "a1_kept_counts": a1_kept_counts,
     "m1_merge_domains": m1_merge_domains,
     "m2_merge_dns_records": m2_merge_dns_records,
     "m3_merge_stats_domains": m3_merge_stats_domains,
@@ -246,3 +256,7 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE o_orderdate >= TIMESTA
           AND l_linestatus = 'F') AS records_found,
        CAST(750 AS BIGINT) AS duration_sec""",
 }
+
+SQL["a1_kept_counts"] = f"""SELECT registrar, CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) AS active,
+  CAST(count(*) FILTER (WHERE status = 'removed') AS BIGINT) AS removed FROM ({SQL['m1_merge_domains']}) GROUP BY registrar"""

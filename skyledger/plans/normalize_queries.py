@@ -48,15 +48,15 @@ def _doc(order_col, fields):
     return F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]))
 
 
-def godaddy_domain_docs(spark, sf) -> DataFrame:
-    h = host_rows(spark, sf)
+def godaddy_domain_docs(spark, sf, where: str = "true") -> DataFrame:
+    h = host_rows(spark, sf).filter(where)
     js = _doc("page_id", ["domain", "expires"])
     return (h.groupBy((F.col("page_id") / 50).cast("long").alias("_doc"))
             .agg(js.alias("value")))
 
 
-def godaddy_record_docs(spark, sf) -> DataFrame:
-    h = host_rows(spark, sf).filter(F.col("d3") != "")
+def godaddy_record_docs(spark, sf, where: str = "true") -> DataFrame:
+    h = host_rows(spark, sf).filter(F.col("d3") != "").filter(where)
     js = _doc("page_id", [F.col("rname").alias("name"), F.col("rtype").alias("type"),
                           F.col("url").alias("data"), "ttl", "priority"])
     return (h.groupBy(F.col("d3").alias("domain"), (F.col("page_id") / 100).cast("long").alias("_doc"))
@@ -115,6 +115,8 @@ QUERIES = {
     "n1_godaddy_domains": lambda s, sf: _fin(N.normalize_godaddy_domains(godaddy_domain_docs(s, sf), AS_OF),
                                              ("_ordinal",)),
     "n2_godaddy_records": lambda s, sf: _fin(N.normalize_godaddy_records(godaddy_record_docs(s, sf), AS_OF)),
+    "n2_kept_domains": lambda s, sf: _fin(N.normalize_godaddy_records(N.of_kept_domains(
+        godaddy_record_docs(s, sf), N.normalize_godaddy_domains(godaddy_domain_docs(s, sf), AS_OF)), AS_OF)),
     "n3_cloudflare_zones": lambda s, sf: _fin(zones(s, sf)),
     "n3_cloudflare_errors": lambda s, sf: N.envelope_errors(cloudflare_zone_docs(s, sf)),
     "n4_cloudflare_records": lambda s, sf: _fin(N.normalize_cloudflare_records(
@@ -214,7 +216,23 @@ rs2 AS (SELECT *, CASE k % 4 WHEN 0 THEN zn WHEN 1 THEN 'www.' || zn || '.' WHEN
   ELSE 'other.net' END AS name FROM rs WHERE zk % 10 <> 7),
 rj AS (SELECT rs2.*, zones.domain AS zone_name FROM rs2 JOIN zones ON rs2.zone_id = zones.zone_id)"""
 
+def kept(name: str, where: str = "true") -> str:
+    """CTE ``name``: the domains that N1 keeps of the pages ``where``."""
+    return (f"{name} AS (SELECT DISTINCT domain FROM hr WHERE domain IS NOT NULL AND domain <> '' "
+            f"AND NOT {_is_test('domain')} AND {where})")
+
+
+def records_of(name: str, domains: str, where: str = "true") -> str:
+    """CTE ``name``: all records of the pages ``where`` whose domain is among ``domains``."""
+    return (f"{name} AS (SELECT d3 AS domain, {_sub('rname')} AS subdomain, {_rtype('rtype')} AS record_type, url AS data "
+            f"FROM hr WHERE d3 <> '' AND d3 IN (SELECT domain FROM {domains}) AND {where})")
+
+
 SQL = {
+    "n2_kept_domains": "WITH " + HOSTS + f""", {kept('kd')}
+SELECT d3 AS domain, {_sub('rname')} AS subdomain, {_rtype('rtype')} AS record_type, url AS data,
+  CAST(trunc(ttl) AS INTEGER) AS ttl, CAST(coalesce(priority, 0) AS INTEGER) AS priority,
+  'GoDaddy' AS source, 'active' AS status, {_DATES} FROM hr WHERE d3 <> '' AND d3 IN (SELECT domain FROM kd)""",
     "n1_godaddy_domains": "WITH " + HOSTS + f""",
 f AS (SELECT * FROM hr WHERE domain IS NOT NULL AND domain <> ''),
 fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM f) WHERE rn = 1)

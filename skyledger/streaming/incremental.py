@@ -130,10 +130,10 @@ class IncrementalSync:
         return R.current_runs(read_run_log(spark, self.stores.run_log_dir))
 
 
-def envelope_lines(docs: DataFrame, kind: str) -> DataFrame:
+def envelope_lines(docs: DataFrame, kind: str, fetch: str | None = None) -> DataFrame:
     """Wrap landed pages (``value`` = provider JSON, optional ``domain`` /
     ``zone_id``) as envelope lines for the landed folder."""
-    cols = [F.lit(kind).alias("kind")]
+    cols = [F.lit(kind).alias("kind")] + ([F.lit(fetch).alias("fetch")] if fetch else [])
     for c in ("domain", "zone_id"):
         if c in docs.columns:
             cols.append(F.col(c))
