@@ -5,7 +5,8 @@
 removed rows (F1) and marks them with ``row_class`` (P12); the views' text
 renderers are attached (P4-P6, P9) and state columns get badge classes via
 ``state_classes`` (P7). More renderers can be attached with ``with_renders``;
-column titles follow a rule (field name in title case).
+column titles come from ``titles``. ``REMOVED_VIEWS`` holds the column lists
+of the removed assets of each provider's services.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import replace
 from skyledger.functions import render as R
 from skyledger.operators.views import ViewColumn, ViewSpec
 from skyledger.sources.readers import CatalogEntry
+from skyledger.titles import removed_lists, view_titles
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for equal results).
@@ -251,11 +253,17 @@ def _parse() -> dict[str, ViewSpec]:
     out = {}
     for line in _VIEW_TABLE.strip().splitlines():
         key, source, *fields = line.split()
-        out[key] = ViewSpec.of(key, " ".join(fields), source=source, renders=renders.get(key))
+        out[key] = ViewSpec.of(key, " ".join(fields), source=source, titles=view_titles(key, fields), renders=renders.get(key))
     return out
 
 
 VIEWS: dict[str, ViewSpec] = _parse()
+# the removed-service lists: provider to service to its columns; ``source`` names the asset file stem
+REMOVED_VIEWS: dict[str, dict[str, ViewSpec]] = {
+    provider: {service: ViewSpec.of(f"{provider}/{service}", " ".join(columns), titles=columns,
+                                    source=service if provider == "dns" else f"{provider}/{service}")
+               for service, columns in services.items()}
+    for provider, services in removed_lists().items()}
 STATE_CLASSES: dict[str, dict] = {}
 for _line in _STATE_TABLE.strip().splitlines():
     _v, _f, _m = _line.split()

@@ -10,6 +10,8 @@ Spark job here:
   domains   filtered domain list, written as JSON                             (GET /domains)
   records   filtered DNS record list, written as JSON                         (GET /dns-records)
   view      one page of a catalog view over an asset table                    (table pages)
+  removed   removed assets of a provider's services, or of one in its columns (removed pages)
+  freshness age of every service's data                                       (freshness badges)
   index     build the provider-partitioned search index from asset files      (search page data)
   search    search the index: per-service counts and first hits               (search page)
 
@@ -25,13 +27,14 @@ import sys
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog import VIEWS, search_manifest
+from skyledger.catalog import REMOVED_VIEWS, VIEWS, search_manifest
 from skyledger.collection import CollectionStores, read_run_log, run_collection
 from skyledger.operators import runs as R
 from skyledger.operators import unify as U
 from skyledger.operators import views as V
 from skyledger.schemas import DNS_DDL, DOMAINS_DDL
 from skyledger.session import get_session
+from skyledger.sources import envelope as E
 from skyledger.sources import readers as S
 from skyledger.sources import sinks as K
 
@@ -60,6 +63,8 @@ def cmd_sync(spark, a) -> None:
     out = run_collection(spark, stores, a.provider, domains, records, as_of, now, a.run_id or f"run-{seq}", seq,
                          trigger=a.trigger)
     _print(out, 1)
+    if a.export:  # a successful run publishes its results
+        export_all(spark, stores, a.export, now, a.metadata)
 
 
 def cmd_status(spark, a) -> None:
@@ -77,13 +82,16 @@ def cmd_repair(spark, a) -> None:
     _print(R.stale_count(runs, a.now, a.max_age_hours), 1)
 
 
-def cmd_export(spark, a) -> None:
-    stores = _stores(spark, a.store)
-    meta = (R.read_metadata(spark, a.metadata) if a.metadata else
+def export_all(spark, stores: CollectionStores, out: str, now: str, metadata: str | None) -> None:
+    meta = (R.read_metadata(spark, metadata) if metadata else
             spark.createDataFrame([], "provider_key string, name string, provider string, schedule string, "
                                       "provider_last_updated string, service string, last_updated string, "
                                       "count bigint"))
-    K.export_all(stores.domains.read(), stores.records.read(), meta, a.out, a.now, document=True)
+    K.export_all(stores.domains.read(), stores.records.read(), meta, out, now, document=True)
+
+
+def cmd_export(spark, a) -> None:
+    export_all(spark, _stores(spark, a.store), a.out, a.now, a.metadata)
 
 
 def cmd_domains(spark, a) -> None:
@@ -118,10 +126,30 @@ def cmd_view(spark, a) -> None:
         _print(page, a.rows)
 
 
+def cmd_removed(spark, a) -> None:
+    """Removed assets of one service in its own columns, or of a provider's services in the common ones."""
+    lists = REMOVED_VIEWS[a.provider]
+    keys = [a.service] if a.service else list(lists)
+    entries = [S.CatalogEntry(a.provider, k, f"{a.data_dir.rstrip('/')}/{lists[k].source}.json") for k in keys]
+    services, skipped = S.read_catalog(spark, entries)
+    if not services:
+        _print(skipped)
+    elif a.service:
+        _print(U.removed_service(services[0].df, lists[a.service], a.date_from, a.date_to), a.rows)
+    else:
+        _print(U.removed_unified(services, a.provider, a.date_from, a.date_to), a.rows)
+
+
+def cmd_freshness(spark, a) -> None:
+    """Age of every service's data (``--now``, else the time of the call)."""
+    now = a.now or F.current_timestamp()
+    _print(R.freshness_report(R.read_metadata(spark, a.metadata), now).orderBy("provider_key", "service"), a.rows)
+
+
 def cmd_index(spark, a) -> None:
-    services, skipped = S.read_catalog(spark, search_manifest(a.data_dir))
-    U.build_search_index(services).write.mode("overwrite").partitionBy("provider").parquet(a.out)
-    _print(skipped)
+    found = E.read_envelope(spark, search_manifest(a.data_dir))
+    E.envelope_index(found.rows).write.mode("overwrite").partitionBy("provider").parquet(a.out)
+    _print(found.errors.select("provider", "service", F.col("_file").alias("path"), "reason"))
 
 
 def cmd_search(spark, a) -> None:
@@ -145,6 +173,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--now")
     s.add_argument("--run-id")
     s.add_argument("--trigger", default="manual")
+    s.add_argument("--export", help="folder to export to after a successful run")
+    s.add_argument("--metadata", help="metadata to update in the export")
     s = sub.add_parser("status")
     s.add_argument("--store", required=True)
     s = sub.add_parser("repair")
@@ -176,6 +206,17 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--rows", type=int, default=50, choices=list(V.ALLOWED_PAGE_SIZES))
     s.add_argument("--hide", help="column positions to hide, e.g. 0,3 (still searched)")
     s.add_argument("--summary", action="store_true", help="first print page bounds and status counts")
+    s = sub.add_parser("removed")
+    s.add_argument("--data-dir", required=True)
+    s.add_argument("--provider", required=True, choices=sorted(REMOVED_VIEWS))
+    s.add_argument("--service")
+    s.add_argument("--from", dest="date_from")
+    s.add_argument("--to", dest="date_to")
+    s.add_argument("--rows", type=int, default=50)
+    s = sub.add_parser("freshness")
+    s.add_argument("--metadata", required=True)
+    s.add_argument("--now")
+    s.add_argument("--rows", type=int, default=250)
     s = sub.add_parser("index")
     s.add_argument("--data-dir", required=True)
     s.add_argument("--out", required=True)
@@ -188,7 +229,7 @@ def parser() -> argparse.ArgumentParser:
 
 COMMANDS = {"sync": cmd_sync, "status": cmd_status, "repair": cmd_repair, "export": cmd_export,
             "domains": cmd_domains, "records": cmd_records, "view": cmd_view, "index": cmd_index,
-            "search": cmd_search}
+            "search": cmd_search, "removed": cmd_removed, "freshness": cmd_freshness}
 
 
 def main(argv: list[str] | None = None, spark=None) -> None:

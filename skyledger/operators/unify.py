@@ -128,6 +128,21 @@ def removed_service(df: DataFrame, view: ViewSpec, date_from: str | None = None,
     return project_view(removed, view, keep)
 
 
+def removed_services(services: list[Service], views: dict[str, ViewSpec], date_from: str | None = None,
+                     date_to: str | None = None) -> DataFrame:
+    """Removed rows of all of a provider's services, each in its own column list,
+    as one table: the service, its titled cells in column order and its ordinal."""
+    out = None
+    for s in services:
+        view = views[s.key]
+        rows = removed_service(s.df, view, date_from, date_to, ["_ordinal"] if "_ordinal" in s.df.columns else None)
+        cells = F.array(*[F.struct(F.lit(c.title).alias("title"), js_string(rows, c.data).alias("value")) for c in view.columns])
+        ordinal = F.col("_ordinal").cast("long") if "_ordinal" in rows.columns else F.lit(None).cast("long")
+        part = rows.select(F.lit(s.provider).alias("provider"), F.lit(s.key).alias("service"), cells.alias("cells"), ordinal.alias("_ordinal"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # G1 -------------------------------------------------------------------------
 def search_hits(s: Service, q: str, ordinal: str = "_ordinal") -> DataFrame:
     """Matching rows of one service as hit rows."""

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.catalog import REMOVED_VIEWS
 from skyledger.operators import gram_index as G
 from skyledger.operators import unify as U
 from skyledger.operators import views as V
@@ -89,6 +90,37 @@ def _removed_orders_view():
     return V.ViewSpec.of("sql", "name display_name resource_group location removed_date status")
 
 
+def _listed(spark, sf, provider: str) -> list[U.Service]:
+    """Every service of a provider's removed lists, its fields derived from ``supplier``."""
+    sup, k = X.table(spark, sf, "supplier"), F.col("s_suppkey")
+    out = []
+    for i, (service, view) in enumerate(REMOVED_VIEWS[provider].items()):
+        plain = [F.concat(F.lit(f + "-"), k.cast("string")).alias(f) for f in view.fields if f not in ("removed_date", "status")]
+        out.append(U.Service(provider, service, sup.select(
+            k.alias("_ordinal"), *plain, F.when(k % (i + 2) < 2, F.lit("removed")).otherwise(F.lit("active")).alias("status"),
+            F.when(k % 3 == 0, F.lit("1998-06-15")).when(k % 3 == 1, F.lit("1999-01-01")).alias("removed_date"))))
+    return out
+
+
+def _u3(provider: str):
+    def q(spark, sf):
+        rows = U.removed_services(_listed(spark, sf, provider), REMOVED_VIEWS[provider], "1998-01-01", "1998-12-31")
+        cell = lambda c: F.concat(c["title"], F.lit("="), F.coalesce(c["value"], F.lit("")))
+        return rows.select("provider", "service", "_ordinal", F.array_join(F.transform("cells", cell), "; ").alias("cells"))
+    return q
+
+
+def _u3_sql(provider: str) -> str:
+    parts = []
+    for i, (service, view) in enumerate(REMOVED_VIEWS[provider].items()):
+        date = "CASE s_suppkey % 3 WHEN 0 THEN '1998-06-15' WHEN 1 THEN '1999-01-01' END"
+        value = {"removed_date": f"coalesce({date}, '')", "status": "'removed'"}
+        cells = " || '; ' || ".join(f"'{c.title}=' || " + value.get(c.data, f"'{c.data}-' || CAST(s_suppkey AS VARCHAR)") for c in view.columns)
+        parts.append(f"SELECT '{provider}' AS provider, '{service}' AS service, s_suppkey AS _ordinal, {cells} AS cells FROM supplier "
+                     f"WHERE s_suppkey % {i + 2} < 2 AND s_suppkey % 3 <> 1")
+    return " UNION ALL ".join(parts)
+
+
 QUERIES = {
     "u1_removed_assets": lambda s, sf: X.finalize(
         U.removed_assets(X.domain_snapshot(s, sf), X.dns_snapshot(s, sf)).drop(*U.REMOVED_ORDER)),
@@ -332,3 +364,7 @@ def _removed_sql(provider: str) -> str:
 
 for _p in ("gcp", "cloudflare", "digitalocean", "oracle", "aws"):
     SQL[f"u2_removed_{_p}"] = _removed_sql(_p)
+
+for _p in REMOVED_VIEWS:
+    QUERIES[f"u3_removed_{_p}"] = _u3(_p)
+    SQL[f"u3_removed_{_p}"] = _u3_sql(_p)
