@@ -113,7 +113,7 @@ def _possible(a: str, b: str, deep: int, deep_least: int, percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (both >= need)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: int, percent: int, k: int) -> DataFrame:
     """The pairs (u, v: classes) whose full sets reach the similarity."""
 
     def sides(frame: DataFrame, values: DataFrame) -> DataFrame:
@@ -121,8 +121,11 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, full: DataFrame, least: in
                 .join(values.select(F.col("class").alias("v"), F.col("values").alias("b")), "v"))
 
     common = F.size(F.array_intersect("a", "b"))
-    # sketches: overlap among the retained values (all of a small set)
-    near = sides(pairs, sketches).where(common >= F.least(F.lit(least), F.ceil(F.lit(percent) * F.greatest(F.size("a"), F.size("b")) / 100))).select("u", "v")
+    # the union's sketch is the k least values of both; the part of it that both sets have estimates the similarity
+    joined = F.slice(F.array_sort(F.array_union("a", "b")), 1, k)
+    held = sides(pairs, sketches).select("u", "v", joined.alias("joined"), F.array_intersect("a", "b").alias("both"))
+    estimate = F.size(F.array_intersect("joined", "both"))
+    near = held.where(estimate >= F.least(F.lit(least), F.ceil(F.lit(percent) * F.size("joined") / 100))).select("u", "v")
     joint = F.size("a") + F.size("b") - F.col("common")
     return sides(near, full).withColumn("common", common).where(100 * F.col("common") >= percent * joint).select("u", "v")
 
@@ -162,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
             .where((F.col("a.class") != F.col("b.class")) & _possible("a", "b", deep, deep_least, percent))
             .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct())
     star = store.written(star, "star")
-    links = store.written(_confirmed(star, sketches, full, least, percent), "links")
+    links = store.written(_confirmed(star, sketches, full, least, percent, k), "links")
 
     # 3. what lies across components
     roots = components(links)
@@ -172,7 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
     across = (placed.alias("a").join(placed.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", deep, deep_least, percent))
               .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct()
               .join(star, ["u", "v"], "left_anti"))
-    more = store.written(_confirmed(store.written(across, "across"), sketches, full, least, percent), "links")
+    more = store.written(_confirmed(store.written(across, "across"), sketches, full, least, percent, k), "links")
     roots = components(links.union(more))
 
     named = classes.select("class", "first_id").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -9,8 +9,9 @@ labels, by Adam over the whole sample.
 
 Scale. Scoring is one pass without a shuffle; every passage of every text is
 encoded, in blocks of some MB. The model is fitted on the labelled documents of
-a bounded sample (``sample_docs``, the least hashes of doc_id): the encoded
-passages of those documents, a few MB, are all the driver sees.
+a bounded sample (``sample_docs``, the least hashes of doc_id, and at most
+``sample_passages`` of a text): the encoded passages of those documents, a few
+MB, are all the driver sees. Scores are of all passages.
 
 Labels, lang, source and doc_id are no inputs of a score. A null or empty text is
 a bag with one empty passage and gets the score of that. Null labels, and labels
@@ -104,6 +105,20 @@ def _forward(m: Model, x: np.ndarray, bag: np.ndarray, bags: int) -> dict:
     return {"z": z, "t": t, "g": g, "a": a, "r": r, "starts": starts, "p": _sigmoid(r @ m["c"] + m["d"])}
 
 
+def gradients(m: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray, each: np.ndarray, xs: np.ndarray | None = None) -> Model:
+    """Of the log loss of the bags, each weighing ``each``, by every learned weight; ``xs``: ``x`` standardised."""
+    xs = (x - m["mean"]) / m["scale"] if xs is None else xs
+    f = _forward(m, x, bag, len(y))
+    z, t, g, a = f["z"], f["t"], f["g"], f["a"]
+    dp = (f["p"] - y) * each
+    dr = dp[:, None] * m["c"]
+    da = (dr[bag] * z).sum(1)
+    de = a * (da - np.add.reduceat(a * da, f["starts"])[bag])
+    dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
+    dz = (a[:, None] * dr[bag] + dt @ m["V"].T + dg @ m["U"].T) * (z > 0)
+    return {"W": xs.T @ dz, "b": dz.sum(0), "V": z.T @ dt, "U": z.T @ dg, "w": (t * g).T @ de, "c": f["r"].T @ dp, "d": dp.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, steps: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 1) -> Model:
     """Learn all weights from bag labels ``y`` (0 or 1), the classes weighing alike."""
     rng = np.random.default_rng(seed)
@@ -116,15 +131,7 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, gate: i
     each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     xs = (x - m["mean"]) / m["scale"]
     for step in range(1, steps + 1):
-        f = _forward(m, x, bag, bags)
-        z, t, g, a = f["z"], f["t"], f["g"], f["a"]
-        dp = (f["p"] - y) * each
-        dr = dp[:, None] * m["c"]
-        da = (dr[bag] * z).sum(1)
-        de = a * (da - np.add.reduceat(a * da, f["starts"])[bag])
-        dt, dg = de[:, None] * m["w"] * g * (1 - t * t), de[:, None] * m["w"] * t * g * (1 - g)
-        dz = (a[:, None] * dr[bag] + dt @ m["V"].T + dg @ m["U"].T) * (z > 0)
-        grad = {"W": xs.T @ dz, "b": dz.sum(0), "V": z.T @ dt, "U": z.T @ dg, "w": (t * g).T @ de, "c": f["r"].T @ dp, "d": dp.sum(keepdims=True)}
+        grad = gradients(m, x, bag, y, each, xs)
         for k in learned:
             u, v = mom[k]
             d = grad[k] + decay * m[k]
@@ -146,16 +153,26 @@ def remainder(key: Column, of: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(of))
 
 
-def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 4, held_out: int = 2, sample_docs: int = 4000) -> Model | None:
-    """The model fitted on at most ``sample_docs`` labelled documents outside the held-out fold."""
+def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = 4, held_out: int = 2, sample_docs: int = 4000, sample_passages: int = 256) -> Model | None:
+    """The model fitted on at most ``sample_docs`` labelled documents outside the held-out fold.
+
+    A doc_id counts once, with its largest label and the least of its texts; of a
+    longer text the fit takes ``sample_passages`` passages, evenly spread.
+    """
     own = labels.where(F.col(column).isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
-    own = sample(own.select("doc_id", F.col(column).alias("y")), sample_docs)
+    own = sample(own.groupBy("doc_id").agg(F.max(column).alias("y")), sample_docs)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.slices(batches, "text", 4 << 20):
             x, first = encode(b.column("text"))
-            bags = [x[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+            bags = []
+            for i, j in zip(first[:-1], first[1:]):
+                own = x[i:j]
+                if len(own) > sample_passages:
+                    own = own[np.linspace(0, len(own) - 1, sample_passages).round().astype(int)]
+                bags.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "doc_id long, y int, bag binary").collect()

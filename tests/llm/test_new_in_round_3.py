@@ -141,3 +141,53 @@ def test_infilling(spark, docs, none):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     assert collections.Counter(con.execute(infilling.SQL).fetchall()) == hashed
+
+
+def test_quality_model_takes_a_document_once(spark):
+    """Repeated rows, repeated labels and very long texts do not grow what the driver fits on."""
+    from skyledger.llm import quality_classifier as q
+
+    rows = [(i, " ".join(f"word{(i * 31 + k * 17) % 97}" if i % 2 else "Spam###" for k in range(60))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one = q.trained(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = q.trained(spark.createDataFrame(rows * 5, "doc_id long, text string"), labels.unionAll(labels))
+    assert all(np.array_equal(one[k], many[k]) for k in one)
+    long = spark.createDataFrame([*rows, (1000, "long words " * 60000)], "doc_id long, text string")
+    assert q.trained(long, labels.unionAll(spark.createDataFrame([(1000, 1)], "doc_id long, quality int")), sample_passages=16) is not None
+
+
+def test_gradient_of_the_quality_model_is_the_numeric_one():
+    """One step of plain descent against finite differences of the weighted log loss, by loops over bags."""
+    from skyledger.llm import quality_classifier as q
+
+    rng = np.random.default_rng(3)
+    x, bag, y = rng.standard_normal((9, 5)).astype(np.float64), np.array([0, 0, 0, 1, 2, 2, 3, 3, 3]), np.array([1.0, 0.0, 1.0, 0.0])
+    m = {k: v.astype(np.float64) for k, v in q.fit(x, bag, y, hidden=4, gate=3, steps=3).items()}
+    each = np.where(y == 1, 0.25, 0.25)
+
+    def loop(m):
+        loss = 0.0
+        for b in range(4):
+            z = [np.maximum((r - m["mean"]) / m["scale"] @ m["W"] + m["b"], 0) for r in x[bag == b]]
+            e = np.array([(np.tanh(v @ m["V"]) / (1 + np.exp(-(v @ m["U"])))) @ m["w"] for v in z])
+            a = np.exp(e) / np.exp(e).sum()
+            p = 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, z)) @ m["c"] + m["d"][0])))
+            loss -= each[b] * np.log(p if y[b] else 1 - p)
+        return loss
+
+    f = q._forward(m, x, bag, 4)
+    want = [float(1 / (1 + np.exp(-(r @ m["c"] + m["d"][0])))) for r in f["r"]]
+    assert np.allclose(f["p"], want)
+    seen = {}
+    rate = 1e-7
+    for name in ("W", "V", "U", "w", "c", "d", "b"):
+        grad = np.zeros_like(m[name])
+        for at in np.ndindex(*m[name].shape):
+            up, down = ({**m, name: m[name].copy()} for _ in range(2))
+            up[name][at] += rate
+            down[name][at] -= rate
+            grad[at] = (loop(up) - loop(down)) / (2 * rate)
+        seen[name] = grad
+    got = q.gradients(m, x, bag, y, each)
+    for name, grad in seen.items():
+        assert np.allclose(got[name], grad, atol=1e-5), name
