@@ -10,6 +10,8 @@ Spark job here:
   domains   filtered domain list, written as JSON                             (GET /domains)
   records   filtered DNS record list, written as JSON                         (GET /dns-records)
   view      one page of a catalog view over an asset table                    (table pages)
+  rank      sort a view once into a rank index                                 (table pages)
+  page      any page of a rank index                                           (table pages)
   removed   removed assets of a provider's services, or of one in its columns (removed pages)
   freshness age of every service's data                                       (freshness badges)
   index     build the provider-partitioned search index from asset files      (search page data)
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from skyledger.catalog import REMOVED_VIEWS, VIEWS, search_manifest
 from skyledger.collection import CollectionStores, read_run_log, run_collection
+from skyledger.operators import ranking
 from skyledger.operators import runs as R
 from skyledger.operators import unify as U
 from skyledger.operators import views as V
@@ -106,6 +109,20 @@ def cmd_records(spark, a) -> None:
                  for c in out.columns]).write.mode("overwrite").json(a.out)
 
 
+def cmd_rank(spark, a) -> None:
+    """Sort a view once into a rank index, from which ``page`` reads any page."""
+    df, view = V.not_removed(S.read_assets(spark, a.data)), VIEWS[a.view]
+    order = V.smart_order(df, view.columns[a.sort_col].data, "desc" if a.desc else "asc")
+    ranking.build_rank_index(df, order, a.out, a.ranges)
+
+
+def cmd_page(spark, a) -> None:
+    rows = ranking.page_by_rank(spark, a.index, a.page, a.rows, position="_position")
+    view = VIEWS[a.view]
+    _print(V.project_view(rows, view, keep=["_position"]).orderBy("_position"), a.rows)
+    _print(ranking.rank_summary(spark, a.index, a.page, a.rows), 1)
+
+
 def cmd_view(spark, a) -> None:
     df = S.read_assets(spark, a.data)
     view = VIEWS[a.view]
@@ -206,6 +223,18 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--rows", type=int, default=50, choices=list(V.ALLOWED_PAGE_SIZES))
     s.add_argument("--hide", help="column positions to hide, e.g. 0,3 (still searched)")
     s.add_argument("--summary", action="store_true", help="first print page bounds and status counts")
+    s = sub.add_parser("rank")
+    s.add_argument("--data", required=True)
+    s.add_argument("--view", required=True, choices=sorted(VIEWS))
+    s.add_argument("--sort-col", type=int, default=0)
+    s.add_argument("--desc", action="store_true")
+    s.add_argument("--out", required=True)
+    s.add_argument("--ranges", type=int, help="about one for each million rows")
+    s = sub.add_parser("page")
+    s.add_argument("--index", required=True)
+    s.add_argument("--view", required=True, choices=sorted(VIEWS))
+    s.add_argument("--page", type=int, default=0)
+    s.add_argument("--rows", type=int, default=50)
     s = sub.add_parser("removed")
     s.add_argument("--data-dir", required=True)
     s.add_argument("--provider", required=True, choices=sorted(REMOVED_VIEWS))
@@ -229,7 +258,7 @@ def parser() -> argparse.ArgumentParser:
 
 COMMANDS = {"sync": cmd_sync, "status": cmd_status, "repair": cmd_repair, "export": cmd_export,
             "domains": cmd_domains, "records": cmd_records, "view": cmd_view, "index": cmd_index,
-            "search": cmd_search, "removed": cmd_removed, "freshness": cmd_freshness}
+            "search": cmd_search, "removed": cmd_removed, "rank": cmd_rank, "page": cmd_page, "freshness": cmd_freshness}
 
 
 def main(argv: list[str] | None = None, spark=None) -> None:

@@ -40,3 +40,15 @@ def test_removed_and_freshness_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[0])["freshness"] == "fresh"
     cli.main(["view", "--data", str(tmp_path / "gcp" / "gke.json"), "--view", "gcp/gke"], spark)
     assert [json.loads(x)["location"] for x in capsys.readouterr().out.splitlines()] == [None]  # the active one
+
+
+def test_rank_and_page_commands(spark, tmp_path, capsys):
+    rows = [{"instance_id": f"i-{i}", "name": f"web-{i * 7 % 40}", "status": "removed" if i % 9 == 0 else "active"} for i in range(40)]
+    (tmp_path / "ec2.json").write_text(json.dumps(rows))
+    cli.main(["rank", "--data", str(tmp_path / "ec2.json"), "--view", "aws/ec2", "--sort-col", "2", "--desc", "--out", str(tmp_path / "i"), "--ranges", "3"], spark)
+    cli.main(["page", "--index", str(tmp_path / "i"), "--view", "aws/ec2", "--page", "1", "--rows", "10"], spark)
+    *page, summary = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    cli.main(["view", "--data", str(tmp_path / "ec2.json"), "--view", "aws/ec2", "--sort-col", "2", "--desc", "--rows", "50"], spark)
+    whole = [json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()]
+    assert [r["name"] for r in page] == whole[10:20] and [r["_position"] for r in page] == list(range(11, 21))
+    assert summary == {"from_row": 11, "to_row": 20, "total": 35, "pages": 4}
