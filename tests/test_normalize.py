@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from skyledger.operators import normalize as N
 
 
@@ -89,3 +91,28 @@ def test_bootstrap_reads_spark_exports(spark, tmp_path):
     back = read_dns_json(spark, str(tmp_path / "k2"))
     assert sorted((r["subdomain"], r["status"], str(r["last_seen"])) for r in back.collect()) == \
         [("", "active", "2024-01-01"), ("www", "removed", "2024-01-01")]
+
+
+def test_bootstrap_splits_files_of_lines(spark, tmp_path):
+    import gzip
+    from skyledger.sources.readers import read_dns_json
+    row = {"domain": "a.io", "type": "A", "data": "1", "source": "GoDaddy", "status": "active"}
+    lines = [json.dumps({**row, "subdomain": f"s{i}"}) for i in range(20000)]
+    folder = tmp_path / "_boot"
+    folder.mkdir()
+    (folder / "lines.json").write_text("\n".join(lines[:19000] + ["", '{"domain": "cut'] + lines[19000:19500]))
+    (folder / "packed.json.gz").write_bytes(gzip.compress("\n".join(lines[19500:]).encode()))
+    (folder / "array.json").write_text("\n [" + json.dumps({**row, "subdomain": "@"}) + "]")
+    (folder / "empty.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        back = read_dns_json(spark, str(folder))
+        assert back.rdd.getNumPartitions() > 5  # a task holds a part of a file, not the whole file
+        names = [r["subdomain"] for r in back.where("domain is not null").collect()]
+        assert sorted(names) == sorted(["", *[f"s{i}" for i in range(20000)]])
+        assert back.where("domain is null").count() == 1  # the line cut short, as before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_dns_json(spark, str(tmp_path / "missing"))
