@@ -55,3 +55,16 @@ def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "asset int, _strings array<string>")
     G.build_gram_index(df, "_strings", str(tmp_path / "i"))
     assert G.search_grams(spark, str(tmp_path / "i"), "_strings", "ab").count() == 0
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    """The pieces of a small file of many rows are found by more than one task, in lists ahead of the shuffle."""
+    df = spark.range(0, 40000, 1, 1).select("id", F.array(F.concat(F.lit("row "), "id")).alias("_strings"))
+    stored = df.withColumnRenamed("id", "_id")
+    plan = G.posting_lists(stored, "_strings")._jdf.queryExecution().executedPlan().toString()
+    found, dealt = plan.index("MapInArrow"), plan.index("hashpartitioning(shiftright(_id")
+    assert found < dealt and "Generate explode" not in plan
+    G.build_gram_index(df, "_strings", str(tmp_path / "i"))
+    lists = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    assert lists.where("gram = 'ro'").agg(F.sum("n")).first()[0] == 40000
+    assert G.search_grams(spark, str(tmp_path / "i"), "_strings", "row 39999").count() == 1
