@@ -68,3 +68,26 @@ def test_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
     lists = spark.read.parquet(str(tmp_path / "i" / "postings"))
     assert lists.where("gram = 'ro'").agg(F.sum("n")).first()[0] == 40000
     assert G.search_grams(spark, str(tmp_path / "i"), "_strings", "row 39999").count() == 1
+
+
+@pytest.mark.parametrize("rows, letters", [(300, 5), (5000, 150000)])
+def test_pieces_equal_brute_force(rows, letters):
+    """Texts of several services, with nulls and rows without any; also with more characters than a packed key can hold."""
+    import pyarrow as pa
+
+    rnd = random.Random(rows)
+    every = [chr(0x10000 + k) for k in range(letters)]
+    def text():
+        return None if rnd.random() < 0.1 else "".join(rnd.choice(every) for _ in range(rnd.randint(0, 60)))
+
+    ids = rnd.sample(range(3 << G.BLOCK_BITS), rows)
+    texts = [None if rnd.random() < 0.1 else [text() for _ in range(rnd.randint(0, 3))] for _ in ids]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.list_(pa.string()))], names=["_id", "texts"])
+    got = set()
+    for part in G._pieces(iter([batch.slice(0, 7), batch.slice(7)])):
+        for r in part.to_pylist():
+            assert r["ids"] == sorted(set(r["ids"]))
+            rows_of = {(r["gram"], (r["_block"] << G.BLOCK_BITS) + k) for k in r["ids"]}
+            assert not rows_of & got
+            got |= rows_of
+    assert got == {(t[k : k + n], i) for i, ts in zip(ids, texts) for t in ts or [] if t for n in (2, 3) for k in range(len(t) - n + 1)}
