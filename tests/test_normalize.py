@@ -116,3 +116,26 @@ def test_bootstrap_splits_files_of_lines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_dns_json(spark, str(tmp_path / "missing"))
+
+
+def test_export_all_reads_committed_snapshots(spark, monkeypatch):
+    """Neither snapshot is derived again for each of the four exports."""
+    from skyledger.plans import io_queries as Q
+    seen = []
+    real = Q.K.export_all
+    monkeypatch.setattr(Q.K, "export_all", lambda domains, dns, *rest: (seen.extend([domains, dns]), real(domains, dns, *rest)))
+    sf = "/root/testdata/sf0.001"
+    out = Q.k7_export_all(spark, sf)
+    assert out.where("file = 'subdomains'").count() == Q.X.dns_snapshot(spark, sf).count()
+    assert all("/v=0/" in f for frame in seen for f in frame.inputFiles())
+
+
+def test_exports_sort_ahead_of_the_text_of_dates(spark):
+    from skyledger.plans import fixtures as X
+    from skyledger.sources import sinks as K
+    frame = K.dns_export_frame(X.dns_snapshot(spark, "/root/testdata/sf0.001"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("date_format") < plan.index("Sort [domain") if "date_format" in plan else plan.index("Project") < plan.index("Sort [domain")
+    rows = [(r.domain, r.subdomain) for r in frame.collect()]
+    assert rows == sorted(rows)
+    assert dict(frame.dtypes)["last_seen"] == "string"
