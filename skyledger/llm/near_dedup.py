@@ -20,7 +20,8 @@ however many, cost one row. The steps on classes:
    below the threshold, the full sets confirm the rest.
 3. Components of those links. Lists that still hold two or more components give
    their pairs across components, filtered and confirmed alike; pairs inside a
-   component change nothing. No pair over the threshold is lost by step 2.
+   component change nothing. A pair is given by the lists of its first common
+   values only. No pair over the threshold is lost by step 2.
 
 Null, empty and white-space texts have empty sets and link with nothing; a text
 of fewer words than a shingle is one shingle; a null doc_id takes part, its
@@ -104,6 +105,17 @@ def _index(values: DataFrame, least: int, percent: int) -> DataFrame:
     return shared.where(F.col("at") <= F.col("size") - need + 1).select("value", "class", "n", "size", "at", "alone")
 
 
+def _with_earlier(index: DataFrame, values: int = 6) -> DataFrame:
+    """Index rows with ``earlier``: the class's ``values`` values ahead of this one in rarest-first order.
+
+    Two classes that have one of them in common meet in its list as well, with
+    more room after it, so the lists behind it need not give the pair again.
+    The first common value never has one: no pair is lost.
+    """
+    ahead = Window.partitionBy("class").orderBy("at").rowsBetween(-values, -1)
+    return index.withColumn("earlier", F.collect_list("value").over(ahead))
+
+
 def _possible(a: str, b: str, deep: int, deep_least: int, percent: int) -> Column:
     """Whether two index rows of a value can belong to a pair over the threshold."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -171,8 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, k: int =
     roots = components(links)
     placed = index.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     several = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("value")
-    placed = placed.join(several, "value")
-    across = (placed.alias("a").join(placed.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", deep, deep_least, percent))
+    placed = _with_earlier(placed.join(several, "value"))
+    met = F.arrays_overlap("a.earlier", "b.earlier")
+    across = (placed.alias("a").join(placed.alias("b"), (F.col("a.value") == F.col("b.value")) & (F.col("a.root") < F.col("b.root")) & _possible("a", "b", deep, deep_least, percent) & ~met)
               .select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct()
               .join(star, ["u", "v"], "left_anti"))
     more = store.written(_confirmed(store.written(across, "across"), sketches, full, least, percent, k), "links")
