@@ -91,3 +91,14 @@ def test_pieces_equal_brute_force(rows, letters):
             assert not rows_of & got
             got |= rows_of
     assert got == {(t[k : k + n], i) for i, ts in zip(ids, texts) for t in ts or [] if t for n in (2, 3) for k in range(len(t) - n + 1)}
+
+
+@pytest.mark.parametrize("rows, size, least", [(100000, 1, 4), (400, 60000, 4)])
+def test_tasks_follow_the_rows_and_their_texts(spark, rows, size, least):
+    """The planner does not join the tasks that find the pieces; long texts are dealt in fewer rows at a time."""
+    stored = spark.range(0, rows, 1, 1).select(F.col("id").alias("_id"), F.array(F.repeat(F.lit("x"), size), F.lit(None).cast("string")).alias("_strings"))
+    got = G.dealt(stored, "_strings")
+    held = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in held) == rows
+    assert len(held) >= least and max(r["count"] for r in held) < rows * 0.7
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
