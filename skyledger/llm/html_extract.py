@@ -4,9 +4,11 @@ Each page is cut into blocks of text with the path of containers around them
 (tag and class words). Its template tokens are those containers and, in each
 path, its words, told apart by their neighbours: a token is a pair of words in
 a row, or a word at the start or end of a block. Tokens of a host with the same
-occurrence vector (the same pages, the same constant count on each) form an
+occurrence vector (the same pages, the same count on each) form an
 equivalence class; classes of two or more tokens that ``SUPPORT`` pages and half of
-the host's have are valid: the host's template. Words in two or more valid tokens in
+the host's have, in one order on all pages and each in one gap of the class around it,
+are valid. Tokens of no class get a role for each gap of a valid class that they are
+in, and are counted again, until no more are found: the host's template. Words in two or more valid tokens in
 a row are template text; the slots between them, of all paths, are the page's text.
 Article and main elements are one slot each: whatever the pages of a host share inside
 them, and however many pages there are, every sentence stays.
@@ -23,8 +25,10 @@ Scale. Pages are parsed once, in place, and written. A first pass counts in how
 pages of a host each of ``BUCKETS`` hash classes of words is: never fewer than any
 word of it, so only pairs of words whose classes reach the support are counted
 exactly, and no valid one is lost. All counts are combined in a task's batch
-ahead of each shuffle. Occurrence vectors are folded into order-free sums. The
-template (one row per host) is written and joined to the parsed pages: broadcast
+ahead of each shuffle. Occurrence vectors are folded into order-free sums. Order and
+nesting are checked in place, as a page is whole in a row; only ranks, pairs of
+classes and gaps are shuffled. A round is two passes over the pages of the hosts that
+the last one found something for. The template (one row per host) is written and joined to the parsed pages: broadcast
 while it is below the planner's threshold, else by host, where AQE splits a hot one.
 
 A null or empty html has an empty text; a null url belongs to the host "";
@@ -37,7 +41,6 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -73,17 +76,17 @@ _IN_ARTICLE = re.compile(r"/(?:article|main)(?:[./]|$)")
 
 
 class Page(NamedTuple):
-    """The blocks (path, text, paths of the marked containers around it) in order, the counts of its containers by path, and whether an article or main element stands unmarked."""
+    """The blocks (path, text, paths of the marked containers around it) in order, its containers (path, number of blocks before it) in order, and whether an article or main element stands unmarked."""
 
     blocks: list[tuple[str, str, tuple[str, ...]]]
-    tokens: Counter
+    tokens: list[tuple[str, int]]
     article: bool
 
 
 def parse(source: str) -> Page:
     """A page cut into blocks and containers."""
     blocks: list[tuple[str, str, tuple[str, ...]]] = []
-    seen: Counter = Counter()
+    seen: list[tuple[str, int]] = []
     article = False
     stack: list[tuple[str, str, bool, bool, tuple[str, ...]]] = [("", "", False, False, ())]  # tag, path, in the head, inside an article, marked containers
     text: list[str] = []
@@ -136,27 +139,27 @@ def parse(source: str) -> Page:
             article = article or tag in ("article", "main")
         elif tag in MARKED or words & AROUND or (not inside and (tag == "header" or words & EDGES)):
             marks = (*marks, path)
-        seen[path] += 1
+        seen.append((path, len(blocks)))
         stack.append((tag, path, hidden, inside or tag in ("article", "main") or (not whole and bool(words & MAIN)), marks))
     flush()
     return Page(blocks, seen, article)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks, template tokens and whether there is an article, of each page."""
+    """page_id, url, host, blocks, containers and whether there is an article, of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("marks", pa.list_(pa.string()))]))
-        token = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
+        token = pa.list_(pa.struct([("token", pa.string()), ("at", pa.int32())]))
         for b in tokens.slices(batches, "html", 1 << 20):
             found = [parse(h or "") for h in b.column("html").to_pylist()]
             out = [b.column("page_id"), b.column("url"), pa.array([[{"path": p, "text": t, "marks": m} for p, t, m in f.blocks] for f in found], block),
-                   pa.array([[{"token": k, "n": n} for k, n in f.tokens.items()] for f in found], token), pa.array([f.article for f in found], pa.bool_())]
+                   pa.array([[{"token": k, "at": n} for k, n in f.tokens] for f in found], token), pa.array([f.article for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "blocks", "tokens", "article"])
 
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
-    out = own.mapInArrow(run, f"page_id {kind}, url string, blocks array<struct<path:string,text:string,marks:array<string>>>, tokens array<struct<token:string,n:long>>, article boolean")
+    out = own.mapInArrow(run, f"page_id {kind}, url string, blocks array<struct<path:string,text:string,marks:array<string>>>, tokens array<struct<token:string,at:int>>, article boolean")
     return out.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1)))
 
 
@@ -172,7 +175,7 @@ class Words(NamedTuple):
 
 def _hashes(values: pa.Array) -> np.ndarray:
     coded = pc.dictionary_encode(pc.fill_null(values, ""))
-    return np.concatenate([tokens.word_hashes(coded.dictionary), np.zeros(1, np.uint64)])[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.concatenate([tokens.byte_hashes(coded.dictionary), np.zeros(1, np.uint64)])[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -187,7 +190,7 @@ def _words(b: pa.RecordBatch) -> Words:
     flat = blocks.flatten()
     page = np.repeat(np.arange(b.num_rows), np.diff(blocks.offsets.to_numpy()))
     t = tokens.tokenise(pc.struct_field(flat, "text"), tokens.white_table(lower=False))
-    word = tokens.word_hashes(t.words)[t.codes] if len(t.codes) else np.zeros(0, np.uint64)
+    word = tokens.byte_hashes(t.words)[t.codes] if len(t.codes) else np.zeros(0, np.uint64)
     n, starts = len(flat), t.starts
     place = tokens.mixed(_hashes(b.column("host"))[page] + _PLACE * _hashes(pc.struct_field(flat, "path")))
     left, right = (np.full(len(word) + n, edge, np.uint64) for edge in (1, 2))
@@ -241,61 +244,277 @@ def frequent(pages: DataFrame) -> DataFrame:
     return counted.repartition("host").sortWithinPartitions("host").mapInArrow(merge, "host string, need long, bits binary")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and words: the hashes of the valid word tokens of each host's template, from parsed pages."""
+class Events(NamedTuple):
+    """Template tokens of a batch of parsed pages in page order: page, role and the place among the pairs of words (-1: a container)."""
+
+    page: np.ndarray
+    role: np.ndarray
+    pair: np.ndarray
+
+
+def _events(b: pa.RecordBatch, w: Words, some: np.ndarray | None = None) -> Events:
+    """The containers and (those of) the pairs of words as tokens."""
+    held = b.column("tokens")
+    page = np.repeat(np.arange(b.num_rows), np.diff(held.offsets.to_numpy()))
+    flat = held.flatten()
+    role = tokens.mixed(_hashes(b.column("host"))[page] ^ _hashes(pc.struct_field(flat, "token")))
+    before = (b.column("blocks").offsets.to_numpy()[:-1] - b.column("blocks").offsets.to_numpy()[0])[page] + pc.struct_field(flat, "at").to_numpy()
+    pair = np.arange(len(w.pair_key)) if some is None else np.flatnonzero(some)
+    page = np.concatenate([page, w.page[w.pair_block[pair]]])
+    place = np.concatenate([2 * (w.starts[before] + before), 2 * pair + 1])
+    order = np.lexsort((place, page))
+    return Events(page[order], np.concatenate([role, w.pair_key[pair]])[order], np.concatenate([np.full(len(before), -1), pair])[order])
+
+
+class Known(NamedTuple):
+    """The classes of the hosts of a batch: roles in order, with the number of their class and the round in which they were found, and the classes' names."""
+
+    role: np.ndarray
+    kind: np.ndarray
+    since: np.ndarray
+    names: np.ndarray
+
+    def look(self, role: np.ndarray, rounds: int) -> np.ndarray:
+        """The place of each role among those of the first rounds, or -1."""
+        if not len(self.role):
+            return np.full(len(role), -1)
+        at = np.minimum(np.searchsorted(self.role, role), len(self.role) - 1)
+        return np.where((self.role[at] == role) & (self.since[at] <= rounds), at, -1)
+
+    def sizes(self, rounds: int) -> np.ndarray:
+        return np.bincount(self.kind[self.since <= rounds], minlength=len(self.names))
+
+
+def _known(b: pa.RecordBatch) -> Known:
+    _, row = np.unique(pc.dictionary_encode(b.column("host")).indices.to_numpy(zero_copy_only=False), return_index=True)
+    own = [b.column(c).take(pa.array(row)).flatten().to_numpy(zero_copy_only=False) for c in ("roles", "classes", "rounds")]
+    role = own[0].astype(np.int64).view(np.uint64)
+    names, kind = np.unique(own[1].astype(np.int64), return_inverse=True)
+    order = np.argsort(role)
+    return Known(role[order], kind[order], own[2].astype(np.int64)[order], names)
+
+
+def _sweep(page: np.ndarray, kind: np.ndarray, role: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[tuple[int, int]], dict[tuple[int, int], tuple[int, int]]]:
+    """Of the tokens of classes, in page order: the rank in the turn of the class, the gap that follows (that of a role, 0 outside all), the classes that cross each other, and by class and the one around it (or -1) the least and the last gap."""
+    n = len(page)
+    order = np.lexsort((kind, page))
+    p, c = page[order], kind[order]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (c[1:] != c[:-1])])) if n else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, n))
+    start = np.repeat(first, length)
+    nth = np.arange(n) - start
+    rank, turn = np.empty(n, np.int64), np.empty(n, np.int64)
+    rank[order], turn[order] = nth % sizes[c], start + nth // sizes[c] * sizes[c]
+    gap = tokens.mixed(role + _PLACE)
+    crossed: set[tuple[int, int]] = set()
+    nested: dict[tuple[int, int], tuple[int, int]] = {}
+    at = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]])) if n else first
+    last = np.append(at[1:], n) - 1 if n else at
+    after = []
+    stack: list[list[int]] = []  # turn, class, gap of the open ones
+    now = -1
+    for on, mine, own, inside, closed in zip(page[at].tolist(), turn[at].tolist(), kind[at].tolist(), gap[last].tolist(), (rank[last] == sizes[kind[last]] - 1).tolist()):
+        if on != now:
+            now = on
+            stack.clear()
+        if not stack or stack[-1][0] != mine:
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == mine), None)
+            if depth is None:
+                around, hole = (stack[-1][1], stack[-1][2]) if stack else (-1, 0)
+                least, most = nested.get((own, around), (hole, hole))
+                nested[own, around] = min(least, hole), max(most, hole)
+                stack.append([mine, own, 0])
+            else:
+                crossed.update((min(own, x[1]), max(own, x[1])) for x in stack[depth + 1 :] if x[1] != own)
+                del stack[depth + 1 :]
+        if closed:
+            stack.pop()
+        else:
+            stack[-1][2] = inside
+        after.append(stack[-1][2] if stack else 0)
+    gap[last] = np.array(after, np.uint64)
+    return rank, gap, crossed, nested
+
+
+def _replayed(e: Events, known: Known, rounds: int) -> tuple[Events, np.ndarray]:
+    """The tokens with their roles after so many rounds, and the places of their classes: one of no class has a role for each gap it is in."""
+    role, entry = e.role, np.full(len(e.role), -1)
+    for k in range(1, rounds + 1):
+        entry = known.look(role, k)
+        held = np.flatnonzero(entry >= 0)
+        if not len(held):
+            break
+        _, gap, _, _ = _sweep(e.page[held], known.kind[entry[held]], role[held], known.sizes(k))
+        before = np.searchsorted(held, np.arange(len(role)), side="right") - 1
+        around = np.where((before >= 0) & (e.page[held[before]] == e.page), gap[before], np.uint64(0))
+        role = np.where((entry < 0) & (around != 0), tokens.mixed(role + _PLACE * around), role)
+    return e._replace(role=role), entry
+
+
+def _often(b: pa.RecordBatch, w: Words) -> np.ndarray:
+    """Whether the words of each pair are on as many pages as a template token must have, by their hash classes."""
+    bits = np.unpackbits(np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8)).reshape(-1, BUCKETS)
+    owner = np.repeat(w.page, np.diff(w.starts))
+    often = bits[owner, (w.word_key % np.uint64(BUCKETS)).astype(np.int64)].astype(bool)
+    n = len(w.starts) - 1
+    both, keep = np.ones(len(w.pair_key), bool), np.ones(len(w.pair_key), bool)
+    keep[w.starts[:-1] + np.arange(n)] = False
+    both[keep] &= often
+    keep[:] = True
+    keep[w.starts[1:] + np.arange(n)] = False
+    both[keep] &= often
+    return both
+
+
+MOVED, CROSSED, NESTED = range(3)  # faults of classes
+_LISTS = "roles array<long>, classes array<long>, rounds array<int>"
+
+
+def _counted(pages: DataFrame, rounds: int) -> DataFrame:
+    """host and found: the roles of no class after so many rounds that enough pages have, with the name of their occurrence vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
             w = _words(b)
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8)).reshape(-1, BUCKETS)
-            owner = np.repeat(w.page, np.diff(w.starts))
-            often = bits[owner, (w.word_key % np.uint64(BUCKETS)).astype(np.int64)].astype(bool)
-            n = len(w.starts) - 1
-            both, keep = np.ones(len(w.pair_key), bool), np.ones(len(w.pair_key), bool)
-            keep[w.starts[:-1] + np.arange(n)] = False
-            both[keep] &= often
-            keep[:] = True
-            keep[w.starts[1:] + np.arange(n)] = False
-            both[keep] &= often
-            # containers are tokens too
-            held = b.column("tokens")
-            path_page = np.repeat(np.arange(b.num_rows), np.diff(held.offsets.to_numpy()))
-            flat = held.flatten()
-            path = tokens.mixed(_hashes(b.column("host"))[path_page] ^ _hashes(pc.struct_field(flat, "token")))
-            key = np.concatenate([w.pair_key[both], path])
-            page = np.concatenate([w.page[w.pair_block[both]], path_page])
-            times = np.concatenate([np.ones(int(both.sum()), np.int64), pc.struct_field(flat, "n").to_numpy()])
-            container = np.repeat([False, True], [int(both.sum()), len(path)])
+            e, entry = _replayed(_events(b, w, _often(b, w)), _known(b), rounds)
+            key, page = e.role[entry < 0], e.page[entry < 0]
             if not len(key):
                 continue
             order = np.lexsort((page, key))
-            key, page, times, container = key[order], page[order], times[order], container[order]
+            key, page = key[order], page[order]
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (page[1:] != page[:-1])]))
-            each, key, page, container = np.add.reduceat(times, first), key[first], page[first], container[first]
-            mark = tokens.mixed(b.column("uid").to_numpy().view(np.uint64)[page])
+            times, key, page = np.diff(np.append(first, len(key))), key[first], page[first]
+            mark = tokens.mixed(tokens.mixed(b.column("uid").to_numpy().view(np.uint64)[page]) + _PLACE * times.astype(np.uint64))
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             low, high = (mark & np.uint64(0xFFFFFFFF)).astype(np.int64), (mark >> np.uint64(32)).astype(np.int64)
-            out = [b.column("host").take(pa.array(page[at])), pa.array(key[at].view(np.int64)), pa.array(container[at]), b.column("need").take(pa.array(page[at])),
-                   pa.array(np.diff(np.concatenate([at, [len(key)]]))), pa.array(np.minimum.reduceat(each, at)), pa.array(np.maximum.reduceat(each, at)),
-                   pa.array(np.add.reduceat(low, at)), pa.array(np.add.reduceat(high, at))]
-            yield pa.RecordBatch.from_arrays(out, names=["host", "token", "container", "need", "pages", "least", "most", "low", "high"])
+            out = [b.column("host").take(pa.array(page[at])), pa.array(key[at].view(np.int64)), b.column("need").take(pa.array(page[at])),
+                   pa.array(np.diff(np.append(at, len(key)))), pa.array(np.add.reduceat(low, at)), pa.array(np.add.reduceat(high, at))]
+            yield pa.RecordBatch.from_arrays(out, names=["host", "role", "need", "pages", "low", "high"])
+
+    counted = pages.mapInArrow(run, "host string, role long, need long, pages long, low long, high long")
+    role = (counted.groupBy("host", "role", "need").agg(F.sum("pages").alias("pages"), F.sum("low").alias("low"), F.sum("high").alias("high"))
+            .where("pages >= need").withColumn("class", F.xxhash64("host", "pages", "low", "high")))
+    return role.groupBy("host").agg(F.collect_list(F.struct("role", "class")).alias("found"))
 
-    many = pages.select("host", F.xxhash64("page_id", "url").alias("uid"), "blocks", "tokens").join(store.written(frequent(pages), "frequent"), "host")
-    counted = many.mapInArrow(run, "host string, token long, container boolean, need long, pages long, least long, most long, low long, high long")
-    token = (counted.groupBy("host", "token", "container", "need").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("low").alias("low"), F.sum("high").alias("high"))
-             .where("pages >= need AND least = most"))
-    alike = token.groupBy("host", "pages", "least", "low", "high").agg(F.count("*").alias("size"), F.collect_list(F.when(~F.col("container"), F.col("token"))).alias("words"))
-    return alike.where("size > 1").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words"))
 
+def _joined(hosts: DataFrame, rounds: int) -> DataFrame:
+    """The classes with the roles found in the next round: those of a known class, and classes of two or more; hosts that have such."""
 
-def slots(pages: DataFrame) -> DataFrame:
-    """page_id, url and text: what the template words (``words``, hashes) leave of the blocks of each page; all of an article's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                old = set(row["classes"])
+                size: dict[int, int] = {}
+                for x in row["found"]:
+                    size[x["class"]] = size.get(x["class"], 0) + 1
+                more = [(x["role"], x["class"]) for x in row["found"] if x["class"] in old or size[x["class"]] > 1]
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["host"]]), pa.array([row["need"]]), pa.array([row["bits"]], pa.binary()), pa.array([[*row["roles"], *[x[0] for x in more]]], pa.list_(pa.int64())),
+                                                      pa.array([[*row["classes"], *[x[1] for x in more]]], pa.list_(pa.int64())), pa.array([[*row["rounds"], *[rounds + 1] * len(more)]], pa.list_(pa.int32()))],
+                                                     names=["host", "need", "bits", "roles", "classes", "rounds"])
+
+    return hosts.mapInArrow(run, f"host string, need long, bits binary, {_LISTS}")
+
+
+def _faults(pages: DataFrame, rounds: int) -> DataFrame:
+    """host, moved (roles of no fixed rank in their class on all pages), crossed (classes that overlap) and nested (classes with those around them, ``loose`` if not in one gap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches):
+            w, known = _words(b), _known(b)
+            e, _ = _replayed(_events(b, w, _often(b, w)), known, rounds)
+            entry = known.look(e.role, rounds + 1)
+            held = np.flatnonzero(entry >= 0)
+            if not len(held):
+                continue
+            entry = entry[held]
+            rank, _, crossed, nested = _sweep(e.page[held], known.kind[entry], e.role[held], known.sizes(rounds + 1))
+            order = np.argsort(entry, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(entry[order]) != 0]))
+            host_of = np.zeros(len(known.names), np.int64)
+            host_of[known.kind[entry]] = e.page[held]
+            one = known.kind[entry[order][first]]
+            rows = [(MOVED, int(p), int(r), None, int(x), int(y)) for p, r, x, y in zip(host_of[one], known.role[entry[order][first]].view(np.int64), np.minimum.reduceat(rank[order], first), np.maximum.reduceat(rank[order], first))]
+            rows += [(CROSSED, int(host_of[x]), int(known.names[x]), int(known.names[y]), 0, 1) for x, y in crossed]
+            rows += [(NESTED, int(host_of[x]), int(known.names[x]), int(known.names[y]) if y >= 0 else None, least - (1 << 63), most - (1 << 63)) for (x, y), (least, most) in nested.items()]
+            out = [pa.array([r[0] for r in rows], pa.int32()), b.column("host").take(pa.array([r[1] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 6))]
+            yield pa.RecordBatch.from_arrays(out, names=["what", "host", "one", "other", "least", "most"])
+
+    seen = pages.mapInArrow(run, "what int, host string, one long, other long, least long, most long")
+    seen = seen.groupBy("what", "host", "one", "other").agg(F.min("least").alias("least"), F.max("most").alias("most")).where(F.expr(f"what = {NESTED} OR least < most"))
+    pair = F.struct("one", "other", (F.col("least") < F.col("most")).alias("loose"))
+    return seen.groupBy("host").agg(*[F.collect_list(F.when(F.col("what") == k, x)).alias(n) for k, x, n in ((MOVED, F.col("one"), "moved"), (CROSSED, pair, "crossed"), (NESTED, pair, "nested"))])
+
+
+def _handled(hosts: DataFrame, rounds: int) -> DataFrame:
+    """The valid classes: ordered, nested and of two tokens or more; ``more`` tells whether the round found any."""
+
+    def valid(row: dict) -> list[tuple[int, int, int]]:
+        new, moved = rounds + 1, set(row["moved"] or [])
+        own: dict[int, list[tuple[int, int, int]]] = {}
+        for x in zip(row["roles"], row["classes"], row["rounds"]):
+            own.setdefault(x[1], []).append(x)
+        for c, held in own.items():
+            if any(x[0] in moved for x in held):  # what is valid stays; of a new class those in order do, else what joined goes
+                known = [x for x in held if x[2] < new]
+                own[c] = [x for x in held if x[2] < new or x[0] not in moved] if not any(x[0] in moved for x in known) else known
+        weight = {c: (min((x[2] for x in held), default=new) < new, len(held), c) for c, held in own.items()}
+        around: dict[int, list[dict]] = {}
+        for x in row["nested"] or []:
+            around.setdefault(x["one"], []).append(x)
+        apart = [x for held in around.values() if len(held) > 1 or held[0]["loose"] for x in held if x["other"] is not None]
+        for x in sorted([*(row["crossed"] or []), *apart], key=lambda x: (x["one"], x["other"])):
+            a, z = sorted((x["one"], x["other"]), key=lambda c: weight[c])
+            if own[a] and own[z] and a != z:
+                own[a] = [x for x in own[a] if x[2] < new]
+                if own[a]:  # both were valid before: what joined made them cross
+                    own[z] = [x for x in own[z] if x[2] < new]
+        return [x for held in own.values() if len(held) > 1 for x in held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                kept = valid(row)
+                yield pa.RecordBatch.from_arrays([pa.array([row["host"]]), pa.array([row["need"]]), pa.array([row["bits"]], pa.binary()),
+                                                  *(pa.array([[x[k] for x in kept]], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))), pa.array([any(x[2] > rounds for x in kept)])],
+                                                 names=["host", "need", "bits", "roles", "classes", "rounds", "more"])
+
+    return hosts.mapInArrow(run, f"host string, need long, bits binary, {_LISTS}, more boolean")
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, int]:
+    """The valid classes of each host's template (host, roles, classes and the rounds in which they were found), from parsed pages, and the number of rounds.
+
+    A round counts the roles of no class, forms classes of equal occurrence vectors,
+    takes out what is not in order or not nested, and splits the roles left by the
+    gaps of the classes; a host is done when a round finds no more.
+    """
+    none = [F.array().cast(k).alias(n) for n, k in (("roles", "array<long>"), ("classes", "array<long>"), ("rounds", "array<int>"))]
+    own = pages.select("host", F.xxhash64("page_id", "url").alias("uid"), "blocks", "tokens")
+    hosts = store.written(frequent(pages).select("host", "need", "bits", *none), "frequent")
+    done, rounds = hosts.select("host", "roles", "classes", "rounds").limit(0), 0
+    while True:
+        found = _counted(own.join(hosts, "host"), rounds)
+        joined = store.written(_joined(hosts.join(found, "host"), rounds), "joined")
+        bad = _faults(own.join(joined, "host"), rounds)
+        handled = store.written(_handled(joined.join(bad, "host", "left"), rounds), "classes")
+        active = handled.where("more")
+        kept = hosts.join(active.select("host"), "host", "left_anti").select("host", "roles", "classes", "rounds")
+        done = done.unionByName(kept)
+        if active.isEmpty():
+            return done, rounds
+        hosts, rounds = active.drop("more"), rounds + 1
+
+
+def slots(pages: DataFrame, rounds: int) -> DataFrame:
+    """page_id, url and text: what the template (``roles``, ``classes``, ``rounds``) leaves of the ``left`` blocks of each page; all of an article's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
             w = _words(b)
-            template = np.unique(b.column("words").flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-            valid = np.isin(w.pair_key, template)
+            e, entry = _replayed(_events(b, w), _known(b), rounds)
+            valid = np.zeros(len(w.pair_key), bool)
+            valid[e.pair[(entry >= 0) & (e.pair >= 0)]] = True
             same = w.pair_block[1:] == w.pair_block[:-1]
             next_to = valid[1:] & valid[:-1] & same
             run_of = np.zeros(len(valid), bool)
@@ -308,14 +527,18 @@ def slots(pages: DataFrame) -> DataFrame:
                     continue
                 own = run_of[w.starts[k] + k : w.starts[k + 1] + k + 1]
                 left[k] = " ".join(x for x, gone in zip(texts[k].split(" "), (own[1:] | own[:-1]).tolist()) if not gone)
+            stays = b.column("left").flatten().to_pylist()
             ends, out = np.searchsorted(w.page, np.arange(b.num_rows + 1)).tolist(), []
-            for a, z in zip(ends[:-1], ends[1:]):
-                some = [x for x in left[a:z] if x]
-                out.append("\n".join(some or texts[a:z]))
+            for a, z, article in zip(ends[:-1], ends[1:], b.column("article").to_pylist()):
+                every = [k for k in range(a, z) if stays[k]]
+                if not every and not article:
+                    every = list(range(a, z))
+                some = [left[k] for k in every if left[k]]
+                out.append("\n".join(some or [texts[k] for k in every]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "host", "blocks", "words").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return pages.select("page_id", "url", "host", "blocks", "tokens", "left", "article", "roles", "classes", "rounds").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def chrome(pages: DataFrame, most: float = 0.5) -> DataFrame:
@@ -334,9 +557,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     cut = store.written(parsed(pages), "pages")
     # written, so its size is known when the join is planned: small, it is broadcast and no text is shuffled
-    found = templates(cut).join(chrome(cut), "host", "full")
-    told = cut.select("page_id", "url", "host", "blocks", "article").join(store.written(found, "templates"), "host", "left")
-    out = F.when(F.col("article"), F.col("left")).otherwise(F.col("small"))
-    unmarked = F.filter("blocks", lambda b: out.isNull() | ~F.arrays_overlap(b["marks"], out))
-    told = told.withColumn("blocks", F.when(F.col("article") | (F.size(unmarked) > 0), unmarked).otherwise(F.col("blocks")))
-    return slots(told).withColumn("n_chars", F.char_length("text").cast("long"))
+    found, rounds = templates(cut)
+    found = found.join(chrome(cut).withColumnRenamed("left", "marked"), "host", "full")
+    told = cut.select("page_id", "url", "host", "blocks", "tokens", "article").join(store.written(found, "templates"), "host", "left")
+    out = F.when(F.col("article"), F.col("marked")).otherwise(F.col("small"))
+    told = told.withColumn("left", F.transform("blocks", lambda b: out.isNull() | ~F.arrays_overlap(b["marks"], out)))
+    return slots(told, rounds).withColumn("n_chars", F.char_length("text").cast("long"))
