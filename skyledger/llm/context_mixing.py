@@ -48,7 +48,8 @@ COMMON = 256  # words of the book that tell the language
 LONGEST = 64  # bytes of a word in the book
 LEVELS = 3 ** (ORDERS - 1) * 2
 BUCKETS = 33
-_CHUNK = 1 << 17  # decisions handled at once
+_CHUNK = 1 << 17  # decisions that are predicted with the same counts and weights
+_STEP = 1 << 14  # decisions handled at once: their arrays stay in a core's cache
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 _NODE = np.uint32(0x165667B1)
 
@@ -137,63 +138,49 @@ class Coder:
     def __init__(self, own: Book):
         self.book, self.words = own, pa.array(own.words, pa.large_string())
         self.offset = len(own.words)  # byte nodes come after word nodes
-
-    def _forms(self, words: pa.Array) -> tuple[np.ndarray, ...]:
-        """For the distinct words: place in the book (-1: spelled), first decision, and of each decision node, bit, whether it is a byte's, and its context inside the word by order."""
-        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        tree, spell, escape = self.book.tree, self.book.spell, len(self.book.words)
-        leaf = np.where(place < 0, escape, place)
-        size = tree.first[leaf + 1] - tree.first[leaf]
-        odd = np.flatnonzero(place < 0)
-        data, offsets = tokens.raw(words.take(pa.array(odd)))
-        ends = offsets[1:] + np.arange(len(odd))  # a word's bytes and its end, 256
-        symbols = np.full(len(data) + len(odd), 256, np.int64)
+        self.nodes, self.bits = own.tree.nodes.astype(np.uint32) * _NODE, own.tree.bits
+        self.spell = (own.spell.nodes + self.offset).astype(np.uint32) * _NODE
+
+    def _spelled(self, words: pa.Array) -> tuple[np.ndarray, ...]:
+        """For words outside the book: first decision of each, and of each decision node, bit and symbol; of each symbol (a byte or the end) its context inside the word by order."""
+        spell = self.book.spell
+        data, offsets = tokens.raw(words)
+        size = np.diff(offsets)
+        ends = offsets[1:] + np.arange(len(words))  # a word's bytes and its end, 256
+        symbols = np.full(len(data) + len(words), 256, np.int64)
         inner = np.ones(len(symbols), bool)
         inner[ends] = False
         symbols[inner] = data
-        starts = offsets[:-1] + np.arange(len(odd))
-        owner = np.repeat(np.arange(len(odd)), np.diff(offsets) + 1)
-        back = np.arange(len(symbols)) - starts[owner]  # bytes before in the word
+        starts = offsets[:-1] + np.arange(len(words))
+        back = np.arange(len(symbols)) - np.repeat(starts, size + 1)  # bytes before in the word
         seen = []
         chain = np.zeros(len(symbols), np.uint64)
-        reach = int(back.max()) + 1 if len(back) else 0
-        for k in range(1, max(reach, ORDERS) + 1):
+        for k in range(1, ORDERS):
             before = np.full(len(symbols), 300, np.int64)
             before[k:] = symbols[: max(0, len(symbols) - k)]
-            far = back < k
-            before[far] = 300
-            if k <= 3:
-                chain = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64) + np.uint64(k))
-                seen.append(chain)
-            elif k <= LONGEST:
-                grown = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64))
-                chain = np.where(far, chain, grown)
-            else:
-                break
-        seen.append(chain + np.uint64(9))  # up to LONGEST bytes
+            before[back < k] = 300
+            chain = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64) + np.uint64(k))
+            seen.append(chain)
+        seen.append(tokens.prefix_hashes(symbols, back) + np.uint64(9))  # all bytes before
         seen = [(x >> np.uint64(32)).astype(np.uint32) for x in seen]
         bits_of = spell.first[symbols + 1] - spell.first[symbols]
-        spelled = np.bincount(owner, bits_of, len(odd)).astype(np.int64) if len(odd) else np.zeros(0, np.int64)
-        total = size.copy()
-        total[odd] += spelled
-        first = np.concatenate([[0], np.cumsum(total)])
-        n = int(first[-1])
-        node, bit, byte = np.empty(n, np.int64), np.empty(n, np.uint8), np.zeros(n, bool)
-        at = np.repeat(first[:-1], size) + _ramp(size)
-        node[at], bit[at] = tokens.gathered(tree.nodes, tree.first[leaf], size), tokens.gathered(tree.bits, tree.first[leaf], size)
-        at = np.repeat(first[odd] + size[odd], spelled) + _ramp(spelled)
-        node[at], bit[at] = tokens.gathered(spell.nodes, spell.first[symbols], bits_of) + self.offset, tokens.gathered(spell.bits, spell.first[symbols], bits_of)
-        byte[at] = True
-        inside = np.empty((ORDERS, n), np.uint32)
-        inside[:] = node.astype(np.uint32) * _NODE
-        for k in range(ORDERS):
-            inside[k, at] += np.repeat(seen[k], bits_of)
-        return place, first, bit, byte, inside
+        upto = np.concatenate([[0], np.cumsum(bits_of)])
+        return (upto[np.append(starts, len(symbols))], tokens.gathered(self.spell, spell.first[symbols], bits_of), tokens.gathered(spell.bits, spell.first[symbols], bits_of),
+                np.repeat(np.arange(len(symbols), dtype=np.int32), bits_of), seen)
 
     def decisions(self, t: tokens.Tokens) -> tuple[np.ndarray, Iterator[tuple]]:
-        """The place of each token, and blocks of decisions: token numbers, bits, kinds and slots by order."""
-        place, first, bit, byte, inside = self._forms(t.words)
-        hashed = np.concatenate([tokens.word_hashes(t.words), [np.uint64(0)]])
+        """The place of each token, and steps of decisions: token numbers, bits, kinds (1: a byte's) and slots by order."""
+        place = pc.fill_null(pc.index_in(t.words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        tree, paths = self.book.tree, len(self.bits)
+        odd = np.flatnonzero(place < 0)
+        spelled, nodes, bits, symbol, seen = self._spelled(t.words.take(pa.array(odd)))
+        nodes, bits = np.concatenate([self.nodes, nodes]), np.concatenate([self.bits, bits])
+        # of each distinct word the path in the tree and the bytes: where they begin, and their lengths
+        leaf = np.where(place < 0, len(self.book.words), place)
+        begins, sizes = np.zeros((len(place), 2), np.int64), np.zeros((len(place), 2), np.int64)
+        begins[:, 0], sizes[:, 0] = tree.first[leaf], tree.first[leaf + 1] - tree.first[leaf]
+        begins[odd, 1], sizes[odd, 1] = paths + spelled[:-1], np.diff(spelled)
+        hashed = np.concatenate([tokens.byte_hashes(t.words), [np.uint64(0)]])
         n = len(t.codes)
         doc_start = np.zeros(n, bool)
         doc_start[t.starts[:-1]] = True  # every text has its end
@@ -209,31 +196,38 @@ class Coder:
         common = np.where(last >= begin, now[np.maximum(last, 0)], np.uint64(0))
         context = [tokens.mixed(x) >> np.uint64(32) for x in (common, prev + np.uint64(7), prev * np.uint64(3) + second)]
         context = [None, *(x.astype(np.uint32) for x in context)]
-        word = (~byte).astype(np.uint32)
-        size = (first[1:] - first[:-1])[t.codes]
-        upto = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(sizes.sum(1)[t.codes])])
 
-        def blocks() -> Iterator[tuple]:
+        def steps() -> Iterator[tuple]:
             a = 0
             while a < n:
-                z = max(a + 1, int(np.searchsorted(upto, upto[a] + _CHUNK, side="right")) - 1)
-                token = np.repeat(np.arange(a, z), size[a:z])
-                at = np.repeat(first[t.codes[a:z]], size[a:z]) + _ramp(size[a:z])
-                kind, spoken = byte[at], word[at]
+                z = max(a + 1, int(np.searchsorted(upto, upto[a] + _STEP, side="right")) - 1)
+                codes = t.codes[a:z]
+                size = sizes[codes].ravel()
+                ends = np.cumsum(size)
+                at = np.repeat(begins[codes].ravel() - (ends - size), size)
+                at += np.arange(len(at))
+                each = upto[a + 1 : z + 1] - upto[a:z]
+                kind = at >= paths
+                byte = np.flatnonzero(kind)
+                inner = symbol.take(at.take(byte) - paths)
+                node = nodes.take(at)
+                plain = node.take(byte)
                 slots = np.empty((ORDERS, len(at)), np.int64)
                 for k in range(ORDERS):
-                    h = inside[k].take(at)
-                    if k:  # the language also tells the letters
-                        h += context[k].take(token) if k == 1 else context[k].take(token) * spoken
+                    h = node + np.repeat(context[k][a:z], each) if k else node.copy()
+                    if len(byte):  # the language also tells the letters
+                        h[byte] = (h.take(byte) if k == 1 else plain) + seen[k].take(inner)
                     h ^= h >> np.uint32(15)
                     h *= _MIX[k]
                     h ^= h >> np.uint32(13)
                     h *= _NODE
-                    slots[k] = h >> np.uint32(32 - SLOTS)
-                yield token, bit[at], kind, slots
+                    h >>= np.uint32(32 - SLOTS)
+                    slots[k] = h
+                yield np.repeat(np.arange(a, z), each), bits.take(at), kind, slots
                 a = z
 
-        return place, blocks()
+        return place, steps()
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -254,15 +248,17 @@ def text_tokens(texts: pa.Array) -> tokens.Tokens:
 
 
 def _mixed(odds: np.ndarray, level: np.ndarray, kind: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gate, mixed log-odds and bucket of decisions."""
-    gate = kind.astype(np.int64)
+    """Gate, mixed log-odds and bucket of decisions; weights by order and gate."""
+    gate = kind.astype(np.int8)
+    for k in range(1, ORDERS):
+        gate *= np.int8(3)
+        gate += level[k]
+    gate = gate.astype(np.int64)
+    z = weights[0].take(gate) * odds[0]
     for k in range(1, ORDERS):
-        gate = gate * 3 + level[k]
-    z = np.zeros(odds.shape[1], np.float32)
-    for k in range(ORDERS):
-        z += weights[:, k].take(gate) * odds[k]
+        z += weights[k].take(gate) * odds[k]
     np.clip(z, -11, 11, out=z)
-    return gate, z, ((z + 11) * ((BUCKETS - 1) / 22)).astype(np.int64)
+    return gate, z, ((z + np.float32(11)) * np.float32((BUCKETS - 1) / 22)).astype(np.int64)
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,9 +270,6 @@ def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(ratio, out=ratio), (n > 0).view(np.int8) + (n >= 8).view(np.int8)
 
 
-_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
-
-
 class Learner:
     """One task's counts, weights and refinement, learned online."""
 
@@ -288,25 +281,36 @@ class Learner:
         self.refine = np.zeros((2, LEVELS * BUCKETS))
 
     def learn(self, t: tokens.Tokens, rate: float = 0.2) -> None:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, n, slope = 0, np.zeros(LEVELS, np.int64), np.zeros((ORDERS, LEVELS))
+
+        def correct() -> None:
+            self.weights += (rate * slope / np.maximum(n, 64)).T.astype(np.float32)
+            self.seen += n
+            for bit, slots in held:
+                for k in range(ORDERS):
+                    np.add.at(self.table[k], slots[k] * 2 + bit, np.uint32(1))
+
+        weights = np.ascontiguousarray(self.weights.T)
         for _, bit, kind, slots in self.coder.decisions(t)[1]:
+            if held and size + len(bit) > _CHUNK:
+                correct()
+                held, size, n, slope, weights = [], 0, np.zeros(LEVELS, np.int64), np.zeros((ORDERS, LEVELS)), np.ascontiguousarray(self.weights.T)
             odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
             for k in range(ORDERS):
-                pair = self.table[k].view(np.uint64).take(slots[k])
-                odds[k], level[k] = _odds((pair & _LOW).astype(np.float32), (pair >> _HIGH).astype(np.float32))
-            for a in range(0, len(bit), _CHUNK):
-                part = slice(a, a + _CHUNK)
-                gate, z, bucket = _mixed(odds[:, part], level[:, part], kind[part], self.weights)
-                error = bit[part] - 1 / (1 + np.exp(-z))
-                n = np.bincount(gate, minlength=LEVELS)
-                for k in range(ORDERS):
-                    self.weights[:, k] += rate * np.bincount(gate, error * odds[k, part], LEVELS) / np.maximum(n, 64)
-                self.seen += n
-                cell = gate * BUCKETS + bucket
-                one = np.bincount(cell, bit[part], LEVELS * BUCKETS)
-                self.refine[1] += one
-                self.refine[0] += np.bincount(cell, minlength=LEVELS * BUCKETS) - one
+                pair = self.table[k].view(np.uint64).take(slots[k]).view(np.uint32).astype(np.float32)
+                odds[k], level[k] = _odds(pair[0::2], pair[1::2])
+            gate, z, bucket = _mixed(odds, level, kind, weights)
+            error = bit - 1 / (1 + np.exp(-z))
             for k in range(ORDERS):
-                np.add.at(self.table[k], slots[k] * 2 + bit, np.uint32(1))
+                slope[k] += np.bincount(gate, error * odds[k], LEVELS)
+            cells = np.bincount((gate * BUCKETS + bucket) * 2 + bit, minlength=2 * LEVELS * BUCKETS).reshape(-1, 2)
+            self.refine += cells.T
+            n += cells.reshape(LEVELS, -1).sum(1)
+            held.append((bit, slots))
+            size += len(bit)
+        if held:
+            correct()
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         """What the task has learned, in blocks that can be summed."""
@@ -380,16 +384,17 @@ def log10_scores(model: Model, coder: Coder, t: tokens.Tokens) -> tuple[np.ndarr
     doc = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
     total = np.zeros(len(t.starts) - 1)
     place, blocks = coder.decisions(t)
+    weights = np.ascontiguousarray(model.weights.T)
     for token, bit, kind, slots in blocks:
         odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
         for k in range(ORDERS):
             odds[k], level[k] = model.odds[k].take(slots[k]), model.level[k].take(slots[k])
-        gate, z, bucket = _mixed(odds, level, kind, model.weights)
-        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * model.refined[gate, bucket]
+        gate, z, bucket = _mixed(odds, level, kind, weights)
+        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * model.refined.ravel().take(gate * BUCKETS + bucket)
         own = doc[token]
         low = own[0]
-        sums = np.bincount(own - low, np.log10(np.where(bit == 1, p, 1 - p)))
-        total[low : low + len(sums)] += sums
+        sums = np.bincount(own - low, np.log(np.where(bit == 1, p, 1 - p)))
+        total[low : low + len(sums)] += sums / np.log(10)
     return place, total
 
 

@@ -134,6 +134,17 @@ def byte_hashes(values: pa.Array) -> np.ndarray:
     return mixed(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64) * _BYTES[0])
 
 
+def prefix_hashes(symbols: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, for each symbol (0 to 256), of those before it in its word; ``back`` of them."""
+    powers = np.full(int(back.max()) + 1 if len(back) else 1, _BASE)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(_BYTES[symbols & 255] * powers[back], out=sums[1:])
+    at = np.arange(len(symbols))
+    return mixed(sums[at] - sums[at - back] + back.astype(np.uint64) * _BYTES[0])
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate ``values[s : s + n]`` for each pair of ``starts`` and ``lengths``."""
     ends = np.cumsum(lengths)
