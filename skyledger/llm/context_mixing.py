@@ -5,19 +5,20 @@ path in a Huffman tree of the ``2**BOOK`` most frequent training words (seen twi
 escape leaf and then the word's bytes, each a path in a tree of bytes. Every
 decision is predicted from ``ORDERS`` hashed contexts (tree node with nothing,
 the last common word, the previous word, the previous two; inside a spelled word
-with one, two or three bytes or all bytes before). Each context's
-counts give a log-odds; a weight set, gated by how much each context has seen,
+with one, two or three bytes or all bytes before; a word's node with nothing has
+the odds of the book's own counts). Each context's counts give a log-odds; a weight set, gated by how much each context has seen,
 mixes them; an adaptive table refines the mixed probability. The logarithms of
 all decisions add up to the text's, from which bits per byte follow.
 
-Training is online: a task runs through its documents, predicts each block with
-what it has seen, corrects the weights by the errors, then adds the block to its
-counts. The tasks' counts are summed, their weights averaged by decisions seen.
+Training is online: a task runs through its documents, predicts each decision with
+what it had seen at the last renewal of its odds, counts it, and corrects the
+weights by the errors of each block. The odds are renewed whenever the counts have
+grown by a quarter. The tasks' counts are summed, their weights averaged by decisions seen.
 
 Scale. Token counts are combined per block of text ahead of the shuffle. The
 context tables have a fixed number of slots (``1 << SLOTS`` for each order), so a
 task sends some MB however much it reads; the sums are made in a stream, block by
-block, and the finished tables (13 MB) and the book are what is broadcast. Every
+block, and the finished tables (8 MB) and the book are what is broadcast. Every
 training document is counted; words outside the book keep exact counts in the
 token table and are joined to it.
 
@@ -46,28 +47,34 @@ END = " "  # no word holds a space
 BOOK, SLOTS, BLOCK, ORDERS = 17, 20, 12, 4
 COMMON = 256  # words of the book that tell the language
 LONGEST = 64  # bytes of a word in the book
-LEVELS = 3 ** (ORDERS - 1) * 2
+LEVELS = 2 << 2 * (ORDERS - 1)  # two bits for each order above 0, and the kind of decision
 BUCKETS = 33
-_CHUNK = 1 << 17  # decisions that are predicted with the same counts and weights
+_CHUNK = 1 << 17  # decisions that are predicted with the same weights
 _STEP = 1 << 14  # decisions handled at once: their arrays stay in a core's cache
-_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
-_NODE = np.uint32(0x165667B1)
+_BLOCK = 1 << 15  # tokens whose contexts are held at once (one text at least)
+_BIT = 60  # of a node in a path: where the path's bit is, above the hashes
+_DEEP = 3  # levels of a tree whose slots lie side by side
+_FINE = np.float32(1 << 10)  # a cell's value of log-odds 1
+_MIX = np.uint64(0x9E3779B1)
+_EVEN = 0.4  # added to counts
 
 
 class Tree(NamedTuple):
-    """Huffman paths: leaf ``i`` has ``nodes`` and ``bits`` from ``first[i]`` to ``first[i + 1]``."""
+    """Huffman paths: leaf ``i`` has ``nodes`` and ``bits`` from ``first[i]`` to ``first[i + 1]``; ``odds``: log-odds of bit 1 by node."""
 
     first: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
+    odds: np.ndarray
 
 
 def huffman(weights: list[float]) -> Tree:
     heap = [(w, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    up, n = {}, len(weights)
+    up, n, odds = {}, len(weights), []
     while len(heap) > 1:
         (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        odds.append(np.log((b + _EVEN) / (a + _EVEN)))
         up[i], up[j] = (n, 0), (n, 1)
         heapq.heappush(heap, (a + b, n))
         n += 1
@@ -80,23 +87,23 @@ def huffman(weights: list[float]) -> Tree:
         nodes += [p[0] for p in reversed(path)]
         bits += [p[1] for p in reversed(path)]
         first.append(len(nodes))
-    return Tree(np.array(first), np.array(nodes, np.int64), np.array(bits, np.uint8))
+    return Tree(np.array(first), np.array(nodes, np.int32), np.array(bits, np.uint8), np.array(odds, np.float32))
 
 
 class Book(NamedTuple):
     """The frequent words (the end first) with their counts, their tree (escape last) and the tree of bytes (end of word last)."""
 
-    words: list[str]
+    words: pa.Array
     counts: np.ndarray
     tree: Tree
     spell: Tree
 
 
 class Model(NamedTuple):
-    """``odds`` and ``level`` by order and slot; ``weights`` by gate and order; ``refined`` by gate and bucket."""
+    """``odds`` and ``level`` by order and slot, or both in cells (then ``level`` is None); ``weights`` by gate and order; ``refined`` by gate and bucket."""
 
     odds: np.ndarray
-    level: np.ndarray
+    level: np.ndarray | None
     weights: np.ndarray
     refined: np.ndarray
 
@@ -129,21 +136,52 @@ def book(counts: DataFrame) -> Book:
     spelled = counts.join(F.broadcast(likely.orderBy(F.desc("n"), "token").limit(1 << BOOK).select("token")), "token", "left_anti").where(F.col("token") != END)
     sums = dict(spelled.mapInArrow(run, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect())
     rest = sums.get(256, 0.0)
-    return Book(words, held, huffman([*(held + 0.5).tolist(), rest + 0.5]), huffman([sums.get(b, 0.0) + 0.5 for b in range(257)]))
+    return Book(pa.array(words, pa.large_string()), held, huffman([*(held + 0.5).tolist(), rest + 0.5]), huffman([sums.get(b, 0.0) + 0.5 for b in range(257)]))
+
+
+def _placed(tree: Tree, salt: int) -> np.ndarray:
+    """For each node of the paths a hash of ``SLOTS`` bits by order above 0, packed, and the path's bit; nodes of ``_DEEP`` levels differ in the lowest bits only."""
+    depth = np.arange(len(tree.nodes)) - np.repeat(tree.first[:-1], np.diff(tree.first))
+    at = np.zeros(len(tree.odds), np.int64)
+    at[tree.nodes] = np.arange(len(tree.nodes))  # one path through each node
+    below = depth[at] % _DEEP
+    top = at - below
+    group, local = tree.nodes[top].astype(np.uint64), np.ones(len(at), np.int64)
+    for k in range(_DEEP - 1):
+        local = np.where(below > k, local * 2 + tree.bits[np.minimum(top + k, at)], local)
+    out = np.zeros(len(at), np.int64)
+    for k in range(ORDERS - 1):
+        own = tokens.mixed(group * np.uint64(ORDERS) + np.uint64(k + (salt << 32))) >> np.uint64(64 + _DEEP - SLOTS)
+        out |= (own.astype(np.int64) << _DEEP | local) << k * SLOTS
+    return out[tree.nodes] | tree.bits.astype(np.int64) << _BIT
+
+
+def _packed(contexts: list[np.ndarray]) -> np.ndarray:
+    """Hashes of orders above 0, ``SLOTS`` bits of each, in one number."""
+    out = np.zeros(len(contexts[0]), np.int64)
+    for k, x in enumerate(contexts):
+        out |= (x >> np.uint64(64 - SLOTS)).astype(np.int64) << k * SLOTS
+    return out
 
 
 class Coder:
-    """Cuts texts into decisions under a book."""
+    """Cuts texts into decisions under a book.
+
+    A slot is the hash of the node xor that of the context (simple tabulation).
+    Order 0 of a word's node is no slot but its place in the tree's paths: the
+    book's own counts are its odds.
+    """
 
     def __init__(self, own: Book):
-        self.book, self.words = own, pa.array(own.words, pa.large_string())
-        self.offset = len(own.words)  # byte nodes come after word nodes
-        self.nodes, self.bits = own.tree.nodes.astype(np.uint32) * _NODE, own.tree.bits
-        self.spell = (own.spell.nodes + self.offset).astype(np.uint32) * _NODE
+        self.book = own
+        self.words = own.words if isinstance(own.words, pa.Array) else pa.array(own.words, pa.large_string())
+        self.nodes, self.spell = _placed(own.tree, 1), _placed(own.spell, 2)
+        self.even = tokens.mixed(own.spell.nodes.astype(np.uint64) + np.uint64(3 << 32)) >> np.uint64(64 - SLOTS)
+        self.even = self.even.astype(np.int64)
+        self.plain = _cells(own.tree.odds, np.int8(0))[own.tree.nodes]
 
     def _spelled(self, words: pa.Array) -> tuple[np.ndarray, ...]:
-        """For words outside the book: first decision of each, and of each decision node, bit and symbol; of each symbol (a byte or the end) its context inside the word by order."""
-        spell = self.book.spell
+        """For words outside the book: first symbol (a byte or the end) of each; symbols; of each its contexts inside the word, of order 0 and of those above."""
         data, offsets = tokens.raw(words)
         size = np.diff(offsets)
         ends = offsets[1:] + np.arange(len(words))  # a word's bytes and its end, 256
@@ -159,81 +197,95 @@ class Coder:
             before = np.full(len(symbols), 300, np.int64)
             before[k:] = symbols[: max(0, len(symbols) - k)]
             before[back < k] = 300
-            chain = tokens.mixed(chain * np.uint64(_MIX[0]) + before.astype(np.uint64) + np.uint64(k))
+            chain = tokens.mixed(chain * _MIX + before.astype(np.uint64) + np.uint64(k))
             seen.append(chain)
-        seen.append(tokens.prefix_hashes(symbols, back) + np.uint64(9))  # all bytes before
-        seen = [(x >> np.uint64(32)).astype(np.uint32) for x in seen]
-        bits_of = spell.first[symbols + 1] - spell.first[symbols]
-        upto = np.concatenate([[0], np.cumsum(bits_of)])
-        return (upto[np.append(starts, len(symbols))], tokens.gathered(self.spell, spell.first[symbols], bits_of), tokens.gathered(spell.bits, spell.first[symbols], bits_of),
-                np.repeat(np.arange(len(symbols), dtype=np.int32), bits_of), seen)
+        seen.append(tokens.prefix_hashes(symbols, back))  # all bytes before
+        return np.append(starts, len(symbols)), symbols, (seen[0] >> np.uint64(64 - SLOTS)).astype(np.int64), _packed(seen[1:])
 
     def decisions(self, t: tokens.Tokens) -> tuple[np.ndarray, Iterator[tuple]]:
-        """The place of each token, and steps of decisions: token numbers, bits, kinds (1: a byte's) and slots by order."""
+        """The place of each token, and steps of decisions, in blocks of texts those of words before those of bytes: token numbers, bits, kinds (1: a byte's; one kind in a step) and slots by order."""
         place = pc.fill_null(pc.index_in(t.words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        tree, paths = self.book.tree, len(self.bits)
-        odd = np.flatnonzero(place < 0)
-        spelled, nodes, bits, symbol, seen = self._spelled(t.words.take(pa.array(odd)))
-        nodes, bits = np.concatenate([self.nodes, nodes]), np.concatenate([self.bits, bits])
-        # of each distinct word the path in the tree and the bytes: where they begin, and their lengths
-        leaf = np.where(place < 0, len(self.book.words), place)
-        begins, sizes = np.zeros((len(place), 2), np.int64), np.zeros((len(place), 2), np.int64)
-        begins[:, 0], sizes[:, 0] = tree.first[leaf], tree.first[leaf + 1] - tree.first[leaf]
-        begins[odd, 1], sizes[odd, 1] = paths + spelled[:-1], np.diff(spelled)
         hashed = np.concatenate([tokens.byte_hashes(t.words), [np.uint64(0)]])
-        n = len(t.codes)
-        doc_start = np.zeros(n, bool)
-        doc_start[t.starts[:-1]] = True  # every text has its end
-        now = hashed[t.codes]
-        prev = np.concatenate([[np.uint64(0)], now[:-1]])
-        prev[doc_start] = 0
-        second = np.concatenate([[np.uint64(0)], prev[:-1]])
-        second[doc_start] = 0
-        told = (place[t.codes] > 0) & (place[t.codes] <= COMMON)
-        begin = np.repeat(t.starts[:-1], np.diff(t.starts))
-        last = np.maximum.accumulate(np.where(told, np.arange(n), -1))
-        last = np.concatenate([[-1], last[:-1]])
-        common = np.where(last >= begin, now[np.maximum(last, 0)], np.uint64(0))
-        context = [tokens.mixed(x) >> np.uint64(32) for x in (common, prev + np.uint64(7), prev * np.uint64(3) + second)]
-        context = [None, *(x.astype(np.uint32) for x in context)]
-        upto = np.concatenate([[0], np.cumsum(sizes.sum(1)[t.codes])])
 
         def steps() -> Iterator[tuple]:
             a = 0
-            while a < n:
-                z = max(a + 1, int(np.searchsorted(upto, upto[a] + _STEP, side="right")) - 1)
-                codes = t.codes[a:z]
-                size = sizes[codes].ravel()
-                ends = np.cumsum(size)
-                at = np.repeat(begins[codes].ravel() - (ends - size), size)
-                at += np.arange(len(at))
-                each = upto[a + 1 : z + 1] - upto[a:z]
-                kind = at >= paths
-                byte = np.flatnonzero(kind)
-                inner = symbol.take(at.take(byte) - paths)
-                node = nodes.take(at)
-                plain = node.take(byte)
-                slots = np.empty((ORDERS, len(at)), np.int64)
-                for k in range(ORDERS):
-                    h = node + np.repeat(context[k][a:z], each) if k else node.copy()
-                    if len(byte):  # the language also tells the letters
-                        h[byte] = (h.take(byte) if k == 1 else plain) + seen[k].take(inner)
-                    h ^= h >> np.uint32(15)
-                    h *= _MIX[k]
-                    h ^= h >> np.uint32(13)
-                    h *= _NODE
-                    h >>= np.uint32(32 - SLOTS)
-                    slots[k] = h
-                yield np.repeat(np.arange(a, z), each), bits.take(at), kind, slots
+            while a < len(t.starts) - 1:
+                z = max(a + 1, int(np.searchsorted(t.starts, t.starts[a] + _BLOCK, side="right")) - 1)
+                yield from self._steps(t, place, hashed, a, z)
                 a = z
 
         return place, steps()
 
+    def _contexts(self, codes: np.ndarray, starts: np.ndarray, at: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """The contexts of each token of some texts, packed."""
+        now = hashed[codes]
+        prev = np.concatenate([[np.uint64(0)], now[:-1]])
+        prev[starts[:-1]] = 0  # every text has its end
+        second = np.concatenate([[np.uint64(0)], prev[:-1]])
+        second[starts[:-1]] = 0
+        begin = np.repeat(starts[:-1], np.diff(starts))
+        last = np.maximum.accumulate(np.where((at > 0) & (at <= COMMON), np.arange(len(at)), -1))
+        last = np.concatenate([[-1], last[:-1]])
+        common = np.where(last >= begin, now[np.maximum(last, 0)], np.uint64(0))
+        return _packed([tokens.mixed(x) for x in (common, prev + np.uint64(7), prev * np.uint64(3) + second)])
+
+    def _steps(self, t: tokens.Tokens, place: np.ndarray, hashed: np.ndarray, low: int, high: int) -> Iterator[tuple]:
+        """Steps of decisions of the texts from ``low`` to ``high``."""
+        tree, spell, mask = self.book.tree, self.book.spell, np.int64((1 << SLOTS) - 1)
+        starts, base = t.starts[low : high + 1] - t.starts[low], t.starts[low]
+        codes = t.codes[base : t.starts[high]]
+        at = place[codes]
+        context = self._contexts(codes, starts, at, hashed)
+
+        def cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            a = 0
+            while a < len(sizes):
+                z = max(a + 1, int(np.searchsorted(upto, upto[a] + _STEP, side="right")) - 1)
+                yield a, z
+                a = z
 
-def _ramp(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, .. below each of ``sizes``, one after the other."""
+        def slots(zero: np.ndarray, above: np.ndarray) -> np.ndarray:
+            out = np.empty((ORDERS, len(zero)), np.int64)
+            out[0] = zero
+            for k in range(1, ORDERS):
+                np.right_shift(above, (k - 1) * SLOTS, out=out[k])
+                out[k] &= mask
+            return out
+
+        leaf = np.where(at < 0, len(self.words), at)
+        begins = tree.first[leaf]
+        sizes = tree.first[leaf + 1] - begins
+        for a, z in cut(sizes):
+            own, path = _spread(begins[a:z], sizes[a:z])
+            node = self.nodes.take(path)
+            bit = (node >> _BIT).astype(np.uint8)
+            node ^= context[a:z].take(own)
+            own += base + a
+            yield own, bit, np.broadcast_to(False, len(own)), slots(path, node)
+        # the bytes of words outside the book
+        odd = np.flatnonzero(at < 0)
+        first, symbols, zero, above = self._spelled(t.words.take(pa.array(codes[odd])))
+        above ^= np.repeat(context[odd] & mask, np.diff(first))  # the language also tells the letters
+        lengths = np.diff(spell.first)[symbols]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[first]
+        token = np.repeat(odd + base, np.diff(first))
+        for a, z in cut(np.diff(upto)):
+            a, z = first[a], first[z]
+            own, path = _spread(spell.first[symbols[a:z]], lengths[a:z])
+            node = self.spell.take(path)
+            bit = (node >> _BIT).astype(np.uint8)
+            node ^= above[a:z].take(own)
+            yield token[a:z].take(own), bit, np.broadcast_to(True, len(own)), slots(self.even.take(path) ^ zero[a:z].take(own), node)
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges that begin at ``begins``: the number of the range of each element, and the element."""
     ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    each = (begins - (ends - sizes)).take(own)
+    each += np.arange(len(own))
+    return own, each
 
 
 def text_tokens(texts: pa.Array) -> tokens.Tokens:
@@ -247,69 +299,119 @@ def text_tokens(texts: pa.Array) -> tokens.Tokens:
     return tokens.Tokens(codes, pa.concat_arrays([t.words.cast(pa.large_string()), pa.array([END], pa.large_string())]), t.starts + np.arange(n + 1))
 
 
-def _mixed(odds: np.ndarray, level: np.ndarray, kind: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gate, mixed log-odds and bucket of decisions; weights by order and gate."""
-    gate = kind.astype(np.int8)
-    for k in range(1, ORDERS):
-        gate *= np.int8(3)
-        gate += level[k]
-    gate = gate.astype(np.int64)
-    z = weights[0].take(gate) * odds[0]
+def _looked(cells: np.ndarray, plain: np.ndarray, kind: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds by order (``_FINE`` is 1) and gate, of those of the kind, of decisions of one kind."""
+    found = np.empty(slots.shape, np.int16)
+    for k in range(ORDERS):  # every slot is in its table: clip only lets ``out`` be written at once
+        (cells[k] if k or kind else plain).take(slots[k], out=found[k], mode="clip")
+    gate = found[1] & 3
+    for k in range(2, ORDERS):
+        gate <<= 2
+        gate |= found[k] & 3
+    found &= -4
+    return found.astype(np.float32), gate.astype(np.int64)
+
+
+def _mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed log-odds and bucket of decisions; weights by gate and order."""
+    rows = np.ascontiguousarray(weights / _FINE).view(np.dtype((np.void, 4 * ORDERS))).ravel()
+    own = rows.take(gate).view(np.float32).reshape(-1, ORDERS)
+    z = own[:, 0] * odds[0]
     for k in range(1, ORDERS):
-        z += weights[k].take(gate) * odds[k]
+        z += own[:, k] * odds[k]
     np.clip(z, -11, 11, out=z)
-    return gate, z, ((z + np.float32(11)) * np.float32((BUCKETS - 1) / 22)).astype(np.int64)
+    return z, ((z + np.float32(11)) * np.float32((BUCKETS - 1) / 22)).astype(np.int64)
 
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of counts, and how much was seen: 0, 1 (below 8) or 2."""
     n = n0 + n1
     ratio = n1.astype(np.float32)
-    ratio += np.float32(0.4)
-    ratio /= n0 + np.float32(0.4)
+    ratio += np.float32(_EVEN)
+    ratio /= n0 + np.float32(_EVEN)
     return np.log(ratio, out=ratio), (n > 0).view(np.int8) + (n >= 8).view(np.int8)
 
 
+def _cells(odds: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Log-odds in steps of 1/256 with the level in the two lowest bits; counts up to 10^13 fit."""
+    out = np.rint(odds.astype(np.float32) * (_FINE / 4)).astype(np.int16) << 2
+    out |= level
+    return out
+
+
+def _lined(values: np.ndarray) -> np.ndarray:
+    """A copy that begins at a cache line, as the slots of ``_DEEP`` levels then do."""
+    room = np.zeros(values.nbytes + 64, np.uint8)
+    skip = -room.ctypes.data % 64
+    out = room[skip : skip + values.nbytes].view(values.dtype).reshape(values.shape)
+    if values.any():
+        out[:] = values
+    return out
+
+
 class Learner:
-    """One task's counts, weights and refinement, learned online."""
+    """One task's counts, weights and refinement, learned online.
+
+    Decisions are counted at once. What they are predicted with, ``cells``, is
+    made anew from the counts whenever these have grown by a quarter.
+    """
 
     def __init__(self, coder: Coder):
         self.coder = coder
-        self.table = np.zeros((ORDERS, 2 << SLOTS), np.uint32)
+        self.table = _lined(np.zeros((ORDERS, 2 << SLOTS), np.uint32))
+        self.cells = _lined(np.zeros((ORDERS, 1 << SLOTS), np.int16))
         self.weights = np.full((LEVELS, ORDERS), 0.3, np.float32)
         self.seen = np.zeros(LEVELS)
         self.refine = np.zeros((2, LEVELS * BUCKETS))
+        self.counted = self.fresh = 0
+
+    def refresh(self) -> None:
+        size = min(_STEP, 1 << SLOTS)
+        for table, cells in zip(self.table.reshape(-1, 2 * size), self.cells.reshape(-1, size)):
+            if table.any():
+                cells[:] = _cells(*_odds(table[0::2].astype(np.float32), table[1::2].astype(np.float32)))
+        self.fresh = self.counted
 
     def learn(self, t: tokens.Tokens, rate: float = 0.2) -> None:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, n, slope = 0, np.zeros(LEVELS, np.int64), np.zeros((ORDERS, LEVELS))
+        half = LEVELS // 2  # gates of a kind
+        ones, lane = np.ones(_STEP, np.uint32), np.arange(_STEP) & 7
+
+        def fresh() -> tuple:
+            return 0, np.zeros((2, half)), np.zeros((2, ORDERS, half)), self.weights.copy()
 
         def correct() -> None:
-            self.weights += (rate * slope / np.maximum(n, 64)).T.astype(np.float32)
-            self.seen += n
-            for bit, slots in held:
-                for k in range(ORDERS):
-                    np.add.at(self.table[k], slots[k] * 2 + bit, np.uint32(1))
+            self.weights += (rate / float(_FINE) * np.hstack(list(slope)) / np.maximum(n.ravel(), 64)).T.astype(np.float32)
+            self.seen += n.ravel()
+            if self.counted - self.fresh >= max(_CHUNK, self.fresh / 4):
+                self.refresh()
 
-        weights = np.ascontiguousarray(self.weights.T)
+        size, n, slope, weights = fresh()
         for _, bit, kind, slots in self.coder.decisions(t)[1]:
-            if held and size + len(bit) > _CHUNK:
+            if size and size + len(bit) > _CHUNK:
                 correct()
-                held, size, n, slope, weights = [], 0, np.zeros(LEVELS, np.int64), np.zeros((ORDERS, LEVELS)), np.ascontiguousarray(self.weights.T)
-            odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
-            for k in range(ORDERS):
-                pair = self.table[k].view(np.uint64).take(slots[k]).view(np.uint32).astype(np.float32)
-                odds[k], level[k] = _odds(pair[0::2], pair[1::2])
-            gate, z, bucket = _mixed(odds, level, kind, weights)
+                size, n, slope, weights = fresh()
+            of = int(kind[0])
+            odds, gate = _looked(self.cells, self.coder.plain, of, slots)
+            z, bucket = _mixed(odds, gate, weights[of * half : (of + 1) * half])
             error = bit - 1 / (1 + np.exp(-z))
+            odds *= error
+            bucket += gate * BUCKETS
+            gate <<= 3  # sums in eight lanes: additions to one cell would wait for each other
+            gate |= lane[: len(gate)] if len(gate) <= len(lane) else 0
             for k in range(ORDERS):
-                slope[k] += np.bincount(gate, error * odds[k], LEVELS)
-            cells = np.bincount((gate * BUCKETS + bucket) * 2 + bit, minlength=2 * LEVELS * BUCKETS).reshape(-1, 2)
-            self.refine += cells.T
-            n += cells.reshape(LEVELS, -1).sum(1)
-            held.append((bit, slots))
+                slope[of, k] += np.bincount(gate, odds[k], half << 3).reshape(half, 8).sum(1)
+            bucket <<= 1
+            bucket |= bit
+            cells = np.bincount(bucket, minlength=2 * half * BUCKETS).reshape(-1, 2)
+            self.refine[:, of * half * BUCKETS : (of + 1) * half * BUCKETS] += cells.T
+            n[of] += cells.reshape(half, -1).sum(1)
+            slots <<= 1
+            slots |= bit
+            for k in range(0 if of else 1, ORDERS):
+                np.add.at(self.table[k], slots[k], ones[: len(bit)] if len(bit) <= len(ones) else np.uint32(1))
             size += len(bit)
-        if held:
+            self.counted += len(bit)
+        if size:
             correct()
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
@@ -354,8 +456,7 @@ def trained(texts: DataFrame, own: Book) -> Model:
         out = []
         for part, x in sums.items():
             if part >= 0:
-                odds, level = _odds(x[0::2].astype(np.float32), x[1::2].astype(np.float32))
-                out.append((part, odds.astype(np.float16).tobytes() + level.astype(np.int8).tobytes()))
+                out.append((part, _cells(*_odds(x[0::2].astype(np.float32), x[1::2].astype(np.float32))).tobytes()))
             else:
                 out.append((part, x.tobytes()))
         yield from _parts(iter(out))
@@ -363,12 +464,11 @@ def trained(texts: DataFrame, own: Book) -> Model:
     learned = store.written(texts.select("text").mapInArrow(learn, "part int, data binary"), "parts")
     blocks = (ORDERS << SLOTS) >> BLOCK
     merged = learned.repartition(max(2, min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").mapInArrow(merge, "part int, data binary").collect()
-    odds, level = np.zeros((blocks, 1 << BLOCK), np.float16), np.zeros((blocks, 1 << BLOCK), np.int8)
+    cells = np.zeros((blocks, 1 << BLOCK), np.int16)
     sums = np.zeros(LEVELS * (1 + ORDERS + 2 * BUCKETS))
     for r in merged:
         if r["part"] >= 0:
-            odds[r["part"]] = np.frombuffer(r["data"], np.float16, 1 << BLOCK)
-            level[r["part"]] = np.frombuffer(r["data"], np.int8, 1 << BLOCK, 2 << BLOCK)
+            cells[r["part"]] = np.frombuffer(r["data"], np.int16)
         else:
             sums = np.frombuffer(r["data"])
     seen, rest = sums[:LEVELS, None], sums[LEVELS:]
@@ -376,26 +476,27 @@ def trained(texts: DataFrame, own: Book) -> Model:
     none, one = rest[LEVELS * ORDERS :].reshape(2, LEVELS, BUCKETS)
     centre = 1 / (1 + np.exp(-((np.arange(BUCKETS) + 0.5) * 22 / (BUCKETS - 1) - 11)))
     refined = (one + 20 * centre) / (none + one + 20)
-    return Model(odds.reshape(ORDERS, -1), level.reshape(ORDERS, -1), weights.astype(np.float32), refined.astype(np.float32))
+    return Model(cells.reshape(ORDERS, -1), None, weights.astype(np.float32), refined.astype(np.float32))
 
 
 def log10_scores(model: Model, coder: Coder, t: tokens.Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The place of each token and the log10 probability of each text."""
-    doc = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
-    total = np.zeros(len(t.starts) - 1)
+    cells = model.odds if model.level is None else _cells(model.odds, model.level)
+    by_token = np.zeros(len(t.codes))
     place, blocks = coder.decisions(t)
-    weights = np.ascontiguousarray(model.weights.T)
+    weights = np.split(model.weights, 2)
+    refined = np.float32(0.5) * model.refined.reshape(2, -1)
     for token, bit, kind, slots in blocks:
-        odds, level = np.empty(slots.shape, np.float32), np.empty(slots.shape, np.int8)
-        for k in range(ORDERS):
-            odds[k], level[k] = model.odds[k].take(slots[k]), model.level[k].take(slots[k])
-        gate, z, bucket = _mixed(odds, level, kind, weights)
-        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * model.refined.ravel().take(gate * BUCKETS + bucket)
-        own = doc[token]
-        low = own[0]
-        sums = np.bincount(own - low, np.log(np.where(bit == 1, p, 1 - p)))
-        total[low : low + len(sums)] += sums / np.log(10)
-    return place, total
+        of = int(kind[0])
+        odds, gate = _looked(cells, coder.plain, of, slots)
+        z, bucket = _mixed(odds, gate, weights[of])
+        bucket += gate * BUCKETS
+        p = np.float32(0.5) / (1 + np.exp(-z)) + refined[of].take(bucket)
+        p -= 1 - bit  # of bit 0 the probability is 1 - p
+        ends = np.flatnonzero(token[1:] != token[:-1]) + 1
+        sums = np.add.reduceat(np.log(np.abs(p, out=p), out=p), np.append(0, ends))
+        by_token[token[np.append(0, ends)]] += sums
+    return place, np.add.reduceat(by_token, t.starts[:-1]) / np.log(10)
 
 
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -423,7 +524,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
         coder = own_model = None
         for b in tokens.slices(batches, "text"):
             coder = coder or Coder(shared.value)
-            own_model = own_model or model.value._replace(odds=model.value.odds.astype(np.float32))
+            own_model = own_model or model.value._replace(odds=_lined(model.value.odds))
             t = text_tokens(b.column("text"))
             place, total = log10_scores(own_model, coder, t)
             held = np.concatenate([shared.value.counts, [0]])[place]  # by distinct word; 0 if not in the book
